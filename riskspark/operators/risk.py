@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.normal import norm_pdf, norm_ppf
+from ..functions.rounding import cents
 
 
 def quantile_index(alpha, n) -> F.Column:
@@ -42,10 +43,15 @@ def quantile_index(alpha, n) -> F.Column:
 
 
 def rank_scenarios(pnl: DataFrame, set_keys: list[str]) -> DataFrame:
-    """Adds rn (1-based, by pnl then scenario_id), cum_pnl (running sum in that
-    order) and the per-group n, mean_pnl, std_dev_pnl."""
+    """Adds rn (1-based), cum_pnl (running sum in rank order) and the per-group
+    n, mean_pnl, std_dev_pnl.
+
+    P&Ls are ordered at cent precision and equal amounts by scenario id: the
+    same scenario then holds the same rank on any cluster layout (replayed
+    history repeats scenarios whose sums differ only in the last bits).
+    """
     part = [*set_keys, "portfolio_id"]
-    ordered = Window.partitionBy(*part).orderBy("pnl", "scenario_id")
+    ordered = Window.partitionBy(*part).orderBy(cents("pnl"), "scenario_id")
     whole = Window.partitionBy(*part)
     return (pnl.withColumn("rn", F.row_number().over(ordered))
             .withColumn("cum_pnl", F.sum("pnl").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))

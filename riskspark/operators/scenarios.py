@@ -48,7 +48,8 @@ def historical_shocks(own_returns: DataFrame, sets: DataFrame) -> DataFrame:
     lo = F.when(F.col("t") == 0, F.lit(0)).otherwise(hi)
     return (ret.join(windows, "as_of_date")
             .filter(hi >= 0)
-            .select(*HIST_KEYS, F.explode(F.sequence(lo, hi)).alias("scenario_id"), "ticker", "r"))
+            .select(*HIST_KEYS, F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("scenario_id"),
+                    "ticker", "r"))
 
 
 def grid_columns(time_grid: str = "time_grid"):

@@ -85,15 +85,20 @@ METHOD_BUILDERS = {
 def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
                   periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
                   align: str = "common_dates", methods=schemas.METHODS,
-                  require_paths: bool = False, materialize: bool = False) -> ScenarioRun:
+                  require_paths: bool = False, materialize: bool = True) -> ScenarioRun:
     """Value-at-Risk of every book in ``positions`` for every valid request.
 
     ``methods`` limits the branches planned (a batch known to hold one method
-    plans only that branch). ``materialize=True`` checkpoints the as-of price
-    table into the session's checkpoint folder before the branches fan out, so
-    the three methods and the calibration sinks share one durable copy.
+    plans only that branch). ``materialize=True`` (default) checkpoints the
+    valid requests and the as-of price table into the session's checkpoint
+    folder before the branches fan out: the price source (e.g. an aggregate
+    over a fact table) is scanned once, the three methods and the calibration
+    sinks share one durable copy, and a lost executor never recomputes the
+    upstream scan.
     """
     valid, rejects = validate_requests(requests, require_paths=require_paths)
+    if materialize:
+        valid = cut_lineage(valid, durable=True)
     asof = valid.select("as_of_date").distinct()
     px = cal_ops.prices_as_of(prices, asof)
     if materialize:

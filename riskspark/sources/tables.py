@@ -5,7 +5,8 @@ The engine's inputs are ``prices(ticker, date, close)`` and
 maturity_in_years)``. On the TPC-H-like warehouse they are derived as follows:
 
 * a monthly (or weekly) price panel per part brand or part type: close is the
-  average unit price ``sum(l_extendedprice) / sum(l_quantity)`` of the period;
+  average unit price ``sum(l_extendedprice) / sum(l_quantity)`` of the period
+  (the sum taken in exact cents, so the value does not depend on summation order);
 * a daily tick panel from ``events``: close is the last tick value of the day;
 * books of positions per market segment (or nation) and panel ticker, with the
   quantity signed negative for returned lines;
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions.rounding import cents
 
 PANEL_TICKERS = {"brand": "p_brand", "type": "p_type"}
 PORTFOLIO_KEYS = {"segment": "c_mktsegment", "nation": "c_nationkey"}
@@ -39,7 +41,7 @@ def price_panel(spark: SparkSession, sf_dir: str, ticker_by: str = "brand",
     part = read_table(spark, sf_dir, "part").select("p_partkey", F.col(PANEL_TICKERS[ticker_by]).alias("ticker"))
     return (li.join(part, li.l_partkey == part.p_partkey)
             .groupBy("ticker", F.date_trunc(period, "l_shipdate").cast("date").alias("date"))
-            .agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("close")))
+            .agg((cents(F.sum("l_extendedprice")) / F.sum("l_quantity")).alias("close")))
 
 
 def tick_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,3 +97,33 @@ def year_end_dates(prices: DataFrame) -> DataFrame:
 def last_date(prices: DataFrame) -> DataFrame:
     """as_of_date: the newest date of the panel (one row)."""
     return prices.agg(F.max("date").alias("as_of_date"))
+
+
+def clean_prices(raw: DataFrame, as_of=None, ticker: str = "ticker", date: str = "date",
+                 close: str = "close", ts: str | None = None) -> DataFrame:
+    """Normalise a raw price table to prices(ticker, date, close).
+
+    Upper-cases tickers, parses the date (DATE, TIMESTAMP or yyyy-MM-dd text),
+    casts close with ``try_cast`` (bad numbers become NULL instead of failing
+    the job), keeps ``date <= as_of`` when given, drops NULL and non-positive
+    closes (a log-return needs a positive price), and keeps one row per
+    (ticker, date): the last tick by ``ts`` when given, else the highest close.
+    """
+    d = F.col(date)
+    is_text = dict(raw.dtypes).get(date) == "string"
+    parsed_date = F.to_date(F.try_to_timestamp(d, F.lit("yyyy-MM-dd"))) if is_text else F.to_date(d)
+    px = raw.select(F.upper(F.trim(F.col(ticker))).alias("ticker"), parsed_date.alias("date"),
+                    F.col(close).cast("string").try_cast("double").alias("close"),
+                    *([F.col(ts).alias("_ts")] if ts else []))
+    px = px.filter(F.col("close").isNotNull() & (F.col("close") > 0) & F.col("date").isNotNull()
+                   & F.col("ticker").isNotNull())
+    if as_of is not None:
+        px = px.filter(F.col("date") <= F.lit(as_of).cast("date"))
+    pick = F.max_by("close", "_ts") if ts else F.max("close")
+    return px.groupBy("ticker", "date").agg(pick.alias("close"))
+
+
+def first_dates(prices: DataFrame, n: int) -> DataFrame:
+    """as_of_date: the first ``n`` distinct dates of a panel (early as-of dates
+    at which some factors have little or no history)."""
+    return prices.select(F.col("date").alias("as_of_date")).distinct().orderBy("as_of_date").limit(n)
