@@ -116,13 +116,22 @@ def correlation_matrix(returns: DataFrame) -> DataFrame:
 
 
 def covariance_from_corr(corr: DataFrame, vols: DataFrame) -> DataFrame:
-    """(as_of_date, ti, tj, sigma) = rho_ij * vol_i * vol_j; a missing vol counts as 0."""
-    vi = vols.select("as_of_date", F.col("ticker").alias("ti"), F.col("vol").alias("vol_i"))
-    vj = vols.select("as_of_date", F.col("ticker").alias("tj"), F.col("vol").alias("vol_j"))
+    """(as_of_date, ti, tj, sigma) = rho_ij * vol_i * vol_j.
+
+    A factor absent from ``vols`` counts as volatility 0; a vol that is present
+    but undefined (NULL: a single return) keeps sigma undefined.
+    """
+    vi = vols.select("as_of_date", F.col("ticker").alias("ti"), F.col("vol").alias("vol_i"),
+                     F.lit(True).alias("has_i"))
+    vj = vols.select("as_of_date", F.col("ticker").alias("tj"), F.col("vol").alias("vol_j"),
+                     F.lit(True).alias("has_j"))
+
+    def vol(v, has):
+        return F.when(F.col(has).isNull(), F.lit(0.0)).otherwise(F.col(v))
+
     return (corr.join(vi, ["as_of_date", "ti"], "left").join(vj, ["as_of_date", "tj"], "left")
             .select("as_of_date", "ti", "tj",
-                    (F.col("rho") * F.coalesce("vol_i", F.lit(0.0)) * F.coalesce("vol_j", F.lit(0.0)))
-                    .alias("sigma")))
+                    (F.col("rho") * vol("vol_i", "has_i") * vol("vol_j", "has_j")).alias("sigma")))
 
 
 def covariance_matrix(returns: DataFrame, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> DataFrame:

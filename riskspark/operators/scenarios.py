@@ -107,7 +107,9 @@ def mc_shocks(centred: DataFrame, sets: DataFrame,
     x = centred.select("as_of_date", "t", "ticker", "x")
     n_steps = x.groupBy("as_of_date").agg((F.max("t") + 1).alias("n_t"))
     normals = path_normals(sets.select(*MC_KEYS).distinct(), n_steps, num_partitions)
-    scale = F.sqrt(F.lit(float(periods_per_year)) * F.col("steps") * F.col("dt") / (F.col("n_t") - F.lit(1)))
+    # With fewer than two returns the covariance is undefined: shocks are NULL.
+    scale = F.when(F.col("n_t") >= 2, F.sqrt(F.lit(float(periods_per_year)) * F.col("steps") * F.col("dt")
+                                             / (F.col("n_t") - F.lit(1))))
     raw = (normals.join(x, ["as_of_date", "t"])
            .groupBy(*MC_KEYS, "scenario_id", "ticker")
            .agg(F.sum(F.col("w") * F.col("x")).alias("wx")))

@@ -45,7 +45,7 @@ def validate_requests(requests: DataFrame, require_paths: bool = False) -> tuple
     (ARRAY<STRUCT<field, message>>), as_of_raw and raw_payload.
     ``require_paths`` enforces the CSV path fields (file-based requests).
     """
-    df = _raw_counts(requests)
+    df = _raw_counts(requests.drop("steps", "dt"))
     steps, dt = grid_columns("time_grid")
     df = df.select("*", steps, dt)
     method, alpha, paths, window, grid = (F.col("method"), F.col("alpha"), F.col("num_paths_raw"),

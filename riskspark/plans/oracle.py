@@ -197,7 +197,8 @@ steps_t AS (SELECT as_of_date, n_t, unnest(generate_series(0, n_t - 1)) AS t FRO
 normals AS (SELECT st.as_of_date, st.n_t, CAST(pth.path AS INTEGER) AS scenario_id, st.t, {w} AS w
             FROM steps_t st CROSS JOIN range(0, {paths}) pth(path)),
 mshock AS (SELECT n.as_of_date, n.scenario_id, x.ticker,
-                  sqrt({float(periods)!r}{D} * {steps} * {dt!r}{D} / (n.n_t - 1)) * sum(n.w * x.x) AS r
+                  CASE WHEN n.n_t >= 2 THEN sqrt({float(periods)!r}{D} * {steps} * {dt!r}{D} / (n.n_t - 1)) END
+                  * sum(n.w * x.x) AS r
            FROM normals n JOIN xc x ON n.as_of_date = x.as_of_date AND n.t = x.t
            GROUP BY n.as_of_date, n.scenario_id, x.ticker, n.n_t)"""
 

@@ -97,6 +97,8 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     upstream scan.
     """
     valid, rejects = validate_requests(requests, require_paths=require_paths)
+    # The same id delivered twice (a replayed message) is one request.
+    valid = valid.dropDuplicates(["correlation_id"])
     if materialize:
         valid = cut_lineage(valid, durable=True)
     asof = valid.select("as_of_date").distinct()
@@ -112,3 +114,32 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     for p in parts[1:]:
         results = results.unionByName(p)
     return ScenarioRun(results.select(*schemas.RESULT_COLUMNS), rejects, valid, cal, enriched, exp)
+
+
+def run_csv_requests(spark, requests: DataFrame,
+                     periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> tuple[DataFrame, DataFrame]:
+    """Requests that name their inputs by path (``portfolio_csv_path``,
+    ``prices_csv_path``): returns ``(results, rejects)``.
+
+    The distinct path pairs are the list of input files to open (control
+    metadata, bounded by the request batch); each pair is one scan of its
+    files and one ``run_scenarios`` plan, and all plans are unioned.
+    """
+    from ..sources.csv import read_position_csv, read_price_csv
+
+    valid, rejects = validate_requests(requests, require_paths=True)
+    valid = cut_lineage(valid.dropDuplicates(["correlation_id"]), durable=True)
+    pairs = valid.select("portfolio_csv_path", "prices_csv_path").distinct().collect()
+    parts = []
+    for pair in pairs:
+        sub = valid.filter((F.col("portfolio_csv_path") == pair.portfolio_csv_path)
+                           & (F.col("prices_csv_path") == pair.prices_csv_path))
+        positions = read_position_csv(spark, pair.portfolio_csv_path).drop("source_file")
+        prices = read_price_csv(spark, pair.prices_csv_path)
+        parts.append(run_scenarios(sub, positions, prices, periods_per_year).results)
+    if not parts:
+        return spark.createDataFrame([], schemas.RESULTS), rejects
+    results = parts[0]
+    for p in parts[1:]:
+        results = results.unionByName(p)
+    return results, rejects

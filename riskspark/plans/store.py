@@ -50,15 +50,29 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
-def append_results(results: DataFrame, path: str, ts=None) -> None:
-    """Append results to the Parquet store, skipping (correlation_id,
-    portfolio_id) pairs that are already there (replay-safe)."""
-    rows = results_rows(results, ts)
+def unseen_results(results: DataFrame, path: str) -> DataFrame:
+    """Results whose (correlation_id, portfolio_id) is not in the store yet."""
     spark = results.sparkSession
+    if not _table_exists(spark, path):
+        return results
+    stored = spark.read.parquet(path).select("correlation_id", "portfolio_id")
+    return results.join(stored, ["correlation_id", "portfolio_id"], "left_anti")
+
+
+def append_results(results: DataFrame, path: str, ts=None, skip_existing: bool = True) -> None:
+    """Append results to the Parquet store (partitioned by day), skipping
+    (correlation_id, portfolio_id) pairs already there (replay-safe)."""
+    if skip_existing:
+        results = unseen_results(results, path)
+    results_rows(results, ts).write.mode("append").partitionBy("result_date").parquet(path)
+
+
+def append_rejects(rejects: DataFrame, path: str) -> None:
+    """Append rejected requests, skipping correlation ids already recorded."""
+    spark = rejects.sparkSession
     if _table_exists(spark, path):
-        stored = spark.read.parquet(path).select("correlation_id", "portfolio_id")
-        rows = rows.join(stored, ["correlation_id", "portfolio_id"], "left_anti")
-    rows.write.mode("append").partitionBy("result_date").parquet(path)
+        rejects = rejects.join(spark.read.parquet(path).select("correlation_id"), "correlation_id", "left_anti")
+    rejects.write.mode("append").parquet(path)
 
 
 def append_calibration(vols: DataFrame, path: str, ts=None) -> None:
