@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.normal import norm_pdf, norm_ppf
 from ..functions.rounding import cents
+from ..plans.joins import factor_join
 
 
 def quantile_index(alpha, n) -> F.Column:
@@ -60,19 +61,21 @@ def rank_scenarios(pnl: DataFrame, set_keys: list[str]) -> DataFrame:
             .withColumn("std_dev_pnl", F.stddev_samp("pnl").over(whole)))
 
 
-def scenario_var(requests: DataFrame, pnl: DataFrame, set_keys: list[str], method: str) -> DataFrame:
+def scenario_var(requests: DataFrame, pnl: DataFrame, set_keys: list[str], method: str,
+                 request_rows: int | None = None) -> DataFrame:
     """Result rows (schemas.RESULTS) of the scenario methods.
 
     ``requests`` carries correlation_id, alpha and the set keys; ``pnl`` is
-    (set keys..., portfolio_id, scenario_id, pnl).
+    (set keys..., portfolio_id, scenario_id, pnl). The ranked scenarios are
+    read once: every request sharing the set is joined onto them and keeps
+    the row at its own rank ``idx + 1`` (``request_rows`` — the exact request
+    count — lets that join be a broadcast; see plans.joins).
     """
     ranked = rank_scenarios(pnl, set_keys)
-    stats = ranked.filter(F.col("rn") == 1).select(*set_keys, "portfolio_id", "n", "mean_pnl", "std_dev_pnl")
     req = requests.select("correlation_id", "alpha", *set_keys)
-    picks = (req.join(stats, set_keys)
-             .withColumn("idx", quantile_index("alpha", "n")))
-    tail = ranked.select(*set_keys, "portfolio_id", F.col("rn").alias("rank"), "pnl", "cum_pnl")
-    hit = picks.join(tail, [*set_keys, "portfolio_id"]).filter(F.col("rank") == F.col("idx") + 1)
+    hit = (factor_join(ranked, req, set_keys, F.hash("portfolio_id"), request_rows)
+           .withColumn("idx", quantile_index("alpha", "n"))
+           .filter(F.col("rn") == F.col("idx") + 1))
     return hit.select(
         "correlation_id", "portfolio_id", "as_of_date", F.lit(method).alias("method"),
         (-F.col("pnl")).alias("var_amount"),
@@ -124,14 +127,16 @@ def portfolio_variance(dd: DataFrame, cov: DataFrame) -> DataFrame:
 
 
 def portfolio_variance_projected(dd: DataFrame, returns: DataFrame,
-                                 periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> DataFrame:
+                                 periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
+                                 returns_rows: int | None = None) -> DataFrame:
     """(as_of_date, portfolio_id, variance) = periods * var_samp_t(sum_i delta_i r[t, i]).
 
     Equal to the quadratic form on common-date returns; costs
     portfolios x factors x T instead of portfolios x factors^2. Portfolios with
     no calibrated factor get variance 0.
     """
-    proj = (dd.join(returns.select("as_of_date", "ticker", "t", "r"), ["as_of_date", "ticker"])
+    ret = returns.select("as_of_date", "ticker", "t", "r")
+    proj = (factor_join(dd, ret, ["as_of_date", "ticker"], F.hash("portfolio_id"), returns_rows)
             .groupBy("as_of_date", "portfolio_id", "t")
             .agg(F.sum(F.col("dollar_delta") * F.col("r")).alias("y")))
     var = proj.groupBy("as_of_date", "portfolio_id").agg(

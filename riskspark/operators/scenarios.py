@@ -20,14 +20,11 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.normal import hashed_normal
 from ..functions.pricing import exposure_pnl
+from ..plans.joins import factor_join
 
 HIST_KEYS = ["as_of_date", "historical_window"]
 MC_KEYS = ["as_of_date", "num_paths", "seed", "steps", "dt"]
 
-# Paths generated per task-sized block of Monte Carlo work.
-PATHS_PER_BLOCK = 2048
-
-
 def historical_shocks(own_returns: DataFrame, sets: DataFrame) -> DataFrame:
     """(as_of_date, historical_window, scenario_id, ticker, r).
 
@@ -63,30 +60,26 @@ def grid_columns(time_grid: str = "time_grid"):
 
 
 def path_normals(sets: DataFrame, n_steps: DataFrame, num_partitions: int) -> DataFrame:
-    """(set keys..., scenario_id, t, w): one standard normal per path and return index.
-
-    Paths are spread over tasks in blocks of ``PATHS_PER_BLOCK``: the set rows
-    are exploded into blocks, the blocks are hash-distributed (an explicit
-    partition count, so AQE does not fold them back into one task), and each
-    task then generates its own paths and normals. Values depend only on
-    (seed, path, t), never on the partitioning.
+    """(set keys..., n_t, scenario_id, t, w): one standard normal per path and return index.
+
+    The path ids of each set are hash-distributed on (set, scenario_id) with an
+    explicit partition count (so AQE does not fold the few, small rows back
+    into one task); each task then draws its own normals. Everything downstream
+    — the shock sum and the P&L sum, both grouped by (set, scenario, ...) —
+    keeps this partitioning and runs without another shuffle. Values depend
+    only on (seed, path, t), never on the partitioning.
     """
-    b = PATHS_PER_BLOCK
-    n_blocks = F.ceil(F.col("num_paths") / F.lit(b)).cast("int")
-    blocks = (sets.join(n_steps, "as_of_date")
-              .select(*MC_KEYS, "n_t", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
-              .repartition(num_partitions, *MC_KEYS, "block"))
-    first = F.col("block") * b
-    last = F.least(first + b, F.col("num_paths")) - 1
-    paths = blocks.select(*MC_KEYS, "n_t", F.explode(F.sequence(first, last)).alias("scenario_id"))
-    steps = paths.select(*MC_KEYS, "scenario_id",
+    paths = (sets.join(F.broadcast(n_steps), "as_of_date")  # one row per as-of date
+             .select(*MC_KEYS, "n_t", F.explode(F.sequence(F.lit(0), F.col("num_paths") - 1)).alias("scenario_id"))
+             .repartition(num_partitions, *MC_KEYS, "scenario_id"))
+    steps = paths.select(*MC_KEYS, "n_t", "scenario_id",
                          F.explode(F.sequence(F.lit(0), F.col("n_t") - 1)).alias("t"))
     return steps.withColumn("w", hashed_normal("seed", "scenario_id", "t"))
 
 
 def mc_shocks(centred: DataFrame, sets: DataFrame,
               periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
-              num_partitions: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, returns_rows: int | None = None) -> DataFrame:
     """(as_of_date, num_paths, seed, steps, dt, scenario_id, ticker, r).
 
     Correlated Gaussian path totals without a matrix factorisation. With the T
@@ -98,8 +91,9 @@ def mc_shocks(centred: DataFrame, sets: DataFrame,
     has covariance ``steps * dt * Sigma`` with ``Sigma`` the annualised sample
     covariance — the distribution of a zero-drift path of ``steps`` correlated
     increments of variance ``Sigma * dt``. The sum over ``t`` is an equi-join
-    of the normals with the (small) return matrix on (as_of_date, t) followed
-    by a partial aggregate: a relational matrix product.
+    of the normals with the return matrix on (as_of_date, t) followed by an
+    aggregate: a relational matrix product. ``returns_rows`` (exact size of
+    the return matrix) selects broadcast or salted join (plans.joins).
     """
     spark = centred.sparkSession
     if num_partitions is None:
@@ -110,25 +104,25 @@ def mc_shocks(centred: DataFrame, sets: DataFrame,
     # With fewer than two returns the covariance is undefined: shocks are NULL.
     scale = F.when(F.col("n_t") >= 2, F.sqrt(F.lit(float(periods_per_year)) * F.col("steps") * F.col("dt")
                                              / (F.col("n_t") - F.lit(1))))
-    raw = (normals.join(x, ["as_of_date", "t"])
-           .groupBy(*MC_KEYS, "scenario_id", "ticker")
-           .agg(F.sum(F.col("w") * F.col("x")).alias("wx")))
-    return (raw.join(F.broadcast(n_steps), "as_of_date")
+    joined = factor_join(normals, x, ["as_of_date", "t"], F.col("scenario_id"), returns_rows)
+    return (joined.groupBy(*MC_KEYS, "scenario_id", "n_t", "ticker")
+            .agg(F.sum(F.col("w") * F.col("x")).alias("wx"))
             .select(*MC_KEYS, "scenario_id", "ticker", (scale * F.col("wx")).alias("r")))
 
 
-def scenario_pnl(shocks: DataFrame, exposures: DataFrame, set_keys: list[str]) -> DataFrame:
+def scenario_pnl(shocks: DataFrame, exposures: DataFrame, set_keys: list[str],
+                 exposure_rows: int | None = None) -> DataFrame:
     """(set keys..., portfolio_id, scenario_id, pnl): full repricing of every
     portfolio under every scenario of its set.
 
     Shocks join the per-(portfolio, factor) exposures on (as_of_date, ticker);
     a factor without a shock contributes nothing (its P&L is 0), as does a
-    position on a factor that is not in the set. The sum runs as a partial
-    aggregate on the map side before the (set, portfolio, scenario) shuffle.
+    position on a factor that is not in the set. ``exposure_rows`` (exact size
+    of the exposure table) selects broadcast or salted join (plans.joins).
     """
     exp = exposures.select("as_of_date", "ticker", "portfolio_id", "lin_exposure", "quad_exposure")
-    return (shocks.join(exp, ["as_of_date", "ticker"])
-            .groupBy(*set_keys, "portfolio_id", "scenario_id")
+    joined = factor_join(shocks, exp, ["as_of_date", "ticker"], F.col("scenario_id"), exposure_rows)
+    return (joined.groupBy(*set_keys, "portfolio_id", "scenario_id")
             .agg(F.sum(exposure_pnl(log_return="r")).alias("pnl")))
 
 

@@ -17,7 +17,7 @@ per (as-of date, method parameters).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,40 +38,72 @@ class ScenarioRun:
     calibration: cal_ops.Calibration
     enriched: DataFrame
     exposures: DataFrame
+    cached: list = field(default_factory=list)
+
+    def release(self) -> None:
+        """Drop the cached intermediate tables (after the results are written)."""
+        for df in self.cached:
+            df.unpersist()
+        self.cached.clear()
+
+
+@dataclass
+class _Inputs:
+    valid: DataFrame
+    cal: cal_ops.Calibration
+    exposures: DataFrame
+    exposure_rows: int | None = None
+    returns_rows: int | None = None
+    request_rows: int | None = None
+
+
+def _cache_counted(df: DataFrame, run_cache: list) -> tuple[DataFrame, int]:
+    """Cache a table that several branches reuse and return its exact size.
+
+    Its lineage starts at a checkpoint, so a lost block is rebuilt from the
+    checkpoint files, never from the fact-table scan.
+    """
+    df = cut_lineage(df, durable=False)
+    run_cache.append(df)
+    return df, df.count()
 
 
 def _for(df: DataFrame, valid: DataFrame, method: str) -> DataFrame:
-    return df.join(valid.filter(F.col("method") == method).select("as_of_date").distinct(),
+    return df.join(F.broadcast(valid.filter(F.col("method") == method).select("as_of_date").distinct()),
                    "as_of_date", "left_semi")
 
 
-def parametric_results(valid: DataFrame, cal: cal_ops.Calibration, exposures: DataFrame) -> DataFrame:
+def parametric_results(inp: _Inputs) -> DataFrame:
+    valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "PARAMETRIC")
-    dd = _for(exposures, valid, "PARAMETRIC").select(
+    dd = _for(inp.exposures, valid, "PARAMETRIC").select(
         "as_of_date", "portfolio_id", "ticker", F.col("lin_exposure").alias("dollar_delta"))
-    variance = risk.portfolio_variance_projected(dd, cal.returns, cal.periods_per_year)
+    variance = risk.portfolio_variance_projected(dd, cal.returns, cal.periods_per_year, inp.returns_rows)
     return risk.parametric_var(req, variance)
 
 
-def historical_results(valid: DataFrame, cal: cal_ops.Calibration, exposures: DataFrame) -> DataFrame:
+def historical_results(inp: _Inputs) -> DataFrame:
+    valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "HISTORICAL")
     sets = req.select(*scenarios.HIST_KEYS).distinct()
     shocks = scenarios.historical_shocks(cal.own_returns, sets)
-    exp = _for(exposures, valid, "HISTORICAL")
-    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.HIST_KEYS)
+    exp = _for(inp.exposures, valid, "HISTORICAL")
+    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.HIST_KEYS, inp.exposure_rows)
     factors = cal.own_returns.select("as_of_date", "ticker").distinct()
-    return risk.scenario_var(req, pnl, scenarios.HIST_KEYS, "HISTORICAL").unionByName(
+    return risk.scenario_var(req, pnl, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows).unionByName(
         risk.zero_results(req, exp, factors, "HISTORICAL", F.col("historical_window")))
 
 
-def monte_carlo_results(valid: DataFrame, cal: cal_ops.Calibration, exposures: DataFrame) -> DataFrame:
+def monte_carlo_results(inp: _Inputs) -> DataFrame:
+    valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "MONTE_CARLO")
     sets = req.select(*scenarios.MC_KEYS).distinct()
-    shocks = scenarios.mc_shocks(cal_ops.centred_returns(cal.returns), sets, cal.periods_per_year)
-    exp = _for(exposures, valid, "MONTE_CARLO")
-    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.MC_KEYS)
+    shocks = scenarios.mc_shocks(cal_ops.centred_returns(cal.returns), sets, cal.periods_per_year,
+                                 returns_rows=inp.returns_rows)
+    exp = _for(inp.exposures, valid, "MONTE_CARLO")
+    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.MC_KEYS, inp.exposure_rows)
     factors = cal.returns.select("as_of_date", "ticker").distinct()
-    return risk.scenario_var(req, pnl, scenarios.MC_KEYS, "MONTE_CARLO").unionByName(
+    return risk.scenario_var(req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", inp.request_rows).unionByName(
         risk.zero_results(req, exp, factors, "MONTE_CARLO", F.col("num_paths")))
 
 
@@ -89,12 +121,18 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     """Value-at-Risk of every book in ``positions`` for every valid request.
 
     ``methods`` limits the branches planned (a batch known to hold one method
-    plans only that branch). ``materialize=True`` (default) checkpoints the
-    valid requests and the as-of price table into the session's checkpoint
-    folder before the branches fan out: the price source (e.g. an aggregate
-    over a fact table) is scanned once, the three methods and the calibration
-    sinks share one durable copy, and a lost executor never recomputes the
-    upstream scan.
+    plans only that branch). ``materialize=True`` (default):
+
+    * checkpoints the valid requests and the as-of price table into the
+      session's checkpoint folder before the branches fan out — the price
+      source (e.g. an aggregate over a fact table) is scanned once, and a lost
+      executor never recomputes that scan;
+    * caches the common-date returns and the exposures, which every branch
+      reuses, and measures their exact row counts; the scenario joins then
+      broadcast them only when they are under the broadcast limit, else use a
+      salted shuffle join (plans.joins).
+
+    Call ``ScenarioRun.release()`` once the results are written.
     """
     valid, rejects = validate_requests(requests, require_paths=require_paths)
     # The same id delivered twice (a replayed message) is one request.
@@ -109,11 +147,23 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     spot = enrich_ops.latest_spot(px)
     enriched = enrich_ops.enrich_positions(positions, spot)
     exp = enrich_ops.exposures(enriched)
-    parts = [METHOD_BUILDERS[m](valid, cal, exp) for m in methods]
+    inp = _Inputs(valid, cal, exp)
+    cached: list = []
+    if materialize:
+        inp.request_rows = valid.count()
+        inp.exposures, inp.exposure_rows = _cache_counted(exp, cached)
+        if {"PARAMETRIC", "MONTE_CARLO"} & set(methods):
+            returns, inp.returns_rows = _cache_counted(cal.returns, cached)
+            cal._cache["returns"] = returns
+        if "HISTORICAL" in methods:
+            cal._cache["own"] = cut_lineage(cal.own_returns, durable=False)
+            cached.append(cal._cache["own"])
+    parts = [METHOD_BUILDERS[m](inp) for m in methods]
     results = parts[0]
     for p in parts[1:]:
         results = results.unionByName(p)
-    return ScenarioRun(results.select(*schemas.RESULT_COLUMNS), rejects, valid, cal, enriched, exp)
+    return ScenarioRun(results.select(*schemas.RESULT_COLUMNS), rejects, valid, cal, enriched,
+                       inp.exposures, cached)
 
 
 def run_csv_requests(spark, requests: DataFrame,

@@ -29,7 +29,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app_name: str = "riskspark", extra: dict | None = None) -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app_name)
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-               .config("spark.driver.memory", "8g"))
+               .config("spark.driver.memory", "8g")
+               .config("spark.ui.showConsoleProgress", "false"))
     for k, v in {**RECOMMENDED_CONF, **(extra or {})}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

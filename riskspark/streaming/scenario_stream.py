@@ -80,6 +80,7 @@ def batch_handler(positions: DataFrame, prices: DataFrame, sink: ScenarioSink,
         store.fan_out(fresh, sinks)
         if sink.calibration_path:
             store.append_calibration(run.calibration.vols, sink.calibration_path)
+        run.release()
 
     return handle
 
