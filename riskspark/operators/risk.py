@@ -128,7 +128,7 @@ def portfolio_variance(dd: DataFrame, cov: DataFrame) -> DataFrame:
 
 def portfolio_variance_projected(dd: DataFrame, returns: DataFrame,
                                  periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
-                                 returns_rows: int | None = None) -> DataFrame:
+                                 returns_rows: int | None = None, dd_rows: int | None = None) -> DataFrame:
     """(as_of_date, portfolio_id, variance) = periods * var_samp_t(sum_i delta_i r[t, i]).
 
     Equal to the quadratic form on common-date returns; costs
@@ -136,7 +136,7 @@ def portfolio_variance_projected(dd: DataFrame, returns: DataFrame,
     no calibrated factor get variance 0.
     """
     ret = returns.select("as_of_date", "ticker", "t", "r")
-    proj = (factor_join(dd, ret, ["as_of_date", "ticker"], F.hash("portfolio_id"), returns_rows)
+    proj = (factor_join(dd, ret, ["as_of_date", "ticker"], F.hash("portfolio_id"), returns_rows, dd_rows, F.col("t"))
             .groupBy("as_of_date", "portfolio_id", "t")
             .agg(F.sum(F.col("dollar_delta") * F.col("r")).alias("y")))
     var = proj.groupBy("as_of_date", "portfolio_id").agg(

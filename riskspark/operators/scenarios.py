@@ -111,17 +111,21 @@ def mc_shocks(centred: DataFrame, sets: DataFrame,
 
 
 def scenario_pnl(shocks: DataFrame, exposures: DataFrame, set_keys: list[str],
-                 exposure_rows: int | None = None) -> DataFrame:
+                 exposure_rows: int | None = None, shock_rows: int | None = None) -> DataFrame:
     """(set keys..., portfolio_id, scenario_id, pnl): full repricing of every
     portfolio under every scenario of its set.
 
     Shocks join the per-(portfolio, factor) exposures on (as_of_date, ticker);
     a factor without a shock contributes nothing (its P&L is 0), as does a
-    position on a factor that is not in the set. ``exposure_rows`` (exact size
-    of the exposure table) selects broadcast or salted join (plans.joins).
+    position on a factor that is not in the set. ``exposure_rows`` and
+    ``shock_rows`` (exact sizes) select broadcast or salted join (plans.joins).
     """
     exp = exposures.select("as_of_date", "ticker", "portfolio_id", "lin_exposure", "quad_exposure")
-    joined = factor_join(shocks, exp, ["as_of_date", "ticker"], F.col("scenario_id"), exposure_rows)
+    # Small exposures: broadcast them and keep the shocks' partitioning. Small
+    # shocks but many books: broadcast the shocks and cluster the exposures by
+    # book, so the P&L sum and the ranking window need no further shuffle.
+    joined = factor_join(shocks, exp, ["as_of_date", "ticker"], F.col("scenario_id"), exposure_rows,
+                         shock_rows, F.hash("portfolio_id"), right_cluster=["as_of_date", "portfolio_id"])
     return (joined.groupBy(*set_keys, "portfolio_id", "scenario_id")
             .agg(F.sum(exposure_pnl(log_return="r")).alias("pnl")))
 

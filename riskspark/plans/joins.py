@@ -35,22 +35,38 @@ def salt_buckets(spark) -> int:
 
 
 def salted_join(large: DataFrame, small: DataFrame, on: list[str], spread_by: Column, buckets: int) -> DataFrame:
-    """Inner equi-join on ``on`` with every key split into ``buckets`` sub-keys."""
+    """Inner equi-join on ``on`` with every key split into ``buckets`` sub-keys:
+    ``large`` rows go to bucket ``spread_by mod buckets``, ``small`` rows are
+    copied into every bucket."""
     lg = large.withColumn("_salt", F.pmod(spread_by.cast("long"), F.lit(buckets)))
     sm = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(buckets - 1).cast("long"))))
     return lg.join(sm, [*on, "_salt"]).drop("_salt")
 
 
-def factor_join(large: DataFrame, small: DataFrame, on: list[str], spread_by: Column,
-                small_rows: int | None) -> DataFrame:
-    """Join a large scenario-side table with a factor-level table.
+def factor_join(left: DataFrame, right: DataFrame, on: list[str], left_spread: Column,
+                right_rows: int | None, left_rows: int | None = None,
+                right_spread: Column | None = None, right_cluster: list[str] | None = None) -> DataFrame:
+    """Inner join of a scenario-side table (``left``) with a factor-level table.
 
-    ``small_rows`` is the exact row count of ``small`` (None = unknown: let
-    the optimizer and AQE decide from their own size estimates).
+    Row counts are exact sizes of materialised inputs (None = unknown, taken
+    as large). A side under the broadcast limit is broadcast (the right side
+    first, so the left keeps its partitioning); otherwise the larger side is
+    salted by its spread column and the smaller one copied into each bucket.
+    With no size known at all the optimizer and AQE decide. When the left side
+    is broadcast, ``right_cluster`` hash-partitions the streamed right side
+    first (e.g. by book, so that every later aggregate or window on that key
+    runs in place).
     """
-    spark = large.sparkSession
-    if small_rows is None:
-        return large.join(small, on)
-    if small_rows <= max_broadcast_rows(spark):
-        return large.join(F.broadcast(small), on)
-    return salted_join(large, small, on, spread_by, salt_buckets(spark))
+    spark = left.sparkSession
+    limit = max_broadcast_rows(spark)
+    if right_rows is None and left_rows is None:
+        return left.join(right, on)
+    if right_rows is not None and right_rows <= limit:
+        return left.join(F.broadcast(right), on)
+    if left_rows is not None and left_rows <= limit:
+        streamed = right.repartition(*right_cluster) if right_cluster else right
+        return F.broadcast(left).join(streamed, on)
+    buckets = salt_buckets(spark)
+    if right_spread is not None and left_rows is not None and right_rows is not None and right_rows > left_rows:
+        return salted_join(right, left, on, right_spread, buckets)
+    return salted_join(left, right, on, left_spread, buckets)

@@ -73,12 +73,21 @@ def _for(df: DataFrame, valid: DataFrame, method: str) -> DataFrame:
                    "as_of_date", "left_semi")
 
 
+def _shock_rows(sets: DataFrame, returns: DataFrame, per_factor: F.Column) -> int:
+    """Exact size of a shock table: scenarios per set x factors of its as-of date
+    (a small aggregate over the cached returns; one number to the driver)."""
+    nf = returns.groupBy("as_of_date").agg(F.countDistinct("ticker").alias("nf"))
+    total = sets.join(nf, "as_of_date").agg(F.sum(per_factor.cast("long") * F.col("nf"))).first()[0]
+    return int(total or 0)
+
+
 def parametric_results(inp: _Inputs) -> DataFrame:
     valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "PARAMETRIC")
     dd = _for(inp.exposures, valid, "PARAMETRIC").select(
         "as_of_date", "portfolio_id", "ticker", F.col("lin_exposure").alias("dollar_delta"))
-    variance = risk.portfolio_variance_projected(dd, cal.returns, cal.periods_per_year, inp.returns_rows)
+    variance = risk.portfolio_variance_projected(dd, cal.returns, cal.periods_per_year, inp.returns_rows,
+                                                 inp.exposure_rows)
     return risk.parametric_var(req, variance)
 
 
@@ -88,7 +97,8 @@ def historical_results(inp: _Inputs) -> DataFrame:
     sets = req.select(*scenarios.HIST_KEYS).distinct()
     shocks = scenarios.historical_shocks(cal.own_returns, sets)
     exp = _for(inp.exposures, valid, "HISTORICAL")
-    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.HIST_KEYS, inp.exposure_rows)
+    shock_rows = _shock_rows(sets, cal.own_returns, F.col("historical_window")) if inp.exposure_rows else None
+    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.HIST_KEYS, inp.exposure_rows, shock_rows)
     factors = cal.own_returns.select("as_of_date", "ticker").distinct()
     return risk.scenario_var(req, pnl, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows).unionByName(
         risk.zero_results(req, exp, factors, "HISTORICAL", F.col("historical_window")))
@@ -101,7 +111,8 @@ def monte_carlo_results(inp: _Inputs) -> DataFrame:
     shocks = scenarios.mc_shocks(cal_ops.centred_returns(cal.returns), sets, cal.periods_per_year,
                                  returns_rows=inp.returns_rows)
     exp = _for(inp.exposures, valid, "MONTE_CARLO")
-    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.MC_KEYS, inp.exposure_rows)
+    shock_rows = _shock_rows(sets, cal.returns, F.col("num_paths")) if inp.exposure_rows else None
+    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.MC_KEYS, inp.exposure_rows, shock_rows)
     factors = cal.returns.select("as_of_date", "ticker").distinct()
     return risk.scenario_var(req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", inp.request_rows).unionByName(
         risk.zero_results(req, exp, factors, "MONTE_CARLO", F.col("num_paths")))

@@ -25,7 +25,7 @@ from .. import schemas
 from ..functions.rounding import cents
 
 PANEL_TICKERS = {"brand": "p_brand", "type": "p_type"}
-PORTFOLIO_KEYS = {"segment": "c_mktsegment", "nation": "c_nationkey"}
+PORTFOLIO_KEYS = {"segment": "c_mktsegment", "nation": "c_nationkey", "customer": "c_custkey"}
 PERIODS_PER_YEAR = {"month": 12, "week": 52, "day": 252}
 
 

@@ -139,3 +139,25 @@ def test_invalid_requests_are_rejected_not_run(spark):
     run = run_scenarios(req, pos, prices, 12)
     assert run.rejects.count() == 3
     assert {r.alpha for r in run.results.collect()} == {0.99}
+
+
+def test_salted_joins_equal_broadcast_joins(spark):
+    """Past the broadcast limit the factor joins are salted shuffle joins; the
+    results must not change."""
+    prices, pos = _books(spark)
+    req = request_grid(tables.last_date(prices), num_paths=200, historical_window=30)
+
+    def run():
+        res = run_scenarios(req, pos, prices, 12).results
+        return sorted((r.correlation_id, r.portfolio_id, round(r.var_amount, 4), round(r.expected_shortfall, 4),
+                       round(r.mean_pnl, 4), r.num_scenarios) for r in res.collect())
+
+    broadcast = run()
+    spark.conf.set("riskspark.broadcast.maxRows", "0")
+    spark.conf.set("riskspark.join.saltBuckets", "5")
+    try:
+        salted = run()
+    finally:
+        spark.conf.unset("riskspark.broadcast.maxRows")
+        spark.conf.unset("riskspark.join.saltBuckets")
+    assert broadcast == salted and len(broadcast) == 30
