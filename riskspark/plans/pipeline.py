@@ -55,6 +55,7 @@ class _Inputs:
     exposure_rows: int | None = None
     returns_rows: int | None = None
     request_rows: int | None = None
+    factor_keys: int | None = None
 
 
 def _cache_counted(df: DataFrame, run_cache: list) -> tuple[DataFrame, int]:
@@ -98,7 +99,8 @@ def historical_results(inp: _Inputs) -> DataFrame:
     shocks = scenarios.historical_shocks(cal.own_returns, sets)
     exp = _for(inp.exposures, valid, "HISTORICAL")
     shock_rows = _shock_rows(sets, cal.own_returns, F.col("historical_window")) if inp.exposure_rows else None
-    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.HIST_KEYS, inp.exposure_rows, shock_rows)
+    pnl = scenarios.price_scenarios(shocks, exp, scenarios.HIST_KEYS, inp.exposure_rows, shock_rows,
+                                    inp.factor_keys)
     factors = cal.own_returns.select("as_of_date", "ticker").distinct()
     return risk.scenario_var(req, pnl, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows).unionByName(
         risk.zero_results(req, exp, factors, "HISTORICAL", F.col("historical_window")))
@@ -112,7 +114,8 @@ def monte_carlo_results(inp: _Inputs) -> DataFrame:
                                  returns_rows=inp.returns_rows)
     exp = _for(inp.exposures, valid, "MONTE_CARLO")
     shock_rows = _shock_rows(sets, cal.returns, F.col("num_paths")) if inp.exposure_rows else None
-    pnl = scenarios.scenario_pnl(shocks, exp, scenarios.MC_KEYS, inp.exposure_rows, shock_rows)
+    pnl = scenarios.price_scenarios(shocks, exp, scenarios.MC_KEYS, inp.exposure_rows, shock_rows,
+                                    inp.factor_keys)
     factors = cal.returns.select("as_of_date", "ticker").distinct()
     return risk.scenario_var(req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", inp.request_rows).unionByName(
         risk.zero_results(req, exp, factors, "MONTE_CARLO", F.col("num_paths")))
@@ -163,6 +166,7 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     if materialize:
         inp.request_rows = valid.count()
         inp.exposures, inp.exposure_rows = _cache_counted(exp, cached)
+        inp.factor_keys = inp.exposures.select("as_of_date", "ticker").distinct().count()
         if {"PARAMETRIC", "MONTE_CARLO"} & set(methods):
             returns, inp.returns_rows = _cache_counted(cal.returns, cached)
             cal._cache["returns"] = returns
