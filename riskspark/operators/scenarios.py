@@ -255,3 +255,67 @@ def price_scenarios(shocks: DataFrame, exposures: DataFrame, set_keys: list[str]
     else:                                 # many books: split the books
         sb, bb = max(1, -(-shock_rows // block)), max(parts, -(-exposure_rows // block))
     return scenario_pnl_blocks(shocks, exposures, set_keys, sb, bb)
+
+
+def _shock_block():
+    import numpy as np
+    import pandas as pd
+
+    out_cols = [*MC_KEYS, "scenario_id", "ticker", "r"]
+
+    def kernel(normals: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if normals.empty or x.empty:
+            out = normals[MC_KEYS].iloc[0:0].copy()
+            out["scenario_id"] = pd.Series([], dtype="int32")
+            out["ticker"] = pd.Series([], dtype=object)
+            out["r"] = pd.Series([], dtype=float)
+            return out[out_cols]
+        tickers = pd.Index(pd.unique(x["ticker"]))
+        n_t = int(normals["n_t"].iloc[0])
+        xm = np.zeros((n_t, len(tickers)))
+        xm[x["t"].to_numpy(), tickers.get_indexer(x["ticker"])] = x["x"].to_numpy(dtype=float)
+        paths = normals[[*MC_KEYS, "scenario_id"]].drop_duplicates().reset_index(drop=True)
+        p_idx = pd.MultiIndex.from_frame(paths).get_indexer(
+            pd.MultiIndex.from_frame(normals[[*MC_KEYS, "scenario_id"]]))
+        w = np.zeros((len(paths), n_t))
+        w[p_idx, normals["t"].to_numpy()] = normals["w"].to_numpy(dtype=float)
+        scale = np.sqrt(periods_holder[0] * paths["steps"].to_numpy(dtype=float) * paths["dt"].to_numpy(dtype=float)
+                        / (n_t - 1)) if n_t >= 2 else np.full(len(paths), np.nan)
+        shocks = (w @ xm) * scale[:, None]
+        out = paths.loc[np.repeat(np.arange(len(paths)), len(tickers))].reset_index(drop=True)
+        out["ticker"] = np.tile(tickers.to_numpy(), len(paths))
+        out["r"] = shocks.reshape(-1)
+        return out[out_cols]
+
+    periods_holder = [252.0]
+    return kernel, periods_holder
+
+
+def mc_shocks_blocks(centred: DataFrame, sets: DataFrame,
+                     periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
+                     num_partitions: int | None = None, path_buckets: int | None = None) -> DataFrame:
+    """Same rows as ``mc_shocks`` (NaN read back as NULL): the normals are drawn
+    by Spark exactly as there, and the sum over t is a block matrix product
+    per (as-of date, path bucket) with the return matrix copied into each bucket."""
+    import pyspark.sql.types as T
+
+    spark = centred.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pb = path_buckets or n
+    x = centred.select("as_of_date", "t", "ticker", "x")
+    n_steps = x.groupBy("as_of_date").agg((F.max("t") + 1).alias("n_t"))
+    normals = (path_normals(sets.select(*MC_KEYS).distinct(), n_steps, n)
+               .withColumn("pb", F.pmod(F.col("scenario_id"), F.lit(pb))))
+    xs = x.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1))))
+    normals = normals.select(*[F.col(c).alias(c) for c in normals.columns])
+    xs = xs.select(*[F.col(c).alias(c) for c in xs.columns])
+    kernel, holder = _shock_block()
+    holder[0] = float(periods_per_year)
+    key_fields = {f.name: f for f in normals.schema.fields}
+    schema = T.StructType([*[key_fields[k] for k in MC_KEYS],
+                           T.StructField("scenario_id", T.IntegerType()),
+                           T.StructField("ticker", T.StringType()),
+                           T.StructField("r", T.DoubleType())])
+    out = (normals.groupBy("as_of_date", "pb").cogroup(xs.groupBy("as_of_date", "pb"))
+           .applyInPandas(kernel, schema))
+    return out.withColumn("r", F.when(F.isnan("r"), F.lit(None).cast("double")).otherwise(F.col("r")))

@@ -28,6 +28,7 @@ from ..operators import enrich as enrich_ops
 from ..operators import risk, scenarios
 from ..operators.validation import validate_requests
 from ..session import cut_lineage
+from .joins import max_broadcast_rows
 
 
 @dataclass
@@ -56,17 +57,23 @@ class _Inputs:
     returns_rows: int | None = None
     request_rows: int | None = None
     factor_keys: int | None = None
+    return_keys: int | None = None
 
 
-def _cache_counted(df: DataFrame, run_cache: list) -> tuple[DataFrame, int]:
-    """Cache a table that several branches reuse and return its exact size.
+def _cache_counted(df: DataFrame, run_cache: list, keys: list[str] | None = None) -> tuple[DataFrame, int, int]:
+    """Cache a table that several branches reuse; return it with its exact row
+    count and the number of distinct ``keys`` (one pass).
 
     Its lineage starts at a checkpoint, so a lost block is rebuilt from the
     checkpoint files, never from the fact-table scan.
     """
     df = cut_lineage(df, durable=False)
     run_cache.append(df)
-    return df, df.count()
+    aggs = [F.count(F.lit(1)).alias("n")]
+    if keys:
+        aggs.append(F.count_distinct(*[F.col(k) for k in keys]).alias("k"))
+    row = df.agg(*aggs).first()
+    return df, int(row["n"]), int(row["k"]) if keys else 0
 
 
 def _for(df: DataFrame, valid: DataFrame, method: str) -> DataFrame:
@@ -82,6 +89,21 @@ def _shock_rows(sets: DataFrame, returns: DataFrame, per_factor: F.Column) -> in
     return int(total or 0)
 
 
+def _use_blocks(spark, shock_rows, returns_rows, return_keys) -> bool:
+    """Monte Carlo shocks as block products (scenarios.mc_shocks_blocks) when
+    the relational product would emit many rows (paths x T x factors) and the
+    return matrix is small enough to copy into every path bucket."""
+    kernel = spark.conf.get("riskspark.pricing.kernel", "auto")
+    if kernel == "relational" or None in (shock_rows, returns_rows, return_keys):
+        return False
+    if returns_rows > max_broadcast_rows(spark):
+        return False
+    if kernel == "blocks":
+        return True
+    pairs = shock_rows * returns_rows / max(1, return_keys)
+    return pairs >= float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000"))
+
+
 def parametric_results(inp: _Inputs) -> DataFrame:
     valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "PARAMETRIC")
@@ -110,10 +132,13 @@ def monte_carlo_results(inp: _Inputs) -> DataFrame:
     valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "MONTE_CARLO")
     sets = req.select(*scenarios.MC_KEYS).distinct()
-    shocks = scenarios.mc_shocks(cal_ops.centred_returns(cal.returns), sets, cal.periods_per_year,
-                                 returns_rows=inp.returns_rows)
     exp = _for(inp.exposures, valid, "MONTE_CARLO")
     shock_rows = _shock_rows(sets, cal.returns, F.col("num_paths")) if inp.exposure_rows else None
+    centred = cal_ops.centred_returns(cal.returns)
+    if _use_blocks(valid.sparkSession, shock_rows, inp.returns_rows, inp.return_keys):
+        shocks = scenarios.mc_shocks_blocks(centred, sets, cal.periods_per_year)
+    else:
+        shocks = scenarios.mc_shocks(centred, sets, cal.periods_per_year, returns_rows=inp.returns_rows)
     pnl = scenarios.price_scenarios(shocks, exp, scenarios.MC_KEYS, inp.exposure_rows, shock_rows,
                                     inp.factor_keys)
     factors = cal.returns.select("as_of_date", "ticker").distinct()
@@ -165,10 +190,9 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     cached: list = []
     if materialize:
         inp.request_rows = valid.count()
-        inp.exposures, inp.exposure_rows = _cache_counted(exp, cached)
-        inp.factor_keys = inp.exposures.select("as_of_date", "ticker").distinct().count()
+        inp.exposures, inp.exposure_rows, inp.factor_keys = _cache_counted(exp, cached, ["as_of_date", "ticker"])
         if {"PARAMETRIC", "MONTE_CARLO"} & set(methods):
-            returns, inp.returns_rows = _cache_counted(cal.returns, cached)
+            returns, inp.returns_rows, inp.return_keys = _cache_counted(cal.returns, cached, ["as_of_date", "ticker"])
             cal._cache["returns"] = returns
         if "HISTORICAL" in methods:
             cal._cache["own"] = cut_lineage(cal.own_returns, durable=False)
