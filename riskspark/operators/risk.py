@@ -53,12 +53,15 @@ def rank_scenarios(pnl: DataFrame, set_keys: list[str]) -> DataFrame:
     """
     part = [*set_keys, "portfolio_id"]
     ordered = Window.partitionBy(*part).orderBy(cents("pnl"), "scenario_id")
-    whole = Window.partitionBy(*part)
-    return (pnl.withColumn("rn", F.row_number().over(ordered))
-            .withColumn("cum_pnl", F.sum("pnl").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("n", F.count("*").over(whole))
-            .withColumn("mean_pnl", F.avg("pnl").over(whole))
-            .withColumn("std_dev_pnl", F.stddev_samp("pnl").over(whole)))
+    # Same partition and order for every column: one Window operator, one sort.
+    whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return pnl.select(
+        "*",
+        F.row_number().over(ordered).alias("rn"),
+        F.sum("pnl").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_pnl"),
+        F.count(F.lit(1)).over(whole).alias("n"),
+        F.avg("pnl").over(whole).alias("mean_pnl"),
+        F.stddev_samp("pnl").over(whole).alias("std_dev_pnl"))
 
 
 def scenario_var(requests: DataFrame, pnl: DataFrame, set_keys: list[str], method: str,
@@ -83,6 +86,20 @@ def scenario_var(requests: DataFrame, pnl: DataFrame, set_keys: list[str], metho
         "alpha", "mean_pnl", "std_dev_pnl", F.col("n").cast("int").alias("num_scenarios"))
 
 
+def scenario_var_from_distribution(requests: DataFrame, dist: DataFrame, set_keys: list[str], method: str,
+                                   request_rows: int | None = None) -> DataFrame:
+    """Result rows from per-book sorted P&L arrays (scenarios.scenario_distribution_blocks):
+    the same quantile rule, read with ``element_at`` instead of a window."""
+    req = requests.select("correlation_id", "alpha", *set_keys)
+    hit = (factor_join(dist, req, set_keys, F.hash("portfolio_id"), request_rows)
+           .withColumn("idx", quantile_index("alpha", "n")))
+    return hit.select(
+        "correlation_id", "portfolio_id", "as_of_date", F.lit(method).alias("method"),
+        (-F.element_at("sorted_pnl", F.col("idx") + 1)).alias("var_amount"),
+        (-F.element_at("cum_pnl", F.col("idx") + 1) / (F.col("idx") + 1)).alias("expected_shortfall"),
+        "alpha", "mean_pnl", "std_dev_pnl", F.col("n").cast("int").alias("num_scenarios"))
+
+
 def tail_scenarios(requests: DataFrame, pnl: DataFrame, set_keys: list[str]) -> DataFrame:
     """(correlation_id, portfolio_id, rank, scenario_id, pnl): the worst
     ``idx + 1`` scenarios behind each VaR/ES figure."""

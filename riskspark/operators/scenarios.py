@@ -319,3 +319,61 @@ def mc_shocks_blocks(centred: DataFrame, sets: DataFrame,
     out = (normals.groupBy("as_of_date", "pb").cogroup(xs.groupBy("as_of_date", "pb"))
            .applyInPandas(kernel, schema))
     return out.withColumn("r", F.when(F.isnan("r"), F.lit(None).cast("double")).otherwise(F.col("r")))
+
+
+def _distribution_block(set_keys: list[str]):
+    import numpy as np
+    import pandas as pd
+
+    inner = _pnl_block(set_keys)
+    out_cols = [*set_keys, "portfolio_id", "n", "mean_pnl", "std_dev_pnl", "sorted_pnl", "cum_pnl"]
+
+    def kernel(shocks: pd.DataFrame, books: pd.DataFrame) -> pd.DataFrame:
+        pnl = inner(shocks, books)
+        rows = []
+        for key, g in pnl.groupby([*set_keys, "portfolio_id"], sort=False):
+            v = g["pnl"].to_numpy(dtype=float)
+            y = v * 100.0                      # rank at cent precision, half away from zero
+            cents_ = np.sign(y) * np.floor(np.abs(y) + 0.5) / 100.0
+            order = np.lexsort((g["scenario_id"].to_numpy(), cents_))
+            srt = v[order]
+            n = len(v)
+            std = float(np.std(v, ddof=1)) if n > 1 else None
+            rows.append((*key, n, float(np.mean(v)), std, srt.tolist(), np.cumsum(srt).tolist()))
+        if not rows:
+            out = pnl[[*set_keys, "portfolio_id"]].iloc[0:0].copy()
+            for c, dt in (("n", "int64"), ("mean_pnl", float), ("std_dev_pnl", float),
+                          ("sorted_pnl", object), ("cum_pnl", object)):
+                out[c] = pd.Series([], dtype=dt)
+            return out[out_cols]
+        return pd.DataFrame(rows, columns=out_cols)
+
+    return kernel
+
+
+def scenario_distribution_blocks(shocks: DataFrame, exposures: DataFrame, set_keys: list[str],
+                                 book_buckets: int) -> DataFrame:
+    """(set keys..., portfolio_id, n, mean_pnl, std_dev_pnl, sorted_pnl ARRAY,
+    cum_pnl ARRAY): the whole scenario distribution of every book, computed in
+    the block kernel when one block holds all scenarios of its books (the
+    shocks of an as-of date are copied into every book bucket). Sorted at cent
+    precision with ties by scenario id, exactly like ``risk.rank_scenarios``."""
+    import pyspark.sql.types as T
+
+    sh = (shocks.select(*set_keys, "scenario_id", "ticker", "r")
+          .withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(book_buckets - 1)))))
+    ex = (exposures.select("as_of_date", "portfolio_id", "ticker", "lin_exposure", "quad_exposure")
+          .withColumn("bb", F.pmod(F.hash("portfolio_id"), F.lit(book_buckets))))
+    sh = sh.select(*[F.col(c).alias(c) for c in sh.columns])
+    ex = ex.select(*[F.col(c).alias(c) for c in ex.columns])
+    key_fields = [f for f in shocks.schema.fields if f.name in set_keys]
+    dbl = T.ArrayType(T.DoubleType())
+    schema = T.StructType([*sorted(key_fields, key=lambda f: set_keys.index(f.name)),
+                           T.StructField("portfolio_id", T.StringType()),
+                           T.StructField("n", T.LongType()),
+                           T.StructField("mean_pnl", T.DoubleType()),
+                           T.StructField("std_dev_pnl", T.DoubleType()),
+                           T.StructField("sorted_pnl", dbl),
+                           T.StructField("cum_pnl", dbl)])
+    return (sh.groupBy("as_of_date", "bb").cogroup(ex.groupBy("as_of_date", "bb"))
+            .applyInPandas(_distribution_block(set_keys), schema))

@@ -104,6 +104,24 @@ def _use_blocks(spark, shock_rows, returns_rows, return_keys) -> bool:
     return pairs >= float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000"))
 
 
+def _distribution_buckets(spark, shock_rows, exposure_rows, factor_keys) -> int:
+    """Book buckets for whole-distribution blocks (0 = use the row path).
+
+    Used when repricing goes to blocks (see scenarios.price_scenarios), the
+    books outnumber the scenarios, and all shocks fit in one block copied to
+    every bucket (shock rows <= ``riskspark.pricing.blockRows``)."""
+    kernel = spark.conf.get("riskspark.pricing.kernel", "auto")
+    if kernel == "relational" or None in (shock_rows, exposure_rows, factor_keys):
+        return 0
+    block = int(spark.conf.get("riskspark.pricing.blockRows", "200000"))
+    pairs = shock_rows * exposure_rows / max(1, factor_keys)
+    big = kernel == "blocks" or pairs >= float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000"))
+    if not big or shock_rows > block or exposure_rows <= shock_rows:
+        return 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(parts, -(-exposure_rows // block))
+
+
 def parametric_results(inp: _Inputs) -> DataFrame:
     valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "PARAMETRIC")
@@ -121,10 +139,16 @@ def historical_results(inp: _Inputs) -> DataFrame:
     shocks = scenarios.historical_shocks(cal.own_returns, sets)
     exp = _for(inp.exposures, valid, "HISTORICAL")
     shock_rows = _shock_rows(sets, cal.own_returns, F.col("historical_window")) if inp.exposure_rows else None
-    pnl = scenarios.price_scenarios(shocks, exp, scenarios.HIST_KEYS, inp.exposure_rows, shock_rows,
-                                    inp.factor_keys)
     factors = cal.own_returns.select("as_of_date", "ticker").distinct()
-    return risk.scenario_var(req, pnl, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows).unionByName(
+    buckets = _distribution_buckets(valid.sparkSession, shock_rows, inp.exposure_rows, inp.factor_keys)
+    if buckets:
+        dist = scenarios.scenario_distribution_blocks(shocks, exp, scenarios.HIST_KEYS, buckets)
+        var = risk.scenario_var_from_distribution(req, dist, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows)
+    else:
+        pnl = scenarios.price_scenarios(shocks, exp, scenarios.HIST_KEYS, inp.exposure_rows, shock_rows,
+                                        inp.factor_keys)
+        var = risk.scenario_var(req, pnl, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows)
+    return var.unionByName(
         risk.zero_results(req, exp, factors, "HISTORICAL", F.col("historical_window")))
 
 

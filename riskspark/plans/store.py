@@ -9,7 +9,6 @@ message never duplicates results.
 
 from __future__ import annotations
 
-import os
 from typing import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +17,6 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..session import cut_lineage
 
-STORED_RESULT_COLUMNS = [*schemas.RESULT_COLUMNS, "ts"]
-
-
 def _ts(ts) -> F.Column:
     """Write time as TIMESTAMP_NTZ (session-zone wall clock; UTC on a UTC session)."""
     return F.localtimestamp() if ts is None else F.lit(ts).cast("timestamp_ntz")
@@ -152,7 +148,3 @@ def query_results(stored: DataFrame, portfolio_id: str | None = None, date_from=
 def portfolio_lookup(positions: DataFrame, portfolio_id: str | None = None) -> DataFrame:
     """Positions of one book (or all books)."""
     return positions if portfolio_id is None else positions.filter(F.col("portfolio_id") == portfolio_id)
-
-
-def store_paths(root: str) -> dict:
-    return {"results": os.path.join(root, "var_results"), "calibration": os.path.join(root, "market_calibration")}

@@ -110,7 +110,11 @@ def clean_prices(raw: DataFrame, as_of=None, ticker: str = "ticker", date: str =
     (ticker, date): the last tick by ``ts`` when given, else the highest close.
     """
     d = F.col(date)
-    is_text = dict(raw.dtypes).get(date) == "string"
+    dtype = dict(raw.dtypes).get(date)
+    is_text = dtype == "string"
+    if as_of is not None and dtype in ("timestamp", "timestamp_ntz", "date"):
+        # Same cut on the raw column, so the scan can skip files / row groups.
+        raw = raw.filter(d < F.date_add(F.lit(as_of).cast("date"), 1).cast(dtype))
     parsed_date = F.to_date(F.try_to_timestamp(d, F.lit("yyyy-MM-dd"))) if is_text else F.to_date(d)
     px = raw.select(F.upper(F.trim(F.col(ticker))).alias("ticker"), parsed_date.alias("date"),
                     F.col(close).cast("string").try_cast("double").alias("close"),
