@@ -326,6 +326,24 @@ def validate_requests_query(spark, sf):
                           F.concat_ws(",", F.transform("violations", lambda v: v["field"])).alias("fields"))
 
 
+def parse_requests_query(spark, sf):
+    """JSON request bodies for every year-end date x method x confidence
+    (method in lower case, counts and grid left out), decoded back: upper-cased
+    method, request defaults, given ids."""
+    from ..sources.requests import parse_requests
+    b = Book(spark, sf)
+    g = (b.asof.withColumn("m", F.explode(F.array(*[F.lit(m.lower()) for m in schemas.METHODS])))
+         .withColumn("a", F.explode(F.array(*[F.lit(a) for a in ALPHAS]))))
+    body = F.to_json(F.struct(
+        F.concat_ws("|", "m", F.col("as_of_date").cast("string"), F.col("a").cast("string")).alias("correlationId"),
+        F.date_format("as_of_date", "yyyy-MM-dd").alias("asOfDate"),
+        F.col("m").alias("varMethod"), F.col("a").alias("confidenceLevel")))
+    parsed = parse_requests(g.select(body.alias("value")), "value")
+    return parsed.select("correlation_id", "as_of_date", "method", "alpha",
+                         F.col("num_paths_raw").alias("num_paths"), F.col("window_raw").alias("historical_window"),
+                         "time_grid", "seed", "malformed")
+
+
 def _stored(spark, sf) -> DataFrame:
     return store.results_rows(Book(spark, sf).run().results, RUN_TS)
 
@@ -382,6 +400,7 @@ QUERIES = {
     "monte_carlo_var": monte_carlo_var,
     "var_all_methods": var_all_methods,
     "validate_requests": validate_requests_query,
+    "parse_requests": parse_requests_query,
     "results_rows": results_rows,
     "query_results": query_results,
     "results_json": results_json,

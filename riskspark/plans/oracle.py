@@ -348,6 +348,15 @@ def build() -> dict[str, str]:
     q["monte_carlo_var"] = results_sql(("MONTE_CARLO",))
     q["var_all_methods"] = results_sql()
     q["validate_requests"] = validate_sql()
+    ms = ", ".join(f"('{m.lower()}')" for m in schemas.METHODS)
+    al = ", ".join(f"({a}{D})" for a in C.ALPHAS)
+    q["parse_requests"] = _with(*BASE) + (
+        "SELECT m.m || '|' || CAST(a.as_of_date AS VARCHAR) || '|' || CAST(al.alpha AS VARCHAR) AS correlation_id, "
+        "a.as_of_date, upper(m.m) AS method, al.alpha, "
+        f"CAST({schemas.DEFAULT_NUM_PATHS} AS BIGINT) AS num_paths, "
+        f"CAST({schemas.DEFAULT_HISTORICAL_WINDOW} AS BIGINT) AS historical_window, "
+        f"'{schemas.DEFAULT_TIME_GRID}' AS time_grid, CAST({schemas.DEFAULT_SEED} AS BIGINT) AS seed, "
+        f"false AS malformed FROM asofs a CROSS JOIN (VALUES {ms}) m(m) CROSS JOIN (VALUES {al}) al(alpha)")
     allres = results_sql()
     stored = (f"SELECT correlation_id, portfolio_id, strftime(as_of_date, '%Y-%m-%d') AS as_of_date, method, "
               f"var_amount, expected_shortfall, alpha, mean_pnl, std_dev_pnl, num_scenarios, "
