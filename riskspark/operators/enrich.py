@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import exposure_columns
+from ..plans.joins import factor_join
 from .calibration import prices_as_of
 
 
@@ -38,10 +39,20 @@ def spot_for(prices: DataFrame, as_of_dates: DataFrame) -> DataFrame:
     return latest_spot(prices_as_of(prices, as_of_dates))
 
 
-def enrich_positions(positions: DataFrame, spot: DataFrame) -> DataFrame:
+def enrich_positions(positions: DataFrame, spot: DataFrame, spot_rows: int | None = None) -> DataFrame:
     """(as_of_date, portfolio_id, ticker, quantity, asset_class, delta, gamma,
-    maturity_in_years, spot_price): one row per position and as-of date."""
-    return (positions.join(spot.select("as_of_date", "ticker", "spot_price"), "ticker")
+    maturity_in_years, spot_price): one row per position and as-of date.
+
+    ``spot_rows`` (exact size of the spot table) lets the join broadcast the
+    spot prices instead of hash-partitioning the book by ticker (few keys,
+    one of them possibly held by a third of all positions); past the limit
+    it is salted by book (plans.joins)."""
+    sp = spot.select("as_of_date", "ticker", "spot_price")
+    if spot_rows is not None:
+        return (factor_join(positions, sp, ["ticker"], F.hash("portfolio_id"), spot_rows)
+                .select("as_of_date", "portfolio_id", "ticker", "quantity", "asset_class",
+                        "delta", "gamma", "maturity_in_years", "spot_price"))
+    return (positions.join(sp, "ticker")
             .select("as_of_date", "portfolio_id", "ticker", "quantity", "asset_class",
                     "delta", "gamma", "maturity_in_years", "spot_price"))
 

@@ -111,7 +111,7 @@ def tail_scenarios(requests: DataFrame, pnl: DataFrame, set_keys: list[str]) ->
 
 
 def zero_results(requests: DataFrame, exposures: DataFrame, factors: DataFrame, method: str,
-                 n_scenarios: F.Column) -> DataFrame:
+                 n_scenarios: F.Column, request_rows: int | None = None) -> DataFrame:
     """Books none of whose factors has a shock: every scenario P&L is 0.
 
     ``factors`` is (as_of_date, ticker) of the shocked factors. Such books get
@@ -122,7 +122,7 @@ def zero_results(requests: DataFrame, exposures: DataFrame, factors: DataFrame,
     priced = exposures.join(factors, ["as_of_date", "ticker"], "left_semi").select("as_of_date", "portfolio_id")
     missing = books.join(priced, ["as_of_date", "portfolio_id"], "left_anti")
     zero = F.lit(0.0)
-    return (req.join(missing, "as_of_date")
+    return (factor_join(missing, req, ["as_of_date"], F.hash("portfolio_id"), request_rows)
             .select("correlation_id", "portfolio_id", "as_of_date", F.lit(method).alias("method"),
                     zero.alias("var_amount"), zero.alias("expected_shortfall"), "alpha",
                     zero.alias("mean_pnl"), zero.alias("std_dev_pnl"),
@@ -165,12 +165,14 @@ def portfolio_variance_projected(dd: DataFrame, returns: DataFrame,
                     F.when(F.col("matched").isNull(), F.lit(0.0)).otherwise(F.col("variance")).alias("variance")))
 
 
-def parametric_var(requests: DataFrame, variance: DataFrame) -> DataFrame:
-    """Result rows (schemas.RESULTS) of the parametric method."""
+def parametric_var(requests: DataFrame, variance: DataFrame, request_rows: int | None = None) -> DataFrame:
+    """Result rows (schemas.RESULTS) of the parametric method. The requests
+    are joined onto the books (broadcast when ``request_rows`` is under the
+    limit), so books of one date are never gathered by date."""
     z = norm_ppf(F.col("alpha"))
     sigma = F.sqrt(F.col("variance"))
     req = requests.select("correlation_id", "as_of_date", "alpha")
-    return (req.join(variance, "as_of_date")
+    return (factor_join(variance, req, ["as_of_date"], F.hash("portfolio_id"), request_rows)
             .select("correlation_id", "portfolio_id", "as_of_date", F.lit("PARAMETRIC").alias("method"),
                     (z * sigma).alias("var_amount"),
                     (sigma * norm_pdf(z) / (F.lit(1.0) - F.col("alpha"))).alias("expected_shortfall"),

@@ -69,6 +69,7 @@ class Book:
         else:
             self.asof = tables.first_dates(self.prices, EARLY_DATES)
         self._cal = None
+        self._spot = None
 
     @property
     def cal(self) -> cal_ops.Calibration:
@@ -76,13 +77,20 @@ class Book:
             self._cal = cal_ops.calibrate(self.prices, self.asof, self.periods)
         return self._cal
 
+    def enriched(self) -> DataFrame:
+        """Positions with their spot; the spot table is cached and counted once
+        so the join can broadcast it behind an exact size check."""
+        if self._spot is None:
+            spot = cut_lineage(enrich_ops.latest_spot(self.cal.prices_as_of), durable=False)
+            self._spot = (spot, spot.count())
+        spot, rows = self._spot
+        return enrich_ops.enrich_positions(self.positions, spot, rows)
+
     def exposures(self) -> DataFrame:
-        spot = enrich_ops.latest_spot(self.cal.prices_as_of)
-        return enrich_ops.exposures(enrich_ops.enrich_positions(self.positions, spot))
+        return enrich_ops.exposures(self.enriched())
 
     def dollar_delta(self) -> DataFrame:
-        spot = enrich_ops.latest_spot(self.cal.prices_as_of)
-        return enrich_ops.dollar_delta(enrich_ops.enrich_positions(self.positions, spot))
+        return enrich_ops.dollar_delta(self.enriched())
 
     def requests(self, methods=schemas.METHODS) -> DataFrame:
         return request_grid(self.asof, methods=methods, alphas=ALPHAS, num_paths=MC_PATHS,
@@ -186,8 +194,7 @@ def latest_spot_window(spark, sf):
 
 def enrich_positions(spark, sf):
     b = Book(spark, sf, portfolio_by="nation")
-    spot = enrich_ops.latest_spot(b.cal.prices_as_of)
-    return enrich_ops.enrich_positions(b.positions, spot).select(
+    return b.enriched().select(
         "as_of_date", "portfolio_id", "ticker", "quantity", "spot_price")
 
 
@@ -199,8 +206,7 @@ def unmatched_positions(spark, sf):
 
 def portfolio_value(spark, sf):
     b = Book(spark, sf)
-    spot = enrich_ops.latest_spot(b.cal.prices_as_of)
-    return enrich_ops.portfolio_value(enrich_ops.enrich_positions(b.positions, spot)).select(
+    return enrich_ops.portfolio_value(b.enriched()).select(
         "as_of_date", "portfolio_id", _r("total_value", MONEY))
 
 
@@ -255,9 +261,7 @@ def _hist_pnl(b: Book, pricer: str | None) -> DataFrame:
     if pricer is None:
         pnl = scenarios.scenario_pnl(sh, b.exposures(), scenarios.HIST_KEYS)
     else:
-        spot = enrich_ops.latest_spot(b.cal.prices_as_of)
-        enriched = enrich_ops.enrich_positions(b.positions, spot)
-        pnl = scenarios.position_scenario_pnl(sh, enriched, scenarios.HIST_KEYS, pricer)
+        pnl = scenarios.position_scenario_pnl(sh, b.enriched(), scenarios.HIST_KEYS, pricer)
     return pnl.select("as_of_date", "portfolio_id", "scenario_id", _r("pnl", MONEY))
 
 

@@ -129,7 +129,7 @@ def parametric_results(inp: _Inputs) -> DataFrame:
         "as_of_date", "portfolio_id", "ticker", F.col("lin_exposure").alias("dollar_delta"))
     variance = risk.portfolio_variance_projected(dd, cal.returns, cal.periods_per_year, inp.returns_rows,
                                                  inp.exposure_rows)
-    return risk.parametric_var(req, variance)
+    return risk.parametric_var(req, variance, inp.request_rows)
 
 
 def historical_results(inp: _Inputs) -> DataFrame:
@@ -149,7 +149,7 @@ def historical_results(inp: _Inputs) -> DataFrame:
                                         inp.factor_keys)
         var = risk.scenario_var(req, pnl, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows)
     return var.unionByName(
-        risk.zero_results(req, exp, factors, "HISTORICAL", F.col("historical_window")))
+        risk.zero_results(req, exp, factors, "HISTORICAL", F.col("historical_window"), inp.request_rows))
 
 
 def monte_carlo_results(inp: _Inputs) -> DataFrame:
@@ -167,7 +167,7 @@ def monte_carlo_results(inp: _Inputs) -> DataFrame:
                                     inp.factor_keys)
     factors = cal.returns.select("as_of_date", "ticker").distinct()
     return risk.scenario_var(req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", inp.request_rows).unionByName(
-        risk.zero_results(req, exp, factors, "MONTE_CARLO", F.col("num_paths")))
+        risk.zero_results(req, exp, factors, "MONTE_CARLO", F.col("num_paths"), inp.request_rows))
 
 
 METHOD_BUILDERS = {
@@ -207,11 +207,14 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     if materialize:
         px = cut_lineage(px, durable=True)
     cal = cal_ops.Calibration(px, periods_per_year, align)
+    cached: list = []
     spot = enrich_ops.latest_spot(px)
-    enriched = enrich_ops.enrich_positions(positions, spot)
+    spot_rows = None
+    if materialize:
+        spot, spot_rows, _ = _cache_counted(spot, cached)
+    enriched = enrich_ops.enrich_positions(positions, spot, spot_rows)
     exp = enrich_ops.exposures(enriched)
     inp = _Inputs(valid, cal, exp)
-    cached: list = []
     if materialize:
         inp.request_rows = valid.count()
         inp.exposures, inp.exposure_rows, inp.factor_keys = _cache_counted(exp, cached, ["as_of_date", "ticker"])
