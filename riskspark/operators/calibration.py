@@ -162,6 +162,11 @@ class Calibration:
     align: str = "common_dates"
     _cache: dict = field(default_factory=dict, repr=False)
 
+    def use(self, key: str, df: DataFrame) -> DataFrame:
+        """Replace a derived table ("returns" or "own") by a materialised copy."""
+        self._cache[key] = df
+        return df
+
     def _get(self, key, build):
         if key not in self._cache:
             self._cache[key] = build()

@@ -40,6 +40,8 @@ class ScenarioRun:
     enriched: DataFrame
     exposures: DataFrame
     cached: list = field(default_factory=list)
+    # Exact sizes measured for the join decisions (the job's row counts; no extra job).
+    sizes: dict = field(default_factory=dict)
 
     def release(self) -> None:
         """Drop the cached intermediate tables (after the results are written)."""
@@ -186,10 +188,10 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     ``methods`` limits the branches planned (a batch known to hold one method
     plans only that branch). ``materialize=True`` (default):
 
-    * checkpoints the valid requests and the as-of price table into the
-      session's checkpoint folder before the branches fan out — the price
-      source (e.g. an aggregate over a fact table) is scanned once, and a lost
-      executor never recomputes that scan;
+    * checkpoints the as-of price table into the session's checkpoint folder
+      before the branches fan out — the price source (e.g. an aggregate over a
+      fact table) is scanned once, and a lost executor never recomputes that
+      scan; the (small) valid requests are cached and counted;
     * caches the common-date returns and the exposures, which every branch
       reuses, and measures their exact row counts; the scenario joins then
       broadcast them only when they are under the broadcast limit, else use a
@@ -200,14 +202,16 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     valid, rejects = validate_requests(requests, require_paths=require_paths)
     # The same id delivered twice (a replayed message) is one request.
     valid = valid.dropDuplicates(["correlation_id"])
+    cached: list = []
+    request_rows = None
     if materialize:
-        valid = cut_lineage(valid, durable=True)
+        # Small: cached and counted once (the count sizes the request joins).
+        valid, request_rows, _ = _cache_counted(valid, cached)
     asof = valid.select("as_of_date").distinct()
     px = cal_ops.prices_as_of(prices, asof)
     if materialize:
         px = cut_lineage(px, durable=True)
     cal = cal_ops.Calibration(px, periods_per_year, align)
-    cached: list = []
     spot = enrich_ops.latest_spot(px)
     spot_rows = None
     if materialize:
@@ -216,20 +220,21 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     exp = enrich_ops.exposures(enriched)
     inp = _Inputs(valid, cal, exp)
     if materialize:
-        inp.request_rows = valid.count()
+        inp.request_rows = request_rows
         inp.exposures, inp.exposure_rows, inp.factor_keys = _cache_counted(exp, cached, ["as_of_date", "ticker"])
         if {"PARAMETRIC", "MONTE_CARLO"} & set(methods):
             returns, inp.returns_rows, inp.return_keys = _cache_counted(cal.returns, cached, ["as_of_date", "ticker"])
-            cal._cache["returns"] = returns
+            cal.use("returns", returns)
         if "HISTORICAL" in methods:
-            cal._cache["own"] = cut_lineage(cal.own_returns, durable=False)
-            cached.append(cal._cache["own"])
+            cached.append(cal.use("own", cut_lineage(cal.own_returns, durable=False)))
     parts = [METHOD_BUILDERS[m](inp) for m in methods]
     results = parts[0]
     for p in parts[1:]:
         results = results.unionByName(p)
+    sizes = {"requests": request_rows, "spot": spot_rows, "exposures": inp.exposure_rows,
+             "exposure_factors": inp.factor_keys, "returns": inp.returns_rows}
     return ScenarioRun(results.select(*schemas.RESULT_COLUMNS), rejects, valid, cal, enriched,
-                       inp.exposures, cached)
+                       inp.exposures, cached, sizes)
 
 
 def run_csv_requests(spark, requests: DataFrame,
