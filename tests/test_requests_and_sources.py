@@ -143,3 +143,15 @@ def test_latest_calibration_picks_newest(spark):
         .withColumn("ts", F.col("ts").cast("timestamp"))
     got = store.latest_calibration(df, "2017-11-10").collect()
     assert [(r.ticker, r.volatility) for r in got] == [("A", 0.3)]
+
+
+def test_price_csv_with_other_column_order_fails_loudly(spark, scratch):
+    """Headers are checked, so a file whose columns come in another order is an
+    error instead of being read by position."""
+    import pytest as _pytest
+    d = os.path.join(scratch, "swapped")
+    os.makedirs(d)
+    with open(os.path.join(d, "x.csv"), "w") as f:
+        f.write("Date,Ticker,Open,High,Low,Close,Volume,OpenInt\n2001-01-01,X,0,0,0,10.0,0,0\n")
+    with _pytest.raises(Exception):
+        csv_src.read_price_csv(spark, d).collect()
