@@ -22,6 +22,8 @@ RECOMMENDED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    # Checkpoint files of released tables are removed instead of accumulating.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
