@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from ..functions.pricing import exposure_columns
 from ..plans.joins import factor_join
-from .calibration import prices_as_of
 
 
 def latest_spot(px_asof: DataFrame) -> DataFrame:
@@ -35,10 +34,6 @@ def latest_spot_window(px_asof: DataFrame) -> DataFrame:
             .select("as_of_date", "ticker", F.col("close").alias("spot_price"), F.col("date").alias("spot_date")))
 
 
-def spot_for(prices: DataFrame, as_of_dates: DataFrame) -> DataFrame:
-    return latest_spot(prices_as_of(prices, as_of_dates))
-
-
 def enrich_positions(positions: DataFrame, spot: DataFrame, spot_rows: int | None = None) -> DataFrame:
     """(as_of_date, portfolio_id, ticker, quantity, asset_class, delta, gamma,
     maturity_in_years, spot_price): one row per position and as-of date.

@@ -55,22 +55,6 @@ def read_price_csv(spark: SparkSession, path: str, as_of=None, ticker_from: str
     return clean_prices(raw, as_of=as_of, ticker="Ticker", date="Date", close="Close")
 
 
-def read_price_csv_tagged(spark: SparkSession, paths: list[str], ticker_from: str = "column") -> DataFrame:
-    """prices plus ``source_dir`` (the directory each row came from): many
-    price directories in one scan, to be joined to requests by path."""
-    raw = (spark.read.option("header", True).option("enforceSchema", False)
-           .schema(_text_schema(PRICE_HEADER)).csv([_price_path(p) for p in paths])
-           .withColumn("source_file", F.col("_metadata.file_path")))
-    if ticker_from == "file":
-        raw = raw.withColumn("Ticker", ticker_from_path("source_file"))
-    d = raw.select(F.upper(F.trim("Ticker")).alias("ticker"),
-                   F.to_date(F.try_to_timestamp(F.col("Date"), F.lit("yyyy-MM-dd"))).alias("date"),
-                   F.col("Close").try_cast("double").alias("close"),
-                   F.regexp_replace("source_file", r"/[^/]*$", "").alias("source_dir"))
-    d = d.filter(F.col("close").isNotNull() & (F.col("close") > 0) & F.col("date").isNotNull())
-    return d.groupBy("source_dir", "ticker", "date").agg(F.max("close").alias("close"))
-
-
 def read_position_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """positions (schemas.POSITIONS) from position files; tickers upper-cased,
     missing delta / gamma / maturity default to plain equity spot."""

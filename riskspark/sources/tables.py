@@ -7,7 +7,7 @@ maturity_in_years)``. On the TPC-H-like warehouse they are derived as follows:
 * a monthly (or weekly) price panel per part brand or part type: close is the
   average unit price ``sum(l_extendedprice) / sum(l_quantity)`` of the period
   (the sum taken in exact cents, so the value does not depend on summation order);
-* a daily tick panel from ``events``: close is the last tick value of the day;
+* raw ticks from ``events`` (``clean_prices`` keeps the last tick of each day);
 * books of positions per market segment (or nation) and panel ticker, with the
   quantity signed negative for returned lines;
 * option-like positions: open lines are half-delta with some gamma.
@@ -50,13 +50,6 @@ def tick_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select(F.col("event_type").alias("ticker"), "ts", F.col("value").alias("close"))
 
 
-def daily_tick_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """prices(ticker, date, close): last tick of each day per event type."""
-    ticks = tick_prices(spark, sf_dir)
-    return (ticks.groupBy("ticker", F.col("ts").cast("date").alias("date"))
-            .agg(F.max_by("close", "ts").alias("close")))
-
-
 def position_book(spark: SparkSession, sf_dir: str, portfolio_by: str = "segment",
                   ticker_by: str = "brand", options: bool = False) -> DataFrame:
     """positions: signed quantity per (portfolio, ticker[, line status]).
