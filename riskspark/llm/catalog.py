@@ -16,12 +16,30 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.warc import round_trip
+
+    return round_trip(spark, _table(spark, sf_dir, "pages"))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskspark.llm.simhash import simhash_components
 
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.decontaminate import find_matches
+
+    return find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskspark.llm.packing import pack_documents
 
@@ -29,7 +47,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc_chunks": op1_warc_chunks,
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op3_cgk_decontaminate": op3_cgk_decontaminate,
+    "op5_zstd_toxicity": op5_zstd_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
