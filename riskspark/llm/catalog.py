@@ -40,6 +40,29 @@ def op5_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from riskspark.llm.chat import prefix_tree, read_back
+
+    probe = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)],
+                                  "conv_id long, turn long, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return read_back(*prefix_tree(rows, *tokenizer), *tokenizer)
+
+
+def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.sharding import shuffle_into_shards
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = _table(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return shuffle_into_shards(rows, n_shards=8).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskspark.llm.packing import pack_documents
 
@@ -51,6 +74,8 @@ QUERIES = {
     "op2_simhash_pivots": op2_simhash_pivots,
     "op3_cgk_decontaminate": op3_cgk_decontaminate,
     "op5_zstd_toxicity": op5_zstd_toxicity,
+    "op7_chat_prefix_tree": op7_chat_prefix_tree,
+    "op8_hypergeometric_shards": op8_hypergeometric_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
