@@ -34,12 +34,29 @@ def op3_cgk_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+#: Key of the surrogates in the registered queries; a deployment passes its own secret.
+PII_KEY = "registered-query-key"
+
+
+def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.pii import replace_pii
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_pii(docs, PII_KEY)
+
+
 def op5_zstd_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskspark.llm.toxicity import toxicity
 
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.lines import dedup_lines
+
+    return dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -73,7 +90,9 @@ QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op3_cgk_decontaminate": op3_cgk_decontaminate,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_zstd_toxicity": op5_zstd_toxicity,
+    "op6_line_dedup": op6_line_dedup,
     "op7_chat_prefix_tree": op7_chat_prefix_tree,
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
