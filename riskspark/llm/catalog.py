@@ -86,6 +86,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), word_tokenizer())
 
 
+def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.embeddings import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -96,6 +102,7 @@ QUERIES = {
     "op7_chat_prefix_tree": op7_chat_prefix_tree,
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_nn_descent": op10_nn_descent,
 }
 
 ORACLES: dict[str, str] = {}
