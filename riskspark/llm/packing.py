@@ -12,6 +12,10 @@ each length in parallel and looks their place up.
 
 from __future__ import annotations
 
+import functools
+import os
+import re
+import struct
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,36 +31,116 @@ from riskspark.llm.common import stage
 
 CAPACITY = 2048
 EOS_ID = 0
-CACHE_WORDS = 200_000   # words whose ids a task remembers
-RANK_BUCKETS = 256      # parts in which the pieces of one length are numbered
+CACHE_WORDS = 400_000   # words whose ids a worker remembers, twice
+RANK_BUCKETS = 64       # parts in which the pieces of one length are numbered
 _ROWS_OUT = 20_000
+#: Lower-case letters that the tokenizer's normaliser and splitter leave as one unchanged word.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+
+
+def _byte_symbols() -> dict[int, str]:
+    """Byte -> symbol of byte-level BPE: printable bytes stand for themselves, the others follow from 256 on."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in keep]
+    return {b: chr(b) for b in keep} | {b: chr(256 + n) for n, b in enumerate(rest)}
+
+
+_BYTE_SYMBOLS = _byte_symbols()
 
 
 class WordTokens:
-    """Token ids of white-space separated words, as little-endian uint32 bytes.
+    """Token ids of texts, word by word.
 
     The word-level BPE files drop white space before splitting, so the ids of a
-    text are those of its words in order (tests compare with whole-text encoding).
-    Ids of recent words are remembered; unknown words are encoded in one batch.
+    text are those of its words in order (tests compare with whole-text
+    encoding). A batch's distinct words are looked up once; what is new and
+    consists of plain lower-case letters goes straight to the tokenizer's model,
+    any other word through the whole tokenizer. Words are remembered in two
+    generations of ``limit`` entries: when the young one is full it becomes the
+    old one, and words still in use move back, so memory is bounded and frequent
+    words stay.
     """
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, limit: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.limit = Tokenizer.from_file(path), {}, cache_words
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            cache = self.cache
-            new = list({w for w in words if w not in cache})
-            if new:
-                if len(cache) + len(new) > self.limit:
-                    self.cache = cache = {}
-                    new = list(set(words))
-                for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                    cache[w] = np.array(e.ids, "<u4").tobytes()
-            yield b"".join([cache[w] for w in words])
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.model = self.tokenizer.model
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, word: str) -> bytes:
+        """Ids of a plain word: byte-level symbols, then the model's merges."""
+        symbols = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_SYMBOLS)
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    @staticmethod
+    def _core(word: str) -> tuple[str, str]:
+        """The word in lower case and a final mark that is a token of its own."""
+        if "<" in word:                     # may spell a special token
+            return word, ""
+        if len(word) > 1 and word[-1] in ".," and _PLAIN(low := word[:-1].lower()):
+            return low, word[-1]
+        return (low, "") if _PLAIN(low := word.lower()) else (word, "")
+
+    def _learn(self, words: list[str]) -> None:
+        young, old, odd = self.young, self.old, []
+        young[""] = b""
+        for w in words:
+            if (ids := old.get(w)) is None:
+                core, mark = self._core(w)
+                if core == w and not _PLAIN(w):
+                    odd.append(w)
+                    continue
+                if (ids := young.get(core) or old.get(core)) is None:
+                    ids = self._ids(core)
+                young[core] = ids
+                if mark:
+                    if mark not in young:
+                        young[mark] = struct.pack("<I", *self.tokenizer.encode(mark, add_special_tokens=False).ids)
+                    ids += young[mark]
+            young[w] = ids
+        if odd:
+            found = self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)
+            young.update((w, struct.pack(f"<{len(e)}I", *e.ids)) for w, e in zip(odd, found))
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a string array (NULL: none)."""
+        texts = pc.fill_null(texts, "")
+        for space in "\n\t\r":
+            texts = pc.replace_substring(texts, space, " ")
+        split = pc.split_pattern(texts, " ")
+        words = split.flatten().dictionary_encode()
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        distinct = words.dictionary.to_pylist()
+        found = [*map(self.young.get, distinct)]
+        if None in found:
+            self._learn([w for w, ids in zip(distinct, found) if ids is None])
+            found = [*map(self.young.__getitem__, distinct)]
+        each = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        pool, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(each) - each
+        word = words.indices.to_numpy(zero_copy_only=False)
+        n = each[word]
+        ends = np.cumsum(n)
+        ids = pool[np.repeat(first[word] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _slices(batch: pa.RecordBatch, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes."""
+    step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+@functools.lru_cache(maxsize=2)
+def _word_tokens(path: str) -> WordTokens:
+    """One memory of words for all tasks of a Python worker."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    return WordTokens(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, eos_id: int = EOS_ID,
@@ -71,13 +156,10 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     width, end = 4 * capacity, np.array([eos_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, out, held = WordTokens(tokenizer_path), [[] for _ in names], 0
-        for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ids = next(words.encode([text.as_py() or ""])) + end
+        words, out, held = _word_tokens(tokenizer_path), [[] for _ in names], 0
+        for b in (part for batch in batches for part in _slices(batch)):
+            for doc_id, ids in zip(b.column(0).to_pylist(), words.encode(b.column(1))):
+                ids = ids.tobytes() + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at:at + width]
                     for c, v in zip(out, (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)):
