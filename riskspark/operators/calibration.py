@@ -1,17 +1,22 @@
 """Market-data calibration: returns, volatilities, correlations, covariances.
 
-Everything is keyed by ``as_of_date`` so one job calibrates any number of
-as-of dates (a backtest calendar, or all dates of a request batch) at once.
-Matrices are long tables ``(as_of_date, ti, tj, value)``; nothing is collected.
-
-Alignment (how return series of different factors are paired):
-
-* ``common_dates`` (default): for each as-of date, keep only the dates on which
-  every factor with at least two prices has a price, then take log-returns. All
-  factors then share one time index ``t`` and the covariance of the factor
-  returns is well defined.
-* ``own``: every factor keeps its whole own history (used by historical replay,
-  which aligns windows at the tail of each series).
+Log-returns belong to a factor's own price history and do not depend on any
+as-of date, so they are computed once per ticker (``price_returns``). An as-of
+date sees the returns up to it: each return row is exploded to the as-of dates
+at or after its own date (``returns_as_of``) - no join. Matrices are long
+tables ``(as_of_date, ti, tj, value)``; nothing is collected but the distinct
+as-of dates, which a calendar bounds.
+
+Pairing of factors (``align``):
+
+* ``date`` (default): returns are paired by date, and every factor is centred
+  and scaled by its own history: with ``z[i, d] = x[i, d] / sqrt(n_i - 1)`` the
+  covariance is ``periods * sum_d z[i, d] z[j, d]`` over the dates both have. For
+  equal calendars this is the sample covariance; for ragged ones it stays
+  positive semi-definite, its diagonal is each factor's own variance, and no
+  factor's figures depend on any other factor.
+* ``ordinal``: paired by return number; factors of one as-of date must have
+  equally many returns, anything else raises an error that names the factor.
 """
 
 from __future__ import annotations
@@ -19,100 +24,165 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 
+MAX_AS_OF_DATES = 40_000     # more than a century of days
+PAIR_BUCKET = 256            # factors of one block of the pair products
 
-def prices_as_of(prices: DataFrame, as_of_dates: DataFrame) -> DataFrame:
-    """(as_of_date, ticker, date, close): every price known at each as-of date.
 
-    ``as_of_dates`` holds distinct dates, so its size is bounded by the calendar
-    (a few hundred rows per year of as-of dates), never by the data; it is
-    broadcast and the price table streams through without a shuffle.
+def as_of_array(as_of_dates: DataFrame) -> Column:
+    """The distinct as-of dates as one sorted array literal (bounded by the calendar)."""
+    rows = as_of_dates.select(F.col("as_of_date").cast("string").alias("d")).where("d is not null").distinct().limit(
+        MAX_AS_OF_DATES + 1).collect()
+    if len(rows) > MAX_AS_OF_DATES:
+        raise ValueError(f"more than {MAX_AS_OF_DATES} distinct as-of dates")
+    text = ",".join(sorted(r.d for r in rows))
+    return F.transform(F.filter(F.split(F.lit(text), ","), lambda d: d != ""), lambda d: d.cast("date"))
+
+
+def prices_as_of(prices: DataFrame, as_of_dates: DataFrame | Column) -> DataFrame:
+    """(as_of_date, ticker, date, close): every price known at each as-of date."""
+    asofs = as_of_dates if isinstance(as_of_dates, Column) else as_of_array(as_of_dates)
+    return prices.select(F.explode(F.filter(asofs, lambda a: a >= F.col("date"))).alias("as_of_date"), "ticker", "date", "close")
+
+
+def asof_index(prices: DataFrame, asofs: Column) -> DataFrame:
+    """(as_of_date, ticker, spot_price, spot_date, n_prices): the last price at or before each as-of date.
+
+    Every price serves the as-of dates from its own date to the day before the
+    ticker's next price, so each (as_of_date, ticker) comes from one row.
     """
-    asof = as_of_dates.select("as_of_date").distinct()
-    return (prices.join(F.broadcast(asof), prices["date"] <= asof["as_of_date"])
-            .select("as_of_date", "ticker", "date", "close"))
+    w = Window.partitionBy("ticker").orderBy("date")
+    known = (prices.filter(F.col("close").isNotNull())
+             .select("ticker", "date", "close", F.lead("date").over(w).alias("next"), F.row_number().over(w).alias("n_prices")))
+    serves = F.filter(asofs, lambda a: (a >= F.col("date")) & (F.col("next").isNull() | (a < F.col("next"))))
+    return known.select(F.explode(serves).alias("as_of_date"), "ticker", F.col("close").alias("spot_price"),
+                        F.col("date").alias("spot_date"), F.col("n_prices").cast("int").alias("n_prices"))
 
 
 def price_counts(px_asof: DataFrame) -> DataFrame:
     """(as_of_date, ticker, n_prices) per factor and as-of date."""
+    if "n_prices" in px_asof.columns:
+        return px_asof.select("as_of_date", "ticker", "n_prices")
     return px_asof.groupBy("as_of_date", "ticker").agg(F.count("*").cast("int").alias("n_prices"))
 
 
-def short_history_factors(px_asof: DataFrame, min_prices: int = 2) -> DataFrame:
+def short_history_factors(px_asof: DataFrame, min_prices: int = 2, strict: bool = False) -> DataFrame:
     """Factors with fewer than ``min_prices`` prices at an as-of date: they
-    cannot be calibrated and are excluded from the factor set."""
-    return (price_counts(px_asof).filter(F.col("n_prices") < min_prices)
-            .withColumn("reason", F.lit("requires at least 2 price observations")))
+    cannot be calibrated and contribute nothing. ``strict`` raises an error that
+    names the ticker instead, when the rows are read."""
+    short = (price_counts(px_asof).filter(F.col("n_prices") < min_prices)
+             .withColumn("reason", F.lit(schemas.MSG_MIN_PRICES)))
+    if strict:
+        message = F.concat_ws(" ", F.lit("ticker"), "ticker", F.lit(schemas.MSG_MIN_PRICES))
+        short = short.withColumn("reason", F.when(F.col("n_prices") >= 0, F.raise_error(message)).otherwise(F.col("reason")))
+    return short
 
 
-def _with_returns(px: DataFrame) -> DataFrame:
-    w = Window.partitionBy("as_of_date", "ticker").orderBy("date")
-    ret = F.log(F.col("close")) - F.log(F.lag("close").over(w))
-    return (px.withColumn("r", ret)
-            .filter(F.col("r").isNotNull())
-            .withColumn("t", (F.row_number().over(w) - 1).cast("int"))
-            .select("as_of_date", "ticker", "t", "date", "r"))
+def price_returns(prices: DataFrame) -> DataFrame:
+    """(ticker, t, date, r): log-returns of consecutive prices, ``t`` their 0-based number."""
+    w = Window.partitionBy("ticker").orderBy("date")
+    return (prices.filter(F.col("close").isNotNull())
+            .select("ticker", "date", (F.log(F.col("close")) - F.log(F.lag("close").over(w))).alias("r"),
+                    (F.row_number().over(w) - 2).cast("int").alias("t"))
+            .filter(F.col("r").isNotNull()).select("ticker", "t", "date", "r"))
 
 
-def log_returns(px_asof: DataFrame, align: str = "common_dates") -> DataFrame:
-    """(as_of_date, ticker, t, date, r): log-returns on consecutive dates.
+def returns_as_of(returns: DataFrame, asofs: Column) -> DataFrame:
+    """(as_of_date, ticker, t, date, r): the returns known at each as-of date."""
+    return returns.select(F.explode(F.filter(asofs, lambda a: a >= F.col("date"))).alias("as_of_date"), "ticker", "t", "date", "r")
 
-    ``t`` is the 0-based return ordinal within (as_of_date, ticker); under
-    ``common_dates`` the same ``t`` is the same date for every factor.
-    """
-    if align == "own":
-        return _with_returns(px_asof)
-    if align != "common_dates":
-        raise ValueError(f"unknown alignment {align!r}")
-    factors = price_counts(px_asof).filter(F.col("n_prices") >= 2)
-    n_factors = factors.groupBy("as_of_date").agg(F.count("*").alias("n_factors"))
-    px = px_asof.join(factors.select("as_of_date", "ticker"), ["as_of_date", "ticker"], "left_semi")
-    common = (px.groupBy("as_of_date", "date").agg(F.count("*").alias("n_here"))
-              .join(n_factors, "as_of_date")
-              .filter(F.col("n_here") == F.col("n_factors"))
-              .select("as_of_date", "date"))
-    return _with_returns(px.join(common, ["as_of_date", "date"], "left_semi"))
+
+def log_returns(px_asof: DataFrame) -> DataFrame:
+    """(as_of_date, ticker, t, date, r) from ``prices_as_of`` rows."""
+    w = Window.partitionBy("as_of_date", "ticker").orderBy("date")
+    return (px_asof.select("as_of_date", "ticker", "date", (F.log(F.col("close")) - F.log(F.lag("close").over(w))).alias("r"),
+                           (F.row_number().over(w) - 2).cast("int").alias("t"))
+            .filter(F.col("r").isNotNull()).select("as_of_date", "ticker", "t", "date", "r"))
 
 
 def centred_returns(returns: DataFrame) -> DataFrame:
-    """Adds x = r - mean(r) per (as_of_date, ticker). The window reuses the
-    (as_of_date, ticker) partitioning of ``log_returns``: no new shuffle."""
+    """Adds x = r - mean(r) and n = number of returns per (as_of_date, ticker)."""
     w = Window.partitionBy("as_of_date", "ticker")
-    return returns.withColumn("x", F.col("r") - F.avg("r").over(w))
+    return returns.withColumn("x", F.col("r") - F.avg("r").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+
+
+def scaled_returns(returns: DataFrame, align: str = "date") -> DataFrame:
+    """(as_of_date, ticker, d, z): z = x / sqrt(n - 1), paired on ``d``.
+
+    Factors with fewer than two returns have no variance and are left out. ``d``
+    is the date as a day number, or the return number under ``ordinal``.
+    """
+    c = centred_returns(returns)
+    if align == "ordinal":
+        longest = F.max("n").over(Window.partitionBy("as_of_date"))
+        uneven = F.concat_ws(" ", F.lit("ordinal alignment: ticker"), "ticker", F.lit("has fewer returns than the others"))
+        c = c.withColumn("d", F.when(F.col("n") < longest, F.raise_error(uneven).cast("int")).otherwise(F.col("t")))
+    elif align == "date":
+        c = c.withColumn("d", F.unix_date("date"))
+    else:
+        raise ValueError(f"unknown alignment {align!r}")
+    return c.filter(F.col("n") >= 2).select("as_of_date", "ticker", "d", (F.col("x") / F.sqrt(F.col("n") - 1)).alias("z"))
 
 
 def annualised_vol(returns: DataFrame, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> DataFrame:
-    """(as_of_date, ticker, vol, n_obs): sample std of returns x sqrt(periods)."""
+    """(as_of_date, ticker, vol, n_obs): sample std of a factor's own returns x sqrt(periods)."""
     return (returns.groupBy("as_of_date", "ticker")
             .agg((F.stddev_samp("r") * F.lit(math.sqrt(periods_per_year))).alias("vol"),
                  F.count("*").cast("int").alias("n_obs")))
 
 
-def correlation_matrix(returns: DataFrame) -> DataFrame:
-    """(as_of_date, ti, tj, rho): Pearson correlation of every factor pair.
+def _pair_block(rows):
+    """rho and sum of z products of all factor pairs of one block of two buckets."""
+    import numpy as np
+    import pandas as pd
 
-    Pairs are formed by an equi-join on (as_of_date, t) of the centred returns,
-    upper triangle only, then mirrored. A factor with zero variance gets
-    correlation 0 with everything, itself included.
+    as_of, i, j = rows["as_of_date"].iloc[0], rows["i"].iloc[0], rows["j"].iloc[0]
+    days = np.unique(rows["d"].to_numpy())
+
+    def side(bucket):
+        own = rows[rows["bucket"] == bucket]
+        names, at = np.unique(own["ticker"].to_numpy(dtype=str), return_inverse=True)
+        m = np.zeros((len(days), len(names)))
+        m[np.searchsorted(days, own["d"].to_numpy()), at] = own["z"].to_numpy(dtype=float)
+        return names, m
+
+    (left, a), (right, b) = side(i), side(j)
+    s = a.T @ b
+    scale = np.sqrt((a * a).sum(0))[:, None] * np.sqrt((b * b).sum(0))[None, :]
+    rho = np.where(scale > 0, s / np.where(scale > 0, scale, 1.0), 0.0)
+    ti, tj = np.repeat(left, len(right)), np.tile(right, len(left))
+    keep = ti <= tj if i == j else np.ones(len(ti), bool)
+    return pd.DataFrame({"as_of_date": as_of, "ti": ti[keep], "tj": tj[keep], "rho": rho.reshape(-1)[keep], "s": s.reshape(-1)[keep]})
+
+
+def factor_pairs(scaled: DataFrame, n_factors: int | None = None) -> DataFrame:
+    """(as_of_date, ti, tj, rho, s): every ordered factor pair, s = sum of z products.
+
+    Factors fall into buckets of about ``PAIR_BUCKET``; one group multiplies the
+    (dates x factors) blocks of two buckets, so a task's work is bounded and a
+    return row moves once per bucket instead of once per other factor. A factor
+    with zero variance gets correlation 0 with everything, itself included.
     """
-    x = centred_returns(returns).select("as_of_date", "t", "ticker", "x")
-    a = x.select("as_of_date", "t", F.col("ticker").alias("ti"), F.col("x").alias("xi"))
-    b = x.select("as_of_date", "t", F.col("ticker").alias("tj"), F.col("x").alias("xj"))
-    sums = (a.join(b, ["as_of_date", "t"]).filter(F.col("ti") <= F.col("tj"))
-            .groupBy("as_of_date", "ti", "tj")
-            .agg(F.sum(F.col("xi") * F.col("xj")).alias("sxy"),
-                 F.sum(F.col("xi") * F.col("xi")).alias("sxx"),
-                 F.sum(F.col("xj") * F.col("xj")).alias("syy")))
-    rho = F.when((F.col("sxx") == 0) | (F.col("syy") == 0), F.lit(0.0)) \
-        .otherwise(F.col("sxy") / F.sqrt(F.col("sxx") * F.col("syy")))
-    upper = sums.select("as_of_date", "ti", "tj", rho.alias("rho"))
-    lower = upper.filter(F.col("ti") < F.col("tj")).select(
-        "as_of_date", F.col("tj").alias("ti"), F.col("ti").alias("tj"), "rho")
-    return upper.unionByName(lower)
+    if n_factors is None:
+        n_factors = scaled.select("ticker").distinct().count()
+    buckets = max(1, -(-n_factors // PAIR_BUCKET))
+    other = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    rows = (scaled.withColumn("bucket", F.pmod(F.hash("ticker"), F.lit(buckets)).cast("int")).withColumn("other", other)
+            .select("as_of_date", F.least("bucket", "other").cast("int").alias("i"), F.greatest("bucket", "other").cast("int").alias("j"),
+                    "bucket", "ticker", "d", "z"))
+    upper = rows.groupBy("as_of_date", "i", "j").applyInPandas(_pair_block, "as_of_date date, ti string, tj string, rho double, s double")
+    both = F.when(F.col("ti") == F.col("tj"), F.array(F.struct("ti", "tj"))).otherwise(
+        F.array(F.struct("ti", "tj"), F.struct(F.col("tj").alias("ti"), F.col("ti").alias("tj"))))
+    return upper.select("as_of_date", F.explode(both).alias("p"), "rho", "s").select("as_of_date", "p.ti", "p.tj", "rho", "s")
+
+
+def correlation_matrix(returns: DataFrame, align: str = "date") -> DataFrame:
+    """(as_of_date, ti, tj, rho): Pearson correlation of every factor pair."""
+    return factor_pairs(scaled_returns(returns, align)).select("as_of_date", "ti", "tj", "rho")
 
 
 def covariance_from_corr(corr: DataFrame, vols: DataFrame) -> DataFrame:
@@ -134,36 +204,40 @@ def covariance_from_corr(corr: DataFrame, vols: DataFrame) -> DataFrame:
                     (F.col("rho") * vol("vol_i", "has_i") * vol("vol_j", "has_j")).alias("sigma")))
 
 
-def covariance_matrix(returns: DataFrame, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> DataFrame:
-    """Annualised covariance from prices: correlation scaled by both volatilities."""
-    return covariance_from_corr(correlation_matrix(returns), annualised_vol(returns, periods_per_year))
+def covariance_matrix(returns: DataFrame, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
+                      align: str = "date") -> DataFrame:
+    """(as_of_date, ti, tj, sigma): annualised covariance from prices."""
+    pairs = factor_pairs(scaled_returns(returns, align))
+    return pairs.select("as_of_date", "ti", "tj", (F.lit(float(periods_per_year)) * F.col("s")).alias("sigma"))
 
 
 def history_quality(px_asof: DataFrame, windows: DataFrame) -> DataFrame:
-    """(as_of_date, window, ticker, n_returns, status) for historical replay.
+    """(as_of_date, window, ticker, n_returns, status, reason) for historical replay.
 
     status: OK (history covers the window), SHORT (the oldest return is
-    repeated to fill the window) or MISSING (no return: zero P&L for the factor).
-    ``windows`` holds distinct (as_of_date, historical_window) pairs.
+    repeated to fill the window) or MISSING (no return: zero P&L for the factor,
+    ``reason`` holds the error code). ``windows`` holds (as_of_date, historical_window) pairs.
     """
     n = price_counts(px_asof).withColumn("n_returns", F.greatest(F.col("n_prices") - 1, F.lit(0)))
     status = (F.when(F.col("n_returns") == 0, "MISSING")
               .when(F.col("n_returns") < F.col("historical_window"), "SHORT")
               .otherwise("OK"))
-    return (n.join(F.broadcast(windows.select("as_of_date", "historical_window").distinct()), "as_of_date")
-            .select("as_of_date", "historical_window", "ticker", "n_returns", status.alias("status")))
+    return (n.join(windows.select("as_of_date", "historical_window").distinct(), "as_of_date")
+            .select("as_of_date", "historical_window", "ticker", "n_returns", status.alias("status"),
+                    F.when(F.col("n_returns") == 0, schemas.ERR_CALCULATION).alias("reason")))
 
 
 @dataclass
 class Calibration:
     """Calibrated market data for a set of as-of dates (all lazy DataFrames)."""
-    prices_as_of: DataFrame
+    prices: DataFrame
+    asofs: Column
     periods_per_year: float
-    align: str = "common_dates"
+    align: str = "date"
     _cache: dict = field(default_factory=dict, repr=False)
 
     def use(self, key: str, df: DataFrame) -> DataFrame:
-        """Replace a derived table ("returns" or "own") by a materialised copy."""
+        """Replace a derived table ("own", "scaled", "pairs", ...) by a materialised copy."""
         self._cache[key] = df
         return df
 
@@ -172,32 +246,49 @@ class Calibration:
             self._cache[key] = build()
         return self._cache[key]
 
+    @property
+    def prices_as_of(self) -> DataFrame:
+        return self._get("px", lambda: prices_as_of(self.prices, self.asofs))
+
+    @property
+    def index(self) -> DataFrame:
+        return self._get("index", lambda: asof_index(self.prices, self.asofs))
+
+    @property
+    def own(self) -> DataFrame:
+        """Returns per ticker, without as-of dates."""
+        return self._get("own", lambda: price_returns(self.prices))
+
     @property
     def returns(self) -> DataFrame:
-        return self._get("returns", lambda: log_returns(self.prices_as_of, self.align))
+        return self._get("returns", lambda: returns_as_of(self.own, self.asofs))
 
     @property
-    def own_returns(self) -> DataFrame:
-        return self._get("own", lambda: log_returns(self.prices_as_of, "own"))
+    def scaled(self) -> DataFrame:
+        return self._get("scaled", lambda: scaled_returns(self.returns, self.align))
 
     @property
     def vols(self) -> DataFrame:
         return self._get("vols", lambda: annualised_vol(self.returns, self.periods_per_year))
 
+    @property
+    def pairs(self) -> DataFrame:
+        return self._get("pairs", lambda: factor_pairs(self.scaled))
+
     @property
     def corr(self) -> DataFrame:
-        return self._get("corr", lambda: correlation_matrix(self.returns))
+        return self.pairs.select("as_of_date", "ti", "tj", "rho")
 
     @property
     def cov(self) -> DataFrame:
-        return self._get("cov", lambda: covariance_from_corr(self.corr, self.vols))
+        return self.pairs.select("as_of_date", "ti", "tj", (F.lit(float(self.periods_per_year)) * F.col("s")).alias("sigma"))
 
     @property
     def short_history(self) -> DataFrame:
-        return self._get("short", lambda: short_history_factors(self.prices_as_of))
+        return self._get("short", lambda: short_history_factors(self.index))
 
 
 def calibrate(prices: DataFrame, as_of_dates: DataFrame,
               periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
-              align: str = "common_dates") -> Calibration:
-    return Calibration(prices_as_of(prices, as_of_dates), periods_per_year, align)
+              align: str = "date") -> Calibration:
+    return Calibration(prices, as_of_array(as_of_dates), periods_per_year, align)

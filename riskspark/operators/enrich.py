@@ -57,14 +57,18 @@ def unmatched_positions(positions: DataFrame, prices: DataFrame, as_of_dates: Da
     at an as-of date, i.e. what the inner join of ``enrich_positions`` drops.
 
     A position has no spot at date ``a`` exactly when its ticker's first price
-    is after ``a`` (or it has none). That is a range join of the positions
-    against the broadcast as-of calendar (bounded by the number of dates).
+    is after ``a`` (or it has none). Each position is exploded to those dates of
+    the as-of calendar; first dates (one row per ticker) are looked up through a
+    join that is broadcast behind its exact size, else salted by book.
     """
+    from .calibration import as_of_array
+
+    asofs = as_of_array(as_of_dates)
     first = prices.filter(F.col("close").isNotNull()).groupBy("ticker").agg(F.min("date").alias("first_date"))
-    asof = F.broadcast(as_of_dates.select("as_of_date").distinct())
-    pos = positions.join(first, "ticker", "left")
-    cond = F.col("first_date").isNull() | (F.col("first_date") > F.col("as_of_date"))
-    return pos.join(asof, cond).select("as_of_date", "portfolio_id", "ticker", "quantity")
+    known = positions.select("ticker").distinct().join(first, "ticker", "left")
+    pos = factor_join(positions, known, ["ticker"], F.hash("portfolio_id"), known.count())
+    without = F.filter(asofs, lambda a: F.col("first_date").isNull() | (F.col("first_date") > a))
+    return pos.select(F.explode(without).alias("as_of_date"), "portfolio_id", "ticker", "quantity")
 
 
 def portfolio_value(enriched: DataFrame) -> DataFrame:

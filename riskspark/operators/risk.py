@@ -21,7 +21,7 @@ Parametric
 ``VaR = z * sigma_P`` and ``ES = sigma_P * pdf(z) / (1 - alpha)`` with
 ``z = ppf(alpha)``; zero mean, no holding-period scaling. ``sigma_P^2`` is the
 quadratic form of the dollar deltas with the annualised covariance. The
-projected form ``periods * var_samp_t(sum_i delta_i * r[t, i])`` gives the same
+projected form ``periods * sum_d (sum_i delta_i * z[i, d])^2`` gives the same
 number without ever building the n x n matrix.
 """
 
@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.normal import norm_pdf, norm_ppf
-from ..functions.rounding import cents
 from ..plans.joins import factor_join
 
 
@@ -47,12 +46,10 @@ def rank_scenarios(pnl: DataFrame, set_keys: list[str]) -> DataFrame:
     """Adds rn (1-based), cum_pnl (running sum in rank order) and the per-group
     n, mean_pnl, std_dev_pnl.
 
-    P&Ls are ordered at cent precision and equal amounts by scenario id: the
-    same scenario then holds the same rank on any cluster layout (replayed
-    history repeats scenarios whose sums differ only in the last bits).
+    P&Ls are ordered as they are, equal amounts by scenario id.
     """
     part = [*set_keys, "portfolio_id"]
-    ordered = Window.partitionBy(*part).orderBy(cents("pnl"), "scenario_id")
+    ordered = Window.partitionBy(*part).orderBy("pnl", "scenario_id")
     # Same partition and order for every column: one Window operator, one sort.
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return pnl.select(
@@ -100,12 +97,13 @@ def scenario_var_from_distribution(requests: DataFrame, dist: DataFrame, set_key
         "alpha", "mean_pnl", "std_dev_pnl", F.col("n").cast("int").alias("num_scenarios"))
 
 
-def tail_scenarios(requests: DataFrame, pnl: DataFrame, set_keys: list[str]) -> DataFrame:
+def tail_scenarios(requests: DataFrame, pnl: DataFrame, set_keys: list[str],
+                   request_rows: int | None = None) -> DataFrame:
     """(correlation_id, portfolio_id, rank, scenario_id, pnl): the worst
     ``idx + 1`` scenarios behind each VaR/ES figure."""
     ranked = rank_scenarios(pnl, set_keys)
     req = requests.select("correlation_id", "alpha", *set_keys)
-    return (ranked.join(req, set_keys)
+    return (factor_join(ranked, req, set_keys, F.hash("portfolio_id"), request_rows)
             .filter(F.col("rn") <= quantile_index("alpha", "n") + 1)
             .select("correlation_id", "portfolio_id", F.col("rn").alias("rank"), "scenario_id", "pnl"))
 
@@ -143,26 +141,24 @@ def portfolio_variance(dd: DataFrame, cov: DataFrame) -> DataFrame:
             .agg(F.sum(F.col("d_i") * F.col("sigma") * F.col("d_j")).alias("variance")))
 
 
-def portfolio_variance_projected(dd: DataFrame, returns: DataFrame,
+def portfolio_variance_projected(dd: DataFrame, scaled: DataFrame,
                                  periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
                                  returns_rows: int | None = None, dd_rows: int | None = None) -> DataFrame:
-    """(as_of_date, portfolio_id, variance) = periods * var_samp_t(sum_i delta_i r[t, i]).
+    """(as_of_date, portfolio_id, variance) = periods * sum_d (sum_i delta_i z[i, d])^2.
 
-    Equal to the quadratic form on common-date returns; costs
+    Equal to the quadratic form with the covariance of ``scaled_returns``; costs
     portfolios x factors x T instead of portfolios x factors^2. Portfolios with
     no calibrated factor get variance 0.
     """
-    ret = returns.select("as_of_date", "ticker", "t", "r")
-    proj = (factor_join(dd, ret, ["as_of_date", "ticker"], F.hash("portfolio_id"), returns_rows, dd_rows, F.col("t"))
-            .groupBy("as_of_date", "portfolio_id", "t")
-            .agg(F.sum(F.col("dollar_delta") * F.col("r")).alias("y")))
+    ret = scaled.select("as_of_date", "ticker", "d", "z")
+    proj = (factor_join(dd, ret, ["as_of_date", "ticker"], F.hash("portfolio_id"), returns_rows, dd_rows, F.col("d"))
+            .groupBy("as_of_date", "portfolio_id", "d")
+            .agg(F.sum(F.col("dollar_delta") * F.col("z")).alias("y")))
     var = proj.groupBy("as_of_date", "portfolio_id").agg(
-        (F.var_samp("y") * F.lit(float(periods_per_year))).alias("variance"),
-        F.lit(True).alias("matched"))
+        (F.sum(F.col("y") * F.col("y")) * F.lit(float(periods_per_year))).alias("variance"))
     books = dd.select("as_of_date", "portfolio_id").distinct()
     return (books.join(var, ["as_of_date", "portfolio_id"], "left")
-            .select("as_of_date", "portfolio_id",
-                    F.when(F.col("matched").isNull(), F.lit(0.0)).otherwise(F.col("variance")).alias("variance")))
+            .select("as_of_date", "portfolio_id", F.coalesce("variance", F.lit(0.0)).alias("variance")))
 
 
 def parametric_var(requests: DataFrame, variance: DataFrame, request_rows: int | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ from ..plans.joins import factor_join
 HIST_KEYS = ["as_of_date", "historical_window"]
 MC_KEYS = ["as_of_date", "num_paths", "seed", "steps", "dt"]
 
-def historical_shocks(own_returns: DataFrame, sets: DataFrame) -> DataFrame:
+def historical_shocks(own_returns: DataFrame, sets: DataFrame, set_rows: int | None = None) -> DataFrame:
     """(as_of_date, historical_window, scenario_id, ticker, r).
 
     Scenario ``s`` of a window ``W`` replays, for each factor with ``n`` returns,
@@ -37,13 +37,13 @@ def historical_shocks(own_returns: DataFrame, sets: DataFrame) -> DataFrame:
     the scenarios it serves: return ``k`` serves ``s = k - n + W`` and the
     oldest return (k = 0) also serves all padded scenarios ``0 .. W - n``. So
     the output is generated row-locally with ``explode`` (``W`` rows per factor).
+    ``set_rows`` (exact number of sets) lets their join be a broadcast.
     """
     w = Window.partitionBy("as_of_date", "ticker")
     ret = own_returns.withColumn("n", F.count("*").over(w))
-    windows = F.broadcast(sets.select(*HIST_KEYS).distinct())  # distinct (date, window) pairs
     hi = F.col("t") - F.col("n") + F.col("historical_window")
     lo = F.when(F.col("t") == 0, F.lit(0)).otherwise(hi)
-    return (ret.join(windows, "as_of_date")
+    return (factor_join(ret, sets.select(*HIST_KEYS).distinct(), ["as_of_date"], F.hash("ticker"), set_rows)
             .filter(hi >= 0)
             .select(*HIST_KEYS, F.explode(F.sequence(lo.cast("int"), hi.cast("int"))).alias("scenario_id"),
                     "ticker", "r"))
@@ -59,55 +59,54 @@ def grid_columns(time_grid: str = "time_grid"):
     return steps.alias("steps"), dt.alias("dt")
 
 
-def path_normals(sets: DataFrame, n_steps: DataFrame, num_partitions: int) -> DataFrame:
-    """(set keys..., n_t, scenario_id, t, w): one standard normal per path and return index.
+def path_normals(sets: DataFrame, scaled: DataFrame, num_partitions: int) -> DataFrame:
+    """(set keys..., scenario_id, d, w): one standard normal per path and date.
 
-    The path ids of each set are hash-distributed on (set, scenario_id) with an
+    Path ids of each seed are hash-distributed on (seed, scenario_id) with an
     explicit partition count (so AQE does not fold the few, small rows back
-    into one task); each task then draws its own normals. Everything downstream
-    — the shock sum and the P&L sum, both grouped by (set, scenario, ...) —
-    keeps this partitioning and runs without another shuffle. Values depend
-    only on (seed, path, t), never on the partitioning.
+    into one task); each task draws the normals of its paths once for all as-of
+    dates, and the sets of the seed pick them up. The shock sum and the P&L sum
+    keep this partitioning. Values depend only on (seed, path, date): neither on
+    the layout nor on which factors or as-of dates take part.
     """
-    paths = (sets.join(F.broadcast(n_steps), "as_of_date")  # one row per as-of date
-             .select(*MC_KEYS, "n_t", F.explode(F.sequence(F.lit(0), F.col("num_paths") - 1)).alias("scenario_id"))
-             .repartition(num_partitions, *MC_KEYS, "scenario_id"))
-    steps = paths.select(*MC_KEYS, "n_t", "scenario_id",
-                         F.explode(F.sequence(F.lit(0), F.col("n_t") - 1)).alias("t"))
-    return steps.withColumn("w", hashed_normal("seed", "scenario_id", "t"))
+    longest = sets.groupBy("seed").agg(F.max("num_paths").alias("n_paths"))
+    days = (sets.select("as_of_date", "seed").distinct().join(scaled.select("as_of_date", "d").distinct(), "as_of_date")
+            .select("seed", "d").distinct())                      # calendar days x seeds
+    paths = (longest.select("seed", F.explode(F.sequence(F.lit(0), F.col("n_paths") - 1)).alias("scenario_id"))
+             .repartition(num_partitions, "seed", "scenario_id"))
+    drawn = paths.join(F.broadcast(days), "seed").withColumn("w", hashed_normal("seed", "scenario_id", "d"))
+    return (drawn.join(F.broadcast(sets.select(*MC_KEYS).distinct()), "seed").filter(F.col("scenario_id") < F.col("num_paths"))
+            .select(*MC_KEYS, "scenario_id", "d", "w"))
 
 
-def mc_shocks(centred: DataFrame, sets: DataFrame,
+def mc_shocks(scaled: DataFrame, sets: DataFrame,
               periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
               num_partitions: int | None = None, returns_rows: int | None = None) -> DataFrame:
     """(as_of_date, num_paths, seed, steps, dt, scenario_id, ticker, r).
 
-    Correlated Gaussian path totals without a matrix factorisation. With the T
-    centred returns x[t, i] of the factors (common dates) and independent
-    normals w[path, t]::
+    Correlated Gaussian path totals without a matrix factorisation. With the
+    scaled centred returns z[i, d] (calibration.scaled_returns) and independent
+    normals w[path, d]::
 
-        r[path, i] = sqrt(periods * steps * dt / (T - 1)) * sum_t w[path, t] * x[t, i]
+        r[path, i] = sqrt(periods * steps * dt) * sum_d w[path, d] * z[i, d]
 
     has covariance ``steps * dt * Sigma`` with ``Sigma`` the annualised sample
-    covariance — the distribution of a zero-drift path of ``steps`` correlated
-    increments of variance ``Sigma * dt``. The sum over ``t`` is an equi-join
-    of the normals with the return matrix on (as_of_date, t) followed by an
+    covariance - the distribution of a zero-drift path of ``steps`` correlated
+    increments of variance ``Sigma * dt``. The sum over ``d`` is an equi-join
+    of the normals with the return matrix on (as_of_date, d) followed by an
     aggregate: a relational matrix product. ``returns_rows`` (exact size of
     the return matrix) selects broadcast or salted join (plans.joins).
     """
-    spark = centred.sparkSession
+    spark = scaled.sparkSession
     if num_partitions is None:
         num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    x = centred.select("as_of_date", "t", "ticker", "x")
-    n_steps = x.groupBy("as_of_date").agg((F.max("t") + 1).alias("n_t"))
-    normals = path_normals(sets.select(*MC_KEYS).distinct(), n_steps, num_partitions)
-    # With fewer than two returns the covariance is undefined: shocks are NULL.
-    scale = F.when(F.col("n_t") >= 2, F.sqrt(F.lit(float(periods_per_year)) * F.col("steps") * F.col("dt")
-                                             / (F.col("n_t") - F.lit(1))))
-    joined = factor_join(normals, x, ["as_of_date", "t"], F.col("scenario_id"), returns_rows)
-    return (joined.groupBy(*MC_KEYS, "scenario_id", "n_t", "ticker")
-            .agg(F.sum(F.col("w") * F.col("x")).alias("wx"))
-            .select(*MC_KEYS, "scenario_id", "ticker", (scale * F.col("wx")).alias("r")))
+    z = scaled.select("as_of_date", "d", "ticker", "z")
+    normals = path_normals(sets.select(*MC_KEYS).distinct(), z, num_partitions)
+    scale = F.sqrt(F.lit(float(periods_per_year)) * F.col("steps") * F.col("dt"))
+    joined = factor_join(normals, z, ["as_of_date", "d"], F.col("scenario_id"), returns_rows)
+    return (joined.groupBy(*MC_KEYS, "scenario_id", "ticker")
+            .agg(F.sum(F.col("w") * F.col("z")).alias("wz"))
+            .select(*MC_KEYS, "scenario_id", "ticker", (scale * F.col("wz")).alias("r")))
 
 
 def scenario_pnl(shocks: DataFrame, exposures: DataFrame, set_keys: list[str],
@@ -131,13 +130,14 @@ def scenario_pnl(shocks: DataFrame, exposures: DataFrame, set_keys: list[str],
 
 
 def position_scenario_pnl(shocks: DataFrame, enriched: DataFrame, set_keys: list[str],
-                          pricer: str = "auto") -> DataFrame:
+                          pricer: str = "auto", position_rows: int | None = None) -> DataFrame:
     """(set keys..., portfolio_id, scenario_id, pnl) priced position by position
-    with a named pricer (functions.pricing.PRICERS)."""
+    with a named pricer (functions.pricing.PRICERS). ``position_rows`` (exact
+    size of ``enriched``) selects broadcast or salted join (plans.joins)."""
     from ..functions.pricing import PRICERS
     fn = PRICERS[pricer]
     pos = enriched.select("as_of_date", "ticker", "portfolio_id", "quantity", "delta", "gamma", "spot_price")
-    return (shocks.join(pos, ["as_of_date", "ticker"])
+    return (factor_join(shocks, pos, ["as_of_date", "ticker"], F.col("scenario_id"), position_rows)
             .groupBy(*set_keys, "portfolio_id", "scenario_id")
             .agg(F.sum(fn("quantity", "delta", "gamma", "spot_price", "r")).alias("pnl")))
 
@@ -181,9 +181,7 @@ def _pnl_block(set_keys: list[str]):
         m = np.zeros((len(scen), len(tickers)))
         r = shocks["r"].to_numpy(dtype=float)
         m[rows, cols] = np.exp(r) - 1.0
-        undefined = np.zeros(len(scen), dtype=bool)
-        undefined[rows[np.isnan(r)]] = True
-        m = np.nan_to_num(m, nan=0.0)
+        m = np.nan_to_num(m, nan=0.0)           # a NULL shock is no shock, as in the relational sum
         ids = pd.Index(pd.unique(books["portfolio_id"]))
         bcols = ids.get_indexer(books["portfolio_id"])
         brows = tickers.get_indexer(books["ticker"])
@@ -192,7 +190,6 @@ def _pnl_block(set_keys: list[str]):
         np.add.at(lin, (brows, bcols), books["lin_exposure"].to_numpy(dtype=float))
         np.add.at(quad, (brows, bcols), books["quad_exposure"].to_numpy(dtype=float))
         pnl = m @ lin + (m * m) @ quad
-        pnl[undefined, :] = np.nan
         out = scen.loc[np.repeat(np.arange(len(scen)), len(ids))].reset_index(drop=True)
         out["portfolio_id"] = np.tile(ids.to_numpy(), len(scen))
         out["pnl"] = pnl.reshape(-1)
@@ -228,97 +225,100 @@ def scenario_pnl_blocks(shocks: DataFrame, exposures: DataFrame, set_keys: list[
     return out.withColumn("pnl", F.when(F.isnan("pnl"), F.lit(None).cast("double")).otherwise(F.col("pnl")))
 
 
+def block_grid(scenarios: int, books: int, parts: int, cells: int) -> tuple[int, int]:
+    """(scenario buckets, book buckets): at least ``parts`` groups of at most ``cells`` output cells.
+
+    The side with more members is split first; a side is never split into more
+    buckets than it has members.
+    """
+    groups = max(parts, -(-scenarios * books // cells))
+    many, few = max(scenarios, books, 1), max(1, min(scenarios, books))
+    a = min(groups, many)
+    b = min(-(-groups // a), few)
+    return (a, b) if scenarios >= books else (b, a)
+
+
 def price_scenarios(shocks: DataFrame, exposures: DataFrame, set_keys: list[str],
-                    exposure_rows: int | None, shock_rows: int | None,
-                    factor_keys: int | None = None) -> DataFrame:
-    """Scenario P&L with the cheaper of the two kernels.
+                    exposure_rows: int | None, shock_rows: int | None, factor_keys: int | None = None,
+                    n_scenarios: int | None = None, n_books: int | None = None) -> DataFrame:
+    """Scenario P&L with the cheaper of the two kernels; both give the same rows.
 
     ``riskspark.pricing.kernel``: ``relational`` (join + aggregate, whole-stage
     codegen; best for small products), ``blocks`` (block matrix products) or
     ``auto`` (default): blocks once the join would emit more than
     ``riskspark.pricing.blockMinPairs`` (default 20 000 000) rows, estimated
-    from the exact input sizes. Bucket counts keep each block within
-    ``riskspark.pricing.blockRows`` (default 200 000) input rows per side.
+    from the exact input sizes. Bucket counts keep each group within
+    ``riskspark.pricing.blockCells`` (default 4 000 000) scenarios x books.
     """
     spark = shocks.sparkSession
     kernel = spark.conf.get("riskspark.pricing.kernel", "auto")
-    known = exposure_rows is not None and shock_rows is not None
+    known = None not in (exposure_rows, shock_rows, n_scenarios, n_books)
     if kernel == "relational" or not known:
         return scenario_pnl(shocks, exposures, set_keys, exposure_rows, shock_rows)
     pairs = shock_rows * exposure_rows / max(1, factor_keys or 1)
     if kernel == "auto" and pairs < float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000")):
         return scenario_pnl(shocks, exposures, set_keys, exposure_rows, shock_rows)
-    block = int(spark.conf.get("riskspark.pricing.blockRows", "200000"))
+    cells = int(spark.conf.get("riskspark.pricing.blockCells", "4000000"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if exposure_rows <= shock_rows:       # few books: split the scenarios
-        sb, bb = max(parts, -(-shock_rows // block)), max(1, -(-exposure_rows // block))
-    else:                                 # many books: split the books
-        sb, bb = max(1, -(-shock_rows // block)), max(parts, -(-exposure_rows // block))
-    return scenario_pnl_blocks(shocks, exposures, set_keys, sb, bb)
+    return scenario_pnl_blocks(shocks, exposures, set_keys, *block_grid(n_scenarios, n_books, parts, cells))
 
 
-def _shock_block():
+def _shock_block(periods_per_year: float):
     import numpy as np
     import pandas as pd
 
     out_cols = [*MC_KEYS, "scenario_id", "ticker", "r"]
 
-    def kernel(normals: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if normals.empty or x.empty:
+    def kernel(normals: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
+        if normals.empty or z.empty:
             out = normals[MC_KEYS].iloc[0:0].copy()
             out["scenario_id"] = pd.Series([], dtype="int32")
             out["ticker"] = pd.Series([], dtype=object)
             out["r"] = pd.Series([], dtype=float)
             return out[out_cols]
-        tickers = pd.Index(pd.unique(x["ticker"]))
-        n_t = int(normals["n_t"].iloc[0])
-        xm = np.zeros((n_t, len(tickers)))
-        xm[x["t"].to_numpy(), tickers.get_indexer(x["ticker"])] = x["x"].to_numpy(dtype=float)
+        tickers, days = pd.Index(pd.unique(z["ticker"])), np.unique(z["d"].to_numpy())
+        zm = np.zeros((len(days), len(tickers)))
+        zm[np.searchsorted(days, z["d"].to_numpy()), tickers.get_indexer(z["ticker"])] = z["z"].to_numpy(dtype=float)
+        normals = normals[normals["d"].isin(days)]
         paths = normals[[*MC_KEYS, "scenario_id"]].drop_duplicates().reset_index(drop=True)
         p_idx = pd.MultiIndex.from_frame(paths).get_indexer(
             pd.MultiIndex.from_frame(normals[[*MC_KEYS, "scenario_id"]]))
-        w = np.zeros((len(paths), n_t))
-        w[p_idx, normals["t"].to_numpy()] = normals["w"].to_numpy(dtype=float)
-        scale = np.sqrt(periods_holder[0] * paths["steps"].to_numpy(dtype=float) * paths["dt"].to_numpy(dtype=float)
-                        / (n_t - 1)) if n_t >= 2 else np.full(len(paths), np.nan)
-        shocks = (w @ xm) * scale[:, None]
+        w = np.zeros((len(paths), len(days)))
+        w[p_idx, np.searchsorted(days, normals["d"].to_numpy())] = normals["w"].to_numpy(dtype=float)
+        scale = np.sqrt(periods_per_year * paths["steps"].to_numpy(dtype=float) * paths["dt"].to_numpy(dtype=float))
+        shocks = (w @ zm) * scale[:, None]
         out = paths.loc[np.repeat(np.arange(len(paths)), len(tickers))].reset_index(drop=True)
         out["ticker"] = np.tile(tickers.to_numpy(), len(paths))
         out["r"] = shocks.reshape(-1)
         return out[out_cols]
 
-    periods_holder = [252.0]
-    return kernel, periods_holder
+    return kernel
 
 
-def mc_shocks_blocks(centred: DataFrame, sets: DataFrame,
+def mc_shocks_blocks(scaled: DataFrame, sets: DataFrame,
                      periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
                      num_partitions: int | None = None, path_buckets: int | None = None) -> DataFrame:
-    """Same rows as ``mc_shocks`` (NaN read back as NULL): the normals are drawn
-    by Spark exactly as there, and the sum over t is a block matrix product
-    per (as-of date, path bucket) with the return matrix copied into each bucket."""
+    """Same rows as ``mc_shocks``: the normals are drawn by Spark exactly as
+    there, and the sum over dates is a block matrix product per (as-of date, path
+    bucket) with the return matrix copied into each bucket."""
     import pyspark.sql.types as T
 
-    spark = centred.sparkSession
+    spark = scaled.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pb = path_buckets or n
-    x = centred.select("as_of_date", "t", "ticker", "x")
-    n_steps = x.groupBy("as_of_date").agg((F.max("t") + 1).alias("n_t"))
-    normals = (path_normals(sets.select(*MC_KEYS).distinct(), n_steps, n)
+    z = scaled.select("as_of_date", "d", "ticker", "z")
+    normals = (path_normals(sets.select(*MC_KEYS).distinct(), z, n)
                .withColumn("pb", F.pmod(F.col("scenario_id"), F.lit(pb))))
-    xs = x.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1))))
+    zs = z.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1))))
     normals = normals.select(*[F.col(c).alias(c) for c in normals.columns])
-    xs = xs.select(*[F.col(c).alias(c) for c in xs.columns])
-    kernel, holder = _shock_block()
-    holder[0] = float(periods_per_year)
+    zs = zs.select(*[F.col(c).alias(c) for c in zs.columns])
     key_fields = {f.name: f for f in normals.schema.fields}
     schema = T.StructType([*[key_fields[k] for k in MC_KEYS],
                            T.StructField("scenario_id", T.IntegerType()),
                            T.StructField("ticker", T.StringType()),
                            T.StructField("r", T.DoubleType())])
-    out = (normals.groupBy("as_of_date", "pb").cogroup(xs.groupBy("as_of_date", "pb"))
-           .applyInPandas(kernel, schema))
-    return out.withColumn("r", F.when(F.isnan("r"), F.lit(None).cast("double")).otherwise(F.col("r")))
+    return (normals.groupBy("as_of_date", "pb").cogroup(zs.groupBy("as_of_date", "pb"))
+            .applyInPandas(_shock_block(float(periods_per_year)), schema))
 
 
 def _distribution_block(set_keys: list[str]):
@@ -333,9 +333,7 @@ def _distribution_block(set_keys: list[str]):
         rows = []
         for key, g in pnl.groupby([*set_keys, "portfolio_id"], sort=False):
             v = g["pnl"].to_numpy(dtype=float)
-            y = v * 100.0                      # rank at cent precision, half away from zero
-            cents_ = np.sign(y) * np.floor(np.abs(y) + 0.5) / 100.0
-            order = np.lexsort((g["scenario_id"].to_numpy(), cents_))
+            order = np.lexsort((g["scenario_id"].to_numpy(), v))
             srt = v[order]
             n = len(v)
             std = float(np.std(v, ddof=1)) if n > 1 else None
@@ -356,8 +354,8 @@ def scenario_distribution_blocks(shocks: DataFrame, exposures: DataFrame, set_ke
     """(set keys..., portfolio_id, n, mean_pnl, std_dev_pnl, sorted_pnl ARRAY,
     cum_pnl ARRAY): the whole scenario distribution of every book, computed in
     the block kernel when one block holds all scenarios of its books (the
-    shocks of an as-of date are copied into every book bucket). Sorted at cent
-    precision with ties by scenario id, exactly like ``risk.rank_scenarios``."""
+    shocks of an as-of date are copied into every book bucket). Sorted with ties
+    by scenario id, exactly like ``risk.rank_scenarios``."""
     import pyspark.sql.types as T
 
     sh = (shocks.select(*set_keys, "scenario_id", "ticker", "r")

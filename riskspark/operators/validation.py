@@ -58,7 +58,8 @@ def validate_requests(requests: DataFrame, require_paths: bool = False) -> tuple
         _violation(paths > schemas.MAX_NUM_PATHS, "numPaths", schemas.MSG_PATHS_MAX),
         _violation(_blank(grid), "timeGrid", schemas.MSG_GRID_BLANK),
         _violation(~_blank(grid) & ~grid.rlike(schemas.TIME_GRID_PATTERN), "timeGrid", schemas.MSG_GRID_PATTERN),
-        _violation(window < 1, "historicalWindow", "historicalWindow must be ≥ 1"),
+        _violation(window < schemas.MIN_HISTORICAL_WINDOW, "historicalWindow", "historicalWindow must be ≥ 1"),
+        _violation(window > schemas.MAX_HISTORICAL_WINDOW, "historicalWindow", "historicalWindow must be ≤ 10 000"),
     ]
     if require_paths:
         invalid = [_violation(_blank(F.col("portfolio_csv_path")), "portfolioCsvPath", schemas.MSG_PORTFOLIO_PATH),
@@ -80,12 +81,20 @@ def validate_requests(requests: DataFrame, require_paths: bool = False) -> tuple
     checked = checked.withColumn("error_code", code)
     valid = (checked.filter(F.col("error_code").isNull())
              .select("correlation_id", "portfolio_csv_path", "prices_csv_path", "as_of_date", "method", "alpha",
-                     F.col("num_paths_raw").cast("int").alias("num_paths"),
-                     F.col("window_raw").cast("int").alias("historical_window"),
+                     F.col("num_paths_raw").try_cast("int").alias("num_paths"),
+                     F.col("window_raw").try_cast("int").alias("historical_window"),
                      "time_grid", "seed", "steps", "dt"))
     violations = F.when(malformed, F.array(F.struct(F.lit("body").alias("field"),
                                                     F.lit("request body is not valid JSON").alias("message")))) \
         .otherwise(F.concat("_bad", "_inv"))
     rejects = (checked.filter(F.col("error_code").isNotNull())
                .select("correlation_id", "error_code", violations.alias("violations"), "as_of_raw", "raw_payload"))
-    return valid, rejects
+    # One id for two different requests names neither: both are rejected (equal copies are one request).
+    content = F.xxhash64(*[F.col(c) for c in valid.columns if c != "correlation_id"])
+    twice = (valid.select("correlation_id", content.alias("h")).groupBy("correlation_id")
+             .agg(F.min("h").alias("a"), F.max("h").alias("b")).filter("a <> b").select("correlation_id"))
+    clash = F.array(F.struct(F.lit("correlationId").alias("field"),
+                             F.lit("correlationId is used by two different requests").alias("message")))
+    clashing = (checked.filter(F.col("error_code").isNull()).join(twice, "correlation_id", "left_semi")
+                .select("correlation_id", F.lit(schemas.ERR_INVALID).alias("error_code"), clash.alias("violations"), "as_of_raw", "raw_payload"))
+    return valid.join(twice, "correlation_id", "left_anti"), rejects.unionByName(clashing)

@@ -10,6 +10,8 @@ Parameters of the workload (fixed for every query):
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from ..operators import calibration as cal_ops
 from ..operators import enrich as enrich_ops
 from ..operators import risk, scenarios
 from ..operators.validation import validate_requests
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import tables
 from ..sources.requests import request_grid
 from . import store
@@ -38,7 +40,7 @@ RUN_TS = "2024-01-01 00:00:00"
 RERUN_TS = "2024-01-02 00:00:00"
 LOOKUP_BOOK = "BUILDING"
 LOOKUP_FROM, LOOKUP_TO, LOOKUP_METHOD = "1994-01-01", "1997-12-31", "historical"
-EARLY_DATES = 3
+DEFAULT_BOOK = "nation"
 
 MONEY, RATE = 2, 8
 
@@ -67,7 +69,7 @@ class Book:
         elif calendar == "last":
             self.asof = tables.last_date(self.prices)
         else:
-            self.asof = tables.first_dates(self.prices, EARLY_DATES)
+            self.asof = tables.all_dates(self.prices)
         self._cal = None
         self._spot = None
 
@@ -78,10 +80,10 @@ class Book:
         return self._cal
 
     def enriched(self) -> DataFrame:
-        """Positions with their spot; the spot table is cached and counted once
+        """Positions with their spot; the spot table is written and counted once
         so the join can broadcast it behind an exact size check."""
         if self._spot is None:
-            spot = cut_lineage(enrich_ops.latest_spot(self.cal.prices_as_of), durable=False)
+            spot = cut_lineage(self.cal.index)
             self._spot = (spot, spot.count())
         spot, rows = self._spot
         return enrich_ops.enrich_positions(self.positions, spot, rows)
@@ -96,8 +98,24 @@ class Book:
         return request_grid(self.asof, methods=methods, alphas=ALPHAS, num_paths=MC_PATHS,
                             historical_window=HIST_WINDOW, seed=SEED)
 
-    def run(self, methods=schemas.METHODS):
-        return run_scenarios(self.requests(methods), self.positions, self.prices, self.periods, methods=methods)
+    def results(self, methods=schemas.METHODS, requests: DataFrame | None = None) -> DataFrame:
+        """Results of one run, written once; nothing stays cached."""
+        run = run_scenarios(self.requests(methods) if requests is None else requests, self.positions, self.prices,
+                            self.periods, methods=methods, durable_prices=False)
+        try:
+            return cut_lineage(run.results)
+        finally:
+            run.release()
+
+
+def _sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """A written copy with its exact row count."""
+    df = cut_lineage(df)
+    return df, df.count()
+
+
+def _store_path(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
 
 
 # --------------------------------------------------------------------- sources
@@ -107,6 +125,15 @@ def prices_panel(spark, sf):
     return p.select("ticker", "date", "close")
 
 
+def positions_panel(spark, sf):
+    p = tables.position_book(spark, sf, "segment", "brand", options=True)
+    return p.select("portfolio_id", "ticker", _r("quantity", 6), "asset_class", "delta", "gamma", "maturity_in_years")
+
+
+def price_quality(spark, sf):
+    return tables.price_quality(tables.tick_prices(spark, sf), date="ts")
+
+
 def prices_clean(spark, sf):
     px = tables.clean_prices(tables.tick_prices(spark, sf), as_of=TICK_AS_OF, date="ts", ts="ts")
     return px.select("ticker", "date", _r("close", 6))
@@ -146,27 +173,29 @@ def covariance_matrix(spark, sf):
 
 
 def covariance_from_corr(spark, sf):
-    """Stored-snapshot rebuild: common-date correlations with each factor's
-    own-history volatility."""
+    """Stored-snapshot rebuild from the stored correlations and volatilities."""
     b = Book(spark, sf)
-    own_vols = cal_ops.annualised_vol(b.cal.own_returns, b.periods)
-    return cal_ops.covariance_from_corr(b.cal.corr, own_vols).select("as_of_date", "ti", "tj", _r("sigma", RATE))
+    corr, vols = store.read_snapshot(spark, store.write_snapshot(b.cal, _store_path(spark)))
+    return cal_ops.covariance_from_corr(corr, vols).select("as_of_date", "ti", "tj", _r("sigma", RATE))
 
 
 def short_history_factors(spark, sf):
-    b = Book(spark, sf, period="week", calendar="early")
+    b = Book(spark, sf, period="week", calendar="all")
     return b.cal.short_history.select("as_of_date", "ticker", "n_prices", "reason")
 
 
 def history_quality(spark, sf):
     b = Book(spark, sf)
     windows = b.asof.withColumn("historical_window", F.explode(F.array(*[F.lit(w) for w in HIST_WINDOWS])))
-    return cal_ops.history_quality(b.cal.prices_as_of, windows)
+    return cal_ops.history_quality(b.cal.index, windows)
 
 
 def calibration_rows(spark, sf):
     b = Book(spark, sf)
-    rows = store.calibration_rows(b.cal.vols, RUN_TS)
+    path = _store_path(spark)
+    for _ in range(2):                    # the replay must add nothing
+        store.append_calibration(b.cal.vols, path, RUN_TS)
+    rows = spark.read.parquet(path)
     return rows.select("as_of_date", "ticker", _r("volatility", RATE), "ts")
 
 
@@ -174,9 +203,10 @@ def latest_calibration(spark, sf):
     monthly = Book(spark, sf)
     weekly_prices = cut_lineage(tables.price_panel(spark, sf, "brand", "week"))
     weekly = cal_ops.calibrate(weekly_prices, monthly.asof, tables.PERIODS_PER_YEAR["week"])
-    stored = store.calibration_rows(monthly.cal.vols, RUN_TS).unionByName(
-        store.calibration_rows(weekly.vols, RERUN_TS))
-    return store.latest_calibration(stored).select("as_of_date", "ticker", _r("volatility", RATE))
+    path = _store_path(spark)
+    store.append_calibration(monthly.cal.vols, path, RUN_TS)
+    store.append_calibration(weekly.vols, path, RERUN_TS)
+    return store.latest_calibration(spark.read.parquet(path)).select("as_of_date", "ticker", _r("volatility", RATE))
 
 
 # ------------------------------------------------------------------ enrichment
@@ -199,7 +229,7 @@ def enrich_positions(spark, sf):
 
 
 def unmatched_positions(spark, sf):
-    b = Book(spark, sf, period="day", calendar="early")
+    b = Book(spark, sf, period="day", calendar="all")
     return enrich_ops.unmatched_positions(b.positions, b.prices, b.asof).select(
         "as_of_date", "portfolio_id", "ticker", _r("quantity", 6))
 
@@ -224,11 +254,12 @@ def norm_ppf_query(spark, sf):
 
 
 def _variance(b: Book, projected: bool) -> DataFrame:
-    dd = b.dollar_delta()
+    dd, rows = _sized(b.dollar_delta())
     if projected:
-        v = risk.portfolio_variance_projected(dd, b.cal.returns, b.periods)
+        scaled, n = _sized(b.cal.scaled)
+        v = risk.portfolio_variance_projected(dd, scaled, b.periods, n, rows)
     else:
-        v = risk.portfolio_variance(dd, b.cal.cov)
+        v = risk.portfolio_variance(dd, cut_lineage(b.cal.cov))
     return v.select("as_of_date", "portfolio_id", round_half_away(F.sqrt("variance"), MONEY).alias("sigma_p"))
 
 
@@ -241,7 +272,7 @@ def portfolio_variance_projected(spark, sf):
 
 
 def parametric_var(spark, sf):
-    return _round_results(Book(spark, sf).run(["PARAMETRIC"]).results)
+    return _round_results(Book(spark, sf).results(["PARAMETRIC"]))
 
 
 # ------------------------------------------------------------------ historical
@@ -252,16 +283,23 @@ def _hist_sets(b: Book, windows=(HIST_WINDOW,)) -> DataFrame:
 
 def historical_shocks(spark, sf):
     b = Book(spark, sf)
-    sh = scenarios.historical_shocks(b.cal.own_returns, _hist_sets(b, HIST_WINDOWS))
+    sh = scenarios.historical_shocks(b.cal.returns, _hist_sets(b, HIST_WINDOWS))
     return sh.select(*scenarios.HIST_KEYS, "scenario_id", "ticker", _r("r", RATE))
 
 
+def _keyed(exposures: DataFrame) -> tuple:
+    """Arguments of scenario_pnl: exposures, set keys and the exact size."""
+    exp, rows = _sized(exposures)
+    return exp, scenarios.HIST_KEYS, rows
+
+
 def _hist_pnl(b: Book, pricer: str | None) -> DataFrame:
-    sh = scenarios.historical_shocks(b.cal.own_returns, _hist_sets(b))
+    sh = scenarios.historical_shocks(b.cal.returns, _hist_sets(b))
     if pricer is None:
-        pnl = scenarios.scenario_pnl(sh, b.exposures(), scenarios.HIST_KEYS)
+        pnl = scenarios.scenario_pnl(sh, *_keyed(b.exposures()))
     else:
-        pnl = scenarios.position_scenario_pnl(sh, b.enriched(), scenarios.HIST_KEYS, pricer)
+        enriched, rows = _sized(b.enriched())
+        pnl = scenarios.position_scenario_pnl(sh, enriched, scenarios.HIST_KEYS, pricer, rows)
     return pnl.select("as_of_date", "portfolio_id", "scenario_id", _r("pnl", MONEY))
 
 
@@ -278,35 +316,45 @@ def pnl_delta_gamma(spark, sf):
 
 
 def historical_var(spark, sf):
-    return _round_results(Book(spark, sf).run(["HISTORICAL"]).results)
+    return _round_results(Book(spark, sf).results(["HISTORICAL"]))
 
 
 def tail_scenarios(spark, sf):
     b = Book(spark, sf)
     req = b.requests(["HISTORICAL"])
-    sh = scenarios.historical_shocks(b.cal.own_returns, req.select(*scenarios.HIST_KEYS).distinct())
-    pnl = scenarios.scenario_pnl(sh, b.exposures(), scenarios.HIST_KEYS)
-    return risk.tail_scenarios(req, pnl, scenarios.HIST_KEYS).select(
-        "correlation_id", "portfolio_id", F.col("rank").cast("int").alias("rank"), "scenario_id", _r("pnl", MONEY))
+    sh = scenarios.historical_shocks(b.cal.returns, req.select(*scenarios.HIST_KEYS).distinct())
+    pnl = scenarios.scenario_pnl(sh, *_keyed(b.exposures()))
+    # Replayed scenarios may tie; which of them holds a rank is not part of the result.
+    return risk.tail_scenarios(req, pnl, scenarios.HIST_KEYS, req.count()).select(
+        "correlation_id", "portfolio_id", F.col("rank").cast("int").alias("rank"), _r("pnl", MONEY))
 
 
 # ----------------------------------------------------------------- Monte Carlo
 
 def mc_shocks(spark, sf):
-    b = Book(spark, sf, calendar="last")
+    b = Book(spark, sf)
     steps, dt = schemas.TIME_GRIDS[schemas.DEFAULT_TIME_GRID]
     sets = b.asof.select("as_of_date", F.lit(MC_PATHS).alias("num_paths"), F.lit(SEED).cast("long").alias("seed"),
                          F.lit(steps).alias("steps"), F.lit(dt).alias("dt"))
-    sh = scenarios.mc_shocks(cal_ops.centred_returns(b.cal.returns), sets, b.periods)
+    sh = scenarios.mc_shocks(b.cal.scaled, sets, b.periods)
     return sh.select("as_of_date", "scenario_id", "ticker", _r("r", RATE))
 
 
 def monte_carlo_var(spark, sf):
-    return _round_results(Book(spark, sf).run(["MONTE_CARLO"]).results)
+    return _round_results(Book(spark, sf).results(["MONTE_CARLO"]))
+
+
+def default_size_var(spark, sf):
+    """Historical and Monte Carlo VaR at the request defaults (10 000 paths, window 500), newest date."""
+    b = Book(spark, sf, portfolio_by=DEFAULT_BOOK, calendar="last")
+    methods = ("HISTORICAL", "MONTE_CARLO")
+    req = request_grid(b.asof, methods=methods, alphas=ALPHAS, num_paths=schemas.DEFAULT_NUM_PATHS,
+                       historical_window=schemas.DEFAULT_HISTORICAL_WINDOW, seed=schemas.DEFAULT_SEED)
+    return _round_results(b.results(methods, req))
 
 
 def var_all_methods(spark, sf):
-    return _round_results(Book(spark, sf).run().results)
+    return _round_results(Book(spark, sf).results())
 
 
 # ---------------------------------------------------------- requests and store
@@ -349,12 +397,17 @@ def parse_requests_query(spark, sf):
 
 
 def _stored(spark, sf) -> DataFrame:
-    return store.results_rows(Book(spark, sf).run().results, RUN_TS)
+    """A store that two appends filled: 95 % requests first, 99 % requests later, each sent twice."""
+    res, path = Book(spark, sf).results(), _store_path(spark)
+    for alpha, ts in zip(ALPHAS, (RUN_TS, RERUN_TS)):
+        for _ in range(2):
+            store.append_results(res.filter(F.col("alpha") == alpha), path, ts)
+    return spark.read.parquet(path)
 
 
 def results_rows(spark, sf):
     r = _stored(spark, sf)
-    return r.select("correlation_id", "portfolio_id", "as_of_date", "method",
+    return r.select("correlation_id", "portfolio_id", F.col("as_of_date").cast("string").alias("as_of_date"), "method",
                     _r("var_amount", MONEY), _r("expected_shortfall", MONEY), "alpha",
                     _r("mean_pnl", MONEY), _r("std_dev_pnl", MONEY), "num_scenarios", "ts", "result_date")
 
@@ -367,11 +420,18 @@ def query_results(spark, sf):
 
 
 def results_json(spark, sf):
-    return store.results_json(Book(spark, sf).run().results)
+    """Published messages, decoded again and rounded (engines print doubles differently)."""
+    fields = ("correlationId string, portfolioId string, asOfDate string, method string, varAmount double, "
+              "expectedShortfall double, alpha double, meanPnL double, stdDevPnL double")
+    m = store.results_json(Book(spark, sf).results()).select("key", F.from_json("value", fields).alias("v")).select("key", "v.*")
+    return m.select("key", "correlationId", "portfolioId", "asOfDate", "method", _r("varAmount", MONEY),
+                    _r("expectedShortfall", MONEY), "alpha", _r("meanPnL", MONEY), _r("stdDevPnL", MONEY))
 
 
 QUERIES = {
     "prices_panel": prices_panel,
+    "positions_panel": positions_panel,
+    "price_quality": price_quality,
     "prices_clean": prices_clean,
     "ticker_from_path": ticker_from_path,
     "portfolio_lookup": portfolio_lookup,
@@ -403,6 +463,7 @@ QUERIES = {
     "mc_shocks": mc_shocks,
     "monte_carlo_var": monte_carlo_var,
     "var_all_methods": var_all_methods,
+    "default_size_var": default_size_var,
     "validate_requests": validate_requests_query,
     "parse_requests": parse_requests_query,
     "results_rows": results_rows,

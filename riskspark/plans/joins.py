@@ -5,7 +5,8 @@ factor-level side (a return matrix, or exposures per book and factor) on a key
 that has few distinct values (the factor). Two strategies:
 
 * ``broadcast`` when the small side's row count — measured on a materialised
-  copy, so it is exact — is under ``riskspark.broadcast.maxRows``: the large
+  copy, so it is exact — is under ``riskspark.broadcast.maxRows`` and its size
+  by row width under ``riskspark.broadcast.maxBytes``: the large
   side streams through without a shuffle and keeps its partitioning;
 * ``salted`` otherwise: each key is split into ``riskspark.join.saltBuckets``
   sub-keys — large-side rows go to the bucket of their scenario id, small-side
@@ -19,7 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 DEFAULT_SALT_BUCKETS = 32
+# Bytes a value takes in a broadcast table, roughly; anything else counts as text.
+_WIDTHS = {"boolean": 8, "tinyint": 8, "smallint": 8, "int": 8, "bigint": 8, "float": 8, "double": 8, "date": 8, "timestamp": 8, "timestamp_ntz": 8}
 
 
 def conf_int(spark, key: str, default: int) -> int:
@@ -30,6 +34,17 @@ def max_broadcast_rows(spark) -> int:
     return conf_int(spark, "riskspark.broadcast.maxRows", DEFAULT_MAX_BROADCAST_ROWS)
 
 
+def may_broadcast(df: DataFrame, rows: int | None) -> bool:
+    """Whether a table of exactly ``rows`` rows is under both broadcast limits
+    (``riskspark.broadcast.maxRows`` and ``.maxBytes``)."""
+    if rows is None:
+        return False
+    spark = df.sparkSession
+    width = 16 + sum(_WIDTHS.get(t, 64) for _, t in df.dtypes)
+    return (rows <= max_broadcast_rows(spark)
+            and rows * width <= conf_int(spark, "riskspark.broadcast.maxBytes", DEFAULT_MAX_BROADCAST_BYTES))
+
+
 def salt_buckets(spark) -> int:
     return conf_int(spark, "riskspark.join.saltBuckets", DEFAULT_SALT_BUCKETS)
 
@@ -58,12 +73,11 @@ def factor_join(left: DataFrame, right: DataFrame, on: list[str], left_spread: C
     runs in place).
     """
     spark = left.sparkSession
-    limit = max_broadcast_rows(spark)
     if right_rows is None and left_rows is None:
         return left.join(right, on)
-    if right_rows is not None and right_rows <= limit:
+    if may_broadcast(right, right_rows):
         return left.join(F.broadcast(right), on)
-    if left_rows is not None and left_rows <= limit:
+    if may_broadcast(left, left_rows):
         streamed = right.repartition(*right_cluster) if right_cluster else right
         return F.broadcast(left).join(streamed, on)
     buckets = salt_buckets(spark)

@@ -1,9 +1,10 @@
 """Reference SQL (DuckDB dialect) for the named queries of ``catalog``.
 
-Each statement is written from the model's formulas in plain SQL — built-in
-``corr`` / ``covar_samp``, a direct index lookup for historical replay,
-position-by-position repricing, conditional aggregates for the quantile rule —
-not by translating the DataFrame code, so agreement is independent evidence.
+Each statement is written from the model's formulas in plain SQL: pair sums for
+covariances, a direct index lookup for historical replay, position-by-position
+repricing, conditional aggregates for the quantile rule. The statements share
+with the library what the model fixes: the price panel, the AS241 constants and
+the hashed normals (tests check those against Python's ``NormalDist``).
 Tables are the warehouse views (lineitem, part, orders, customer, events,
 pages). Rounding matches the catalog (money 2 dp, rates 8 dp).
 """
@@ -70,31 +71,28 @@ def calendar(kind="year_end") -> str:
         return "asofs AS (SELECT max(date) AS as_of_date FROM prices GROUP BY year(date))"
     if kind == "last":
         return "asofs AS (SELECT max(date) AS as_of_date FROM prices)"
-    return f"asofs AS (SELECT DISTINCT date AS as_of_date FROM prices ORDER BY 1 LIMIT {C.EARLY_DATES})"
+    return "asofs AS (SELECT DISTINCT date AS as_of_date FROM prices)"
 
 
 PX = "px AS (SELECT a.as_of_date, p.ticker, p.date, p.close FROM prices p JOIN asofs a ON p.date <= a.as_of_date)"
 
 def returns_block(src: str = "px", p: str = "") -> str:
-    """Common-date log-returns of ``src`` (CTE names prefixed with ``p``)."""
-    return f"""{p}factors AS (SELECT as_of_date, ticker FROM {src} GROUP BY as_of_date, ticker HAVING count(*) >= 2),
-{p}nf AS (SELECT as_of_date, count(*) AS n_factors FROM {p}factors GROUP BY as_of_date),
-{p}pxf AS (SELECT {src}.* FROM {src} JOIN {p}factors USING (as_of_date, ticker)),
-{p}common AS (SELECT f.as_of_date, f.date FROM {p}pxf f JOIN {p}nf n USING (as_of_date)
-           GROUP BY f.as_of_date, f.date, n.n_factors HAVING count(*) = n.n_factors),
-{p}pxc AS (SELECT f.* FROM {p}pxf f JOIN {p}common USING (as_of_date, date)),
-{p}rets0 AS (SELECT as_of_date, ticker, date, ln(close) - ln(lag(close) OVER w) AS r,
+    """Log-returns of each factor's own prices up to the as-of date (CTE names prefixed with ``p``)."""
+    return f"""{p}rets0 AS (SELECT as_of_date, ticker, date, ln(close) - ln(lag(close) OVER w) AS r,
                  row_number() OVER w - 2 AS t
-          FROM {p}pxc WINDOW w AS (PARTITION BY as_of_date, ticker ORDER BY date)),
+          FROM {src} WINDOW w AS (PARTITION BY as_of_date, ticker ORDER BY date)),
 {p}returns AS (SELECT as_of_date, ticker, CAST(t AS INTEGER) AS t, date, r FROM {p}rets0 WHERE r IS NOT NULL)"""
 
 
 RETURNS = returns_block()
 
-OWN = """own0 AS (SELECT as_of_date, ticker, date, ln(close) - ln(lag(close) OVER w) AS r,
-                 row_number() OVER w - 2 AS t
-          FROM px WINDOW w AS (PARTITION BY as_of_date, ticker ORDER BY date)),
-own AS (SELECT as_of_date, ticker, CAST(t AS INTEGER) AS t, date, r FROM own0 WHERE r IS NOT NULL)"""
+OWN = "own AS (SELECT * FROM returns)"
+
+# Centred returns over sqrt(n - 1): sums of their products are covariances.
+SCALED = """zs AS (SELECT as_of_date, ticker, date, date_diff('day', DATE '1970-01-01', date) AS d,
+                (r - avg(r) OVER w) / sqrt(count(*) OVER w - 1) AS z
+       FROM (SELECT *, count(*) OVER (PARTITION BY as_of_date, ticker) AS n FROM returns) WHERE n >= 2
+       WINDOW w AS (PARTITION BY as_of_date, ticker))"""
 
 
 def vols(src="returns", name="vols", periods=C.PERIODS) -> str:
@@ -102,12 +100,14 @@ def vols(src="returns", name="vols", periods=C.PERIODS) -> str:
             f"CAST(count(*) AS INTEGER) AS n_obs FROM {src} GROUP BY as_of_date, ticker)")
 
 
-CORR = """pairs AS (SELECT a.as_of_date, a.ticker AS ti, b.ticker AS tj, a.r AS ri, b.r AS rj
-          FROM returns a JOIN returns b ON a.as_of_date = b.as_of_date AND a.t = b.t),
-corrm AS (SELECT as_of_date, ti, tj,
-                 CASE WHEN var_pop(ri) = 0 OR var_pop(rj) = 0 THEN 0.0::DOUBLE ELSE corr(ri, rj) END AS rho,
-                 covar_samp(ri, rj) AS cov_r
-          FROM pairs GROUP BY as_of_date, ti, tj)"""
+CORR = SCALED + """,
+own_sum AS (SELECT as_of_date, ticker, sum(z * z) AS s FROM zs GROUP BY as_of_date, ticker),
+prods AS (SELECT a.as_of_date, a.ticker AS ti, b.ticker AS tj, sum(a.z * b.z) AS s
+          FROM zs a JOIN zs b ON a.as_of_date = b.as_of_date AND a.date = b.date GROUP BY 1, 2, 3),
+corrm AS (SELECT i.as_of_date, i.ticker AS ti, j.ticker AS tj, coalesce(p.s, 0.0::DOUBLE) AS cov_r,
+                 CASE WHEN i.s = 0 OR j.s = 0 THEN 0.0::DOUBLE ELSE coalesce(p.s, 0.0::DOUBLE) / sqrt(i.s * j.s) END AS rho
+          FROM own_sum i JOIN own_sum j ON i.as_of_date = j.as_of_date
+          LEFT JOIN prods p ON p.as_of_date = i.as_of_date AND p.ti = i.ticker AND p.tj = j.ticker)"""
 
 
 def positions(by="segment", ticker_by="brand", options=False) -> str:
@@ -157,7 +157,7 @@ def pnl_expr(q="quantity", d="delta", g="gamma", s="spot_price", r="r") -> str:
 
 def scenario_stats(pnl: str, keys: str, method: str, req_join: str) -> str:
     """Result rows from a P&L relation (keys..., portfolio_id, scenario_id, pnl)."""
-    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys}, portfolio_id ORDER BY round(pnl, 2), scenario_id) AS rn,
+    return f"""ranked AS (SELECT *, row_number() OVER (PARTITION BY {keys}, portfolio_id ORDER BY pnl, scenario_id) AS rn,
                          count(*) OVER (PARTITION BY {keys}, portfolio_id) AS n FROM {pnl}),
 res_{method.lower()} AS (
   SELECT q.correlation_id, k.portfolio_id, q.as_of_date, '{method}' AS method,
@@ -190,17 +190,12 @@ HPNL = f"""hpnl AS (SELECT s.as_of_date, s.historical_window, e.portfolio_id, s.
 
 def mc_block(paths=C.MC_PATHS, seed=C.SEED, periods=C.PERIODS) -> str:
     steps, dt = schemas.TIME_GRIDS[schemas.DEFAULT_TIME_GRID]
-    w = sql_hashed_normal(str(seed), "pth.path", "st.t")
-    return f"""nt AS (SELECT as_of_date, count(DISTINCT t) AS n_t FROM returns GROUP BY as_of_date),
-xc AS (SELECT as_of_date, t, ticker, r - avg(r) OVER (PARTITION BY as_of_date, ticker) AS x FROM returns),
-steps_t AS (SELECT as_of_date, n_t, unnest(generate_series(0, n_t - 1)) AS t FROM nt),
-normals AS (SELECT st.as_of_date, st.n_t, CAST(pth.path AS INTEGER) AS scenario_id, st.t, {w} AS w
-            FROM steps_t st CROSS JOIN range(0, {paths}) pth(path)),
-mshock AS (SELECT n.as_of_date, n.scenario_id, x.ticker,
-                  CASE WHEN n.n_t >= 2 THEN sqrt({float(periods)!r}{D} * {steps} * {dt!r}{D} / (n.n_t - 1)) END
-                  * sum(n.w * x.x) AS r
-           FROM normals n JOIN xc x ON n.as_of_date = x.as_of_date AND n.t = x.t
-           GROUP BY n.as_of_date, n.scenario_id, x.ticker, n.n_t)"""
+    w = sql_hashed_normal(str(seed), "pth.path", "days.d")
+    return f"""normals AS (SELECT days.d, CAST(pth.path AS INTEGER) AS scenario_id, {w} AS w
+            FROM (SELECT DISTINCT d FROM zs) days CROSS JOIN range(0, {paths}) pth(path)),
+mshock AS (SELECT z.as_of_date, n.scenario_id, z.ticker,
+                  sqrt({float(periods)!r}{D} * {steps} * {dt!r}{D}) * sum(n.w * z.z) AS r
+           FROM normals n JOIN zs z ON n.d = z.d GROUP BY z.as_of_date, n.scenario_id, z.ticker)"""
 
 
 MPNL = f"""mpnl AS (SELECT s.as_of_date, e.portfolio_id, s.scenario_id, sum({pnl_expr(r='s.r')}) AS pnl
@@ -233,20 +228,23 @@ def _with(*blocks: str) -> str:
 BASE = (panel(), calendar(), PX)
 
 
-def results_sql(methods=schemas.METHODS) -> str:
-    blocks = [*BASE, RETURNS, positions(), SPOT, requests(methods)]
+def results_sql(methods=schemas.METHODS, base=BASE, book="segment", paths=C.MC_PATHS, window=C.HIST_WINDOW,
+                rounding=True) -> str:
+    blocks = [*base, RETURNS, positions(book), SPOT, requests(methods)]
     parts = []
     if "PARAMETRIC" in methods:
         blocks += [CORR, PARAM]
         parts.append("SELECT * FROM res_parametric")
     if "HISTORICAL" in methods:
-        blocks += [hist_block(), HPNL,
+        blocks += [hist_block((window,)), HPNL,
                    scenario_stats("hpnl", "as_of_date, historical_window", "HISTORICAL",
                                   "q.as_of_date = k.as_of_date AND q.method = 'HISTORICAL'").replace(
                                       "ranked AS", "hranked AS").replace("FROM ranked k", "FROM hranked k")]
         parts.append("SELECT * FROM res_historical")
     if "MONTE_CARLO" in methods:
-        blocks += [mc_block(), MPNL,
+        if "PARAMETRIC" not in methods:
+            blocks.append(SCALED)
+        blocks += [mc_block(paths), MPNL,
                    scenario_stats("mpnl", "as_of_date", "MONTE_CARLO",
                                   "q.as_of_date = k.as_of_date AND q.method = 'MONTE_CARLO'").replace(
                                       "ranked AS", "mranked AS").replace("FROM ranked k", "FROM mranked k")]
@@ -275,18 +273,18 @@ def build() -> dict[str, str]:
     q["correlation_matrix"] = _with(*BASE, RETURNS, CORR) + "SELECT as_of_date, ti, tj, round(rho, 8) AS rho FROM corrm"
     q["covariance_matrix"] = _with(*BASE, RETURNS, CORR) + \
         f"SELECT as_of_date, ti, tj, round(cov_r * {C.PERIODS}.0{D}, 8) AS sigma FROM corrm"
-    q["covariance_from_corr"] = _with(*BASE, RETURNS, CORR, OWN, vols("own", "ovols")) + (
+    q["covariance_from_corr"] = _with(*BASE, RETURNS, CORR, vols("returns", "ovols")) + (
         "SELECT m.as_of_date, m.ti, m.tj, round(m.rho * coalesce(a.vol, 0.0) * coalesce(b.vol, 0.0), 8) AS sigma "
         "FROM corrm m LEFT JOIN ovols a ON a.as_of_date = m.as_of_date AND a.ticker = m.ti "
         "LEFT JOIN ovols b ON b.as_of_date = m.as_of_date AND b.ticker = m.tj")
-    q["short_history_factors"] = _with(panel("brand", "week"), calendar("early"), PX) + (
+    q["short_history_factors"] = _with(panel("brand", "week"), calendar("all"), PX) + (
         "SELECT as_of_date, ticker, CAST(count(*) AS INTEGER) AS n_prices, "
         "'requires at least 2 price observations' AS reason FROM px GROUP BY as_of_date, ticker HAVING count(*) < 2")
     ws = ", ".join(f"({w})" for w in C.HIST_WINDOWS)
     q["history_quality"] = _with(*BASE) + (
         "SELECT c.as_of_date, w.historical_window, c.ticker, c.n_returns, "
         "CASE WHEN c.n_returns = 0 THEN 'MISSING' WHEN c.n_returns < w.historical_window THEN 'SHORT' ELSE 'OK' END "
-        "AS status FROM (SELECT as_of_date, ticker, CAST(greatest(count(*) - 1, 0) AS INTEGER) AS n_returns "
+        "AS status, CASE WHEN c.n_returns = 0 THEN 'VAR_CALCULATION_FAILED' END AS reason FROM (SELECT as_of_date, ticker, CAST(greatest(count(*) - 1, 0) AS INTEGER) AS n_returns "
         f"FROM px GROUP BY as_of_date, ticker) c CROSS JOIN (VALUES {ws}) w(historical_window)")
     q["calibration_rows"] = _with(*BASE, RETURNS, vols()) + (
         "SELECT strftime(as_of_date, '%Y-%m-%d') AS as_of_date, ticker, round(vol, 8) AS volatility, "
@@ -311,10 +309,10 @@ def build() -> dict[str, str]:
     q["enrich_positions"] = _with(*BASE, positions("nation"), SPOT) + (
         "SELECT as_of_date, portfolio_id, ticker, quantity, spot_price "
         "FROM enriched")
-    q["unmatched_positions"] = _with(panel("brand", "day"), calendar("early"), positions()) + (
+    q["unmatched_positions"] = _with(panel("brand", "day"), calendar("all"), positions()) + (
         "SELECT a.as_of_date, b.portfolio_id, b.ticker, round(b.quantity, 6) AS quantity "
-        "FROM book b CROSS JOIN asofs a WHERE NOT EXISTS (SELECT 1 FROM prices p "
-        "WHERE p.ticker = b.ticker AND p.date <= a.as_of_date AND p.close IS NOT NULL)")
+        "FROM book b LEFT JOIN (SELECT ticker, min(date) AS first FROM prices WHERE close IS NOT NULL GROUP BY ticker) f "
+        "ON f.ticker = b.ticker JOIN asofs a ON f.first IS NULL OR a.as_of_date < f.first")
     q["portfolio_value"] = _with(*BASE, positions(), SPOT) + (
         "SELECT as_of_date, portfolio_id, round(sum(quantity * spot_price), 2) AS total_value "
         "FROM enriched GROUP BY as_of_date, portfolio_id")
@@ -324,29 +322,44 @@ def build() -> dict[str, str]:
                      "FROM (SELECT DISTINCT l_discount FROM lineitem)")
     pv = _with(*BASE, RETURNS, positions(), SPOT, CORR, PARAM.split(",\nres_parametric")[0])
     q["portfolio_variance"] = pv + "SELECT as_of_date, portfolio_id, round(sqrt(variance), 2) AS sigma_p FROM pvar"
-    q["portfolio_variance_projected"] = _with(*BASE, RETURNS, positions(), SPOT) + (
-        f"SELECT as_of_date, portfolio_id, round(sqrt(var_samp(y) * {C.PERIODS}.0{D}), 2) AS sigma_p FROM ("
-        "SELECT d.as_of_date, d.portfolio_id, r.t, sum(d.dollar_delta * r.r) AS y FROM dd d JOIN returns r "
-        "ON d.as_of_date = r.as_of_date AND d.ticker = r.ticker GROUP BY d.as_of_date, d.portfolio_id, r.t) "
+    q["portfolio_variance_projected"] = _with(*BASE, RETURNS, positions(), SPOT, SCALED) + (
+        f"SELECT as_of_date, portfolio_id, round(sqrt(sum(y * y) * {C.PERIODS}.0{D}), 2) AS sigma_p FROM ("
+        "SELECT d.as_of_date, d.portfolio_id, z.date, sum(d.dollar_delta * z.z) AS y FROM dd d JOIN zs z "
+        "ON d.as_of_date = z.as_of_date AND d.ticker = z.ticker GROUP BY d.as_of_date, d.portfolio_id, z.date) "
         "GROUP BY as_of_date, portfolio_id")
     q["parametric_var"] = results_sql(("PARAMETRIC",))
-    q["historical_shocks"] = _with(*BASE, hist_block(C.HIST_WINDOWS)) + (
+    q["historical_shocks"] = _with(*BASE, RETURNS, hist_block(C.HIST_WINDOWS)) + (
         "SELECT as_of_date, historical_window, scenario_id, ticker, round(r, 8) AS r FROM hshock")
     hp = "SELECT as_of_date, portfolio_id, scenario_id, round(pnl, 2) AS pnl FROM hpnl"
-    q["scenario_pnl"] = _with(*BASE, positions(options=True), SPOT, hist_block(), HPNL) + hp
-    q["pnl_linear"] = _with(*BASE, positions(), SPOT, hist_block(), HPNL) + hp
+    q["scenario_pnl"] = _with(*BASE, RETURNS, positions(options=True), SPOT, hist_block(), HPNL) + hp
+    q["pnl_linear"] = _with(*BASE, RETURNS, positions(), SPOT, hist_block(), HPNL) + hp
     q["pnl_delta_gamma"] = q["scenario_pnl"]
     q["historical_var"] = results_sql(("HISTORICAL",))
-    q["tail_scenarios"] = _with(*BASE, positions(), SPOT, requests(("HISTORICAL",)), hist_block(), HPNL) + (
-        "SELECT q.correlation_id, k.portfolio_id, CAST(k.rn AS INTEGER) AS rank, k.scenario_id, "
+    q["tail_scenarios"] = _with(*BASE, RETURNS, positions(), SPOT, requests(("HISTORICAL",)), hist_block(), HPNL) + (
+        "SELECT q.correlation_id, k.portfolio_id, CAST(k.rn AS INTEGER) AS rank, "
         "round(k.pnl, 2) AS pnl FROM (SELECT *, row_number() OVER (PARTITION BY as_of_date, historical_window, "
-        "portfolio_id ORDER BY round(pnl, 2), scenario_id) AS rn, count(*) OVER (PARTITION BY as_of_date, historical_window, "
+        "portfolio_id ORDER BY pnl, scenario_id) AS rn, count(*) OVER (PARTITION BY as_of_date, historical_window, "
         f"portfolio_id) AS n FROM hpnl) k JOIN reqs q ON q.as_of_date = k.as_of_date "
         f"WHERE k.rn <= {idx('q.alpha', 'k.n')} + 1")
-    q["mc_shocks"] = _with(panel(), calendar("last"), PX, RETURNS, mc_block()) + (
+    q["mc_shocks"] = _with(*BASE, RETURNS, SCALED, mc_block()) + (
         "SELECT as_of_date, scenario_id, ticker, round(r, 8) AS r FROM mshock")
     q["monte_carlo_var"] = results_sql(("MONTE_CARLO",))
     q["var_all_methods"] = results_sql()
+    q["default_size_var"] = results_sql(("HISTORICAL", "MONTE_CARLO"), (panel(), calendar("last"), PX), C.DEFAULT_BOOK,
+                                        schemas.DEFAULT_NUM_PATHS, schemas.DEFAULT_HISTORICAL_WINDOW)
+    q["results_json"] = (
+        "SELECT correlation_id AS key, correlation_id AS correlationId, portfolio_id AS portfolioId, "
+        "strftime(as_of_date, '%Y-%m-%d') AS asOfDate, method, var_amount AS varAmount, expected_shortfall AS expectedShortfall, "
+        f"alpha, mean_pnl AS meanPnL, std_dev_pnl AS stdDevPnL FROM ({results_sql()})")
+    q["positions_panel"] = _with(positions(options=True)) + (
+        f"SELECT portfolio_id, ticker, round(quantity, 6) AS quantity, 'EQD' AS asset_class, delta, gamma, 0.0{D} AS maturity_in_years FROM book")
+    q["price_quality"] = (
+        "WITH d AS (SELECT upper(trim(event_type)) AS ticker, CAST(ts AS DATE) AS day, CASE WHEN event_type IS NULL THEN 'ticker' "
+        "WHEN ts IS NULL THEN 'date' WHEN value IS NULL OR isnan(value) OR value = 'inf' THEN 'close' WHEN value <= 0 THEN 'sign' END AS fault, "
+        "count(*) AS n FROM events GROUP BY 1, 2, 3) SELECT ticker, CAST(sum(n) AS BIGINT) AS n_rows, "
+        + ", ".join(f"CAST(coalesce(sum(n) FILTER (fault = '{k}'), 0) AS BIGINT) AS {c}" for k, c in
+                    (("ticker", "n_bad_ticker"), ("date", "n_bad_date"), ("close", "n_bad_close"), ("sign", "n_not_positive")))
+        + ", CAST(coalesce(sum(n - 1) FILTER (fault IS NULL), 0) AS BIGINT) AS n_duplicate FROM d GROUP BY ticker")
     q["validate_requests"] = validate_sql()
     ms = ", ".join(f"('{m.lower()}')" for m in schemas.METHODS)
     al = ", ".join(f"({a}{D})" for a in C.ALPHAS)
@@ -360,7 +373,9 @@ def build() -> dict[str, str]:
     allres = results_sql()
     stored = (f"SELECT correlation_id, portfolio_id, strftime(as_of_date, '%Y-%m-%d') AS as_of_date, method, "
               f"var_amount, expected_shortfall, alpha, mean_pnl, std_dev_pnl, num_scenarios, "
-              f"TIMESTAMP '{C.RUN_TS}' AS ts, DATE '{C.RUN_TS[:10]}' AS result_date FROM ({allres})")
+              f"CASE WHEN alpha = {C.ALPHAS[0]}{D} THEN TIMESTAMP '{C.RUN_TS}' ELSE TIMESTAMP '{C.RERUN_TS}' END AS ts, "
+              f"CAST(CASE WHEN alpha = {C.ALPHAS[0]}{D} THEN DATE '{C.RUN_TS[:10]}' ELSE DATE '{C.RERUN_TS[:10]}' END AS DATE) AS result_date "
+              f"FROM ({allres})")
     q["results_rows"] = stored
     q["query_results"] = (
         f"SELECT correlation_id, portfolio_id, as_of_date, method, var_amount, expected_shortfall, alpha, mean_pnl, "

@@ -4,8 +4,8 @@
 
     requests --validate--> valid ----------------------------+--> rejects
                             | distinct as-of dates            |
-    prices --as-of range join--> prices_as_of --+--> returns / vols / corr
-                                                +--> spot --join positions--> exposures
+    prices --+--> returns per ticker --exploded to as-of dates--> vols / corr / scaled returns
+             +--> as-of index (spot, history length) --join positions--> exposures
     valid[PARAMETRIC] x projected variance          --+
     valid[HISTORICAL] x replayed shocks x exposures --+--> union --> results
     valid[MONTE_CARLO] x path shocks x exposures    --+
@@ -39,6 +39,7 @@ class ScenarioRun:
     calibration: cal_ops.Calibration
     enriched: DataFrame
     exposures: DataFrame
+    factor_rejects: DataFrame | None = None   # held factors that could not be calibrated, with reason and code
     cached: list = field(default_factory=list)
     # Exact sizes measured for the join decisions (the job's row counts; no extra job).
     sizes: dict = field(default_factory=dict)
@@ -60,6 +61,9 @@ class _Inputs:
     request_rows: int | None = None
     factor_keys: int | None = None
     return_keys: int | None = None
+    book_rows: int | None = None
+    dates: dict = field(default_factory=dict)     # method -> as-of dates of its requests
+    book_pnl: object = None                       # see run_scenarios(pricer=...)
 
 
 def _cache_counted(df: DataFrame, run_cache: list, keys: list[str] | None = None) -> tuple[DataFrame, int, int]:
@@ -78,17 +82,17 @@ def _cache_counted(df: DataFrame, run_cache: list, keys: list[str] | None = None
     return df, int(row["n"]), int(row["k"]) if keys else 0
 
 
-def _for(df: DataFrame, valid: DataFrame, method: str) -> DataFrame:
-    return df.join(F.broadcast(valid.filter(F.col("method") == method).select("as_of_date").distinct()),
-                   "as_of_date", "left_semi")
+def _for(df: DataFrame, inp: "_Inputs", method: str) -> DataFrame:
+    """Rows of the as-of dates that the method's requests name (a calendar-bounded list)."""
+    return df.filter(F.col("as_of_date").isin(inp.dates[method])) if method in inp.dates else df
 
 
-def _shock_rows(sets: DataFrame, returns: DataFrame, per_factor: F.Column) -> int:
-    """Exact size of a shock table: scenarios per set x factors of its as-of date
-    (a small aggregate over the cached returns; one number to the driver)."""
-    nf = returns.groupBy("as_of_date").agg(F.countDistinct("ticker").alias("nf"))
-    total = sets.join(nf, "as_of_date").agg(F.sum(per_factor.cast("long") * F.col("nf"))).first()[0]
-    return int(total or 0)
+def _scenario_sizes(sets: DataFrame, factors: DataFrame, per_set: F.Column) -> tuple[int, int]:
+    """(shock rows, scenarios of the largest as-of date), from one small aggregate."""
+    nf = factors.groupBy("as_of_date").agg(F.countDistinct("ticker").alias("nf"))
+    per_date = sets.groupBy("as_of_date").agg(F.sum(per_set.cast("long")).alias("s")).join(nf, "as_of_date")
+    row = per_date.agg(F.sum(F.col("s") * F.col("nf")), F.max("s")).first()
+    return int(row[0] or 0), int(row[1] or 0)
 
 
 def _use_blocks(spark, shock_rows, returns_rows, return_keys) -> bool:
@@ -106,12 +110,13 @@ def _use_blocks(spark, shock_rows, returns_rows, return_keys) -> bool:
     return pairs >= float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000"))
 
 
-def _distribution_buckets(spark, shock_rows, exposure_rows, factor_keys) -> int:
+def _distribution_buckets(spark, shock_rows, exposure_rows, factor_keys, n_scenarios, n_books) -> int:
     """Book buckets for whole-distribution blocks (0 = use the row path).
 
     Used when repricing goes to blocks (see scenarios.price_scenarios), the
     books outnumber the scenarios, and all shocks fit in one block copied to
-    every bucket (shock rows <= ``riskspark.pricing.blockRows``)."""
+    every bucket (shock rows <= ``riskspark.pricing.blockRows``). Buckets hold at
+    most ``riskspark.pricing.blockCells`` scenarios x books."""
     kernel = spark.conf.get("riskspark.pricing.kernel", "auto")
     if kernel == "relational" or None in (shock_rows, exposure_rows, factor_keys):
         return 0
@@ -121,15 +126,16 @@ def _distribution_buckets(spark, shock_rows, exposure_rows, factor_keys) -> int:
     if not big or shock_rows > block or exposure_rows <= shock_rows:
         return 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(parts, -(-exposure_rows // block))
+    cells = int(spark.conf.get("riskspark.pricing.blockCells", "4000000"))
+    return max(parts, -(-(n_scenarios * n_books) // cells))
 
 
 def parametric_results(inp: _Inputs) -> DataFrame:
     valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "PARAMETRIC")
-    dd = _for(inp.exposures, valid, "PARAMETRIC").select(
+    dd = _for(inp.exposures, inp, "PARAMETRIC").select(
         "as_of_date", "portfolio_id", "ticker", F.col("lin_exposure").alias("dollar_delta"))
-    variance = risk.portfolio_variance_projected(dd, cal.returns, cal.periods_per_year, inp.returns_rows,
+    variance = risk.portfolio_variance_projected(dd, cal.scaled, cal.periods_per_year, inp.returns_rows,
                                                  inp.exposure_rows)
     return risk.parametric_var(req, variance, inp.request_rows)
 
@@ -138,36 +144,49 @@ def historical_results(inp: _Inputs) -> DataFrame:
     valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "HISTORICAL")
     sets = req.select(*scenarios.HIST_KEYS).distinct()
-    shocks = scenarios.historical_shocks(cal.own_returns, sets)
-    exp = _for(inp.exposures, valid, "HISTORICAL")
-    shock_rows = _shock_rows(sets, cal.own_returns, F.col("historical_window")) if inp.exposure_rows else None
-    factors = cal.own_returns.select("as_of_date", "ticker").distinct()
-    buckets = _distribution_buckets(valid.sparkSession, shock_rows, inp.exposure_rows, inp.factor_keys)
+    returns = _for(cal.returns, inp, "HISTORICAL")
+    shocks = scenarios.historical_shocks(returns, sets, inp.request_rows)
+    exp = _for(inp.exposures, inp, "HISTORICAL")
+    shock_rows = n_scen = None
+    if inp.exposure_rows is not None:
+        shock_rows, n_scen = _scenario_sizes(sets, cal.index.filter("n_prices > 1"), F.col("historical_window"))
+    factors = cal.index.filter("n_prices > 1").select("as_of_date", "ticker")
+    buckets = 0 if inp.book_pnl else _distribution_buckets(valid.sparkSession, shock_rows, inp.exposure_rows, inp.factor_keys,
+                                                           n_scen, inp.book_rows)
     if buckets:
         dist = scenarios.scenario_distribution_blocks(shocks, exp, scenarios.HIST_KEYS, buckets)
         var = risk.scenario_var_from_distribution(req, dist, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows)
     else:
-        pnl = scenarios.price_scenarios(shocks, exp, scenarios.HIST_KEYS, inp.exposure_rows, shock_rows,
-                                        inp.factor_keys)
+        pnl = _pnl(inp, shocks, exp, scenarios.HIST_KEYS, shock_rows, n_scen)
         var = risk.scenario_var(req, pnl, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows)
     return var.unionByName(
         risk.zero_results(req, exp, factors, "HISTORICAL", F.col("historical_window"), inp.request_rows))
 
 
+def _pnl(inp: _Inputs, shocks: DataFrame, exp: DataFrame, keys: list[str], shock_rows, n_scen) -> DataFrame:
+    if inp.book_pnl:
+        return inp.book_pnl(shocks, keys)
+    return scenarios.price_scenarios(shocks, exp, keys, inp.exposure_rows, shock_rows, inp.factor_keys, n_scen, inp.book_rows)
+
+
 def monte_carlo_results(inp: _Inputs) -> DataFrame:
     valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "MONTE_CARLO")
     sets = req.select(*scenarios.MC_KEYS).distinct()
-    exp = _for(inp.exposures, valid, "MONTE_CARLO")
-    shock_rows = _shock_rows(sets, cal.returns, F.col("num_paths")) if inp.exposure_rows else None
-    centred = cal_ops.centred_returns(cal.returns)
-    if _use_blocks(valid.sparkSession, shock_rows, inp.returns_rows, inp.return_keys):
-        shocks = scenarios.mc_shocks_blocks(centred, sets, cal.periods_per_year)
+    exp = _for(inp.exposures, inp, "MONTE_CARLO")
+    scaled = _for(cal.scaled, inp, "MONTE_CARLO")
+    shock_rows = n_scen = None
+    if inp.exposure_rows is not None:
+        shock_rows, n_scen = _scenario_sizes(sets, cal.index.filter("n_prices > 2"), F.col("num_paths"))
+    spark = valid.sparkSession
+    if _use_blocks(spark, shock_rows, inp.returns_rows, inp.return_keys):
+        cells = int(spark.conf.get("riskspark.pricing.blockCells", "4000000"))
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shock_rows // cells))
+        shocks = scenarios.mc_shocks_blocks(scaled, sets, cal.periods_per_year, path_buckets=buckets)
     else:
-        shocks = scenarios.mc_shocks(centred, sets, cal.periods_per_year, returns_rows=inp.returns_rows)
-    pnl = scenarios.price_scenarios(shocks, exp, scenarios.MC_KEYS, inp.exposure_rows, shock_rows,
-                                    inp.factor_keys)
-    factors = cal.returns.select("as_of_date", "ticker").distinct()
+        shocks = scenarios.mc_shocks(scaled, sets, cal.periods_per_year, returns_rows=inp.returns_rows)
+    pnl = _pnl(inp, shocks, exp, scenarios.MC_KEYS, shock_rows, n_scen)
+    factors = cal.index.filter("n_prices > 2").select("as_of_date", "ticker")
     return risk.scenario_var(req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", inp.request_rows).unionByName(
         risk.zero_results(req, exp, factors, "MONTE_CARLO", F.col("num_paths"), inp.request_rows))
 
@@ -181,52 +200,62 @@ METHOD_BUILDERS = {
 
 def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
                   periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
-                  align: str = "common_dates", methods=schemas.METHODS,
-                  require_paths: bool = False, materialize: bool = True) -> ScenarioRun:
+                  align: str = "date", methods=schemas.METHODS,
+                  require_paths: bool = False, materialize: bool = True, durable_prices: bool = True,
+                  pricer: str | None = None, strict: bool = False) -> ScenarioRun:
     """Value-at-Risk of every book in ``positions`` for every valid request.
 
     ``methods`` limits the branches planned (a batch known to hold one method
-    plans only that branch). ``materialize=True`` (default):
-
-    * checkpoints the as-of price table into the session's checkpoint folder
-      before the branches fan out — the price source (e.g. an aggregate over a
-      fact table) is scanned once, and a lost executor never recomputes that
-      scan; the (small) valid requests are cached and counted;
-    * caches the common-date returns and the exposures, which every branch
-      reuses, and measures their exact row counts; the scenario joins then
-      broadcast them only when they are under the broadcast limit, else use a
-      salted shuffle join (plans.joins).
+    plans only that branch). ``pricer`` names a registered pricer
+    (functions.pricing.register_pricer) that reprices position by position;
+    without it positions collapse to linear and quadratic exposures first.
+    ``strict`` raises for the first factor with fewer than two prices, naming it.
+
+    ``materialize=True`` (default) caches the valid requests, checkpoints the
+    prices (``durable_prices=False`` when the caller's table is already cut from
+    its source) and the exposures into the session's checkpoint folder - a lost
+    executor never recomputes a fact scan - and measures exact row counts; the
+    scenario joins broadcast a side only when it is under the broadcast limits,
+    else they are salted shuffle joins (plans.joins).
 
     Call ``ScenarioRun.release()`` once the results are written.
     """
     valid, rejects = validate_requests(requests, require_paths=require_paths)
-    # The same id delivered twice (a replayed message) is one request.
+    # The same request delivered twice (a replayed message) is one request.
     valid = valid.dropDuplicates(["correlation_id"])
     cached: list = []
-    request_rows = None
+    request_rows, dates = None, {}
     if materialize:
-        # Small: cached and counted once (the count sizes the request joins).
-        valid, request_rows, _ = _cache_counted(valid, cached)
-    asof = valid.select("as_of_date").distinct()
-    px = cal_ops.prices_as_of(prices, asof)
-    if materialize:
-        px = cut_lineage(px, durable=True)
-    cal = cal_ops.Calibration(px, periods_per_year, align)
-    spot = enrich_ops.latest_spot(px)
+        valid = cut_lineage(valid, durable=False)
+        cached.append(valid)
+        by = valid.groupBy("method", "as_of_date").count().collect()      # calendar x methods
+        request_rows = sum(r["count"] for r in by)
+        dates = {m: [r["as_of_date"] for r in by if r["method"] == m] for m in schemas.METHODS}
+        if durable_prices:
+            prices = cut_lineage(prices, durable=True)
+    cal = cal_ops.Calibration(prices, cal_ops.as_of_array(valid), periods_per_year, align)
     spot_rows = None
     if materialize:
-        spot, spot_rows, _ = _cache_counted(spot, cached)
-    enriched = enrich_ops.enrich_positions(positions, spot, spot_rows)
+        index, spot_rows, _ = _cache_counted(cal.index, cached)
+        cal.use("index", index)
+    if strict:
+        cal_ops.short_history_factors(cal.index, strict=True).limit(1).collect()
+    enriched = enrich_ops.enrich_positions(positions, cal.index, spot_rows)
     exp = enrich_ops.exposures(enriched)
-    inp = _Inputs(valid, cal, exp)
+    inp = _Inputs(valid, cal, exp, dates=dates)
+    if pricer:
+        inp.book_pnl = lambda shocks, keys: scenarios.position_scenario_pnl(shocks, enriched, keys, pricer)
     if materialize:
         inp.request_rows = request_rows
-        inp.exposures, inp.exposure_rows, inp.factor_keys = _cache_counted(exp, cached, ["as_of_date", "ticker"])
+        inp.exposures = cut_lineage(exp, durable=True)
+        row = inp.exposures.agg(F.count(F.lit(1)), F.count_distinct("as_of_date", "ticker"),
+                                F.count_distinct("as_of_date", "portfolio_id")).first()
+        inp.exposure_rows, inp.factor_keys, inp.book_rows = (int(x) for x in row)
         if {"PARAMETRIC", "MONTE_CARLO"} & set(methods):
-            returns, inp.returns_rows, inp.return_keys = _cache_counted(cal.returns, cached, ["as_of_date", "ticker"])
-            cal.use("returns", returns)
-        if "HISTORICAL" in methods:
-            cached.append(cal.use("own", cut_lineage(cal.own_returns, durable=False)))
+            scaled, inp.returns_rows, inp.return_keys = _cache_counted(cal.scaled, cached, ["as_of_date", "ticker"])
+            cal.use("scaled", scaled)
+    short = cal_ops.short_history_factors(cal.index).withColumn("error_code", F.lit(schemas.ERR_CALCULATION))
+    factor_rejects = short.join(inp.exposures.select("as_of_date", "ticker").distinct(), ["as_of_date", "ticker"], "left_semi")
     parts = [METHOD_BUILDERS[m](inp) for m in methods]
     results = parts[0]
     for p in parts[1:]:
@@ -234,33 +263,47 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     sizes = {"requests": request_rows, "spot": spot_rows, "exposures": inp.exposure_rows,
              "exposure_factors": inp.factor_keys, "returns": inp.returns_rows}
     return ScenarioRun(results.select(*schemas.RESULT_COLUMNS), rejects, valid, cal, enriched,
-                       inp.exposures, cached, sizes)
+                       inp.exposures, factor_rejects, cached, sizes)
 
 
-def run_csv_requests(spark, requests: DataFrame,
-                     periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> tuple[DataFrame, DataFrame]:
-    """Requests that name their inputs by path (``portfolio_csv_path``,
-    ``prices_csv_path``): returns ``(results, rejects)``.
+def run_path_groups(spark, requests: DataFrame, handle, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> DataFrame:
+    """Run the requests of each (portfolio_csv_path, prices_csv_path) pair on its own files.
 
-    The distinct path pairs are the list of input files to open (control
-    metadata, bounded by the request batch); each pair is one scan of its
-    files and one ``run_scenarios`` plan, and all plans are unioned.
+    ``handle(run)`` gets the ScenarioRun of a pair and writes what it needs. The
+    distinct pairs are control metadata, bounded by the request batch. A pair
+    whose files cannot be read or computed does not stop the others: its
+    requests are returned as rejects with RISK_PLATFORM_ERROR, together with
+    the invalid ones.
     """
     from ..sources.csv import read_position_csv, read_price_csv
 
     valid, rejects = validate_requests(requests, require_paths=True)
     valid = cut_lineage(valid.dropDuplicates(["correlation_id"]), durable=True)
-    pairs = valid.select("portfolio_csv_path", "prices_csv_path").distinct().collect()
-    parts = []
-    for pair in pairs:
+    for pair in valid.select("portfolio_csv_path", "prices_csv_path").distinct().collect():
         sub = valid.filter((F.col("portfolio_csv_path") == pair.portfolio_csv_path)
                            & (F.col("prices_csv_path") == pair.prices_csv_path))
-        positions = read_position_csv(spark, pair.portfolio_csv_path).drop("source_file")
-        prices = read_price_csv(spark, pair.prices_csv_path)
-        parts.append(run_scenarios(sub, positions, prices, periods_per_year).results)
-    if not parts:
-        return spark.createDataFrame([], schemas.RESULTS), rejects
-    results = parts[0]
-    for p in parts[1:]:
+        try:
+            positions = read_position_csv(spark, pair.portfolio_csv_path).drop("source_file")
+            run = run_scenarios(sub, positions, read_price_csv(spark, pair.prices_csv_path), periods_per_year)
+            try:
+                handle(run)
+            finally:
+                run.release()
+        except Exception as e:  # noqa: BLE001 - reported per request, like one bad message
+            why = F.array(F.struct(F.lit("files").alias("field"), F.lit(str(e).splitlines()[0][:500]).alias("message")))
+            none = F.lit(None).cast("string")
+            rejects = rejects.unionByName(sub.select("correlation_id", F.lit(schemas.ERR_PLATFORM).alias("error_code"), why.alias("violations"),
+                                                     none.alias("as_of_raw"), none.alias("raw_payload")))
+    return rejects
+
+
+def run_csv_requests(spark, requests: DataFrame,
+                     periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> tuple[DataFrame, DataFrame]:
+    """Requests that name their inputs by path: returns ``(results, rejects)``,
+    the results of each path pair written to the checkpoint folder once."""
+    parts: list[DataFrame] = []
+    rejects = run_path_groups(spark, requests, lambda run: parts.append(cut_lineage(run.results, durable=True)), periods_per_year)
+    results = spark.createDataFrame([], schemas.RESULTS)
+    for p in parts:
         results = results.unionByName(p)
     return results, rejects

@@ -1,10 +1,10 @@
 """Result and calibration stores: sinks (append, JSON messages, fan-out) and lookups.
 
-Stored results are a Parquet table partitioned by ``result_date`` (the day of
-``ts``), one row per portfolio per request; stored calibrations the same per
-factor. Appends are idempotent per request: rows whose
-(correlation_id, portfolio_id) is already stored are skipped, so replaying a
-message never duplicates results.
+Stored results are a Parquet table partitioned by ``as_of_date``, one row per
+portfolio per request; stored calibrations are partitioned by ``result_date``
+(the day of ``ts``), one row per factor. Appends are idempotent: rows whose
+(correlation_id, portfolio_id) - or (as_of_date, ticker, volatility) - is already
+stored are skipped, so replaying a message never duplicates them.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def calibration_rows(vols: DataFrame, ts=None) -> DataFrame:
                        F.col("vol").alias("volatility"), t.alias("ts"), F.to_date(t).alias("result_date"))
 
 
-def _table_exists(spark: SparkSession, path: str) -> bool:
+def table_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)  # Hadoop FS check, works for any shared store
     fs = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.exists(jvm_path)
@@ -49,32 +49,53 @@ def _table_exists(spark: SparkSession, path: str) -> bool:
 def unseen_results(results: DataFrame, path: str) -> DataFrame:
     """Results whose (correlation_id, portfolio_id) is not in the store yet."""
     spark = results.sparkSession
-    if not _table_exists(spark, path):
+    if not table_exists(spark, path):
         return results
-    stored = spark.read.parquet(path).select("correlation_id", "portfolio_id")
+    # Only the as-of partitions of this batch are read.
+    dates = [r[0] for r in results.select("as_of_date").distinct().collect()]
+    stored = spark.read.parquet(path).filter(F.col("as_of_date").cast("date").isin(dates)).select("correlation_id", "portfolio_id")
     return results.join(stored, ["correlation_id", "portfolio_id"], "left_anti")
 
 
 def append_results(results: DataFrame, path: str, ts=None, skip_existing: bool = True) -> None:
-    """Append results to the Parquet store (partitioned by day), skipping
+    """Append results to the Parquet store (partitioned by as-of date), skipping
     (correlation_id, portfolio_id) pairs already there (replay-safe)."""
     if skip_existing:
         results = unseen_results(results, path)
-    results_rows(results, ts).write.mode("append").partitionBy("result_date").parquet(path)
+    results_rows(results, ts).write.mode("append").partitionBy("as_of_date").parquet(path)
 
 
 def append_rejects(rejects: DataFrame, path: str) -> None:
     """Append rejected requests, skipping correlation ids already recorded."""
     spark = rejects.sparkSession
-    if _table_exists(spark, path):
+    if table_exists(spark, path):
         rejects = rejects.join(spark.read.parquet(path).select("correlation_id"), "correlation_id", "left_anti")
     rejects.write.mode("append").parquet(path)
 
 
 def append_calibration(vols: DataFrame, path: str, ts=None) -> None:
+    """Append calibrations, skipping values already stored for the factor and date."""
+    if table_exists(vols.sparkSession, path):
+        stored = vols.sparkSession.read.parquet(path).select(F.col("as_of_date").cast("date").alias("as_of_date"), "ticker",
+                                                             F.col("volatility").alias("vol")).distinct()
+        vols = vols.alias("n").join(stored.alias("s"), (F.col("n.as_of_date") == F.col("s.as_of_date"))
+                                    & (F.col("n.ticker") == F.col("s.ticker")) & F.col("n.vol").eqNullSafe(F.col("s.vol")), "left_anti")
     calibration_rows(vols, ts).write.mode("append").partitionBy("result_date").parquet(path)
 
 
+def write_snapshot(calibration, path: str) -> str:
+    """Store vols, correlations and returns of a calibration, so that a saved one can run any method."""
+    calibration.vols.write.parquet(f"{path}/vols")
+    calibration.corr.write.parquet(f"{path}/corr")
+    calibration.returns.write.parquet(f"{path}/factor_returns")
+    return path
+
+
+def read_snapshot(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(corr, vols) of a stored calibration; its returns are in ``<path>/factor_returns``."""
+    return spark.read.parquet(f"{path}/corr"), spark.read.parquet(f"{path}/vols")
+
+
 def results_json(results: DataFrame) -> DataFrame:
     """(key, value) messages: key = correlation id, value = JSON with the
     published field names (no scenario count)."""
@@ -108,6 +129,25 @@ def fan_out(results: DataFrame, sinks: Iterable[Callable[[DataFrame], None]]) ->
         cached.unpersist()
 
 
+def publish_pending(stored: DataFrame, name: str, sink: Callable[[DataFrame], None], marker_path: str) -> None:
+    """Hand a sink the stored results it has not had yet, then mark them.
+
+    Every sink keeps its own marks, so a sink that failed after the results were
+    stored gets them on the next try, and a sink that succeeded gets nothing
+    twice (unless the job dies between the sink and its mark).
+    """
+    spark, path = stored.sparkSession, f"{marker_path.rstrip('/')}/{name}"
+    if table_exists(spark, path):
+        stored = stored.join(spark.read.parquet(path), ["correlation_id", "portfolio_id"], "left_anti")
+    pending = cut_lineage(stored, durable=False)
+    try:
+        if not pending.isEmpty():
+            sink(pending)
+            pending.select("correlation_id", "portfolio_id").write.mode("append").parquet(path)
+    finally:
+        pending.unpersist()
+
+
 # ---------------------------------------------------------------------------
 # Lookups
 # ---------------------------------------------------------------------------
@@ -140,7 +180,7 @@ def query_results(stored: DataFrame, portfolio_id: str | None = None, date_from=
         q = q.filter(F.col("method") == method.upper())
     num = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c)
     return (q.orderBy(F.col("ts").desc())
-            .select("correlation_id", "portfolio_id", "as_of_date", "method", num("var_amount"),
+            .select("correlation_id", "portfolio_id", F.col("as_of_date").cast("string").alias("as_of_date"), "method", num("var_amount"),
                     num("expected_shortfall"), num("alpha"), num("mean_pnl"), num("std_dev_pnl"),
                     F.col("num_scenarios").cast("int").alias("num_scenarios")))
 

@@ -38,7 +38,10 @@ DEFAULT_SEED = 42
 MIN_CONFIDENCE = 0.5
 MAX_CONFIDENCE = 0.9999
 MIN_NUM_PATHS = 1
+MIN_HISTORICAL_WINDOW = 1
 MAX_NUM_PATHS = 1_000_000
+# Our limit (40 years of trading days): a window is copied per factor, so it is rejected beyond, not trimmed.
+MAX_HISTORICAL_WINDOW = 10_000
 TIME_GRID_PATTERN = r"^GRID_\d+$"
 
 # Position defaults (plain equity spot).
@@ -62,6 +65,7 @@ MSG_CONF_MIN = "confidenceLevel must be ≥ 0.5"
 MSG_CONF_MAX = "confidenceLevel must be ≤ 0.9999"
 MSG_PATHS_MIN = "numPaths must be ≥ 1"
 MSG_PATHS_MAX = "numPaths must be ≤ 1 000 000"
+MSG_MIN_PRICES = "requires at least 2 price observations"
 MSG_GRID_BLANK = "timeGrid must not be blank"
 MSG_GRID_PATTERN = "timeGrid must match GRID_<N> (e.g. GRID_53)"
 

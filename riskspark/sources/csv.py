@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from .. import schemas
 from .tables import clean_prices
 
+# The header names are the file format.
 PRICE_HEADER = ["Ticker", "Date", "Open", "High", "Low", "Close", "Volume", "OpenInt"]
 POSITION_HEADER = ["portfolioId", "ticker", "quantity", "assetClass"]
 POSITION_OPTIONAL = ["delta", "gamma", "maturityInYears"]
@@ -57,7 +58,19 @@ def read_price_csv(spark: SparkSession, path: str, as_of=None, ticker_from: str
 
 def read_position_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """positions (schemas.POSITIONS) from position files; tickers upper-cased,
-    missing delta / gamma / maturity default to plain equity spot."""
+    missing delta / gamma / maturity default to plain equity spot. Rows without a
+    usable quantity or with an unknown asset class are in ``position_rejects``."""
+    return _positions(spark, path).filter(F.col("reason").isNull()).drop("reason", "quantity_raw")
+
+
+def position_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source_file, portfolio_id, ticker, quantity_raw, asset_class, reason) of the rows
+    that ``read_position_csv`` leaves out."""
+    return _positions(spark, path).filter(F.col("reason").isNotNull()).select(
+        "source_file", "portfolio_id", "ticker", "quantity_raw", "asset_class", "reason")
+
+
+def _positions(spark: SparkSession, path: str | list[str]) -> DataFrame:
     raw = spark.read.option("header", True).csv(path).withColumn("source_file", F.col("_metadata.file_path"))
     cols = set(raw.columns)
     for name in POSITION_HEADER:
@@ -76,5 +89,6 @@ def read_position_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
         num("delta", schemas.DEFAULT_DELTA).alias("delta"),
         num("gamma", schemas.DEFAULT_GAMMA).alias("gamma"),
         num("maturityInYears", schemas.DEFAULT_MATURITY).alias("maturity_in_years"),
-        "source_file",
-    ).filter(F.col("quantity").isNotNull())
+        "source_file", F.col("quantity").alias("quantity_raw"),
+    ).withColumn("reason", F.when(F.col("quantity").isNull(), "quantity is not a number")
+                 .when(~F.col("asset_class").isin(*schemas.ASSET_CLASSES), "unknown asset class"))

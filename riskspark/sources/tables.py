@@ -112,7 +112,7 @@ def clean_prices(raw: DataFrame, as_of=None, ticker: str = "ticker", date: str =
     px = raw.select(F.upper(F.trim(F.col(ticker))).alias("ticker"), parsed_date.alias("date"),
                     F.col(close).cast("string").try_cast("double").alias("close"),
                     *([F.col(ts).alias("_ts")] if ts else []))
-    px = px.filter(F.col("close").isNotNull() & (F.col("close") > 0) & F.col("date").isNotNull()
+    px = px.filter(F.col("close") < float("inf")).filter(F.col("close").isNotNull() & (F.col("close") > 0) & F.col("date").isNotNull()
                    & F.col("ticker").isNotNull())
     if as_of is not None:
         px = px.filter(F.col("date") <= F.lit(as_of).cast("date"))
@@ -120,7 +120,31 @@ def clean_prices(raw: DataFrame, as_of=None, ticker: str = "ticker", date: str =
     return px.groupBy("ticker", "date").agg(pick.alias("close"))
 
 
-def first_dates(prices: DataFrame, n: int) -> DataFrame:
-    """as_of_date: the first ``n`` distinct dates of a panel (early as-of dates
-    at which some factors have little or no history)."""
-    return prices.select(F.col("date").alias("as_of_date")).distinct().orderBy("as_of_date").limit(n)
+def all_dates(prices: DataFrame) -> DataFrame:
+    """as_of_date: every date of a panel."""
+    return prices.select(F.col("date").alias("as_of_date")).distinct()
+
+
+def price_quality(raw: DataFrame, ticker: str = "ticker", date: str = "date", close: str = "close") -> DataFrame:
+    """(ticker, n_rows, n_bad_ticker, n_bad_date, n_bad_close, n_not_positive, n_duplicate): what
+    ``clean_prices`` leaves out, counted per ticker (upper-cased; NULL for rows without one).
+
+    A row counts under the first fault it has; duplicates are further usable rows
+    of one (ticker, day).
+    """
+    d = F.col(date)
+    day = F.to_date(F.try_to_timestamp(d, F.lit("yyyy-MM-dd"))) if dict(raw.dtypes).get(date) == "string" else F.to_date(d)
+    number = F.col(close).cast("string").try_cast("double")
+    name = F.upper(F.trim(F.col(ticker)))
+    fault = (F.when(name.isNull(), "ticker").when(day.isNull(), "date").when(number.isNull() | F.isnan(number) | (number == float("inf")), "close")
+             .when(number <= 0, "sign"))
+    rows = raw.select(name.alias("ticker"), day.alias("day"), fault.alias("fault"))
+    per_day = rows.groupBy("ticker", "day", "fault").agg(F.count(F.lit(1)).alias("n"))
+
+    def total(kind: str):
+        return F.sum(F.when(F.col("fault") == kind, F.col("n")).otherwise(0)).alias(
+            {"ticker": "n_bad_ticker", "date": "n_bad_date", "close": "n_bad_close", "sign": "n_not_positive"}[kind])
+
+    return per_day.groupBy("ticker").agg(
+        F.sum("n").alias("n_rows"), *[total(k) for k in ("ticker", "date", "close", "sign")],
+        F.sum(F.when(F.col("fault").isNull(), F.col("n") - 1).otherwise(0)).alias("n_duplicate"))

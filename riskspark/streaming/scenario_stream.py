@@ -6,12 +6,18 @@ is decoded (``parse_requests``), validated, and run as one
 ``run_scenarios`` job inside ``foreachBatch``; results and rejects are
 appended to their stores, and result messages can be produced as JSON.
 
-Exactly-once: the stream checkpoint records which offsets/files were done,
-and the result append skips (correlation_id, portfolio_id) pairs already
-stored, so a batch that is retried after a failure, or a message delivered
-twice with the same id, never duplicates results. Ids not given in the
-payload are derived from the message position and payload (topic, partition
-and offset; or file path), which are stable under replay.
+A request that names its files (``portfolioCsvPath``, ``pricesCsvPath``) runs on
+them; one without runs on the stream's default tables. A request that cannot be
+run becomes a reject row, the others go on.
+
+Replay: the stream checkpoint records which offsets/files were done, and the
+result append skips (correlation_id, portfolio_id) pairs already stored, so a
+batch that is retried after a failure, or a message delivered twice with the same
+id, never duplicates results. Other sinks are fed from the store, each with its
+own marks: one that failed gets its results on the retry, one that succeeded
+gets none twice. Ids not given in the payload are derived from the message
+position and payload (topic, partition and offset; or file path), which are
+stable under replay.
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
 from ..plans import store
-from ..plans.pipeline import run_scenarios
+from ..plans.pipeline import ScenarioRun, run_path_groups, run_scenarios
 from ..sources.requests import parse_requests
 
 
@@ -64,28 +70,47 @@ class ScenarioSink:
     extra: list[Callable[[DataFrame], None]] = field(default_factory=list)
 
 
-def batch_handler(positions: DataFrame, prices: DataFrame, sink: ScenarioSink,
+def batch_handler(positions: DataFrame | None, prices: DataFrame | None, sink: ScenarioSink,
                   periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR):
-    """foreachBatch function: one scenario job per micro-batch."""
+    """foreachBatch function: one scenario job per micro-batch (and per pair of named files)."""
 
-    def handle(batch: DataFrame, epoch_id: int) -> None:
-        run = run_scenarios(batch, positions, prices, periods_per_year)
-        store.append_rejects(run.rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path)
-        # Only results not stored yet go anywhere: a replayed batch publishes nothing.
-        fresh = store.unseen_results(run.results, sink.results_path)
-        sinks = [lambda r: store.append_results(r, sink.results_path, skip_existing=False)]
-        if sink.messages_path:
-            sinks.append(lambda r: store.write_json_messages(r, sink.messages_path))
-        sinks.extend(sink.extra)
-        store.fan_out(fresh, sinks)
+    def keep(run: ScenarioRun) -> None:
+        store.append_results(run.results, sink.results_path)
         if sink.calibration_path:
             store.append_calibration(run.calibration.vols, sink.calibration_path)
-        run.release()
+
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        named = F.length(F.trim(F.coalesce("portfolio_csv_path", F.lit("")))) > 0
+        own_files, default = batch.filter(named), batch.filter(~named)
+        rejects = run_path_groups(spark, own_files, keep, periods_per_year)
+        if positions is None or prices is None:
+            rejects = rejects.unionByName(run_path_groups(spark, default, keep, periods_per_year))
+        else:
+            run = run_scenarios(default, positions, prices, periods_per_year)
+            keep(run)
+            rejects = rejects.unionByName(run.rejects)
+            store.append_rejects(rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path)
+            run.release()
+            rejects = None
+        if rejects is not None:
+            store.append_rejects(rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path)
+        if store.table_exists(spark, sink.results_path):
+            dates = [r[0] for r in batch.select("as_of_date").distinct().collect()]
+            stored = (spark.read.parquet(sink.results_path).filter(F.col("as_of_date").cast("date").isin(dates))
+                      .join(batch.select("correlation_id").distinct(), "correlation_id", "left_semi")
+                      .withColumn("as_of_date", F.col("as_of_date").cast("date")).select(*schemas.RESULT_COLUMNS))
+            sinks = [("messages", lambda r: store.write_json_messages(r, sink.messages_path))] if sink.messages_path else []
+            sinks += [(f"extra-{k}", f) for k, f in enumerate(sink.extra)]
+            for name, write in sinks:
+                store.publish_pending(stored, name, write, f"{sink.results_path.rstrip('/')}-published")
+        batch.unpersist()
 
     return handle
 
 
-def start_scenario_stream(requests: DataFrame, positions: DataFrame, prices: DataFrame, sink: ScenarioSink,
+def start_scenario_stream(requests: DataFrame, positions: DataFrame | None, prices: DataFrame | None, sink: ScenarioSink,
                           checkpoint_location: str, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
                           available_now: bool = False, processing_time: str | None = None) -> StreamingQuery:
     """Start the request stream. ``available_now=True`` drains what is there

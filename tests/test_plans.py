@@ -24,8 +24,7 @@ def test_pipeline_plan_has_no_pairing_or_hot_key_joins(spark):
     run = run_scenarios(request_grid(tables.year_end_dates(prices), num_paths=100, historical_window=20),
                         pos, prices, 12)
     plan = _plan(run.results)
-    # No cartesian product and no nested-loop join: the as-of range join is
-    # inside the checkpointed as-of price table.
+    # No cartesian product and no nested-loop join anywhere: as-of dates are exploded, not joined.
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     # No sort-merge join keyed by the ticker or the date alone (few keys, hot keys).
     join_keys = re.findall(r"\(\d+\) (\w*Join)[^\n]*\nLeft keys \[\d+\]: \[([^\]]*)\]", plan)
@@ -33,6 +32,22 @@ def test_pipeline_plan_has_no_pairing_or_hot_key_joins(spark):
     smj = [k.strip() for kind, k in join_keys if kind == "SortMergeJoin"]
     assert all(k not in ("ticker", "as_of_date") for k in smj), smj
     # Monte Carlo paths are distributed once, explicitly, on (set, scenario).
-    assert re.search(r"hashpartitioning\(as_of_date, num_paths, seed, steps, dt, scenario_id, \d+\), "
-                     r"REPARTITION_BY_NUM", plan)
+    assert re.search(r"hashpartitioning\(seed, scenario_id, \d+\), REPARTITION_BY_NUM", plan)
+    for lazy in (run.calibration.prices_as_of, run.calibration.returns, run.calibration.index):
+        assert "NestedLoop" not in _plan(lazy) and "Cartesian" not in _plan(lazy)
     run.release()
+
+
+def test_no_query_pairs_rows_or_stays_cached(spark):
+    """No nested-loop join in any registered query (the plans of its stages included) and nothing left persisted."""
+    from riskspark.plans.catalog import QUERIES
+    names = ["log_returns", "correlation_matrix", "portfolio_variance", "latest_spot", "unmatched_positions", "short_history_factors",
+             "history_quality", "tail_scenarios", "parametric_var"]
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    plans = {n: _plan(QUERIES[n](spark, SF_SMALL)) for n in names}
+    for name, plan in plans.items():
+        assert "NestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    for name in ("portfolio_variance", "correlation_matrix"):
+        tree = plans[name].split("\n\n")[0]
+        assert len(re.findall(r"\bExchange\b", tree)) < 15, (name, tree)

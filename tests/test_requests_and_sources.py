@@ -102,6 +102,8 @@ def test_position_csv_with_bom_and_csv_requests(spark, scratch):
     pos = csv_src.read_position_csv(spark, pos_path)
     assert "portfolio_id" in pos.columns and pos.count() == 3
     assert {r.ticker for r in pos.collect()} == {"ECONOMY", "PROMO", "SMALL"}
+    assert [(r.ticker, r.quantity_raw, r.reason) for r in csv_src.position_rejects(spark, pos_path).collect()] == [
+        ("LARGE", "x", "quantity is not a number")]
     reqs = spark.createDataFrame([("r1", pos_path, d, "2001-06-30", "MONTE_CARLO", 0.99, 1000),
                                   ("r2", pos_path, d, "2001-06-30", "HISTORICAL", 0.99, 1000),
                                   ("r3", "", d, "2001-06-30", "PARAMETRIC", 0.99, 1000)],
@@ -127,6 +129,11 @@ def test_result_store_roundtrip_and_idempotent_append(spark, scratch):
     store.append_results(run.results, path)  # replay: nothing new
     stored = spark.read.parquet(path)
     assert stored.count() == 10
+    later = run.results.withColumn("correlation_id", F.concat(F.lit("later|"), "correlation_id"))
+    store.append_results(run.results, path, "2024-01-01 00:00:00")           # nothing new either
+    store.append_results(later, path, "2099-01-01 00:00:00")
+    newest = [r.correlation_id.startswith("later|") for r in store.query_results(spark.read.parquet(path)).collect()]
+    assert newest == [True] * 10 + [False] * 10                              # newest first
     q = store.query_results(stored, portfolio_id="BUILDING", method="parametric").collect()
     assert len(q) == 2 and all(r.method == "PARAMETRIC" for r in q)
     msgs = store.results_json(run.results).collect()
@@ -155,3 +162,32 @@ def test_price_csv_with_other_column_order_fails_loudly(spark, scratch):
         f.write("Date,Ticker,Open,High,Low,Close,Volume,OpenInt\n2001-01-01,X,0,0,0,10.0,0,0\n")
     with _pytest.raises(Exception):
         csv_src.read_price_csv(spark, d).collect()
+
+
+def test_price_quality_counts_what_cleaning_drops(spark):
+    rows = [("a", "2001-01-01", "1"), ("A", "2001-01-01", "2"), ("a", "2001-01-02", "x"), ("a", "2001-13-01", "1"), ("a", "2001-01-03", "-1"),
+            (None, "2001-01-01", "1"), ("a", "2001-01-04", None), ("a", "2001-01-05", "3")]
+    raw = spark.createDataFrame(rows, "ticker string, date string, close string")
+    q = {r.ticker: r for r in tables.price_quality(raw).collect()}
+    assert tuple(q["A"])[1:] == (7, 0, 1, 2, 1, 1) and tuple(q[None])[1:] == (1, 1, 0, 0, 0, 0)
+    assert tables.clean_prices(raw).count() == 2
+
+
+def test_a_cluster_session_needs_a_shared_checkpoint_folder(spark, monkeypatch):
+    import pytest
+    from riskspark import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session())

@@ -89,15 +89,145 @@ def test_constant_factor_has_zero_correlation(spark):
     assert rho[("A", "A")] == 0.0 and rho[("A", "B")] == 0.0 and abs(rho[("B", "B")] - 1) < 1e-12
 
 
-def test_ragged_history_uses_common_dates(spark):
+def test_every_factor_keeps_its_own_history(spark):
     rows = [("A", D0 - timedelta(days=10 - i), 5.0 + i) for i in range(10)]
     rows += [("B", D0 - timedelta(days=10 - i), 7.0 + i * i) for i in range(5, 10)]
     prices = spark.createDataFrame(rows, "ticker string, date date, close double")
     cal = cal_ops.calibrate(prices, spark.createDataFrame([(D0,)], "as_of_date date"), 252)
     n = {r.ticker: r.n_obs for r in cal.vols.collect()}
-    assert n == {"A": 4, "B": 4}
-    own = {r.ticker: r.c for r in cal.own_returns.groupBy("ticker").agg(F.count("*").alias("c")).collect()}
-    assert own == {"A": 9, "B": 4}
+    assert n == {"A": 9, "B": 4}
+    # Diagonal = own variance; the matrix is positive semi-definite although the histories differ.
+    vol = {r.ticker: r.vol for r in cal.vols.collect()}
+    cov = {(r.ti, r.tj): r.sigma for r in cal.cov.collect()}
+    assert all(cov[t, t] == pytest.approx(vol[t] ** 2) for t in "AB") and cov["A", "B"] == cov["B", "A"]
+    assert cov["A", "A"] * cov["B", "B"] - cov["A", "B"] ** 2 >= 0
+
+
+def test_equal_calendars_give_the_sample_covariance(spark):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    close = np.exp(np.cumsum(rng.standard_normal((3, 30)) * 0.02, axis=1)) * 50
+    rows = [(t, D0 - timedelta(days=40 - i), float(close[k, i])) for k, t in enumerate("ABC") for i in range(30)]
+    cal = cal_ops.calibrate(spark.createDataFrame(rows, "ticker string, date date, close double"),
+                            spark.createDataFrame([(D0,)], "as_of_date date"), 252)
+    r = np.diff(np.log(close), axis=1)
+    got = {(x.ti, x.tj): x for x in cal.pairs.collect()}
+    for i, a in enumerate("ABC"):
+        for j, b in enumerate("ABC"):
+            assert got[a, b].rho == pytest.approx(np.corrcoef(r)[i, j], abs=1e-12)
+            assert 252 * got[a, b].s == pytest.approx(252 * np.cov(r)[i, j], abs=1e-12)
+    ordinal = cal_ops.factor_pairs(cal_ops.scaled_returns(cal.returns, "ordinal"))
+    assert {(x.ti, x.tj): round(x.s, 12) for x in ordinal.collect()} == {k: round(x.s, 12) for k, x in got.items()}
+
+
+def test_ordinal_alignment_rejects_ragged_histories(spark):
+    rows = [("A", D0 - timedelta(days=10 - i), 5.0 + i) for i in range(10)] + [("LATE", D0 - timedelta(days=5 - i), 7.0 + i) for i in range(4)]
+    cal = cal_ops.calibrate(spark.createDataFrame(rows, "ticker string, date date, close double"),
+                            spark.createDataFrame([(D0,)], "as_of_date date"), 252, align="ordinal")
+    with pytest.raises(Exception, match="ticker LATE has fewer returns"):
+        cal.scaled.collect()
+
+
+def test_pair_blocks_equal_one_block(spark, monkeypatch):
+    prices, _ = _books(spark)
+    whole = sorted((r.ti, r.tj, round(r.rho, 10)) for r in cal_ops.calibrate(prices, tables.last_date(prices), 12).corr.collect())
+    monkeypatch.setattr(cal_ops, "PAIR_BUCKET", 2)
+    parts = sorted((r.ti, r.tj, round(r.rho, 10)) for r in cal_ops.calibrate(prices, tables.last_date(prices), 12).corr.collect())
+    assert whole == parts and len(whole) == len({t for t, _, _ in whole}) ** 2
+
+
+def _market(spark, extra=()):
+    import random
+    rng, rows = random.Random(5), []
+    for t in ("A", "B"):
+        p = 100.0
+        for i in range(200):
+            p *= math.exp(rng.gauss(0, 0.02))
+            rows.append((t, D0 - timedelta(days=200 - i), p))
+    return spark.createDataFrame(rows + list(extra), "ticker string, date date, close double")
+
+
+def _run(spark, prices, positions, **kw):
+    pos = spark.createDataFrame(positions, "portfolio_id string, ticker string, quantity double").selectExpr(
+        "*", "'EQD' asset_class", "1.0D delta", "0.0D gamma", "0.0D maturity_in_years")
+    req = request_grid(spark.createDataFrame([(D0,)], "as_of_date date"), num_paths=300, historical_window=60)
+    return run_scenarios(req, pos, prices, 252, **kw)
+
+
+def test_unrelated_short_factor_changes_nothing(spark):
+    books = [("P", "A", 10.0), ("P", "B", -4.0), ("Q", "B", 7.0)]
+    new = [("NEW", D0 - timedelta(days=2), 5.0), ("NEW", D0 - timedelta(days=1), 6.0)]
+
+    def figures(prices):
+        return sorted((r.correlation_id, r.portfolio_id, round(r.var_amount, 9), round(r.expected_shortfall, 9))
+                      for r in _run(spark, prices, books).results.collect())
+
+    plain = figures(_market(spark))
+    assert plain == figures(_market(spark, new)) and all(v > 0 for _, _, v, _ in plain) and len(plain) == 12
+
+
+def test_held_short_factor_is_reported_and_never_gives_null(spark):
+    new = [("ONE", D0, 5.0), ("TWO", D0 - timedelta(days=1), 5.0), ("TWO", D0, 6.0)]
+    run = _run(spark, _market(spark, new), [("P", "A", 10.0), ("P", "ONE", 3.0), ("Q", "ONE", 3.0), ("R", "TWO", 1.0)])
+    rows = run.results.collect()
+    assert len(rows) == 3 * 6 and all(r.var_amount is not None and r.expected_shortfall is not None for r in rows)
+    assert all(r.var_amount == 0 for r in rows if r.portfolio_id == "Q")
+    assert [(r.ticker, r.n_prices, r.error_code) for r in run.factor_rejects.collect()] == [("ONE", 1, "VAR_CALCULATION_FAILED")]
+    quality = cal_ops.history_quality(run.calibration.index, run.valid.filter("method = 'HISTORICAL'")).collect()
+    assert {(r.ticker, r.status, r.reason) for r in quality} >= {("ONE", "MISSING", "VAR_CALCULATION_FAILED"), ("TWO", "SHORT", None), ("A", "OK", None)}
+    with pytest.raises(Exception, match="ticker ONE requires at least 2 price observations"):
+        _run(spark, _market(spark, new), [("P", "A", 10.0)], strict=True)
+
+
+def test_penny_losses_are_ranked_as_they_are(spark):
+    pnl = spark.createDataFrame([(D0, "P", i, -0.001 * ((i * 7) % 10)) for i in range(10)],
+                                "as_of_date date, portfolio_id string, scenario_id int, pnl double")
+    req = spark.createDataFrame([("c", D0, 0.8)], "correlation_id string, as_of_date date, alpha double")
+    r = risk.scenario_var(req, pnl, ["as_of_date"], "HISTORICAL").first()
+    n = risk.quantile_index("alpha", "n")
+    assert spark.createDataFrame([(0.8, 10)], "alpha double, n long").select(n).first()[0] == 1
+    assert r.expected_shortfall == pytest.approx(0.0085) and r.var_amount == pytest.approx(0.008)
+
+
+def test_registered_pricer_reaches_the_run(spark):
+    from riskspark.functions.pricing import PRICERS, register_pricer
+    register_pricer("double", lambda q, d, g, s, r: F.lit(2.0) * PRICERS["linear"](q, d, g, s, r))
+    books = [("P", "A", 10.0), ("P", "B", -4.0)]
+    for method in ("HISTORICAL", "MONTE_CARLO"):
+        plain = {r.correlation_id: r.var_amount for r in _run(spark, _market(spark), books, methods=[method]).results.collect() if r.method == method}
+        twice = {r.correlation_id: r.var_amount for r in _run(spark, _market(spark), books, methods=[method], pricer="double").results.collect()}
+        assert twice == {k: pytest.approx(2 * v) for k, v in plain.items()} and plain
+
+
+def test_kernels_agree_on_missing_shocks(spark):
+    shocks = spark.createDataFrame([(D0, 5, s, t, None if (s, t) == (1, "A") else 0.01 * (s + 1)) for s in range(4) for t in "AB"],
+                                   "as_of_date date, historical_window int, scenario_id int, ticker string, r double")
+    exp = spark.createDataFrame([(D0, t, p, 100.0, 5.0) for t in "ABC" for p in ("P", "Q")],
+                                "as_of_date date, ticker string, portfolio_id string, lin_exposure double, quad_exposure double")
+    a = scenarios.scenario_pnl(shocks, exp, scenarios.HIST_KEYS)
+    b = scenarios.scenario_pnl_blocks(shocks, exp, scenarios.HIST_KEYS, 2, 2)
+
+    def rows(df):
+        return sorted((r.portfolio_id, r.scenario_id, round(r.pnl, 9)) for r in df.collect())
+
+    assert rows(a) == rows(b) and len(rows(a)) == 8
+
+
+@pytest.mark.parametrize("n_scen,n_books", [(200_000, 200_000), (10_000, 3), (5, 1_000_000), (0, 0), (250, 15_000)])
+def test_block_groups_are_bounded_by_output_cells(n_scen, n_books):
+    cells = 4_000_000
+    sb, bb = scenarios.block_grid(n_scen, n_books, 8, cells)
+    assert -(-n_scen // sb) * -(-n_books // bb) <= 2 * cells
+
+
+def test_snapshot_can_run_a_method_again(spark, scratch):
+    from riskspark.plans import store
+    cal = cal_ops.calibrate(_market(spark), spark.createDataFrame([(D0,)], "as_of_date date"), 252)
+    path = store.write_snapshot(cal, f"{scratch}/snapshot")
+    corr, vols = store.read_snapshot(spark, path)
+    cov = {(r.ti, r.tj): r.sigma for r in cal_ops.covariance_from_corr(corr, vols).collect()}
+    assert cov == {(r.ti, r.tj): pytest.approx(r.sigma) for r in cal.cov.collect()}
+    assert spark.read.parquet(f"{path}/factor_returns").count() == 2 * 199
 
 
 def _books(spark):
@@ -113,7 +243,7 @@ def test_projected_variance_equals_quadratic_form(spark):
     from riskspark.operators import enrich
     dd = enrich.dollar_delta(enrich.enrich_positions(pos, enrich.latest_spot(cal.prices_as_of)))
     a = {r.portfolio_id: r.variance for r in risk.portfolio_variance(dd, cal.cov).collect()}
-    b = {r.portfolio_id: r.variance for r in risk.portfolio_variance_projected(dd, cal.returns, 12).collect()}
+    b = {r.portfolio_id: r.variance for r in risk.portfolio_variance_projected(dd, cal.scaled, 12).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-9 * abs(a[k]) for k in a)
 
 

@@ -3,6 +3,8 @@
 import json
 import os
 
+from pyspark.errors import StreamingQueryException
+
 from riskspark.sources import tables
 from riskspark.streaming.scenario_stream import ScenarioSink, file_requests, start_scenario_stream
 
@@ -36,3 +38,70 @@ def test_file_stream_runs_requests_and_replay_adds_nothing(spark, scratch):
     assert codes == ["SCENARIO_REQUEST_INVALID", "SCENARIO_REQUEST_MALFORMED"]
     msgs = spark.read.text(sink.messages_path)
     assert msgs.count() == 10
+
+
+def _inbox(scratch, lines):
+    inbox = os.path.join(scratch, "inbox")
+    os.makedirs(inbox, exist_ok=True)
+    with open(os.path.join(inbox, "batch-1.json"), "w") as f:
+        f.write("\n".join(json.dumps(x) for x in lines))
+    return inbox
+
+
+def _drain(spark, inbox, sink, ckpt, pos=None, prices=None):
+    q = start_scenario_stream(file_requests(spark, inbox), pos, prices, sink, ckpt, periods_per_year=12, available_now=True)
+    try:
+        q.awaitTermination(300)
+    except StreamingQueryException as e:
+        return e
+    return q.exception()
+
+
+def test_out_of_range_windows_are_rejected_and_the_rest_runs(spark, scratch):
+    inbox = _inbox(scratch, [
+        {"correlationId": f"w{k}", "asOfDate": "2001-06-01", "varMethod": "HISTORICAL", "historicalWindow": w}
+        for k, w in enumerate((3_000_000_000, 2_147_483_647, 30))] + [
+        {"correlationId": "same", "asOfDate": "2001-06-01", "varMethod": "PARAMETRIC", "confidenceLevel": a} for a in (0.95, 0.99)])
+    prices = tables.price_panel(spark, SF_SMALL, "type", "month")
+    pos = tables.position_book(spark, SF_SMALL, "segment", "type").filter("portfolio_id = 'BUILDING'")
+    sink = ScenarioSink(os.path.join(scratch, "results"), os.path.join(scratch, "rejects"))
+    assert _drain(spark, inbox, sink, os.path.join(scratch, "ckpt"), pos, prices) is None
+    assert [r.correlation_id for r in spark.read.parquet(sink.results_path).collect()] == ["w2"]
+    rejects = [(r.correlation_id, r.error_code) for r in spark.read.parquet(sink.rejects_path).collect()]
+    assert sorted(rejects) == [(c, "SCENARIO_REQUEST_INVALID") for c in ("same", "same", "w0", "w1")]
+
+
+def test_requests_run_on_their_own_files_and_a_failed_sink_catches_up(spark, scratch):
+    paths = {}
+    for name, start, step in (("up", 100.0, 1.01), ("wild", 50.0, 1.10)):
+        root = os.path.join(scratch, name)
+        os.makedirs(root)
+        with open(os.path.join(root, "x.csv"), "w") as f:
+            f.write("Ticker,Date,Open,High,Low,Close,Volume,OpenInt\n")
+            for i in range(28):
+                f.write(f"X,2001-05-{i + 1:02d},0,0,0,{start * step ** (i % 3) + i},0,0\n")
+        paths[name] = (os.path.join(scratch, f"{name}-book.csv"), root)
+        with open(paths[name][0], "w") as f:
+            f.write(f"portfolioId,ticker,quantity,assetClass\nBOOK-{name},x,10,EQD\nBOOK-{name},x,1,XYZ\n")
+    lines = [{"correlationId": n, "asOfDate": "2001-06-01", "varMethod": "HISTORICAL", "historicalWindow": 20, "portfolioCsvPath": p, "pricesCsvPath": d}
+             for n, (p, d) in paths.items()]
+    lines += [{"correlationId": "gone", "asOfDate": "2001-06-01", "portfolioCsvPath": "/nowhere.csv", "pricesCsvPath": paths["up"][1]},
+              {"correlationId": "none", "asOfDate": "2001-06-01"}]
+    inbox, got, failures = _inbox(scratch, lines), [], [1]
+
+    def flaky(results):
+        if failures:
+            failures.pop()
+            raise RuntimeError("sink is down")
+        got.extend((r.correlation_id, r.portfolio_id) for r in results.collect())
+
+    sink = ScenarioSink(os.path.join(scratch, "results"), os.path.join(scratch, "rejects"), calibration_path=os.path.join(scratch, "calibration"), extra=[flaky])
+    assert _drain(spark, inbox, sink, os.path.join(scratch, "ckpt")) is not None        # the first try fails after the append
+    for _ in range(2):
+        assert _drain(spark, inbox, sink, os.path.join(scratch, "ckpt")) is None
+    assert sorted(got) == [("up", "BOOK-up"), ("wild", "BOOK-wild")]
+    stored = {r.correlation_id: r.var_amount for r in spark.read.parquet(sink.results_path).collect()}
+    assert set(stored) == {"up", "wild"} and stored["up"] != stored["wild"]
+    codes = {r.correlation_id: r.error_code for r in spark.read.parquet(sink.rejects_path).collect()}
+    assert codes == {"gone": "RISK_PLATFORM_ERROR", "none": "SCENARIO_REQUEST_INVALID"}
+    assert spark.read.parquet(sink.calibration_path).count() == 2
