@@ -54,7 +54,8 @@ def leaks():
         at = rng.randint(0, len(host))
         rows.append((n, " ".join(host[:at]) + " " + _edited(text, edits, n) + " " + " ".join(host[at:])))
     clean = [(1000 + n, prose(rng.randint(0, 300), 5000 + n)) for n in range(40)]
-    half = [(2000 + k, prose(20, k) + " " + " ".join(t.split()[: len(t.split()) // 2]) + " " + prose(20, k + 1)) for k, t in ITEMS if t and len(t.split()) >= 25]
+    half = [(2000 + n, prose(20, n) + " " + " ".join(t.split()[: len(t.split()) // 2]) + " " + prose(20, n + 1))
+            for n, (_, t) in enumerate(ITEMS) if t and len(t.split()) >= 25]
     return rows + clean + half
 
 

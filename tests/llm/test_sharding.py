@@ -46,7 +46,7 @@ def test_assignment_is_uniform_over_seeds_and_independent_of_layout(spark):
     for seed in range(12):
         for r in shuffle_into_shards(rows, 4, seed=seed).collect():
             hits[r.id % 4, r.shard] += 1
-    assert all(60 < hits[a, b] < 180 for a in range(4) for b in range(4))
+    assert all(12 < hits[a, b] < 50 for a in range(4) for b in range(4))     # 30 expected
     docs = spark.range(3000)
     assert sorted(shuffle_into_shards(docs, 8).collect()) == sorted(shuffle_into_shards(docs.repartition(13), 8).collect())
 

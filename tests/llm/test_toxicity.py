@@ -2,6 +2,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskspark.llm.toxicity import drop_toxic, fit, held_out, labelled, toxicity
 
@@ -39,8 +40,8 @@ def test_held_out_accuracy(corpus):
 
 def test_the_held_out_fold_never_reaches_the_model(spark, corpus):
     docs, labels = corpus
-    assert not labelled(docs, labels).where(held_out(labelled(docs, labels).doc_id)).count()
-    flipped = labels.withColumn("toxic", __import__("pyspark").sql.functions.expr("if(crc32(cast(doc_id as string)) % 5 = 0, 1 - toxic, toxic)"))
+    assert not labelled(docs, labels).where(held_out(F.col("doc_id"))).count()
+    flipped = labels.withColumn("toxic", F.expr("if(crc32(cast(doc_id as string)) % 5 = 0, 1 - toxic, toxic)"))
     a, b = fit(docs, labels), fit(docs, flipped)
     assert a.toxic == b.toxic and a.ordinary == b.ordinary and (a.weights == b.weights).all()
 
