@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.normal import norm_pdf, norm_ppf
-from ..plans.joins import factor_join
+from ..plans.joins import factor_join, may_broadcast
 
 
 def quantile_index(alpha, n) -> F.Column:
@@ -143,13 +143,24 @@ def portfolio_variance(dd: DataFrame, cov: DataFrame) -> DataFrame:
 
 def portfolio_variance_projected(dd: DataFrame, scaled: DataFrame,
                                  periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
-                                 returns_rows: int | None = None, dd_rows: int | None = None) -> DataFrame:
+                                 returns_rows: int | None = None, dd_rows: int | None = None,
+                                 return_keys: int | None = None) -> DataFrame:
     """(as_of_date, portfolio_id, variance) = periods * sum_d (sum_i delta_i z[i, d])^2.
 
     Equal to the quadratic form with the covariance of ``scaled_returns``; costs
     portfolios x factors x T instead of portfolios x factors^2. Portfolios with
-    no calibrated factor get variance 0.
+    no calibrated factor get variance 0. With all three exact sizes given
+    (``return_keys``: distinct (as_of_date, ticker) of the returns), products of
+    more than ``riskspark.pricing.blockMinPairs`` rows run as blocks.
     """
+    spark = dd.sparkSession
+    kernel = spark.conf.get("riskspark.pricing.kernel", "auto")
+    if None not in (returns_rows, dd_rows, return_keys) and kernel != "relational" and may_broadcast(scaled, returns_rows):
+        pairs = dd_rows * returns_rows / max(1, return_keys)
+        if kernel == "blocks" or pairs >= float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000")):
+            rows = int(spark.conf.get("riskspark.pricing.blockRows", "200000"))
+            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dd_rows // rows))
+            return portfolio_variance_blocks(dd, scaled, periods_per_year, buckets)
     ret = scaled.select("as_of_date", "ticker", "d", "z")
     proj = (factor_join(dd, ret, ["as_of_date", "ticker"], F.hash("portfolio_id"), returns_rows, dd_rows, F.col("d"))
             .groupBy("as_of_date", "portfolio_id", "d")
@@ -161,6 +172,48 @@ def portfolio_variance_projected(dd: DataFrame, scaled: DataFrame,
             .select("as_of_date", "portfolio_id", F.coalesce("variance", F.lit(0.0)).alias("variance")))
 
 
+def _variance_block(periods_per_year: float):
+    import numpy as np
+    import pandas as pd
+
+    def kernel(books: pd.DataFrame, z: pd.DataFrame) -> pd.DataFrame:
+        if books.empty:
+            return pd.DataFrame({"as_of_date": pd.Series([], dtype=object), "portfolio_id": pd.Series([], dtype=object),
+                                 "variance": pd.Series([], dtype=float)})
+        as_of = books["as_of_date"].iloc[0]
+        ids, at = np.unique(books["portfolio_id"].to_numpy(dtype=str), return_inverse=True)
+        variance = np.zeros(len(ids))
+        if len(z):
+            tickers, col = np.unique(z["ticker"].to_numpy(dtype=str), return_inverse=True)
+            days, row = np.unique(z["d"].to_numpy(), return_inverse=True)
+            m = np.zeros((len(tickers), len(days)))
+            m[col, row] = z["z"].to_numpy(dtype=float)
+            names = books["ticker"].to_numpy(dtype=str)
+            pos = np.minimum(np.searchsorted(tickers, names), len(tickers) - 1)
+            held = tickers[pos] == names
+            order = np.argsort(at[held], kind="stable")
+            own, pos, delta = at[held][order], pos[held][order], books["dollar_delta"].to_numpy(dtype=float)[held][order]
+            for first in range(0, len(ids), 1024):          # books at a time: bounds the dense blocks
+                lo, hi = np.searchsorted(own, [first, first + 1024])
+                d = np.zeros((min(1024, len(ids) - first), len(tickers)))
+                np.add.at(d, (own[lo:hi] - first, pos[lo:hi]), delta[lo:hi])
+                variance[first:first + 1024] = ((d @ m) ** 2).sum(1) * periods_per_year
+        return pd.DataFrame({"as_of_date": [as_of] * len(ids), "portfolio_id": ids.astype(object), "variance": variance})
+
+    return kernel
+
+
+def portfolio_variance_blocks(dd: DataFrame, scaled: DataFrame, periods_per_year: float, book_buckets: int) -> DataFrame:
+    """Same rows as ``portfolio_variance_projected``: books fall into buckets, the scaled
+    returns of an as-of date are copied into each, and a group multiplies the two blocks."""
+    z = scaled.select("as_of_date", "ticker", "d", "z").withColumn("bb", F.explode(F.sequence(F.lit(0), F.lit(book_buckets - 1))))
+    books = (dd.select("as_of_date", "portfolio_id", "ticker", "dollar_delta")
+             .withColumn("bb", F.pmod(F.hash("portfolio_id"), F.lit(book_buckets))))
+    z, books = (t.select(*[F.col(c).alias(c) for c in t.columns]) for t in (z, books))
+    return (books.groupBy("as_of_date", "bb").cogroup(z.groupBy("as_of_date", "bb"))
+            .applyInPandas(_variance_block(float(periods_per_year)), "as_of_date date, portfolio_id string, variance double"))
+
+
 def parametric_var(requests: DataFrame, variance: DataFrame, request_rows: int | None = None) -> DataFrame:
     """Result rows (schemas.RESULTS) of the parametric method. The requests
     are joined onto the books (broadcast when ``request_rows`` is under the

@@ -136,7 +136,7 @@ def parametric_results(inp: _Inputs) -> DataFrame:
     dd = _for(inp.exposures, inp, "PARAMETRIC").select(
         "as_of_date", "portfolio_id", "ticker", F.col("lin_exposure").alias("dollar_delta"))
     variance = risk.portfolio_variance_projected(dd, cal.scaled, cal.periods_per_year, inp.returns_rows,
-                                                 inp.exposure_rows)
+                                                 inp.exposure_rows, inp.return_keys)
     return risk.parametric_var(req, variance, inp.request_rows)
 
 

@@ -243,6 +243,10 @@ def test_projected_variance_equals_quadratic_form(spark):
     from riskspark.operators import enrich
     dd = enrich.dollar_delta(enrich.enrich_positions(pos, enrich.latest_spot(cal.prices_as_of)))
     a = {r.portfolio_id: r.variance for r in risk.portfolio_variance(dd, cal.cov).collect()}
+    blocks = {r.portfolio_id: r.variance for r in risk.portfolio_variance_blocks(dd, cal.scaled, 12, 3).collect()}
+    assert a.keys() == blocks.keys() and all(abs(a[k] - blocks[k]) <= 1e-9 * abs(a[k]) for k in a)
+    lone = dd.withColumn("ticker", F.lit("no such factor"))
+    assert {r.variance for r in risk.portfolio_variance_blocks(lone, cal.scaled, 12, 3).collect()} == {0.0}
     b = {r.portfolio_id: r.variance for r in risk.portfolio_variance_projected(dd, cal.scaled, 12).collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) <= 1e-9 * abs(a[k]) for k in a)
 
