@@ -31,9 +31,9 @@ from riskspark.llm.common import stage
 
 CAPACITY = 2048
 EOS_ID = 0
-CACHE_WORDS = 400_000   # words whose ids a worker remembers, twice
+CACHE_WORDS = 200_000   # words whose ids a worker remembers, twice
 RANK_BUCKETS = 64       # parts in which the pieces of one length are numbered
-_ROWS_OUT = 20_000
+_ROWS_OUT = 5_000
 #: Lower-case letters that the tokenizer's normaliser and splitter leave as one unchanged word.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 
@@ -121,6 +121,7 @@ class WordTokens:
             found = [*map(self.young.__getitem__, distinct)]
         each = np.fromiter(map(len, found), np.int64, len(found)) // 4
         pool, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(each) - each
+        del found, distinct
         word = words.indices.to_numpy(zero_copy_only=False)
         n = each[word]
         ends = np.cumsum(n)
@@ -129,7 +130,7 @@ class WordTokens:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def _slices(batch: pa.RecordBatch, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def _slices(batch: pa.RecordBatch, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """A batch in parts of about ``size`` bytes."""
     step = max(1, int(batch.num_rows * size / max(batch.nbytes, 1)))
     for at in range(0, batch.num_rows, step):

@@ -36,6 +36,7 @@ RUN_BYTES = 6
 MIN_RATIO = 8.0
 MIN_CONTEXTS = (5, 20)     # a run must recur: a twentieth of the toxic texts, within these
 THRESHOLDS = (1, 2, 3, 4, 6)
+_PARTS = 16
 
 
 @dataclass
@@ -69,20 +70,26 @@ def _grams(data: bytes, size: int) -> np.ndarray:
 
 def _context_counts(texts: list[bytes], size: int = RUN_BYTES) -> tuple[np.ndarray, np.ndarray, int]:
     """Byte strings, the number of distinct 8-byte contexts before each, and the total."""
-    grams, keys = np.empty(0, np.uint64), np.empty(0, np.uint64)
-    for at in range(0, len(texts), 200):
-        g, k = [grams], [keys]
-        for t in texts[at:at + 200]:
+    values, counts, total = [], [], 0
+    for part in range(_PARTS):              # one part of the byte strings at a time: bounds memory
+        grams, keys = [], []
+        for t in texts:
             t = b"\n" * 8 + t
             own, before = _grams(t, size)[8:], _grams(t, 8)
-            if len(own):
-                g.append(own)
-                k.append((own * np.uint64(0x9E3779B97F4A7C15)) ^ (before[:len(own)] * np.uint64(0xC2B2AE3D27D4EB4F)))
-        grams, keys = np.concatenate(g), np.concatenate(k)
-        keys, first = np.unique(keys, return_index=True)
-        grams = grams[first]
-    values, counts = np.unique(grams, return_counts=True)
-    return values, counts, max(len(grams), 1)
+            mixed = own * np.uint64(0x9E3779B97F4A7C15)
+            mine = np.flatnonzero(mixed >> np.uint64(60) == part)
+            grams.append(own[mine])
+            keys.append(mixed[mine] ^ (before[mine] * np.uint64(0xC2B2AE3D27D4EB4F)))
+        if grams:
+            _, first = np.unique(np.concatenate(keys), return_index=True)
+            v, n = np.unique(np.concatenate(grams)[first], return_counts=True)
+            keep = n > 1                    # single ones are never typical, and count as one elsewhere
+            values.append(v[keep])
+            counts.append(n[keep])
+            total += len(first)
+    values, counts = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (values, counts))
+    order = np.argsort(values)
+    return values[order], counts[order], max(total, 1)
 
 
 def _typical_runs(text: bytes, own: tuple, other: tuple, least: int, size: int = RUN_BYTES) -> list[bytes]:
