@@ -105,4 +105,54 @@ QUERIES = {
     "op10_nn_descent": op10_nn_descent,
 }
 
-ORACLES: dict[str, str] = {}
+def _sql_base32(hex40: str) -> str:
+    """Base32 of 20 bytes given as 40 hex digits: eight 5-bit letters for every 10 digits."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    parts = [f"('0x' || substr({hex40}, {1 + 10 * k}, 10))::BIGINT" for k in range(4)]
+    return " || ".join(f"substr('{letters}', (({p} >> {shift}) & 31)::INTEGER + 1, 1)" for p in parts for shift in range(35, -1, -5))
+
+
+def _sql_escaped(text: str, role: bool = False) -> str:
+    """Characters of a text after escaping (chat.escape)."""
+    def count(what: str) -> str:
+        return f"(length({text}) - length(replace({text}, {what}, ''))) // length({what})"
+
+    hashes = f"{count(chr(39) + '#' + chr(39))} - len(regexp_extract_all({text}, '#+'))"
+    more = [count("chr(92)"), hashes, count("'</turn>'")] + ([count(f"'{c}'") if c == ":" else count(f"chr({ord(c)})") for c in ":\n\r"] if role else [])
+    return f"(length({text}) + " + " + ".join(more) + ")"
+
+
+#: DuckDB statements of the queries that SQL can express. Fingerprints with a seeded hash, trained
+#: dictionaries, edit distances over windows, keyed surrogates, random draws and tokenisers are tested
+#: against brute force, round trips or held-out accuracy instead.
+ORACLES: dict[str, str] = {
+    "op1_warc_chunks": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+d AS (SELECT *, sha1(body) AS h, strlen(body) AS n FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, {_sql_base32('h')} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to,
+       CASE WHEN page_id = first THEN greatest(1, CAST(ceil(n / 1048576.0) AS BIGINT)) ELSE 1 END::BIGINT AS n_chunks FROM d""",
+    "op7_chat_prefix_tree": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', chr(92) || '### Assistant: </turn> ok'),
+                                           (-7, 1, 'assistant', chr(92) || '### Assistant: </turn> ok')) v(conv_id, turn, role, text)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k FROM c)
+SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(4 + {_sql_escaped('role', True)} + 2 + {_sql_escaped('text')} + 8)::BIGINT AS formatted_chars FROM o GROUP BY conv_id""",
+    "op10_nn_descent": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+      WHERE list_dot_product(a.e, b.e) >= 0.93),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, c.low)::BIGINT AS component_id,
+       e.vec_id = least(e.vec_id, c.low) AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id""",
+}

@@ -279,7 +279,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  max_edit: float = MAX_EDIT, items_per_block: int = ITEMS_PER_BLOCK) -> DataFrame:
     """One row per match: doc_id, item_id, item_words, start_word, n_words, edits, similarity, start_char, end_char.
 
-    Matches of one item in one text do not overlap. NULL and empty texts match
+    Matches of one item in one text do not overlap. The character range is NULL
+    where lower-casing changes a text's length. NULL and empty texts match
     nothing; an empty table on either side gives no rows; repeated documents
     give their matches each; NULL ids are returned as they are.
     """

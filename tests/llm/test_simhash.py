@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 
+from riskspark.llm import simhash
 from riskspark.llm.components import connected_components
 from riskspark.llm.simhash import fingerprint, keep_one, links, simhash_components
 from pyspark.sql import functions as F
@@ -60,6 +61,28 @@ def test_links_find_every_pair_up_to_three_bits(spark):
     assert got == expected and len(expected) > 30
 
 
+def test_large_buckets_give_the_same_groups_from_few_pairs(spark, monkeypatch):
+    rng = random.Random(6)
+    center, fps = rng.getrandbits(64), set()
+    while len(fps) < 500:
+        f = center
+        for b in rng.sample(range(64), rng.randint(0, 3)):
+            f ^= 1 << b
+        fps.add(f)
+    fps |= {rng.getrandbits(64) for _ in range(50)}
+    table = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+
+    def groups(found):
+        comp = {r.node: r.component for r in connected_components(found.select(F.col("fp_a").alias("u"), F.col("fp_b").alias("v"))).collect()}
+        return comp, found.count()
+
+    monkeypatch.setattr(simhash, "BUCKET", 10_000)
+    whole, pairs = groups(links(table))
+    monkeypatch.setattr(simhash, "BUCKET", 16)
+    blocks, few = groups(links(table))
+    assert whole == blocks and few < pairs
+
+
 def test_keep_one_keeps_the_smallest_id_of_each_component(documents):
     kept = keep_one(documents)
     assert kept.columns == documents.columns
