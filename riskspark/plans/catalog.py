@@ -250,7 +250,8 @@ def dollar_delta(spark, sf):
 def norm_ppf_query(spark, sf):
     li = tables.read_table(spark, sf, "lineitem").select("l_discount").distinct()
     p = F.lit(0.5) + F.col("l_discount") * F.lit(4.999)
-    return li.select("l_discount", round_half_away(norm_ppf(p), 10).alias("z"))
+    low = F.lit(1.0) - p
+    return li.select("l_discount", round_half_away(norm_ppf(p), 10).alias("z"), round_half_away(norm_ppf(low), 10).alias("z_low"))
 
 
 def _variance(b: Book, projected: bool) -> DataFrame:
@@ -381,7 +382,8 @@ def validate_requests_query(spark, sf):
 def parse_requests_query(spark, sf):
     """JSON request bodies for every year-end date x method x confidence
     (method in lower case, counts and grid left out), decoded back: upper-cased
-    method, request defaults, given ids."""
+    method, request defaults, given ids. For every date also a body that names
+    only the date (derived id) and one that is not JSON (malformed)."""
     from ..sources.requests import parse_requests
     b = Book(spark, sf)
     g = (b.asof.withColumn("m", F.explode(F.array(*[F.lit(m.lower()) for m in schemas.METHODS])))
@@ -390,7 +392,9 @@ def parse_requests_query(spark, sf):
         F.concat_ws("|", "m", F.col("as_of_date").cast("string"), F.col("a").cast("string")).alias("correlationId"),
         F.date_format("as_of_date", "yyyy-MM-dd").alias("asOfDate"),
         F.col("m").alias("varMethod"), F.col("a").alias("confidenceLevel")))
-    parsed = parse_requests(g.select(body.alias("value")), "value")
+    day = F.date_format("as_of_date", "yyyy-MM-dd")
+    bare = F.explode(F.array(F.to_json(F.struct(day.alias("asOfDate"))), F.concat(F.lit("not json "), day)))
+    parsed = parse_requests(g.select(body.alias("value")).unionByName(b.asof.select(bare.alias("value"))), "value")
     return parsed.select("correlation_id", "as_of_date", "method", "alpha",
                          F.col("num_paths_raw").alias("num_paths"), F.col("window_raw").alias("historical_window"),
                          "time_grid", "seed", "malformed")

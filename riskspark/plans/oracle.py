@@ -318,7 +318,8 @@ def build() -> dict[str, str]:
         "FROM enriched GROUP BY as_of_date, portfolio_id")
     q["dollar_delta"] = _with(*BASE, positions(), SPOT) + (
         "SELECT as_of_date, portfolio_id, ticker, round(dollar_delta, 2) AS dollar_delta FROM dd")
-    q["norm_ppf"] = (f"SELECT l_discount, round({sql_norm_ppf(f'(0.5{D} + l_discount * 4.999{D})')}, 10) AS z "
+    q["norm_ppf"] = (f"SELECT l_discount, round({sql_norm_ppf(f'(0.5{D} + l_discount * 4.999{D})')}, 10) AS z, "
+                     f"round({sql_norm_ppf(f'(1.0{D} - (0.5{D} + l_discount * 4.999{D}))')}, 10) AS z_low "
                      "FROM (SELECT DISTINCT l_discount FROM lineitem)")
     pv = _with(*BASE, RETURNS, positions(), SPOT, CORR, PARAM.split(",\nres_parametric")[0])
     q["portfolio_variance"] = pv + "SELECT as_of_date, portfolio_id, round(sqrt(variance), 2) AS sigma_p FROM pvar"
@@ -369,7 +370,13 @@ def build() -> dict[str, str]:
         f"CAST({schemas.DEFAULT_NUM_PATHS} AS BIGINT) AS num_paths, "
         f"CAST({schemas.DEFAULT_HISTORICAL_WINDOW} AS BIGINT) AS historical_window, "
         f"'{schemas.DEFAULT_TIME_GRID}' AS time_grid, CAST({schemas.DEFAULT_SEED} AS BIGINT) AS seed, "
-        f"false AS malformed FROM asofs a CROSS JOIN (VALUES {ms}) m(m) CROSS JOIN (VALUES {al}) al(alpha)")
+        f"false AS malformed FROM asofs a CROSS JOIN (VALUES {ms}) m(m) CROSS JOIN (VALUES {al}) al(alpha) "
+        "UNION ALL SELECT sha256('|' || body), CASE WHEN NOT bad THEN as_of_date END, "
+        f"'{schemas.DEFAULT_METHOD}', {schemas.DEFAULT_CONFIDENCE}{D}, CAST({schemas.DEFAULT_NUM_PATHS} AS BIGINT), "
+        f"CAST({schemas.DEFAULT_HISTORICAL_WINDOW} AS BIGINT), '{schemas.DEFAULT_TIME_GRID}', CAST({schemas.DEFAULT_SEED} AS BIGINT), bad "
+        "FROM (SELECT as_of_date, bad, CASE WHEN bad THEN 'not json ' || strftime(as_of_date, '%Y-%m-%d') "
+        "ELSE '{\"asOfDate\":\"' || strftime(as_of_date, '%Y-%m-%d') || '\"}' END AS body "
+        "FROM asofs CROSS JOIN (VALUES (true), (false)) v(bad))")
     allres = results_sql()
     stored = (f"SELECT correlation_id, portfolio_id, strftime(as_of_date, '%Y-%m-%d') AS as_of_date, method, "
               f"var_amount, expected_shortfall, alpha, mean_pnl, std_dev_pnl, num_scenarios, "
