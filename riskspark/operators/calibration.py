@@ -110,6 +110,14 @@ def centred_returns(returns: DataFrame) -> DataFrame:
     return returns.withColumn("x", F.col("r") - F.avg("r").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
 
 
+def newest_returns(returns: DataFrame, window: int | None) -> DataFrame:
+    """The newest ``window`` returns of each (as_of_date, ticker); all of them without a window."""
+    if window is None:
+        return returns
+    n = F.count(F.lit(1)).over(Window.partitionBy("as_of_date", "ticker"))
+    return returns.withColumn("_n", n).filter(F.col("t") >= F.col("_n") - window).drop("_n")
+
+
 def scaled_returns(returns: DataFrame, align: str = "date") -> DataFrame:
     """(as_of_date, ticker, d, z): z = x / sqrt(n - 1), paired on ``d``.
 
@@ -234,6 +242,7 @@ class Calibration:
     asofs: Column
     periods_per_year: float
     align: str = "date"
+    window: int | None = None      # newest returns that volatilities and covariances see; None: all
     _cache: dict = field(default_factory=dict, repr=False)
 
     def use(self, key: str, df: DataFrame) -> DataFrame:
@@ -265,11 +274,11 @@ class Calibration:
 
     @property
     def scaled(self) -> DataFrame:
-        return self._get("scaled", lambda: scaled_returns(self.returns, self.align))
+        return self._get("scaled", lambda: scaled_returns(newest_returns(self.returns, self.window), self.align))
 
     @property
     def vols(self) -> DataFrame:
-        return self._get("vols", lambda: annualised_vol(self.returns, self.periods_per_year))
+        return self._get("vols", lambda: annualised_vol(newest_returns(self.returns, self.window), self.periods_per_year))
 
     @property
     def pairs(self) -> DataFrame:
@@ -290,5 +299,5 @@ class Calibration:
 
 def calibrate(prices: DataFrame, as_of_dates: DataFrame,
               periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
-              align: str = "date") -> Calibration:
-    return Calibration(prices, as_of_array(as_of_dates), periods_per_year, align)
+              align: str = "date", window: int | None = None) -> Calibration:
+    return Calibration(prices, as_of_array(as_of_dates), periods_per_year, align, window)

@@ -214,12 +214,14 @@ def portfolio_variance_blocks(dd: DataFrame, scaled: DataFrame, periods_per_year
             .applyInPandas(_variance_block(float(periods_per_year)), "as_of_date date, portfolio_id string, variance double"))
 
 
-def parametric_var(requests: DataFrame, variance: DataFrame, request_rows: int | None = None) -> DataFrame:
-    """Result rows (schemas.RESULTS) of the parametric method. The requests
+def parametric_var(requests: DataFrame, variance: DataFrame, request_rows: int | None = None,
+                   horizon_years: float = 1.0) -> DataFrame:
+    """Result rows (schemas.RESULTS) of the parametric method; the annual variance is
+    scaled by ``horizon_years`` (1: not at all). The requests
     are joined onto the books (broadcast when ``request_rows`` is under the
     limit), so books of one date are never gathered by date."""
     z = norm_ppf(F.col("alpha"))
-    sigma = F.sqrt(F.col("variance"))
+    sigma = F.sqrt(F.col("variance") * F.lit(float(horizon_years)))
     req = requests.select("correlation_id", "as_of_date", "alpha")
     return (factor_join(variance, req, ["as_of_date"], F.hash("portfolio_id"), request_rows)
             .select("correlation_id", "portfolio_id", "as_of_date", F.lit("PARAMETRIC").alias("method"),

@@ -64,6 +64,7 @@ class _Inputs:
     book_rows: int | None = None
     dates: dict = field(default_factory=dict)     # method -> as-of dates of its requests
     book_pnl: object = None                       # see run_scenarios(pricer=...)
+    horizon_years: float = 1.0
 
 
 def _cache_counted(df: DataFrame, run_cache: list, keys: list[str] | None = None) -> tuple[DataFrame, int, int]:
@@ -137,7 +138,7 @@ def parametric_results(inp: _Inputs) -> DataFrame:
         "as_of_date", "portfolio_id", "ticker", F.col("lin_exposure").alias("dollar_delta"))
     variance = risk.portfolio_variance_projected(dd, cal.scaled, cal.periods_per_year, inp.returns_rows,
                                                  inp.exposure_rows, inp.return_keys)
-    return risk.parametric_var(req, variance, inp.request_rows)
+    return risk.parametric_var(req, variance, inp.request_rows, inp.horizon_years)
 
 
 def historical_results(inp: _Inputs) -> DataFrame:
@@ -202,7 +203,8 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
                   periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
                   align: str = "date", methods=schemas.METHODS,
                   require_paths: bool = False, materialize: bool = True, durable_prices: bool = True,
-                  pricer: str | None = None, strict: bool = False) -> ScenarioRun:
+                  pricer: str | None = None, strict: bool = False, calibration_window: int | None = None,
+                  horizon_years: float = 1.0) -> ScenarioRun:
     """Value-at-Risk of every book in ``positions`` for every valid request.
 
     ``methods`` limits the branches planned (a batch known to hold one method
@@ -210,6 +212,9 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     (functions.pricing.register_pricer) that reprices position by position;
     without it positions collapse to linear and quadratic exposures first.
     ``strict`` raises for the first factor with fewer than two prices, naming it.
+    ``calibration_window`` lets volatilities and covariances see only so many of
+    the newest returns of a factor (historical replay has its own window);
+    ``horizon_years`` scales the parametric variance.
 
     ``materialize=True`` (default) caches the valid requests, checkpoints the
     prices (``durable_prices=False`` when the caller's table is already cut from
@@ -233,7 +238,7 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
         dates = {m: [r["as_of_date"] for r in by if r["method"] == m] for m in schemas.METHODS}
         if durable_prices:
             prices = cut_lineage(prices, durable=True)
-    cal = cal_ops.Calibration(prices, cal_ops.as_of_array(valid), periods_per_year, align)
+    cal = cal_ops.Calibration(prices, cal_ops.as_of_array(valid), periods_per_year, align, calibration_window)
     spot_rows = None
     if materialize:
         index, spot_rows, _ = _cache_counted(cal.index, cached)
@@ -242,7 +247,7 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
         cal_ops.short_history_factors(cal.index, strict=True).limit(1).collect()
     enriched = enrich_ops.enrich_positions(positions, cal.index, spot_rows)
     exp = enrich_ops.exposures(enriched)
-    inp = _Inputs(valid, cal, exp, dates=dates)
+    inp = _Inputs(valid, cal, exp, dates=dates, horizon_years=horizon_years)
     if pricer:
         inp.book_pnl = lambda shocks, keys: scenarios.position_scenario_pnl(shocks, enriched, keys, pricer)
     if materialize:

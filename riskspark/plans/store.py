@@ -9,6 +9,7 @@ stored are skipped, so replaying a message never duplicates them.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from typing import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -185,6 +186,29 @@ def query_results(stored: DataFrame, portfolio_id: str | None = None, date_from=
                     F.col("num_scenarios").cast("int").alias("num_scenarios")))
 
 
+@dataclass(frozen=True)
+class Repository:
+    """Where the tables of one deployment are; lookups read them through it."""
+    results: str
+    calibrations: str
+    positions: str
+
+    def query_results(self, spark: SparkSession, **filters) -> DataFrame:
+        return query_results(spark.read.parquet(self.results), **filters)
+
+    def latest_calibration(self, spark: SparkSession, as_of_date=None) -> DataFrame:
+        stored = spark.read.parquet(self.calibrations)
+        return latest_calibration(stored.withColumn("as_of_date", F.col("as_of_date").cast("string")), as_of_date)
+
+    def portfolio(self, spark: SparkSession, portfolio_id: str | None = None) -> DataFrame:
+        return portfolio_lookup(spark.read.parquet(self.positions), portfolio_id)
+
+    def save(self, results: DataFrame, vols: DataFrame, ts=None) -> None:
+        """Append one run's results and volatilities (replay-safe)."""
+        append_results(results, self.results, ts)
+        append_calibration(vols, self.calibrations, ts)
+
+
 def portfolio_lookup(positions: DataFrame, portfolio_id: str | None = None) -> DataFrame:
     """Positions of one book (or all books)."""
     return positions if portfolio_id is None else positions.filter(F.col("portfolio_id") == portfolio_id)

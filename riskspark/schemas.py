@@ -135,5 +135,3 @@ RESULTS = T.StructType([
 ])
 
 RESULT_COLUMNS = [f.name for f in RESULTS.fields]
-
-CALIBRATION_COLUMNS = ["as_of_date", "ticker", "volatility", "ts"]

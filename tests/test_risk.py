@@ -220,6 +220,31 @@ def test_block_groups_are_bounded_by_output_cells(n_scen, n_books):
     assert -(-n_scen // sb) * -(-n_books // bb) <= 2 * cells
 
 
+def test_calibration_window_and_horizon(spark):
+    prices, books = _market(spark), [("P", "A", 10.0)]
+    asof = spark.createDataFrame([(D0,)], "as_of_date date")
+    cal = cal_ops.calibrate(prices, asof, 252, window=50)
+    assert {(r.ticker, r.n_obs) for r in cal.vols.collect()} == {("A", 50), ("B", 50)}
+    late = prices.filter(F.col("date") >= D0 - timedelta(days=51))
+    assert {r.ticker: r.vol for r in cal.vols.collect()} == {r.ticker: pytest.approx(r.vol) for r in cal_ops.calibrate(late, asof, 252).vols.collect()}
+    year = {r.correlation_id: r.var_amount for r in _run(spark, prices, books, methods=["PARAMETRIC"]).results.collect()}
+    day = {r.correlation_id: r.var_amount for r in _run(spark, prices, books, methods=["PARAMETRIC"], horizon_years=0.01).results.collect()}
+    assert day == {k: pytest.approx(v / 10) for k, v in year.items()} and year
+
+
+def test_repository_lookups(spark, scratch):
+    from riskspark.plans.store import Repository
+    prices, pos = _books(spark)
+    pos.write.parquet(f"{scratch}/positions")
+    repo = Repository(f"{scratch}/results", f"{scratch}/calibrations", f"{scratch}/positions")
+    run = run_scenarios(request_grid(tables.last_date(prices), methods=("PARAMETRIC",)), pos, prices, 12, methods=["PARAMETRIC"])
+    for _ in range(2):
+        repo.save(run.results, run.calibration.vols, "2024-01-01 00:00:00")
+    assert repo.query_results(spark, portfolio_id="BUILDING", method="parametric").count() == 2
+    assert repo.latest_calibration(spark).count() == run.calibration.vols.count() == spark.read.parquet(repo.calibrations).count()
+    assert {r.portfolio_id for r in repo.portfolio(spark, "BUILDING").collect()} == {"BUILDING"}
+
+
 def test_snapshot_can_run_a_method_again(spark, scratch):
     from riskspark.plans import store
     cal = cal_ops.calibrate(_market(spark), spark.createDataFrame([(D0,)], "as_of_date date"), 252)
