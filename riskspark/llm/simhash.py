@@ -11,7 +11,7 @@ a pivot is 1-Lipschitz, so for two fingerprints at most ``k`` bits apart
   all coordinates are equal: that equality is the join key.
 
 Pairs that survive the pivot table are verified by XOR and popcount. Nothing
-is approximate: no linked pair is lost.
+is approximate: no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -27,10 +27,13 @@ from pyspark.sql import functions as F
 
 from riskspark.llm.common import stage
 from riskspark.llm.components import connected_components
+from riskspark.plans.joins import may_broadcast
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 N_PIVOTS = 8
+KEY = ("pair", "k1", "k2")
+BUCKET = 128            # fingerprints sharing a key up to which all pairs are joined
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (first bit, width)
 _CHUNK = 1 << 16  # shingles hashed at a time: bounds memory on very long texts
 
@@ -111,19 +114,95 @@ def _max_pivot_difference() -> Column:
 
 
 def links(distinct_fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """(fp_a, fp_b) for all pairs of distinct fingerprints at most ``max_bits`` apart."""
+    """(fp_a, fp_b): pairs of distinct fingerprints at most ``max_bits`` apart, enough to connect all of them.
+
+    Keys that at most ``BUCKET`` fingerprints share give every pair. A key that
+    more share (a large group of near copies) is compared in blocks of that size,
+    and each block gives a spanning forest of its pairs: the same groups, but
+    never all pairs of a group.
+    """
     if not 0 <= max_bits <= 3:
         raise ValueError("the five-block pivot key finds pairs up to 3 bits apart")
     table = pivot_table(distinct_fps.select("fp"))
     keys = F.array(*[F.struct(F.lit(n).cast("byte").alias("pair"), F.col(f"c{i}").alias("k1"), F.col(f"c{j}").alias("k2"))
                      for n, (i, j) in enumerate(itertools.combinations(range(len(BLOCKS)), 2))])
     keyed = table.select("*", F.explode(keys).alias("k")).select("fp", "k.*", *[f"c{i}" for i in range(len(BLOCKS))])
+    hot = stage(keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET), "simhash_hot")
+    n_hot = hot.count()
+    if not n_hot:
+        return _pairs(keyed, max_bits).distinct()
+    shared = F.broadcast(hot) if may_broadcast(hot, n_hot) else hot
+    blocks = _blocks(keyed.join(shared, list(KEY)), max_bits)
+    return _pairs(keyed.join(shared.select(*KEY), list(KEY), "left_anti"), max_bits).unionByName(blocks).distinct()
+
+
+def _pairs(keyed: DataFrame, max_bits: int) -> DataFrame:
+    """All linked pairs that share a key."""
     a, b = keyed.alias("a"), keyed.alias("b")
     same_key = (F.col("a.pair") == F.col("b.pair")) & (F.col("a.k1") == F.col("b.k1")) & (F.col("a.k2") == F.col("b.k2"))
     near = ((F.col("a.fp") < F.col("b.fp")) & (_max_pivot_difference() <= max_bits)
             & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits))
-    return (a.join(b, same_key & near)
-            .select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b")).distinct())
+    return a.join(b, same_key & near).select(F.col("a.fp").alias("fp_a"), F.col("b.fp").alias("fp_b"))
+
+
+def _forest(a: np.ndarray, b: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs between two sets of fingerprints."""
+    pivots = np.array(_pivots(), np.int64).view(np.uint64)
+    da, db = (np.bitwise_count(x[:, None] ^ pivots).astype(np.int16) for x in (a, b))
+    i, j = np.nonzero(np.abs(da[:, None] - db[None]).max(2) <= max_bits)      # survivors of the pivot table
+    near = np.bitwise_count(a[i] ^ b[j]) <= max_bits
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    out = []
+    for x, y in zip(a[i[near]].tolist(), b[j[near]].tolist()):
+        if x != y and (p := find(x)) != (q := find(y)):
+            parent[p] = q
+            out.append((x, y))
+    return out
+
+
+def _blocks(shared: DataFrame, max_bits: int) -> DataFrame:
+    """Spanning forests of keys shared by many, one group per pair of chunks of about ``BUCKET`` fingerprints."""
+    chunks = F.ceil(F.col("n") / BUCKET).cast("int")
+    cut = (shared.select("fp", *KEY, chunks.alias("chunks")).withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"))
+           .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+           .select(*KEY, F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "fp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, rows, out = None, [], []
+
+        def close() -> None:
+            fps, chunk = (np.array(x) for x in zip(*rows))
+            fps = fps.astype(np.int64).view(np.uint64)
+            out.extend(_forest(fps[chunk == key[3]], fps[chunk == key[4]], max_bits))
+
+        def batch() -> pa.RecordBatch:
+            pairs = np.array(out, np.uint64).reshape(-1, 2).view(np.int64)
+            pairs.sort(axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["fp_a", "fp_b"])
+
+        for b in batches:
+            for *this, chunk, fp in zip(*(c.to_pylist() for c in b.columns)):
+                if this != key:
+                    if rows:
+                        close()
+                    key, rows = this, []
+                rows.append((fp, chunk))
+            if len(out) > 50_000:
+                yield batch()
+                out = []
+        if rows:
+            close()
+        if out:
+            yield batch()
+
+    grouped = cut.repartition(*KEY, "i", "j").sortWithinPartitions(*KEY, "i", "j", "fp")
+    return grouped.mapInArrow(run, "fp_a long, fp_b long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -158,7 +237,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comp = stage(simhash_components(docs, id_col, text_col, shingle_words, max_bits), "simhash_components")
     again = stage(comp.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
                   .select(F.col("doc_id").alias("_id")), "simhash_repeated")
-    drop = comp.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    drop = stage(comp.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "simhash_drop")
+    if may_broadcast(drop, drop.count()):    # else a join that Spark may split
+        drop = F.broadcast(drop)
     doc_id = F.col(f"`{id_col}`").cast("long")
     if again.isEmpty():
         return docs.join(drop, doc_id == F.col("_id"), "left_anti")
