@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_WORDS = 16
+STRIDE_WORDS = 12          # windows overlap by a quarter
+LEAD_BYTES = 64            # of the shared part before each window, see windows()
 FOLDS = 5                  # the fold with remainder 0 is never learned from
 MAX_DOCS_PER_CLASS = 3_000  # bound of the labelled sample the model is fitted on
 MAX_TRAIN_CHARS = 16_384   # of a sampled document; scoring always reads whole texts
@@ -34,7 +36,7 @@ COMMON_BYTES = 1_500
 OWN_BYTES = 16_384
 RUN_BYTES = 6
 MIN_RATIO = 8.0
-MIN_CONTEXTS = (5, 20)     # a run must recur: a twentieth of the toxic texts, within these
+MIN_CONTEXTS = (5, 20)     # a run must recur in so many contexts: a twentieth of the toxic texts, within these
 THRESHOLDS = (1, 2, 3, 4, 6)
 _PARTS = 16
 
@@ -51,11 +53,16 @@ class Model:
     sample: dict
 
 
-def windows(text: str | None, words: int = WINDOW_WORDS) -> Iterator[bytes]:
-    """Lower-cased text in windows of ``words`` words, joined by one space."""
+def windows(text: str | None, words: int = WINDOW_WORDS, stride: int = STRIDE_WORDS, lead: bytes = b"") -> Iterator[bytes]:
+    """Lower-cased text in windows of ``words`` words, joined by one space.
+
+    zstandard stores a block that hardly shrinks as it is, which would hide a
+    single match. ``lead``, bytes that both dictionaries hold, makes every window
+    shrink, so each further match shows in the length.
+    """
     found = (text or "").lower().encode("utf-8", "replace").split()
-    for at in range(0, len(found), words):
-        yield b" ".join(found[at:at + words])
+    for at in range(0, len(found), stride):
+        yield lead + b" ".join(found[at:at + words])
 
 
 def _grams(data: bytes, size: int) -> np.ndarray:
@@ -144,23 +151,27 @@ def _compressors(model: Model) -> tuple:
         dictionary = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
         dictionary.precompute_compress(compression_params=setting)
         out.append(zs.ZstdCompressor(dict_data=dictionary, compression_params=setting))
-    return tuple(out)
+    return *out, model.ordinary[-LEAD_BYTES:]
+
+
+def _n_features() -> int:
+    return 2 * (6 + 2 * len(THRESHOLDS))
 
 
 def features(text: str | None, compressors: tuple) -> np.ndarray:
     """Statistics of (ordinary - toxic) compressed window lengths; zeros for texts without words."""
-    toxic, ordinary = compressors
+    toxic, ordinary, lead = compressors
     gain, size = [], 0
-    for w in windows(text):
+    for w in windows(text, lead=lead):
         gain.append(len(ordinary.compress(w)) - len(toxic.compress(w)))
-        size += len(w)
+        size += len(w) - len(lead)
     if not gain:
-        return np.zeros(2 * (6 + len(THRESHOLDS)))
+        return np.zeros(_n_features())
     d = np.array(gain, np.float64)
     top = -np.sort(-d)[:3]
     up, down = np.maximum(d, 0).sum(), np.maximum(-d, 0).sum()
     own = np.array([top[0], top.mean(), 100 * up / (size + 20), 100 * down / (size + 20), np.log1p(up), np.log1p(len(d)),
-                    *[(d >= t).mean() for t in THRESHOLDS]])
+                    *[(d >= t).mean() for t in THRESHOLDS], *[np.log1p((d >= t).sum()) for t in THRESHOLDS]])
     return np.concatenate([own, np.sign(own) * np.sqrt(np.abs(own))])
 
 
@@ -211,9 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = {c: _context_counts(raw[c]) for c in by}
     least = int(np.clip(len(raw[1]) // 20, *MIN_CONTEXTS))
     own = _dictionary([r for t in raw[1] for r in _typical_runs(t, counts[1], counts[0], least)], OWN_BYTES)
-    common = _dictionary([w for t in raw[0][:1000] + raw[1][:1000] for w in windows(t.decode("utf-8", "replace"), 64)], COMMON_BYTES)
+    common = _dictionary([w for t in raw[0][:1000] + raw[1][:1000] for w in windows(t.decode("utf-8", "replace"), 64, 64)], COMMON_BYTES)
     del counts
-    width = 2 * (6 + len(THRESHOLDS)) + 1
+    width = _n_features() + 1
     total = sum(sizes.values())
     prior = np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)) if total else 0.0
     # What is typical for ordinary text is told by the shared part; a second own part would only add noise.
