@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from riskspark.plans.catalog import QUERIES
+from riskspark.plans.oracle import ORACLES
 
 from conftest import SF_SMALL
 
@@ -40,11 +42,11 @@ def duck():
 
 
 def test_every_query_is_registered_with_an_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"results_json"}
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) & set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, name):
     df = E.queries()[name](spark, SF_SMALL)
     srows = [tuple(r) for r in df.collect()]
