@@ -35,11 +35,16 @@ PAIR_BUCKET = 256            # factors of one block of the pair products
 
 def as_of_array(as_of_dates: DataFrame) -> Column:
     """The distinct as-of dates as one sorted array literal (bounded by the calendar)."""
-    rows = as_of_dates.select(F.col("as_of_date").cast("string").alias("d")).where("d is not null").distinct().limit(
-        MAX_AS_OF_DATES + 1).collect()
-    if len(rows) > MAX_AS_OF_DATES:
+    rows = as_of_dates.select("as_of_date").distinct().limit(MAX_AS_OF_DATES + 1).collect()
+    return date_array(r[0] for r in rows)
+
+
+def date_array(dates) -> Column:
+    """Distinct dates as one sorted array literal; NULLs are left out."""
+    known = sorted({d.isoformat() for d in dates if d is not None})
+    if len(known) > MAX_AS_OF_DATES:
         raise ValueError(f"more than {MAX_AS_OF_DATES} distinct as-of dates")
-    text = ",".join(sorted(r.d for r in rows))
+    text = ",".join(known)
     return F.transform(F.filter(F.split(F.lit(text), ","), lambda d: d != ""), lambda d: d.cast("date"))
 
 

@@ -67,20 +67,15 @@ class _Inputs:
     horizon_years: float = 1.0
 
 
-def _cache_counted(df: DataFrame, run_cache: list, keys: list[str] | None = None) -> tuple[DataFrame, int, int]:
-    """Cache a table that several branches reuse; return it with its exact row
-    count and the number of distinct ``keys`` (one pass).
+def _cache_counted(df: DataFrame, run_cache: list) -> tuple[DataFrame, int]:
+    """Cache a table that several branches reuse; return it with its exact row count.
 
     Its lineage starts at a checkpoint, so a lost block is rebuilt from the
     checkpoint files, never from the fact-table scan.
     """
     df = cut_lineage(df, durable=False)
     run_cache.append(df)
-    aggs = [F.count(F.lit(1)).alias("n")]
-    if keys:
-        aggs.append(F.count_distinct(*[F.col(k) for k in keys]).alias("k"))
-    row = df.agg(*aggs).first()
-    return df, int(row["n"]), int(row["k"]) if keys else 0
+    return df, df.count()
 
 
 def _for(df: DataFrame, inp: "_Inputs", method: str) -> DataFrame:
@@ -236,12 +231,15 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
         by = valid.groupBy("method", "as_of_date").count().collect()      # calendar x methods
         request_rows = sum(r["count"] for r in by)
         dates = {m: [r["as_of_date"] for r in by if r["method"] == m] for m in schemas.METHODS}
+        asofs = cal_ops.date_array(r["as_of_date"] for r in by)
         if durable_prices:
             prices = cut_lineage(prices, durable=True)
-    cal = cal_ops.Calibration(prices, cal_ops.as_of_array(valid), periods_per_year, align, calibration_window)
+    else:
+        asofs = cal_ops.as_of_array(valid)
+    cal = cal_ops.Calibration(prices, asofs, periods_per_year, align, calibration_window)
     spot_rows = None
     if materialize:
-        index, spot_rows, _ = _cache_counted(cal.index, cached)
+        index, spot_rows = _cache_counted(cal.index, cached)
         cal.use("index", index)
     if strict:
         cal_ops.short_history_factors(cal.index, strict=True).limit(1).collect()
@@ -253,12 +251,14 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     if materialize:
         inp.request_rows = request_rows
         inp.exposures = cut_lineage(exp, durable=True)
-        row = inp.exposures.agg(F.count(F.lit(1)), F.count_distinct("as_of_date", "ticker"),
-                                F.count_distinct("as_of_date", "portfolio_id")).first()
+        # The row count is exact (it decides broadcasts); the other two only size the blocks.
+        row = inp.exposures.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("as_of_date", "ticker")),
+                                F.approx_count_distinct(F.xxhash64("as_of_date", "portfolio_id"))).first()
         inp.exposure_rows, inp.factor_keys, inp.book_rows = (int(x) for x in row)
         if {"PARAMETRIC", "MONTE_CARLO"} & set(methods):
-            scaled, inp.returns_rows, inp.return_keys = _cache_counted(cal.scaled, cached, ["as_of_date", "ticker"])
+            scaled, inp.returns_rows = _cache_counted(cal.scaled, cached)
             cal.use("scaled", scaled)
+            inp.return_keys = index.filter("n_prices > 2").count()
     short = cal_ops.short_history_factors(cal.index).withColumn("error_code", F.lit(schemas.ERR_CALCULATION))
     factor_rejects = short.join(inp.exposures.select("as_of_date", "ticker").distinct(), ["as_of_date", "ticker"], "left_semi")
     parts = [METHOD_BUILDERS[m](inp) for m in methods]
