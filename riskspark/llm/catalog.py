@@ -71,13 +71,16 @@ def op7_chat_prefix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from riskspark.llm.sharding import shuffle_into_shards
+    from riskspark.llm import sharding
+    from riskspark.llm.common import shared_path
 
+    placed = sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"), n_shards=8)
+    path = shared_path(spark, "shards")
+    sharding.write_shards(placed, path)
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = _table(spark, sf_dir, "documents").select(
-        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    return shuffle_into_shards(rows, n_shards=8).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return spark.read.schema(placed.schema).parquet(path).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

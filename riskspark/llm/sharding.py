@@ -127,15 +127,15 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, seed: int = 42, rows_per
 
     Shard sizes differ by one at most; every assignment and every order is
     equally likely over the seeds. Repeated rows are interchangeable and each get
-    their own place; NULLs hash like any value; an empty table stays empty. The
-    rows are written to the shared folder once between the two permutations.
+    their own place; NULLs hash like any value; an empty table stays empty. Only
+    hashes are read to draw and count; the whole rows are exchanged twice, once
+    for each permutation. ``rows`` must read the same each time (a stored table).
     """
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
     cols = [F.col(f"`{c}`") for c in rows.columns]
     packed = rows.select(F.struct(*cols).alias("row"), *[
         F.xxhash64(F.lit(seed), F.lit(what), *cols).alias(name) for what, name in (("block", "h1"), ("local", "h2"), ("slot", "h3"))])
-    packed = stage(packed, "shard_rows")
     n_rows = packed.count()
     n_blocks = min(BLOCKS[1], max(BLOCKS[0], 2 ** math.ceil(math.log2(max(1, n_rows / rows_per_block)))))
     blocks = packed.withColumn("block", F.pmod("h1", F.lit(n_blocks)).cast("int"))
@@ -143,9 +143,8 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, seed: int = 42, rows_per
     local = F.row_number().over(Window.partitionBy("block").orderBy("h2", "h3")) - 1
     cut = blocks.withColumn("at", local).join(F.broadcast(matrix), "block")
     shard = F.size(F.filter("ends", lambda e: e <= F.col("at")))
-    sent = stage(cut.select("row", "h3", shard.cast("int").alias("shard"),
-                            F.pmod(F.xxhash64("h3"), F.lit(n_blocks)).cast("int").alias("part")), "shard_exchange")
-    parts = sent.groupBy("shard", "part").agg(F.count("*").alias("n"))
+    sent = cut.select("row", "h3", shard.cast("int").alias("shard"), F.pmod(F.xxhash64("h3"), F.lit(n_blocks)).cast("int").alias("part"))
+    parts = stage(sent.groupBy("shard", "part").agg(F.count("*").alias("n")), "shard_parts")
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     again = F.row_number().over(Window.partitionBy("shard", "part").orderBy("h3")) - 1
@@ -155,5 +154,4 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, seed: int = 42, rows_per
 
 def write_shards(placed: DataFrame, path: str) -> None:
     """One folder per shard, rows in slot order inside its files."""
-    (placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").parquet(path))
+    placed.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(path)

@@ -1,5 +1,6 @@
 from collections import Counter
 from math import comb
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -67,3 +68,22 @@ def test_written_shards(spark, tmp_path):
     write_shards(placed, str(tmp_path / "shards"))
     assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == [f"shard={k}" for k in range(4)]
     assert spark.read.parquet(str(tmp_path / "shards")).count() == 100
+
+
+def test_query_reads_whole_rows_back_from_its_shards(spark, documents, no_documents, tmp_path, monkeypatch):
+    from riskspark.llm import catalog, sharding
+
+    paths, write = [], sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda placed, path: (paths.append(path), write(placed, path)))
+    documents.write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    rows = catalog.op8_hypergeometric_shards(spark, str(tmp_path / "a")).collect()
+    _check(rows, 8)
+    (path,) = paths
+    stored = spark.read.parquet(path)
+    assert set(stored.columns) == {*documents.columns, "shard", "slot"}
+    assert Counter((r.doc_id, r.text) for r in stored.collect()) == Counter((r.doc_id, r.text) for r in documents.collect())
+    texts = {(r.shard, r.slot): (r.doc_id, (r.text or "").encode()) for r in stored.collect()}
+    assert {(r.shard, r.slot): (r.doc_id, r.size, r.text_crc32) for r in rows} == {
+        k: (i, len(t) + 1, crc32(t)) for k, (i, t) in texts.items()}
+    no_documents.write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert catalog.op8_hypergeometric_shards(spark, str(tmp_path / "b")).count() == 0
