@@ -95,6 +95,25 @@ def op10_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.line_counts import drop_repeated_lines
+
+    return drop_repeated_lines(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.filter_audit import audit_filters
+
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_importance_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from riskspark.llm.resampling import importance_resample
+
+    return importance_resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("version")
+
+
 QUERIES = {
     "op1_warc_chunks": op1_warc_chunks,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -106,6 +125,9 @@ QUERIES = {
     "op8_hypergeometric_shards": op8_hypergeometric_shards,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_nn_descent": op10_nn_descent,
+    "op11_line_counts": op11_line_counts,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_importance_resample": op13_importance_resample,
 }
 
 def _sql_base32(hex40: str) -> str:
@@ -158,4 +180,39 @@ c AS (SELECT a, min(b) AS low FROM r GROUP BY a), n AS (SELECT a, count(*) AS n
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, c.low)::BIGINT AS component_id,
        e.vec_id = least(e.vec_id, c.low) AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id""",
+    "op11_line_counts": """
+WITH l AS (SELECT doc_id, unnest(p.lines) AS line, generate_subscripts(p.lines, 1) AS pos
+           FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents) p),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+f AS (SELECT k.*, r.first IS NOT NULL AND k.doc_id <> r.first AS gone FROM k LEFT JOIN r ON r.key = k.key)
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256 FROM f GROUP BY doc_id""",
+    "op12_filter_audit": """
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT d.doc_id, part, coalesce(l.quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic,
+             (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT
+             + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t))::INT
+             + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (d.doc_id > min(d.doc_id) OVER (PARTITION BY t))::INT AS fails
+      FROM d LEFT JOIN labels l ON l.doc_id = d.doc_id),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM x GROUP BY ALL),
+o(filter_order) AS (SELECT '' UNION ALL SELECT o.filter_order || f.f FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f) f
+                    WHERE NOT contains(o.filter_order, f.f)),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, (1 << (instr('ABCDE', substr(filter_order, step, 1)) - 1))::INT AS own,
+             list_sum(list_transform(string_split(substr(filter_order, 1, step - 1), ''),
+                                     lambda x: CASE WHEN x = '' THEN 0 ELSE (1 << (instr('ABCDE', x) - 1)) END))::INT AS before
+      FROM (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o WHERE length(filter_order) = 5)),
+a AS (SELECT part, filter_order, step, letter,
+             coalesce(sum(n) FILTER ((fails & before) = 0 AND (fails & own) = 0), 0) AS kept,
+             coalesce(sum(n) FILTER ((fails & before) = 0 AND (fails & own) <> 0), 0) AS removed,
+             coalesce(sum(n) FILTER ((fails & before) <> 0 AND (fails & own) <> 0), 0) AS redundant,
+             coalesce(sum(n) FILTER (fails = own), 0) AS unique_fails,
+             coalesce(sum(good) FILTER ((fails & before) = 0 AND (fails & own) <> 0), 0) AS good_lost,
+             coalesce(sum(toxic) FILTER ((fails & before) = 0 AND (fails & own) <> 0), 0) AS toxic_lost
+      FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM a""",
 }
