@@ -10,7 +10,7 @@ put together again by position. DataFrame functions only.
 Only hashes, ids and positions travel for the line tables. Keys with more than a
 thousandth of all repeated lines (at most a thousand keys) are joined by
 broadcast, so no task receives such a key's lines; the others are joined by a
-shuffle. Texts are shuffled once, by document.
+shuffle. Texts are split once and shuffled once, by document.
 
 Defined results
 * NULL and empty texts are one empty line; nothing of them is dropped.
@@ -98,7 +98,7 @@ def dropped_positions(lines: DataFrame, repeated: DataFrame) -> DataFrame:
 def drop_repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS,
                         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) per row of ``docs``, the text without its repeated lines."""
-    lines = line_table(docs, min_chars, id_col, text_col)
+    lines = stage(line_table(docs, min_chars, id_col, text_col), "lines")
     repeated = stage(repeated_keys(lines, min_docs), "repeated-lines")
     drops = dropped_positions(lines, repeated).withColumnRenamed("doc_id", "_id").withColumnRenamed("version", "_version")
     rows = _rows(docs, id_col, text_col)
