@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from riskspark.llm.catalog import word_tokenizer
-from riskspark.llm.packing import WordTokens, best_fit_decreasing, pack, pack_documents
+from riskspark.llm.packing import WordTokens, best_fit_decreasing, pack, pack_documents, packed_sequences, read_sequences
 
 
 def _one_by_one(lengths, capacity):
@@ -53,11 +53,11 @@ def test_word_tokens_equal_whole_text_encoding():
 
 def test_pieces_are_packed_without_gaps(documents):
     rows = [r.asDict() for r in pack_documents(documents, word_tokenizer()).collect()]
-    tokens = WordTokens(word_tokenizer())
+    whole = WordTokens(word_tokenizer()).tokenizer
     source = sorted(((r.doc_id, r.text) for r in documents.collect()), key=str)
     expected = []
     for doc_id, text in source:
-        ids = np.append(tokens.encode(pa.array([text], pa.string()))[0], np.uint32(0)).astype("<u4")
+        ids = np.array([*whole.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         for k, at in enumerate(range(0, len(ids), 2048)):
             part = ids[at:at + 2048]
             expected.append((doc_id, k, at, len(part), zlib.crc32(part.tobytes())))
@@ -80,3 +80,32 @@ def test_empty_table_and_hot_length(spark, no_documents):
     hot = spark.range(5000).selectExpr("id doc_id", "0 piece", "cast(if(id < 4500, 3, id % 100 + 1) as long) length")
     packed = pack(hot, 100)
     assert packed.count() == packed.select("sequence_id", "offset").distinct().count() == 5000
+
+
+def test_written_sequences_hold_the_ids(spark, documents):
+    long = " ".join(f"word{k} and more" for k in range(60_000))
+    docs = documents.select("doc_id", "text").unionByName(spark.createDataFrame([(50, long), (51, "")], "doc_id long, text string"))
+    written = packed_sequences(docs, word_tokenizer())
+    whole = WordTokens(word_tokenizer()).tokenizer
+    texts = {}
+    for r in docs.collect():
+        texts.setdefault(r.doc_id, []).append([*whole.encode(r.text or "", add_special_tokens=False).ids, 0])
+    seen = 0
+    for r in written.collect():
+        ids, at = np.frombuffer(bytes(r.ids), "<u2"), 0
+        assert len(ids) == sum(p.length for p in r.pieces) <= 2048
+        for p in r.pieces:
+            assert ids[at:at + p.length].tolist() in [t[p.start:p.start + p.length] for t in texts[p.doc_id]]
+            assert p.start == 2048 * p.piece
+            at, seen = at + p.length, seen + p.length
+    assert seen == sum(len(t) for ts in texts.values() for t in ts)
+    assert read_sequences(written).count() == sum(-(-len(t) // 2048) for ts in texts.values() for t in ts)
+
+
+def test_counts_beyond_the_broadcast_limit_are_joined(spark, documents):
+    spark.conf.set("riskspark.broadcast.maxRows", "1")
+    try:
+        packed = pack_documents(documents, word_tokenizer())
+        assert packed.select("sequence_id", "offset").distinct().count() == packed.count()
+    finally:
+        spark.conf.unset("riskspark.broadcast.maxRows")
