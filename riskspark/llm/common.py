@@ -15,17 +15,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage (a lost executor re-reads the files, never the upstream
-    stages) and gives the optimiser exact sizes.
+    stages) and gives the optimiser exact sizes. ``codec`` names another
+    compression than the session's (for large binary columns).
     """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes to be none of ``df``'s columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def keep_columns(df: DataFrame, *names: str) -> DataFrame:
     """Project by position-safe names, so extra columns cannot clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -401,8 +401,8 @@ def read_sequences(sequences: DataFrame) -> DataFrame:
 def packed_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """The packed training sequences, written: (sequence_id, ids, pieces), see ``assemble``."""
-    pieces = stage(token_pieces(docs, tokenizer_path, capacity, EOS_ID, id_col, text_col), "pieces")
-    return stage(assemble(pack(pieces, capacity)), "sequences")
+    pieces = stage(token_pieces(docs, tokenizer_path, capacity, EOS_ID, id_col, text_col), "pieces", "zstd")
+    return stage(assemble(pack(pieces, capacity)), "sequences", "zstd")
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, id_col: str = "doc_id",
