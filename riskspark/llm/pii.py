@@ -230,7 +230,7 @@ def dress(kind: Column, prefix: Column, core: Column, canonical: Column, new: Co
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every entity in ``text_col`` replaced, plus ``n_entities`` (int).
 
-    All other columns are returned as they are. NULL texts stay NULL, empty ones
+    All other columns are returned as they are (one called n_entities is replaced). NULL texts stay NULL, empty ones
     empty (0 entities); rows that share id and text get the same result; NULL ids
     are allowed; an empty table stays empty. Texts are read once for the search;
     only texts with entities are rebuilt.
@@ -250,5 +250,5 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     gaps = F.split(F.col(f"`{text_col}`"), ENTITY, -1)
     rebuilt = F.array_join(F.flatten(F.zip_with(gaps, F.col("_pii_new"), lambda g, r: F.array(g, F.coalesce(r["new"], F.lit(""))))), "")
     text = F.when(F.col("_pii_new").isNull(), F.col(f"`{text_col}`")).otherwise(rebuilt)
-    cols = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    cols = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() != "n_entities"]
     return joined.select(*cols, F.when(F.col("_pii_new").isNull(), 0).otherwise(F.size("_pii_new")).alias("n_entities"))

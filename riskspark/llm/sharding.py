@@ -126,7 +126,8 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, seed: int = 42, rows_per
     """``rows`` with ``shard`` (0..n_shards-1) and ``slot`` (gapless from 0 in each shard).
 
     Shard sizes differ by one at most; every assignment and every order is
-    equally likely over the seeds. Repeated rows are interchangeable and each get
+    equally likely over the seeds. Columns of ``rows`` called shard or slot are
+    replaced; very long rows are exchanged like any other. Repeated rows are interchangeable and each get
     their own place; NULLs hash like any value; an empty table stays empty. Only
     hashes are read to draw and count; the whole rows are exchanged twice, once
     for each permutation. ``rows`` must read the same each time (a stored table).
@@ -149,7 +150,7 @@ def shuffle_into_shards(rows: DataFrame, n_shards: int, seed: int = 42, rows_per
     base = parts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     again = F.row_number().over(Window.partitionBy("shard", "part").orderBy("h3")) - 1
     return (sent.withColumn("at", again).join(F.broadcast(base), ["shard", "part"])
-            .select("row.*", "shard", (F.col("base") + F.col("at")).cast("long").alias("slot")))
+            .select(*[F.col(f"row.`{c}`") for c in rows.columns if c.lower() not in ("shard", "slot")], "shard", (F.col("base") + F.col("at")).cast("long").alias("slot")))
 
 
 def write_shards(placed: DataFrame, path: str) -> None:

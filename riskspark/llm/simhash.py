@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskspark.llm.common import stage
+from riskspark.llm.common import free_name, stage
 from riskspark.llm.components import connected_components
 from riskspark.plans.joins import may_broadcast
 
@@ -213,7 +213,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     included). Equal fingerprints are one vertex of the graph, so copies are
     never expanded into pairs. Texts without words have fingerprint zero and
     link like any other. NULL ids: the row is kept; its component is the
-    smallest non-NULL id reachable, or NULL when there is none.
+    smallest non-NULL id reachable, or NULL when there is none. Very long texts
+    are hashed in chunks, whole; an empty table gives an empty table; other columns
+    are not read, so their names cannot clash.
     """
     fps = stage(fingerprints(docs, id_col, text_col, shingle_words), "simhash")
     vertices = stage(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "vertices")
@@ -233,19 +235,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The row with the smallest id stays, all columns unchanged. Where an id
     repeats (or is NULL) rows are told apart by their fingerprint, and of rows
     that share id and component the one with the smallest content hash stays.
+    Very long texts are fingerprinted whole, an empty table stays empty, and the
+    columns of ``docs`` may have any names.
     """
+    key = free_name(docs, "_id")
     comp = stage(simhash_components(docs, id_col, text_col, shingle_words, max_bits), "simhash_components")
     again = stage(comp.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
-                  .select(F.col("doc_id").alias("_id")), "simhash_repeated")
-    drop = stage(comp.where("doc_id <> component_id").select(F.col("doc_id").alias("_id")), "simhash_drop")
+                  .select(F.col("doc_id").alias(key)), "simhash_repeated")
+    drop = stage(comp.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "simhash_drop")
     if may_broadcast(drop, drop.count()):    # else a join that Spark may split
         drop = F.broadcast(drop)
     doc_id = F.col(f"`{id_col}`").cast("long")
     if again.isEmpty():
-        return docs.join(drop, doc_id == F.col("_id"), "left_anti")
-    out = docs.join(drop.unionByName(again).distinct(), doc_id.eqNullSafe(F.col("_id")), "left_anti")
+        return docs.join(drop, doc_id == F.col(key), "left_anti")
+    out = docs.join(drop.unionByName(again).distinct(), doc_id.eqNullSafe(F.col(key)), "left_anti")
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.join(again, doc_id.eqNullSafe(F.col("_id")), "left_semi").select(
+    rows = docs.join(again, doc_id.eqNullSafe(F.col(key)), "left_semi").select(
         F.struct(*cols).alias("row"), doc_id.alias("doc_id"),
         F.xxhash64(*[c.cast("string") for c in cols]).alias("h"),
         _fingerprint_hex(shingle_words)(F.col(f"`{text_col}`")).alias("fingerprint"))

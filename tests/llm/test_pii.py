@@ -70,3 +70,9 @@ def test_no_python_in_the_plan_and_empty_table(spark, no_documents):
     assert pii.replace_pii(no_documents, "k").count() == 0
     plan = pii.replace_pii(spark.createDataFrame([(1, TEXTS[1])], "doc_id long, text string"), "k")._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_column_called_n_entities_is_replaced(spark):
+    docs = spark.createDataFrame([(1, "write to anna@example.org", 99), (2, "nothing", None)], "doc_id long, text string, n_entities int")
+    got = pii.replace_pii(docs, "k")
+    assert got.columns == ["doc_id", "text", "n_entities"] and {r.doc_id: r.n_entities for r in got.collect()} == {1: 1, 2: 0}

@@ -87,3 +87,10 @@ def test_query_reads_whole_rows_back_from_its_shards(spark, documents, no_docume
         k: (i, len(t) + 1, crc32(t)) for k, (i, t) in texts.items()}
     no_documents.write.parquet(str(tmp_path / "b" / "documents.parquet"))
     assert catalog.op8_hypergeometric_shards(spark, str(tmp_path / "b")).count() == 0
+
+
+def test_columns_called_like_the_result(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 7 as shard", "'x' as slot", "id as block", "id as row", "id as h1")
+    placed = shuffle_into_shards(rows, 4)
+    assert sorted(placed.columns) == ["block", "h1", "id", "row", "shard", "slot"]
+    assert placed.select("shard", "slot").distinct().count() == 1000 and {r.shard for r in placed.collect()} == {0, 1, 2, 3}

@@ -97,3 +97,10 @@ def test_empty_tables_and_chains(spark, no_documents):
     got = {r.node: r.component for r in connected_components(chain).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     assert connected_components(chain.where("false")).count() == 0
+
+
+def test_keep_one_with_columns_called_like_its_own(spark, documents):
+    named = documents.selectExpr("*", "doc_id as _id", "doc_id as __id", "1 as component_id", "'f' as fingerprint", "2 as n", "3 as h", "4 as row")
+    got = keep_one(named)
+    assert got.columns == named.columns
+    assert sorted(str(r.doc_id) for r in got.collect()) == sorted(str(r.doc_id) for r in keep_one(documents).collect())
