@@ -130,6 +130,28 @@ def positions_panel(spark, sf):
     return p.select("portfolio_id", "ticker", _r("quantity", 6), "asset_class", "delta", "gamma", "maturity_in_years")
 
 
+def positions_csv(spark, sf):
+    """The option book as position files in three column orders (one without the optional columns),
+    read back by their headers."""
+    from ..sources.csv import read_position_csv
+    pos = cut_lineage(tables.position_book(spark, sf, "segment", "brand", options=True).withColumn(
+        "k", F.when((F.col("delta") == 1) & (F.col("gamma") == 0), 2).otherwise(F.pmod(F.hash("ticker"), F.lit(2)))))
+    path = _store_path(spark)
+    names = {"portfolio_id": "portfolioId", "ticker": "ticker", "quantity": "quantity", "asset_class": "assetClass", "delta": "delta",
+             "gamma": "gamma", "maturity_in_years": "maturityInYears"}
+    orders = (list(names), ["gamma", "ticker", "asset_class", "delta", "portfolio_id", "quantity"], ["quantity", "asset_class", "portfolio_id", "ticker"])
+    for k, order in enumerate(orders):
+        pos.filter(F.col("k") == k).select(*[F.col(c).alias(names[c]) for c in order]).write.option("header", True).csv(f"{path}/{k}")
+    back = read_position_csv(spark, [f"{path}/{k}" for k in range(len(orders))])
+    return back.select("portfolio_id", "ticker", _r("quantity", 6), "asset_class", "delta", "gamma", "maturity_in_years")
+
+
+def price_rejects(spark, sf):
+    usable, faulty = tables.split_labelled(tables.label_prices(tables.tick_prices(spark, sf), date="ts", ts="ts"))
+    out = tables.price_rejects(usable, faulty)
+    return out.select("ticker", "date", round_half_away(F.col("value").cast("double"), 6).alias("value"), "reason")
+
+
 def price_quality(spark, sf):
     return tables.price_quality(tables.tick_prices(spark, sf), date="ts")
 
@@ -435,7 +457,9 @@ def results_json(spark, sf):
 QUERIES = {
     "prices_panel": prices_panel,
     "positions_panel": positions_panel,
+    "positions_csv": positions_csv,
     "price_quality": price_quality,
+    "price_rejects": price_rejects,
     "prices_clean": prices_clean,
     "ticker_from_path": ticker_from_path,
     "portfolio_lookup": portfolio_lookup,

@@ -15,6 +15,7 @@ import math
 
 from .. import schemas
 from ..functions.normal import AS241_A, AS241_B, AS241_C, AS241_D, AS241_E, AS241_F
+from ..sources import tables
 from . import catalog as C
 
 D = "::DOUBLE"
@@ -354,6 +355,14 @@ def build() -> dict[str, str]:
         f"alpha, mean_pnl AS meanPnL, std_dev_pnl AS stdDevPnL FROM ({results_sql()})")
     q["positions_panel"] = _with(positions(options=True)) + (
         f"SELECT portfolio_id, ticker, round(quantity, 6) AS quantity, 'EQD' AS asset_class, delta, gamma, 0.0{D} AS maturity_in_years FROM book")
+    q["positions_csv"] = f"SELECT * REPLACE (upper(ticker) AS ticker) FROM ({q['positions_panel']})"
+    faults = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tables.PRICE_FAULTS.items())
+    q["price_rejects"] = (
+        "WITH l AS (SELECT upper(trim(event_type)) AS ticker, CAST(ts AS DATE) AS date, value, ts, CASE WHEN event_type IS NULL THEN 'ticker' "
+        "WHEN ts IS NULL THEN 'date' WHEN value IS NULL OR isnan(value) OR value = 'inf' THEN 'close' WHEN value <= 0 THEN 'sign' END AS fault "
+        "FROM events), d AS (SELECT ticker, date, value, CASE WHEN fault IS NULL AND row_number() OVER (PARTITION BY ticker, date, fault "
+        "ORDER BY ts DESC NULLS LAST, value DESC) > 1 THEN 'duplicate' ELSE fault END AS fault FROM l) "
+        f"SELECT ticker, date, round(value, 6) AS value, CASE fault {faults} END AS reason FROM d WHERE fault IS NOT NULL")
     q["price_quality"] = (
         "WITH d AS (SELECT upper(trim(event_type)) AS ticker, CAST(ts AS DATE) AS day, CASE WHEN event_type IS NULL THEN 'ticker' "
         "WHEN ts IS NULL THEN 'date' WHEN value IS NULL OR isnan(value) OR value = 'inf' THEN 'close' WHEN value <= 0 THEN 'sign' END AS fault, "

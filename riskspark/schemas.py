@@ -121,6 +121,15 @@ REQUESTS = T.StructType([
     T.StructField("seed", T.LongType()),
 ])
 
+# Price rows that no calibration can use, with the reason.
+PRICE_REJECTS = T.StructType([
+    T.StructField("source_file", T.StringType()),
+    T.StructField("ticker", T.StringType()),
+    T.StructField("date", T.DateType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("reason", T.StringType()),
+])
+
 RESULTS = T.StructType([
     T.StructField("correlation_id", T.StringType()),
     T.StructField("portfolio_id", T.StringType()),

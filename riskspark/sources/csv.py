@@ -1,23 +1,30 @@
 """CSV sources: price files, position files, and tickers from file names.
 
-Price files have the header ``Ticker,Date,Open,High,Low,Close,Volume,OpenInt``
-(only Ticker, Date and Close are used); position files
-``portfolioId,ticker,quantity,assetClass`` with optional ``delta``, ``gamma``
-and ``maturityInYears``. Everything is read as text and cast with ``try_cast``
-so a bad number becomes NULL (and is dropped) rather than failing the job.
-Headers are checked against the expected names (``enforceSchema=false``), so
-files whose columns come in another order fail loudly instead of being
-misread by position. A UTF-8 byte-order mark is stripped by the reader.
+Price files have the columns ``Ticker, Date, Open, High, Low, Close, Volume,
+OpenInt`` (only Ticker, Date and Close are used); position files ``portfolioId,
+ticker, quantity, assetClass`` with optional ``delta``, ``gamma`` and
+``maturityInYears``. Columns are found by name, in each file by its own header:
+one scan of the first lines groups the files by header, every group is read with
+its own schema, and the groups are united by name. So files of one folder may
+order their columns differently or have columns of their own. A file that lacks a
+needed column, or names one twice, is an error that names the file. A UTF-8
+byte-order mark is ignored; names match whatever their case.
+
+Everything is read as text and cast with ``try_cast``, so a bad number becomes
+NULL (and the row a reject) rather than failing the job.
 """
 
 from __future__ import annotations
 
+import csv
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
-from .tables import clean_prices
+from .tables import clean_prices, label_prices, price_rejects, split_labelled
 
 # The header names are the file format.
 PRICE_HEADER = ["Ticker", "Date", "Open", "High", "Low", "Close", "Volume", "OpenInt"]
@@ -25,10 +32,6 @@ POSITION_HEADER = ["portfolioId", "ticker", "quantity", "assetClass"]
 POSITION_OPTIONAL = ["delta", "gamma", "maturityInYears"]
 
 
-def _text_schema(names) -> T.StructType:
-    return T.StructType([T.StructField(n, T.StringType()) for n in names])
-
-
 def ticker_from_path(path) -> Column:
     """Ticker from a file path or URL: the last path segment without query,
     fragment or final extension, URL-decoded and upper-cased
@@ -43,17 +46,77 @@ def _price_path(path: str) -> str:
     return path if path.lower().endswith(".csv") else path.rstrip("/") + "/*.csv"
 
 
+def file_headers(spark: SparkSession, path: str | list[str]) -> dict[str, list[str]]:
+    """Header line -> the files that start with it.
+
+    A file's first line is the first row of its block at offset 0; the lines are
+    reduced per file in the tasks, and one (header, file) pair a file, what a
+    file listing holds, reaches the driver. Empty files have no header and no rows.
+    """
+    lines = (spark.read.text(path)
+             .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+                     F.monotonically_increasing_id().alias("row"))
+             .where("start = 0"))
+    first = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    out: dict[str, list[str]] = {}
+    for r in first.orderBy("file").collect():
+        out.setdefault(r.header.removeprefix("\ufeff").rstrip("\r"), []).append(r.file)
+    return out
+
+
+def read_by_header(spark: SparkSession, path: str | list[str], needed: list[str], optional: list[str] = ()) -> DataFrame:
+    """Text columns ``needed`` and ``optional`` (NULL where a file has none) plus ``source_file``."""
+    known = {n.lower(): n for n in (*needed, *optional)}
+    groups = []
+    for header, files in file_headers(spark, path).items():
+        names = [n.strip() for n in next(csv.reader([header]), [])]
+        found = [known.get(n.lower()) for n in names]
+        for n in needed:
+            if n not in found:
+                raise ValueError(f"{files[0]} lacks column {n!r}")
+        if len({n for n in found if n}) < sum(n is not None for n in found):
+            raise ValueError(f"{files[0]} names a column twice")
+        schema = T.StructType([T.StructField(n or f"_other_{k}", T.StringType()) for k, n in enumerate(found)])
+        # The schema is the file's own header, so the header row is only skipped.
+        rows = spark.read.option("header", True).option("enforceSchema", True).schema(schema).csv(files)
+        groups.append(rows.select(*[(F.col(n) if n in found else F.lit(None).cast("string")).alias(n) for n in known.values()],
+                                  F.col("_metadata.file_path").alias("source_file")))
+    if not groups:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in (*known.values(), "source_file")]))
+    out = groups[0]
+    for g in groups[1:]:
+        out = out.unionByName(g)
+    return out
+
+
+def _raw_prices(spark: SparkSession, path: str, ticker_from: str) -> DataFrame:
+    by_file = ticker_from == "file"
+    raw = read_by_header(spark, _price_path(path), ["Date", "Close"] + ["Ticker"] * (not by_file))
+    return raw.withColumn("Ticker", ticker_from_path("source_file")) if by_file else raw
+
+
 def read_price_csv(spark: SparkSession, path: str, as_of=None, ticker_from: str = "column") -> DataFrame:
     """prices(ticker, date, close) from a price file or a directory of them.
 
     One scan serves both calibration and spot. ``ticker_from="file"`` takes the
     ticker from the file name instead of the Ticker column.
     """
-    raw = (spark.read.option("header", True).option("enforceSchema", False)
-           .schema(_text_schema(PRICE_HEADER)).csv(_price_path(path)))
-    if ticker_from == "file":
-        raw = raw.withColumn("Ticker", ticker_from_path(F.col("_metadata.file_path")))
-    return clean_prices(raw, as_of=as_of, ticker="Ticker", date="Date", close="Close")
+    return clean_prices(_raw_prices(spark, path, ticker_from), as_of=as_of, ticker="Ticker", date="Date", close="Close")
+
+
+@dataclass(frozen=True)
+class PriceScan:
+    """Usable prices and reject rows of one scan (both read from its written copy)."""
+    prices: DataFrame
+    rejects: DataFrame
+
+
+def scan_price_csv(spark: SparkSession, path: str, as_of=None, ticker_from: str = "column") -> PriceScan:
+    """``read_price_csv`` and its rejects (schemas.PRICE_REJECTS) from one scan of the files: each row is
+    labelled with its fault and written, usable rows and rejects apart."""
+    raw = _raw_prices(spark, path, ticker_from)
+    usable, faulty = split_labelled(label_prices(raw, "Ticker", "Date", "Close", source="source_file"))
+    return PriceScan(clean_prices(usable, as_of=as_of), price_rejects(usable, faulty))
 
 
 def read_position_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -71,15 +134,10 @@ def position_rejects(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _positions(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    raw = spark.read.option("header", True).csv(path).withColumn("source_file", F.col("_metadata.file_path"))
-    cols = set(raw.columns)
-    for name in POSITION_HEADER:
-        if name not in cols:
-            raise ValueError(f"position file lacks column {name!r}")
+    raw = read_by_header(spark, path, POSITION_HEADER, POSITION_OPTIONAL)
 
     def num(name, default):
-        return (F.coalesce(F.col(name).try_cast("double"), F.lit(default)) if name in cols
-                else F.lit(default)).alias(name)
+        return F.coalesce(F.col(name).try_cast("double"), F.lit(default)).alias(name)
 
     return raw.select(
         F.trim("portfolioId").alias("portfolio_id"),

@@ -18,11 +18,14 @@ to the needed columns and AQE picks the join strategy from runtime sizes.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.rounding import cents
+from ..session import ensure_checkpoint_dir
 
 PANEL_TICKERS = {"brand": "p_brand", "type": "p_type"}
 PORTFOLIO_KEYS = {"segment": "c_mktsegment", "nation": "c_nationkey", "customer": "c_custkey"}
@@ -92,6 +95,51 @@ def last_date(prices: DataFrame) -> DataFrame:
     return prices.agg(F.max("date").alias("as_of_date"))
 
 
+def _price_fields(raw: DataFrame, ticker: str, date: str, close: str) -> tuple[Column, Column, Column, Column]:
+    """(ticker, day, price, fault) of a raw price row; the fault is the first of its reasons, else NULL."""
+    d = F.col(date)
+    day = F.to_date(F.try_to_timestamp(d, F.lit("yyyy-MM-dd"))) if dict(raw.dtypes).get(date) == "string" else F.to_date(d)
+    number = F.col(close).cast("string").try_cast("double")
+    name = F.upper(F.trim(F.col(ticker)))
+    fault = (F.when(name.isNull(), "ticker").when(day.isNull(), "date")
+             .when(number.isNull() | F.isnan(number) | (number == float("inf")), "close").when(number <= 0, "sign"))
+    return name, day, number, fault
+
+
+#: What a reject row says for each fault.
+PRICE_FAULTS = {"ticker": "ticker is missing", "date": "date is not a day", "close": "price is not a number",
+                "sign": "price is not positive", "duplicate": "another price of the day is used"}
+
+
+def label_prices(raw: DataFrame, ticker: str = "ticker", date: str = "date", close: str = "close",
+                 ts: str | None = None, source: str | None = None) -> DataFrame:
+    """(source_file, ticker, date, close, value, ts, fault) of every raw price row; usable rows have no fault."""
+    name, day, number, fault = _price_fields(raw, ticker, date, close)
+    return raw.select((F.col(source) if source else F.lit(None).cast("string")).alias("source_file"), name.alias("ticker"),
+                      day.alias("date"), number.alias("close"), F.col(close).cast("string").alias("value"),
+                      (F.col(ts) if ts else F.lit(None).cast("timestamp")).alias("ts"), fault.alias("fault"))
+
+
+def split_labelled(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(usable, faulty) rows of ``label_prices``, written once into the shared folder, apart."""
+    spark = labelled.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/prices-{uuid.uuid4().hex}"
+    marked = labelled.withColumn("usable", F.col("fault").isNull())
+    marked.write.partitionBy("usable").parquet(path)
+    rows = spark.read.schema(marked.schema).parquet(path)
+    return rows.filter("usable").drop("usable", "fault"), rows.filter("not usable").drop("usable")
+
+
+def price_rejects(usable: DataFrame, faulty: DataFrame) -> DataFrame:
+    """Reject rows (schemas.PRICE_REJECTS): faulty rows, and of a (ticker, day) all usable rows but the one
+    that ``clean_prices`` takes (the last by time, else the highest price)."""
+    order = Window.partitionBy("ticker", "date").orderBy(F.col("ts").desc_nulls_last(), F.col("close").desc())
+    spare = usable.withColumn("_n", F.row_number().over(order)).filter("_n > 1").withColumn("fault", F.lit("duplicate"))
+    reason = F.element_at(F.create_map(*[F.lit(x) for kv in PRICE_FAULTS.items() for x in kv]), F.col("fault"))
+    columns = ["source_file", "ticker", "date", "value", reason.alias("reason")]
+    return faulty.select(*columns).unionByName(spare.select(*columns))
+
+
 def clean_prices(raw: DataFrame, as_of=None, ticker: str = "ticker", date: str = "date",
                  close: str = "close", ts: str | None = None) -> DataFrame:
     """Normalise a raw price table to prices(ticker, date, close).
@@ -132,12 +180,7 @@ def price_quality(raw: DataFrame, ticker: str = "ticker", date: str = "date", cl
     A row counts under the first fault it has; duplicates are further usable rows
     of one (ticker, day).
     """
-    d = F.col(date)
-    day = F.to_date(F.try_to_timestamp(d, F.lit("yyyy-MM-dd"))) if dict(raw.dtypes).get(date) == "string" else F.to_date(d)
-    number = F.col(close).cast("string").try_cast("double")
-    name = F.upper(F.trim(F.col(ticker)))
-    fault = (F.when(name.isNull(), "ticker").when(day.isNull(), "date").when(number.isNull() | F.isnan(number) | (number == float("inf")), "close")
-             .when(number <= 0, "sign"))
+    name, day, _, fault = _price_fields(raw, ticker, date, close)
     rows = raw.select(name.alias("ticker"), day.alias("day"), fault.alias("fault"))
     per_day = rows.groupBy("ticker", "day", "fault").agg(F.count(F.lit(1)).alias("n"))
 

@@ -3,6 +3,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from riskspark import schemas
@@ -152,16 +153,51 @@ def test_latest_calibration_picks_newest(spark):
     assert [(r.ticker, r.volatility) for r in got] == [("A", 0.3)]
 
 
-def test_price_csv_with_other_column_order_fails_loudly(spark, scratch):
-    """Headers are checked, so a file whose columns come in another order is an
-    error instead of being read by position."""
-    import pytest as _pytest
-    d = os.path.join(scratch, "swapped")
-    os.makedirs(d)
-    with open(os.path.join(d, "x.csv"), "w") as f:
-        f.write("Date,Ticker,Open,High,Low,Close,Volume,OpenInt\n2001-01-01,X,0,0,0,10.0,0,0\n")
-    with _pytest.raises(Exception):
-        csv_src.read_price_csv(spark, d).collect()
+def _files(root, **texts):
+    os.makedirs(root)
+    for name, text in texts.items():
+        with open(os.path.join(root, f"{name}.csv"), "w", encoding="utf-8") as f:
+            f.write(text)
+    return root
+
+
+def test_position_files_are_read_by_their_own_header(spark, scratch):
+    d = _files(os.path.join(scratch, "books"),
+               a="portfolioId,ticker,quantity,assetClass\nP1,aaa,1,EQD\n",
+               b="\ufeffticker,portfolioId,assetClass,quantity,delta\nBBB,P2,EQD,2,0.5\n\"C,C\",P2,FX,3,\n",
+               c="QUANTITY , Comment,assetClass,Ticker,portfolioId\r\n4,\"x, y\",EQD,ddd,P3\r\n",
+               d="", e="ticker,portfolioId,assetClass,quantity\n")
+    rows = {(r.portfolio_id, r.ticker, r.quantity, r.asset_class, r.delta) for r in csv_src.read_position_csv(spark, d).collect()}
+    assert rows == {("P1", "AAA", 1.0, "EQD", 1.0), ("P2", "BBB", 2.0, "EQD", 0.5), ("P2", "C,C", 3.0, "FX", 1.0), ("P3", "DDD", 4.0, "EQD", 1.0)}
+    assert csv_src.position_rejects(spark, d).count() == 0
+    for k, header in enumerate(("portfolioId,ticker,quantity", "portfolioId,ticker,quantity,assetClass,Ticker")):
+        bad = _files(os.path.join(scratch, f"bad{k}"), good="portfolioId,ticker,quantity,assetClass\nP,A,1,EQD\n", bad=header + "\nP,A,1,EQD,A\n")
+        with pytest.raises(ValueError, match="bad.csv"):
+            csv_src.read_position_csv(spark, bad)
+
+
+def test_price_files_are_read_by_their_own_header(spark, scratch):
+    d = _files(os.path.join(scratch, "swapped"),
+               x="Date,Ticker,Open,High,Low,Close,Volume,OpenInt\n2001-01-01,X,0,0,0,10.0,0,0\n",
+               y="\ufeffClose,Date,Ticker\n11.5,2001-01-01,y\n")
+    assert {tuple(r) for r in csv_src.read_price_csv(spark, d).select("ticker", "close").collect()} == {("X", 10.0), ("Y", 11.5)}
+    with pytest.raises(ValueError, match="lacks column 'Date'"):
+        csv_src.read_price_csv(spark, _files(os.path.join(scratch, "short"), x="Ticker,Close\nX,1\n"))
+
+
+def test_price_scan_returns_rejects_from_one_scan(spark, scratch):
+    d = _files(os.path.join(scratch, "faulty"),
+               x="Ticker,Date,Close\nx,2001-01-01,10\nx,2001-01-01,11\nx,2001-01-02,abc\nx,2001-13-01,3\nx,2001-01-03,-1\n,2001-01-04,5\nx,2001-01-05,\nx,2001-01-06,NaN\n",
+               y="Close,Ticker,Date\n7,y,2001-01-01\n")
+    scan = csv_src.scan_price_csv(spark, d)
+    assert {tuple(r) for r in scan.prices.select("ticker", "close").collect()} == {("X", 11.0), ("Y", 7.0)}
+    got = sorted((r.ticker or "", str(r.date), r.value or "", r.reason, r.source_file.rsplit("/", 1)[1]) for r in scan.rejects.collect())
+    why = tables.PRICE_FAULTS
+    assert got == sorted([("X", "2001-01-01", "10", why["duplicate"], "x.csv"), ("X", "2001-01-02", "abc", why["close"], "x.csv"),
+                          ("X", "None", "3", why["date"], "x.csv"), ("X", "2001-01-03", "-1", why["sign"], "x.csv"),
+                          ("", "2001-01-04", "5", why["ticker"], "x.csv"), ("X", "2001-01-05", "", why["close"], "x.csv"),
+                          ("X", "2001-01-06", "NaN", why["close"], "x.csv")])
+    assert [f.name for f in scan.rejects.schema.fields] == [f.name for f in schemas.PRICE_REJECTS.fields]
 
 
 def test_price_quality_counts_what_cleaning_drops(spark):
