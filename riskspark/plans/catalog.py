@@ -38,6 +38,8 @@ SEED = 42
 TICK_AS_OF = "2024-01-20"
 RUN_TS = "2024-01-01 00:00:00"
 RERUN_TS = "2024-01-02 00:00:00"
+THIRD_TS = "2024-01-03 00:00:00"
+KNOWN_AT = "2024-01-02 12:00:00"
 LOOKUP_BOOK = "BUILDING"
 LOOKUP_FROM, LOOKUP_TO, LOOKUP_METHOD = "1994-01-01", "1997-12-31", "historical"
 DEFAULT_BOOK = "nation"
@@ -216,19 +218,35 @@ def calibration_rows(spark, sf):
     b = Book(spark, sf)
     path = _store_path(spark)
     for _ in range(2):                    # the replay must add nothing
-        store.append_calibration(b.cal.vols, path, RUN_TS)
-    rows = spark.read.parquet(path)
+        store.append_calibration(b.cal.vols, path, RUN_TS, run_id="monthly")
+    rows = store.read_calibrations(spark, path)
     return rows.select("as_of_date", "ticker", _r("volatility", RATE), "ts")
 
 
-def latest_calibration(spark, sf):
+def _calibration_store(spark, sf) -> DataFrame:
+    """Three runs: monthly, weekly, monthly again (its values come back), each sent twice."""
     monthly = Book(spark, sf)
     weekly_prices = cut_lineage(tables.price_panel(spark, sf, "brand", "week"))
     weekly = cal_ops.calibrate(weekly_prices, monthly.asof, tables.PERIODS_PER_YEAR["week"])
-    path = _store_path(spark)
-    store.append_calibration(monthly.cal.vols, path, RUN_TS)
-    store.append_calibration(weekly.vols, path, RERUN_TS)
-    return store.latest_calibration(spark.read.parquet(path)).select("as_of_date", "ticker", _r("volatility", RATE))
+    path, vols = _store_path(spark), cut_lineage(monthly.cal.vols)
+    for run, (rows, ts) in enumerate(((vols, RUN_TS), (weekly.vols, RERUN_TS), (vols, THIRD_TS))):
+        for _ in range(2):
+            store.append_calibration(rows, path, ts, run_id=f"run-{run}")
+    return store.read_calibrations(spark, path)
+
+
+def latest_calibration(spark, sf):
+    return store.latest_calibration(_calibration_store(spark, sf)).select("as_of_date", "ticker", _r("volatility", RATE))
+
+
+def calibration_known_at(spark, sf):
+    """What a lookup between the second and the third run found."""
+    return store.latest_calibration(_calibration_store(spark, sf), known_at=KNOWN_AT).select("as_of_date", "ticker", _r("volatility", RATE))
+
+
+def calibration_versions(spark, sf):
+    return store.calibration_versions(_calibration_store(spark, sf)).select(
+        "as_of_date", "ticker", _r("volatility", RATE), "valid_from", "valid_to")
 
 
 # ------------------------------------------------------------------ enrichment
@@ -428,7 +446,7 @@ def _stored(spark, sf) -> DataFrame:
     for alpha, ts in zip(ALPHAS, (RUN_TS, RERUN_TS)):
         for _ in range(2):
             store.append_results(res.filter(F.col("alpha") == alpha), path, ts)
-    return spark.read.parquet(path)
+    return store.read_results(spark, path)
 
 
 def results_rows(spark, sf):
@@ -472,6 +490,8 @@ QUERIES = {
     "history_quality": history_quality,
     "calibration_rows": calibration_rows,
     "latest_calibration": latest_calibration,
+    "calibration_known_at": calibration_known_at,
+    "calibration_versions": calibration_versions,
     "latest_spot": latest_spot,
     "latest_spot_window": latest_spot_window,
     "enrich_positions": enrich_positions,

@@ -295,12 +295,15 @@ def build() -> dict[str, str]:
              "ON l.l_partkey = p.p_partkey GROUP BY 1, 2), "
              "wpx AS (SELECT a.as_of_date, p.ticker, p.date, p.close FROM wprices p JOIN asofs a ON p.date <= a.as_of_date)")
     wk_returns = returns_block("wpx", "w")
-    q["latest_calibration"] = _with(*BASE, RETURNS, vols(), wk_px, wk_returns,
-                                    vols("wreturns", "wvols", tables_periods("week"))) + (
-        "SELECT as_of_date, ticker, round(arg_max(vol, ts), 8) AS volatility FROM ("
-        f"SELECT strftime(as_of_date, '%Y-%m-%d') AS as_of_date, ticker, vol, TIMESTAMP '{C.RUN_TS}' AS ts FROM vols "
-        f"UNION ALL SELECT strftime(as_of_date, '%Y-%m-%d'), ticker, vol, TIMESTAMP '{C.RERUN_TS}' FROM wvols) "
-        "GROUP BY as_of_date, ticker")
+    runs = _with(*BASE, RETURNS, vols(), wk_px, wk_returns, vols("wreturns", "wvols", tables_periods("week")),
+                 "runs AS (" + " UNION ALL ".join(
+                     f"SELECT strftime(as_of_date, '%Y-%m-%d') AS as_of_date, ticker, round(vol, 8) AS volatility, TIMESTAMP '{ts}' AS ts FROM {v}"
+                     for v, ts in (("vols", C.RUN_TS), ("wvols", C.RERUN_TS), ("vols", C.THIRD_TS))) + ")")
+    newest = "QUALIFY row_number() OVER (PARTITION BY as_of_date, ticker ORDER BY ts DESC) = 1"
+    q["latest_calibration"] = runs + f"SELECT as_of_date, ticker, volatility FROM runs {newest}"
+    q["calibration_known_at"] = runs + f"SELECT as_of_date, ticker, volatility FROM runs WHERE ts <= TIMESTAMP '{C.KNOWN_AT}' {newest}"
+    q["calibration_versions"] = runs + (
+        "SELECT as_of_date, ticker, volatility, ts AS valid_from, lead(ts) OVER (PARTITION BY as_of_date, ticker ORDER BY ts) AS valid_to FROM runs")
     q["latest_spot"] = _with(*BASE) + (
         "SELECT as_of_date, ticker, arg_max(close, date) AS spot_price, max(date) AS spot_date "
         "FROM px GROUP BY as_of_date, ticker")

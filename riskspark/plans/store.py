@@ -1,24 +1,33 @@
 """Result and calibration stores: sinks (append, JSON messages, fan-out) and lookups.
 
-Stored results are a Parquet table partitioned by ``as_of_date``, one row per
-portfolio per request; stored calibrations are partitioned by ``result_date``
-(the day of ``ts``), one row per factor. Appends are idempotent: rows whose
-(correlation_id, portfolio_id) - or (as_of_date, ticker, volatility) - is already
-stored are skipped, so replaying a message never duplicates them.
+Stored results are a Parquet table partitioned by ``as_of_date`` and ``commit_id``,
+one row per portfolio per request; stored calibrations are partitioned by
+``result_date`` (the day of ``ts``) and ``commit_id``, one row per factor and run.
+
+Appends are commits: a run's rows are written first, under a commit id of their
+own, and one manifest row (run id, commit id, row count) after them. Readers see
+the rows of commits in the manifest only (``read_committed``), so a job that dies
+in between leaves nothing visible, and its retry writes under another commit id.
+A run id that is in the manifest already is a replay: nothing is computed and
+nothing written. The plan that makes the rows runs once per append.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
 from dataclasses import dataclass
 from typing import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..session import cut_lineage
+from .joins import may_broadcast
 
-def _ts(ts) -> F.Column:
+
+def _ts(ts) -> Column:
     """Write time as TIMESTAMP_NTZ (session-zone wall clock; UTC on a UTC session)."""
     return F.localtimestamp() if ts is None else F.lit(ts).cast("timestamp_ntz")
 
@@ -47,41 +56,133 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(jvm_path)
 
 
-def unseen_results(results: DataFrame, path: str) -> DataFrame:
-    """Results whose (correlation_id, portfolio_id) is not in the store yet."""
-    spark = results.sparkSession
-    if not table_exists(spark, path):
-        return results
-    # Only the as-of partitions of this batch are read.
-    dates = [r[0] for r in results.select("as_of_date").distinct().collect()]
-    stored = spark.read.parquet(path).filter(F.col("as_of_date").cast("date").isin(dates)).select("correlation_id", "portfolio_id")
-    return results.join(stored, ["correlation_id", "portfolio_id"], "left_anti")
+# ---------------------------------------------------------------------------
+# Commits
+# ---------------------------------------------------------------------------
+
+MANIFEST = "run_id string, commit_id string, seq long, n_rows long"
+
+
+def _manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    commits = f"{path.rstrip('/')}-commits"
+    return spark.read.schema(MANIFEST).parquet(commits) if table_exists(spark, commits) else None
+
+
+def is_committed(spark: SparkSession, path: str, run_id: str) -> bool:
+    """Whether the run's rows are in the table at ``path``."""
+    manifest = _manifest(spark, path)
+    return manifest is not None and not manifest.filter(F.col("run_id") == run_id).isEmpty()
+
+
+def _write_manifest(spark: SparkSession, path: str, row: tuple) -> None:
+    """One file with one row: it becomes visible whole or not at all."""
+    spark.createDataFrame([row], MANIFEST).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}-commits")
+
+
+def append_run(rows: DataFrame, path: str, partition_by: str, run_id: str | None = None) -> int | None:
+    """Append ``rows`` as one commit; returns their number, or None for a run that is committed already.
+
+    Without a ``run_id`` every append is a run of its own. ``rows`` is computed
+    once; its size is observed by the write.
+    """
+    spark = rows.sparkSession
+    if run_id is not None and is_committed(spark, path, run_id):
+        return None
+    commit, seq, seen = uuid.uuid4().hex, time.time_ns(), Observation()
+    (rows.withColumns({"run_id": F.lit(run_id or commit), "seq": F.lit(seq), "commit_id": F.lit(commit)})
+     .observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(partition_by, "commit_id").parquet(path))
+    n = int(seen.get["n"])
+    _write_manifest(spark, path, (run_id or commit, commit, seq, n))
+    return n
+
+
+def read_committed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The rows of committed runs. ``schema`` names the columns of a table that may hold no row yet.
+
+    The manifest has one row per run; it is broadcast behind a size check, so the
+    scan skips the partitions of other commits.
+    """
+    manifest = _manifest(spark, path)
+    data = (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    if manifest is None:
+        return data.filter(F.lit(False))
+    ids = manifest.select("commit_id")
+    if may_broadcast(ids, ids.count()):
+        ids = F.broadcast(ids)
+    return data.join(ids, "commit_id", "left_semi")
+
+
+RESULT_ROWS = ("correlation_id string, portfolio_id string, method string, var_amount double, expected_shortfall double, alpha double, "
+               "mean_pnl double, std_dev_pnl double, num_scenarios int, ts timestamp_ntz, result_date date, run_id string, seq long, "
+               "as_of_date string, commit_id string")
+REJECT_ROWS = ("correlation_id string, error_code string, violations array<struct<field: string, message: string>>, as_of_raw string, "
+               "raw_payload string, epoch_id long, run_id string, seq long, as_of_date date, commit_id string")
+CALIBRATION_ROWS = ("as_of_date string, ticker string, volatility double, ts timestamp_ntz, run_id string, seq long, result_date date, "
+                    "commit_id string")
+
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """Committed result rows."""
+    return read_committed(spark, path, RESULT_ROWS).drop("commit_id", "run_id", "seq")
 
-def append_results(results: DataFrame, path: str, ts=None, skip_existing: bool = True) -> None:
-    """Append results to the Parquet store (partitioned by as-of date), skipping
-    (correlation_id, portfolio_id) pairs already there (replay-safe)."""
-    if skip_existing:
-        results = unseen_results(results, path)
-    results_rows(results, ts).write.mode("append").partitionBy("as_of_date").parquet(path)
 
+def read_calibrations(spark: SparkSession, path: str) -> DataFrame:
+    """Committed calibration rows; ``seq`` orders runs of one ``ts``."""
+    return read_committed(spark, path, CALIBRATION_ROWS).drop("commit_id")
 
-def append_rejects(rejects: DataFrame, path: str) -> None:
-    """Append rejected requests, skipping correlation ids already recorded."""
+
+def _on(dates, column: str) -> Column:
+    """Rows of the given days (a calendar-bounded list that may hold None); all rows without a list."""
+    if dates is None:
+        return F.lit(True)
+    known, day = [d for d in dates if d is not None], F.col(column).cast("date")
+    hit = day.isin(known) if known else F.lit(False)
+    return hit | day.isNull() if len(known) < len(dates) else hit
+
+
+def request_set_id(requests: DataFrame) -> str:
+    """An id of a set of requests that depends on their content only (one small aggregate)."""
+    h = F.xxhash64(*[F.col(c).cast("string") for c in sorted(requests.columns)])
+    row = requests.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first()
+    return "-".join(str(v) for v in row)
+
+
+def append_results(results: DataFrame, path: str, ts=None, skip_existing: bool = True, run_id: str | None = None,
+                   as_of_dates=None) -> int | None:
+    """Append results as one commit, without (correlation_id, portfolio_id) pairs that committed runs hold.
+
+    ``as_of_dates`` (the days of the requests, where the caller knows them) lets
+    that comparison read those partitions of the store only.
+    """
+    spark = results.sparkSession
+    if run_id is not None and is_committed(spark, path, run_id):
+        return None
+    if skip_existing and table_exists(spark, path):
+        stored = read_results(spark, path).filter(_on(as_of_dates, "as_of_date")).select("correlation_id", "portfolio_id")
+        results = results.join(stored, ["correlation_id", "portfolio_id"], "left_anti")
+    return append_run(results_rows(results, ts), path, "as_of_date", run_id)
+
+
+def append_rejects(rejects: DataFrame, path: str, run_id: str | None = None, as_of_dates=None) -> int | None:
+    """Append rejected requests as one commit, without correlation ids that are recorded already.
+
+    The store is partitioned by the requests' days (NULL where they name none).
+    """
     spark = rejects.sparkSession
+    if run_id is not None and is_committed(spark, path, run_id):
+        return None
+    rows = rejects.withColumn("as_of_date", F.to_date(F.try_to_timestamp("as_of_raw", F.lit("yyyy-MM-dd"))))
+    if "epoch_id" not in rows.columns:
+        rows = rows.withColumn("epoch_id", F.lit(None).cast("long"))
     if table_exists(spark, path):
-        rejects = rejects.join(spark.read.parquet(path).select("correlation_id"), "correlation_id", "left_anti")
-    rejects.write.mode("append").parquet(path)
+        stored = read_committed(spark, path, REJECT_ROWS).filter(_on(as_of_dates, "as_of_date")).select("correlation_id")
+        rows = rows.join(stored, "correlation_id", "left_anti")
+    return append_run(rows.withColumn("epoch_id", F.col("epoch_id").cast("long")), path, "as_of_date", run_id)
 
 
-def append_calibration(vols: DataFrame, path: str, ts=None) -> None:
-    """Append calibrations, skipping values already stored for the factor and date."""
-    if table_exists(vols.sparkSession, path):
-        stored = vols.sparkSession.read.parquet(path).select(F.col("as_of_date").cast("date").alias("as_of_date"), "ticker",
-                                                             F.col("volatility").alias("vol")).distinct()
-        vols = vols.alias("n").join(stored.alias("s"), (F.col("n.as_of_date") == F.col("s.as_of_date"))
-                                    & (F.col("n.ticker") == F.col("s.ticker")) & F.col("n.vol").eqNullSafe(F.col("s.vol")), "left_anti")
-    calibration_rows(vols, ts).write.mode("append").partitionBy("result_date").parquet(path)
+def append_calibration(vols: DataFrame, path: str, ts=None, run_id: str | None = None) -> int | None:
+    """Append one run's volatilities, whatever values are stored: a value that comes back is a new version."""
+    return append_run(calibration_rows(vols, ts), path, "result_date", run_id)
 
 
 def write_snapshot(calibration, path: str) -> str:
@@ -153,13 +254,30 @@ def publish_pending(stored: DataFrame, name: str, sink: Callable[[DataFrame], No
 # Lookups
 # ---------------------------------------------------------------------------
 
-def latest_calibration(calibrations: DataFrame, as_of_date=None) -> DataFrame:
-    """(as_of_date, ticker, volatility): the newest stored vol per factor
-    (by ts); restricted to one as-of date when given."""
+def _write_order(calibrations: DataFrame) -> Column:
+    """When a row was written: its time, and the order of runs of one time where the table has it."""
+    return F.struct("ts", *([F.col("seq")] if "seq" in calibrations.columns else []))
+
+
+def latest_calibration(calibrations: DataFrame, as_of_date=None, known_at=None) -> DataFrame:
+    """(as_of_date, ticker, volatility): the newest stored vol per factor; restricted to one
+    as-of date, and to what had been written at ``known_at``, when given."""
     c = calibrations
     if as_of_date is not None:
         c = c.filter(F.col("as_of_date") == F.lit(str(as_of_date)))
-    return c.groupBy("as_of_date", "ticker").agg(F.max_by("volatility", "ts").alias("volatility"))
+    if known_at is not None:
+        c = c.filter(F.col("ts") <= F.lit(str(known_at)).cast("timestamp_ntz"))
+    return c.groupBy("as_of_date", "ticker").agg(F.max_by("volatility", _write_order(c)).alias("volatility"))
+
+
+def calibration_versions(calibrations: DataFrame) -> DataFrame:
+    """(as_of_date, ticker, volatility, valid_from, valid_to): every stored version and the times between
+    which it was the newest (``valid_to`` NULL: still is).
+
+    A group holds the versions of one factor and date, one per run.
+    """
+    w = Window.partitionBy("as_of_date", "ticker").orderBy(_write_order(calibrations))
+    return calibrations.select("as_of_date", "ticker", "volatility", F.col("ts").alias("valid_from"), F.lead("ts").over(w).alias("valid_to"))
 
 
 def query_results(stored: DataFrame, portfolio_id: str | None = None, date_from=None, date_to=None,
@@ -194,19 +312,18 @@ class Repository:
     positions: str
 
     def query_results(self, spark: SparkSession, **filters) -> DataFrame:
-        return query_results(spark.read.parquet(self.results), **filters)
+        return query_results(read_results(spark, self.results), **filters)
 
-    def latest_calibration(self, spark: SparkSession, as_of_date=None) -> DataFrame:
-        stored = spark.read.parquet(self.calibrations)
-        return latest_calibration(stored.withColumn("as_of_date", F.col("as_of_date").cast("string")), as_of_date)
+    def latest_calibration(self, spark: SparkSession, as_of_date=None, known_at=None) -> DataFrame:
+        return latest_calibration(read_calibrations(spark, self.calibrations), as_of_date, known_at)
 
     def portfolio(self, spark: SparkSession, portfolio_id: str | None = None) -> DataFrame:
         return portfolio_lookup(spark.read.parquet(self.positions), portfolio_id)
 
-    def save(self, results: DataFrame, vols: DataFrame, ts=None) -> None:
-        """Append one run's results and volatilities (replay-safe)."""
-        append_results(results, self.results, ts)
-        append_calibration(vols, self.calibrations, ts)
+    def save(self, results: DataFrame, vols: DataFrame, ts=None, run_id: str | None = None) -> None:
+        """Append one run's results and volatilities; a ``run_id`` makes it replay-safe."""
+        append_results(results, self.results, ts, run_id=run_id)
+        append_calibration(vols, self.calibrations, ts, run_id)
 
 
 def portfolio_lookup(positions: DataFrame, portfolio_id: str | None = None) -> DataFrame:

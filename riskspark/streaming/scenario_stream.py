@@ -13,7 +13,8 @@ run becomes a reject row, the others go on.
 Replay: the stream checkpoint records which offsets/files were done, and the
 result append skips (correlation_id, portfolio_id) pairs already stored, so a
 batch that is retried after a failure, or a message delivered twice with the same
-id, never duplicates results. Other sinks are fed from the store, each with its
+id, never duplicates results: a run is a commit named by its requests, and what a
+killed job wrote without committing is never read. Other sinks are fed from the store, each with its
 own marks: one that failed gets its results on the retry, one that succeeded
 gets none twice. Ids not given in the payload are derived from the message
 position and payload (topic, partition and offset; or file path), which are
@@ -75,13 +76,17 @@ def batch_handler(positions: DataFrame | None, prices: DataFrame | None, sink: S
     """foreachBatch function: one scenario job per micro-batch (and per pair of named files)."""
 
     def keep(run: ScenarioRun) -> None:
-        store.append_results(run.results, sink.results_path)
+        # The id comes from the requests' content: the same requests sent again are the same run.
+        run_id = store.request_set_id(run.valid)
+        dates = [r[0] for r in run.valid.select("as_of_date").distinct().collect()]
+        store.append_results(run.results, sink.results_path, run_id=run_id, as_of_dates=dates)
         if sink.calibration_path:
-            store.append_calibration(run.calibration.vols, sink.calibration_path)
+            store.append_calibration(run.calibration.vols, sink.calibration_path, run_id=run_id)
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
+        dates = [r[0] for r in batch.select("as_of_date").distinct().collect()]
         named = F.length(F.trim(F.coalesce("portfolio_csv_path", F.lit("")))) > 0
         own_files, default = batch.filter(named), batch.filter(~named)
         rejects = run_path_groups(spark, own_files, keep, periods_per_year)
@@ -91,14 +96,13 @@ def batch_handler(positions: DataFrame | None, prices: DataFrame | None, sink: S
             run = run_scenarios(default, positions, prices, periods_per_year)
             keep(run)
             rejects = rejects.unionByName(run.rejects)
-            store.append_rejects(rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path)
+            store.append_rejects(rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path, as_of_dates=dates)
             run.release()
             rejects = None
         if rejects is not None:
-            store.append_rejects(rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path)
+            store.append_rejects(rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path, as_of_dates=dates)
         if store.table_exists(spark, sink.results_path):
-            dates = [r[0] for r in batch.select("as_of_date").distinct().collect()]
-            stored = (spark.read.parquet(sink.results_path).filter(F.col("as_of_date").cast("date").isin(dates))
+            stored = (store.read_results(spark, sink.results_path).filter(F.col("as_of_date").cast("date").isin([d for d in dates if d]))
                       .join(batch.select("correlation_id").distinct(), "correlation_id", "left_semi")
                       .withColumn("as_of_date", F.col("as_of_date").cast("date")).select(*schemas.RESULT_COLUMNS))
             sinks = [("messages", lambda r: store.write_json_messages(r, sink.messages_path))] if sink.messages_path else []

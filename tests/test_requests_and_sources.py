@@ -153,6 +153,73 @@ def test_latest_calibration_picks_newest(spark):
     assert [(r.ticker, r.volatility) for r in got] == [("A", 0.3)]
 
 
+def test_a_calibration_that_comes_back_is_the_newest(spark, scratch):
+    path = os.path.join(scratch, "calibrations")
+    for run, value in enumerate((0.2, 0.3, 0.2)):
+        vols = spark.createDataFrame([("2017-11-10", "A", value), ("2017-11-10", "B", None)], "as_of_date string, ticker string, vol double") \
+            .withColumn("as_of_date", F.to_date("as_of_date"))
+        sent = [store.append_calibration(vols, path, f"2024-01-0{run + 1} 00:00:00", run_id=f"run-{run}") for _ in range(2)]
+        assert sent == [2, None]                                        # the replay writes nothing
+    stored = store.read_calibrations(spark, path)
+    assert stored.count() == 6
+    assert {r.ticker: r.volatility for r in store.latest_calibration(stored, "2017-11-10").collect()} == {"A": 0.2, "B": None}
+    known = store.latest_calibration(stored, "2017-11-10", known_at="2024-01-02 23:00:00").filter("ticker = 'A'").first()
+    assert known.volatility == 0.3
+    versions = [(r.volatility, str(r.valid_from)[:10], r.valid_to and str(r.valid_to)[:10])
+                for r in store.calibration_versions(stored).filter("ticker = 'A'").orderBy("valid_from").collect()]
+    assert versions == [(0.2, "2024-01-01", "2024-01-02"), (0.3, "2024-01-02", "2024-01-03"), (0.2, "2024-01-03", None)]
+    same_time = store.append_calibration(vols.withColumn("vol", F.lit(0.9)), path, "2024-01-03 00:00:00")
+    assert same_time == 2 and store.latest_calibration(store.read_calibrations(spark, path)).filter("ticker = 'A'").first().volatility == 0.9
+
+
+def _result_rows(spark, n, executed, first=0):
+    """n results; every row that is computed counts."""
+    def run(batches):
+        for b in batches:
+            executed.add(b.num_rows)
+            yield b
+    return (spark.range(first, first + n).selectExpr(
+        "concat('c', id div 2) as correlation_id", "concat('b', id % 2) as portfolio_id", "date'2020-01-01' + int(id % 3) as as_of_date",
+        "'HISTORICAL' as method", "1.0 + id as var_amount", "2.0 + id as expected_shortfall", "0.99d as alpha", "0.0d as mean_pnl",
+        "1.0d as std_dev_pnl", "int(5) as num_scenarios").selectExpr("* except (var_amount, expected_shortfall)",
+        "double(var_amount) as var_amount", "double(expected_shortfall) as expected_shortfall")
+        .mapInArrow(run, "correlation_id string, portfolio_id string, as_of_date date, method string, alpha double, mean_pnl double, "
+                         "std_dev_pnl double, num_scenarios int, var_amount double, expected_shortfall double"))
+
+
+def test_an_append_computes_its_rows_once_and_commits_whole_runs(spark, scratch, monkeypatch):
+    path, executed = os.path.join(scratch, "results"), spark.sparkContext.accumulator(0)
+    assert store.append_results(_result_rows(spark, 10, executed), path, run_id="a") == 10 and executed.value == 10
+    # An overlapping run: compared with the store, still computed once; c4 is there already.
+    assert store.append_results(_result_rows(spark, 10, executed, 8), path, run_id="b", as_of_dates=None) == 8 and executed.value == 20
+    assert store.append_results(_result_rows(spark, 10, executed), path, run_id="a") is None and executed.value == 20
+    assert store.read_results(spark, path).count() == 18
+
+    def die(*_):
+        raise RuntimeError("killed before the commit")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_write_manifest", die)
+        with pytest.raises(RuntimeError, match="killed"):
+            store.append_results(_result_rows(spark, 6, executed, 100), path, run_id="c")
+    assert spark.read.parquet(path).count() == 24                       # the files are there,
+    assert store.read_results(spark, path).count() == 18                # nobody reads them,
+    assert store.append_results(_result_rows(spark, 6, executed, 100), path, run_id="c") == 6
+    assert store.read_results(spark, path).count() == 24                # and the retry adds each row once
+    assert store.query_results(store.read_results(spark, path), date_from="2020-01-02", date_to="2020-01-02").count() > 0
+
+
+def test_reject_store_reads_the_days_it_needs(spark, scratch):
+    path = os.path.join(scratch, "rejects")
+    lines = [json.dumps({"correlationId": f"r{k}", "asOfDate": d, "confidenceLevel": 0.1}) for k, d in enumerate(("2020-01-01", "2020-01-02", "soon"))]
+    _, rejects = validate_requests(parse_requests(_raw(spark, lines + ["not json"]), "value", ["pos"]))
+    import datetime
+    days = [datetime.date(2020, 1, 1), datetime.date(2020, 1, 2), None]
+    assert [store.append_rejects(rejects, path, as_of_dates=days) for _ in range(2)] == [4, 0]
+    assert store.append_rejects(rejects, path) == 0
+    assert store.read_committed(spark, path, store.REJECT_ROWS).filter("as_of_date is null").count() == 2
+
+
 def _files(root, **texts):
     os.makedirs(root)
     for name, text in texts.items():

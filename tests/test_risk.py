@@ -239,7 +239,7 @@ def test_repository_lookups(spark, scratch):
     repo = Repository(f"{scratch}/results", f"{scratch}/calibrations", f"{scratch}/positions")
     run = run_scenarios(request_grid(tables.last_date(prices), methods=("PARAMETRIC",)), pos, prices, 12, methods=["PARAMETRIC"])
     for _ in range(2):
-        repo.save(run.results, run.calibration.vols, "2024-01-01 00:00:00")
+        repo.save(run.results, run.calibration.vols, "2024-01-01 00:00:00", run_id="first")
     assert repo.query_results(spark, portfolio_id="BUILDING", method="parametric").count() == 2
     assert repo.latest_calibration(spark).count() == run.calibration.vols.count() == spark.read.parquet(repo.calibrations).count()
     assert {r.portfolio_id for r in repo.portfolio(spark, "BUILDING").collect()} == {"BUILDING"}
