@@ -2,10 +2,20 @@
 
 Log-returns belong to a factor's own price history and do not depend on any
 as-of date, so they are computed once per ticker (``price_returns``). An as-of
-date sees the returns up to it: each return row is exploded to the as-of dates
-at or after its own date (``returns_as_of``) - no join. Matrices are long
-tables ``(as_of_date, ti, tj, value)``; nothing is collected but the distinct
-as-of dates, which a calendar bounds.
+date sees the returns up to it, and everything it needs of them is a running sum:
+
+* each return row carries the running count, sum and sum of squares of its ticker
+  and serves the as-of dates up to the ticker's next return (``running_moments``),
+  so a volatility is read from one row;
+* the products of two buckets of factors are accumulated date by date in one group
+  and read at every as-of date (``running_pairs``).
+
+So the rows that move grow with history plus as-of dates, not with their product.
+``returns_as_of`` (each return exploded to the as-of dates it is known at) remains
+for what needs every return of every as-of date: the scaled returns of the
+projected variance and the Monte Carlo paths. Matrices are long tables
+``(as_of_date, ti, tj, value)``; nothing is collected but the distinct as-of dates,
+which a calendar bounds.
 
 Pairing of factors (``align``):
 
@@ -31,20 +41,30 @@ from .. import schemas
 
 MAX_AS_OF_DATES = 40_000     # more than a century of days
 PAIR_BUCKET = 256            # factors of one block of the pair products
+PAIR_CELLS = 1_000_000       # factor pairs x as-of dates that one group of running products returns
+
+
+def as_of_days(as_of_dates: DataFrame) -> list:
+    """The distinct as-of dates (bounded by the calendar)."""
+    return known_days(r[0] for r in as_of_dates.select("as_of_date").distinct().limit(MAX_AS_OF_DATES + 1).collect())
+
+
+def known_days(dates) -> list:
+    """Distinct dates in order; NULLs are left out."""
+    known = sorted({d for d in dates if d is not None})
+    if len(known) > MAX_AS_OF_DATES:
+        raise ValueError(f"more than {MAX_AS_OF_DATES} distinct as-of dates")
+    return known
 
 
 def as_of_array(as_of_dates: DataFrame) -> Column:
-    """The distinct as-of dates as one sorted array literal (bounded by the calendar)."""
-    rows = as_of_dates.select("as_of_date").distinct().limit(MAX_AS_OF_DATES + 1).collect()
-    return date_array(r[0] for r in rows)
+    """The distinct as-of dates as one sorted array literal."""
+    return date_array(as_of_days(as_of_dates))
 
 
 def date_array(dates) -> Column:
     """Distinct dates as one sorted array literal; NULLs are left out."""
-    known = sorted({d.isoformat() for d in dates if d is not None})
-    if len(known) > MAX_AS_OF_DATES:
-        raise ValueError(f"more than {MAX_AS_OF_DATES} distinct as-of dates")
-    text = ",".join(known)
+    text = ",".join(d.isoformat() for d in known_days(dates))
     return F.transform(F.filter(F.split(F.lit(text), ","), lambda d: d != ""), lambda d: d.cast("date"))
 
 
@@ -96,6 +116,35 @@ def price_returns(prices: DataFrame) -> DataFrame:
             .filter(F.col("r").isNotNull()).select("ticker", "t", "date", "r"))
 
 
+def running_moments(own: DataFrame, asofs: Column, window: int | None = None) -> DataFrame:
+    """(as_of_date, ticker, n, mean, ss): count, mean and sum of squared deviations of the returns known at
+    each as-of date (of the newest ``window`` ones when given).
+
+    Sums run over the returns less the ticker's first one, which changes no
+    variance and keeps them small: a constant series has exactly none.
+    """
+    w = Window.partitionBy("ticker").orderBy("date")
+    run = w.rowsBetween(Window.unboundedPreceding, 0)
+    sums = (own.select("ticker", "date", "t", F.first("r").over(run).alias("r0"), "r")
+            .withColumn("x", F.col("r") - F.col("r0"))
+            .select("ticker", "date", "t", "r0", F.lead("date").over(w).alias("next"),
+                    F.sum("x").over(run).alias("s1"), F.sum(F.col("x") * F.col("x")).over(run).alias("s2")))
+    n, s1, s2 = F.col("t") + 1, F.col("s1"), F.col("s2")
+    if window is not None:
+        before = [F.coalesce(F.lag(c, window).over(w), F.lit(0.0)) for c in ("s1", "s2")]
+        n, s1, s2 = F.least(n, F.lit(window)), s1 - before[0], s2 - before[1]
+    row = sums.select("ticker", "date", "next", n.cast("int").alias("n"), (F.col("r0") + s1 / n).alias("mean"),
+                      F.greatest(s2 - s1 * s1 / n, F.lit(0.0)).alias("ss"))
+    serves = F.filter(asofs, lambda a: (a >= F.col("date")) & (F.col("next").isNull() | (a < F.col("next"))))
+    return row.select(F.explode(serves).alias("as_of_date"), "ticker", "n", "mean", "ss")
+
+
+def vols_from_moments(moments: DataFrame, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> DataFrame:
+    """(as_of_date, ticker, vol, n_obs): sample std of a factor's own returns x sqrt(periods); one return: NULL."""
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("ss") / (F.col("n") - 1)))
+    return moments.select("as_of_date", "ticker", (std * F.lit(math.sqrt(periods_per_year))).alias("vol"), F.col("n").alias("n_obs"))
+
+
 def returns_as_of(returns: DataFrame, asofs: Column) -> DataFrame:
     """(as_of_date, ticker, t, date, r): the returns known at each as-of date."""
     return returns.select(F.explode(F.filter(asofs, lambda a: a >= F.col("date"))).alias("as_of_date"), "ticker", "t", "date", "r")
@@ -187,12 +236,99 @@ def factor_pairs(scaled: DataFrame, n_factors: int | None = None) -> DataFrame:
     rows = (scaled.withColumn("bucket", F.pmod(F.hash("ticker"), F.lit(buckets)).cast("int")).withColumn("other", other)
             .select("as_of_date", F.least("bucket", "other").cast("int").alias("i"), F.greatest("bucket", "other").cast("int").alias("j"),
                     "bucket", "ticker", "d", "z"))
-    upper = rows.groupBy("as_of_date", "i", "j").applyInPandas(_pair_block, "as_of_date date, ti string, tj string, rho double, s double")
+    return _both_halves(rows.groupBy("as_of_date", "i", "j").applyInPandas(_pair_block, "as_of_date date, ti string, tj string, rho double, s double"))
+
+
+def _both_halves(upper: DataFrame) -> DataFrame:
+    """Every ordered pair from those with ti <= tj or of different buckets."""
     both = F.when(F.col("ti") == F.col("tj"), F.array(F.struct("ti", "tj"))).otherwise(
         F.array(F.struct("ti", "tj"), F.struct(F.col("tj").alias("ti"), F.col("ti").alias("tj"))))
     return upper.select("as_of_date", F.explode(both).alias("p"), "rho", "s").select("as_of_date", "p.ti", "p.tj", "rho", "s")
 
 
+def _running_block(days: list):
+    """rho and sum of z products of all factor pairs of two buckets at every as-of date."""
+    import numpy as np
+    import pandas as pd
+
+    days = np.array(days, "datetime64[D]")
+
+    def kernel(rows):
+        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
+        dates = np.unique(rows["date"].to_numpy("datetime64[D]"))
+
+        def side(bucket):
+            own = rows[rows["bucket"] == bucket].sort_values("date", kind="stable")
+            names, at = np.unique(own["ticker"].to_numpy(dtype=str), return_inverse=True)
+            r, day = own["r"].to_numpy(dtype=float), np.searchsorted(dates, own["date"].to_numpy("datetime64[D]"))
+            first = np.zeros(len(names))
+            first[at[::-1]] = r[::-1]                              # a factor's oldest return
+            x, held = np.zeros((len(dates), len(names))), np.zeros((len(dates), len(names)))
+            x[day, at], held[day, at] = r - first[at], 1.0
+            n, s1, s2 = (m.cumsum(0) for m in (held, x, x * x))
+            mean = s1 / np.maximum(n, 1)
+            return names, x, held, n, mean, np.maximum(s2 - s1 * mean, 0.0)
+
+        left = side(i)
+        right = left if i == j else side(j)
+        (li, xi, hi, ni, mi, vi), (lj, xj, hj, nj, mj, vj) = left, right
+        xx, xh, hx, hh = (np.zeros((len(li), len(lj))) for _ in range(4))
+        seen, out = 0, []
+        for day, upto in zip(days, np.searchsorted(dates, days, "right")):
+            if upto > seen:
+                new = slice(seen, upto)
+                xx += xi[new].T @ xj[new]
+                xh += xi[new].T @ hj[new]
+                hx += hi[new].T @ xj[new]
+                hh += hi[new].T @ hj[new]
+                seen = upto
+            if not upto:
+                continue
+            k = upto - 1
+            a, b = np.flatnonzero(ni[k] > 1), np.flatnonzero(nj[k] > 1)
+            if not len(a) or not len(b):
+                continue
+            at = np.ix_(a, b)
+            s = xx[at] - mj[k, b][None, :] * xh[at] - mi[k, a][:, None] * hx[at] + mi[k, a][:, None] * mj[k, b][None, :] * hh[at]
+            s /= np.sqrt(ni[k, a] - 1)[:, None] * np.sqrt(nj[k, b] - 1)[None, :]
+            if i == j:
+                np.fill_diagonal(s, vi[k, a] / (ni[k, a] - 1))
+            scale = np.sqrt(vi[k, a] / (ni[k, a] - 1))[:, None] * np.sqrt(vj[k, b] / (nj[k, b] - 1))[None, :]
+            rho = np.where(scale > 0, s / np.where(scale > 0, scale, 1.0), 0.0)
+            s = np.where(scale > 0, s, 0.0)
+            ti, tj = np.repeat(li[a], len(b)), np.tile(lj[b], len(a))
+            keep = ti <= tj if i == j else np.ones(len(ti), bool)
+            out.append(pd.DataFrame({"as_of_date": np.repeat(day, keep.sum()), "ti": ti[keep], "tj": tj[keep],
+                                     "rho": rho.reshape(-1)[keep], "s": s.reshape(-1)[keep]}))
+        if not out:
+            return pd.DataFrame({"as_of_date": pd.Series([], dtype="datetime64[s]"), "ti": pd.Series([], dtype=object),
+                                 "tj": pd.Series([], dtype=object), "rho": pd.Series([], dtype=float), "s": pd.Series([], dtype=float)})
+        out = pd.concat(out, ignore_index=True)
+        out["as_of_date"] = out["as_of_date"].dt.date
+        return out
+
+    return kernel
+
+
+def running_pairs(own: DataFrame, days: list, n_factors: int | None = None) -> DataFrame:
+    """``factor_pairs`` of the returns known at each as-of date, from the returns alone.
+
+    Factors fall into buckets; one group holds the histories of two buckets and
+    accumulates their products date by date, so a return row moves once per bucket,
+    whatever the number of as-of dates. Buckets are sized so that a group returns
+    about ``PAIR_CELLS`` rows.
+    """
+    if n_factors is None:
+        n_factors = own.select("ticker").distinct().count()
+    size = max(1, min(PAIR_BUCKET, int(math.sqrt(PAIR_CELLS / max(1, len(days))))))
+    buckets = max(1, -(-n_factors // size))
+    other = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
+    rows = (own.withColumn("bucket", F.pmod(F.hash("ticker"), F.lit(buckets)).cast("int")).withColumn("other", other)
+            .select(F.least("bucket", "other").cast("int").alias("i"), F.greatest("bucket", "other").cast("int").alias("j"),
+                    "bucket", "ticker", "date", "r"))
+    return _both_halves(rows.groupBy("i", "j").applyInPandas(_running_block(days), "as_of_date date, ti string, tj string, rho double, s double"))
+
+
 def correlation_matrix(returns: DataFrame, align: str = "date") -> DataFrame:
     """(as_of_date, ti, tj, rho): Pearson correlation of every factor pair."""
     return factor_pairs(scaled_returns(returns, align)).select("as_of_date", "ti", "tj", "rho")
@@ -248,6 +384,7 @@ class Calibration:
     periods_per_year: float
     align: str = "date"
     window: int | None = None      # newest returns that volatilities and covariances see; None: all
+    days: list | None = None       # the as-of dates of ``asofs``
     _cache: dict = field(default_factory=dict, repr=False)
 
     def use(self, key: str, df: DataFrame) -> DataFrame:
@@ -283,11 +420,18 @@ class Calibration:
 
     @property
     def vols(self) -> DataFrame:
-        return self._get("vols", lambda: annualised_vol(newest_returns(self.returns, self.window), self.periods_per_year))
+        return self._get("vols", lambda: vols_from_moments(self.moments, self.periods_per_year))
+
+    @property
+    def moments(self) -> DataFrame:
+        return self._get("moments", lambda: running_moments(self.own, self.asofs, self.window))
 
     @property
     def pairs(self) -> DataFrame:
-        return self._get("pairs", lambda: factor_pairs(self.scaled))
+        """Running products; windows and ordinal pairing need the scaled returns of each as-of date."""
+        if self.days is None or self.window is not None or self.align != "date":
+            return self._get("pairs", lambda: factor_pairs(self.scaled))
+        return self._get("pairs", lambda: running_pairs(self.own, self.days))
 
     @property
     def corr(self) -> DataFrame:
@@ -305,4 +449,5 @@ class Calibration:
 def calibrate(prices: DataFrame, as_of_dates: DataFrame,
               periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
               align: str = "date", window: int | None = None) -> Calibration:
-    return Calibration(prices, as_of_array(as_of_dates), periods_per_year, align, window)
+    days = as_of_days(as_of_dates)
+    return Calibration(prices, date_array(days), periods_per_year, align, window, days)

@@ -1,10 +1,12 @@
 """Spot prices and position enrichment.
 
 * ``latest_spot``: per (as_of_date, ticker) the close of the newest date on or
-  before the as-of date — a partial aggregate (``max_by``), so each task
-  reduces its rows before the shuffle.
-* ``latest_spot_window``: the same through ``row_number() = 1`` (kept for parity
-  with the windowed formulation; it shuffles every price row).
+  before the as-of date, from ``prices_as_of`` rows — a partial aggregate
+  (``max_by``), so each task reduces its rows before the shuffle. The registered
+  query reads ``calibration.asof_index`` instead, one row each.
+* ``latest_spot_window``: the window form: prices and as-of dates of a ticker in one
+  order, every as-of date takes the last price before it. Its rows are the history
+  plus one per as-of date and ticker.
 * ``enrich_positions``: inner join of positions with the spot — positions with
   no spot drop out, and ``unmatched_positions`` lists them.
 * ``portfolio_value``, ``dollar_delta``, ``exposures``: per-portfolio and
@@ -13,7 +15,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pricing import exposure_columns
@@ -27,11 +29,13 @@ def latest_spot(px_asof: DataFrame) -> DataFrame:
             .agg(F.max_by("close", "date").alias("spot_price"), F.max("date").alias("spot_date")))
 
 
-def latest_spot_window(px_asof: DataFrame) -> DataFrame:
-    w = Window.partitionBy("as_of_date", "ticker").orderBy(F.col("date").desc())
-    return (px_asof.filter(F.col("close").isNotNull())
-            .withColumn("rn", F.row_number().over(w)).filter("rn = 1")
-            .select("as_of_date", "ticker", F.col("close").alias("spot_price"), F.col("date").alias("spot_date")))
+def latest_spot_window(prices: DataFrame, asofs: Column) -> DataFrame:
+    known = prices.filter(F.col("close").isNotNull()).select("ticker", "date", F.struct("date", "close").alias("p"))
+    dates = prices.select("ticker").distinct().select("ticker", F.explode(asofs).alias("date"), F.lit(None).cast(known.schema["p"].dataType).alias("p"))
+    w = Window.partitionBy("ticker").orderBy("date", F.col("p").isNull())      # a price of the day comes before the day
+    return (known.unionByName(dates).withColumn("last", F.last("p", ignorenulls=True).over(w))
+            .filter(F.col("p").isNull() & F.col("last").isNotNull())
+            .select(F.col("date").alias("as_of_date"), "ticker", F.col("last.close").alias("spot_price"), F.col("last.date").alias("spot_date")))
 
 
 def enrich_positions(positions: DataFrame, spot: DataFrame, spot_rows: int | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.normal import hashed_normal
 from ..functions.pricing import exposure_pnl
-from ..plans.joins import factor_join
+from ..plans.joins import factor_join, may_broadcast
 
 HIST_KEYS = ["as_of_date", "historical_window"]
 MC_KEYS = ["as_of_date", "num_paths", "seed", "steps", "dt"]
@@ -49,6 +49,27 @@ def historical_shocks(own_returns: DataFrame, sets: DataFrame, set_rows: int | N
                     "ticker", "r"))
 
 
+def historical_shocks_indexed(index: DataFrame, own: DataFrame, sets: DataFrame, own_rows: int | None = None,
+                              set_rows: int | None = None) -> DataFrame:
+    """Same rows as ``historical_shocks``, from the as-of index and the returns of each ticker.
+
+    A factor's index row of an as-of date knows how many returns are known there, so
+    it lists the numbers of the newest ``W`` itself and looks them up by (ticker,
+    number): no return is copied to as-of dates that do not replay it. The returns
+    are broadcast behind their exact size ``own_rows``, else joined on that key,
+    which spreads a ticker over its history.
+    """
+    n, window = F.col("n_prices") - 1, F.col("historical_window")
+    factors = index.filter("n_prices > 1").select("as_of_date", "ticker", "n_prices")
+    wanted = (factor_join(factors, sets.select(*HIST_KEYS).distinct(), ["as_of_date"], F.hash("ticker"), set_rows)
+              .select(*HIST_KEYS, "ticker", n.alias("n"), F.explode(F.sequence(F.lit(0), (window - 1).cast("int"))).alias("scenario_id"))
+              .select(*HIST_KEYS, "ticker", "scenario_id", F.greatest(F.lit(0), F.col("n") - window + F.col("scenario_id")).cast("int").alias("t")))
+    returns = own.select("ticker", "t", "r")
+    if may_broadcast(returns, own_rows):
+        returns = F.broadcast(returns)
+    return wanted.join(returns, ["ticker", "t"]).select(*HIST_KEYS, "scenario_id", "ticker", "r")
+
+
 def grid_columns(time_grid: str = "time_grid"):
     """steps and dt of a time-grid name (NULL when the grid is unknown)."""
     steps = F.lit(None).cast("int")

@@ -61,7 +61,7 @@ class Book:
     """Inputs of one query: a checkpointed price panel, a book and an as-of calendar."""
 
     def __init__(self, spark: SparkSession, sf: str, ticker_by: str = "brand", period: str = "month",
-                 portfolio_by: str = "segment", options: bool = False, calendar: str = "year_end"):
+                 portfolio_by: str = "segment", options: bool = False, calendar: str = "all"):
         self.spark, self.sf = spark, sf
         self.prices = cut_lineage(tables.price_panel(spark, sf, ticker_by, period))
         self.periods = tables.PERIODS_PER_YEAR[period]
@@ -253,12 +253,12 @@ def calibration_versions(spark, sf):
 
 def latest_spot(spark, sf):
     b = Book(spark, sf)
-    return enrich_ops.latest_spot(b.cal.prices_as_of).select("as_of_date", "ticker", "spot_price", "spot_date")
+    return b.cal.index.select("as_of_date", "ticker", "spot_price", "spot_date")
 
 
 def latest_spot_window(spark, sf):
     b = Book(spark, sf)
-    return enrich_ops.latest_spot_window(b.cal.prices_as_of).select(
+    return enrich_ops.latest_spot_window(b.prices, b.cal.asofs).select(
         "as_of_date", "ticker", "spot_price", "spot_date")
 
 
@@ -322,9 +322,14 @@ def _hist_sets(b: Book, windows=(HIST_WINDOW,)) -> DataFrame:
     return b.asof.withColumn("historical_window", F.explode(F.array(*[F.lit(w) for w in windows])))
 
 
+def _replay(b: Book, sets: DataFrame) -> DataFrame:
+    own, rows = _sized(b.cal.own)
+    return scenarios.historical_shocks_indexed(b.cal.index, own, sets, rows)
+
+
 def historical_shocks(spark, sf):
     b = Book(spark, sf)
-    sh = scenarios.historical_shocks(b.cal.returns, _hist_sets(b, HIST_WINDOWS))
+    sh = _replay(b, _hist_sets(b, HIST_WINDOWS))
     return sh.select(*scenarios.HIST_KEYS, "scenario_id", "ticker", _r("r", RATE))
 
 
@@ -335,7 +340,7 @@ def _keyed(exposures: DataFrame) -> tuple:
 
 
 def _hist_pnl(b: Book, pricer: str | None) -> DataFrame:
-    sh = scenarios.historical_shocks(b.cal.returns, _hist_sets(b))
+    sh = _replay(b, _hist_sets(b))
     if pricer is None:
         pnl = scenarios.scenario_pnl(sh, *_keyed(b.exposures()))
     else:
@@ -363,7 +368,7 @@ def historical_var(spark, sf):
 def tail_scenarios(spark, sf):
     b = Book(spark, sf)
     req = b.requests(["HISTORICAL"])
-    sh = scenarios.historical_shocks(b.cal.returns, req.select(*scenarios.HIST_KEYS).distinct())
+    sh = _replay(b, req.select(*scenarios.HIST_KEYS).distinct())
     pnl = scenarios.scenario_pnl(sh, *_keyed(b.exposures()))
     # Replayed scenarios may tie; which of them holds a rank is not part of the result.
     return risk.tail_scenarios(req, pnl, scenarios.HIST_KEYS, req.count()).select(
@@ -401,7 +406,7 @@ def var_all_methods(spark, sf):
 # ---------------------------------------------------------- requests and store
 
 def validate_requests_query(spark, sf):
-    """Rejects of a request grid over the year-end calendar that mixes valid and
+    """Rejects of a request grid over all dates that mixes valid and
     invalid parameters (confidence, path count, time grid, method)."""
     b = Book(spark, sf)
     g = (b.asof.withColumn("varMethod", F.explode(F.array(*[F.lit(m) for m in (*schemas.METHODS, "DELTA")])))
@@ -420,7 +425,7 @@ def validate_requests_query(spark, sf):
 
 
 def parse_requests_query(spark, sf):
-    """JSON request bodies for every year-end date x method x confidence
+    """JSON request bodies for every date x method x confidence
     (method in lower case, counts and grid left out), decoded back: upper-cased
     method, request defaults, given ids. For every date also a body that names
     only the date (derived id) and one that is not JSON (malformed)."""

@@ -67,7 +67,7 @@ def panel(by="brand", period="month") -> str:
             f"FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2)")
 
 
-def calendar(kind="year_end") -> str:
+def calendar(kind="all") -> str:
     if kind == "year_end":
         return "asofs AS (SELECT max(date) AS as_of_date FROM prices GROUP BY year(date))"
     if kind == "last":
@@ -250,7 +250,13 @@ def results_sql(methods=schemas.METHODS, base=BASE, book="segment", paths=C.MC_P
                                   "q.as_of_date = k.as_of_date AND q.method = 'MONTE_CARLO'").replace(
                                       "ranked AS", "mranked AS").replace("FROM ranked k", "FROM mranked k")]
         parts.append("SELECT * FROM res_monte_carlo")
-    blocks.append("allres AS (" + " UNION ALL ".join(parts) + ")")
+    blocks.append("priced AS (" + " UNION ALL ".join(parts) + ")")
+    # A book none of whose factors has a shock (or a variance) yet moves nowhere.
+    blocks.append(f"""allres AS (SELECT * FROM priced UNION ALL
+  SELECT q.correlation_id, b.portfolio_id, q.as_of_date, q.method, 0.0{D}, 0.0{D}, q.alpha, 0.0{D}, 0.0{D},
+         CAST(CASE q.method WHEN 'HISTORICAL' THEN {window} WHEN 'MONTE_CARLO' THEN {paths} ELSE 0 END AS INTEGER)
+  FROM reqs q JOIN (SELECT DISTINCT as_of_date, portfolio_id FROM enriched) b ON b.as_of_date = q.as_of_date
+  WHERE NOT EXISTS (SELECT 1 FROM priced p WHERE p.correlation_id = q.correlation_id AND p.portfolio_id = b.portfolio_id))""")
     return _with(*blocks) + rounded("allres")
 
 
@@ -329,7 +335,7 @@ def build() -> dict[str, str]:
     q["portfolio_variance"] = pv + "SELECT as_of_date, portfolio_id, round(sqrt(variance), 2) AS sigma_p FROM pvar"
     q["portfolio_variance_projected"] = _with(*BASE, RETURNS, positions(), SPOT, SCALED) + (
         f"SELECT as_of_date, portfolio_id, round(sqrt(sum(y * y) * {C.PERIODS}.0{D}), 2) AS sigma_p FROM ("
-        "SELECT d.as_of_date, d.portfolio_id, z.date, sum(d.dollar_delta * z.z) AS y FROM dd d JOIN zs z "
+        "SELECT d.as_of_date, d.portfolio_id, z.date, coalesce(sum(d.dollar_delta * z.z), 0.0) AS y FROM dd d LEFT JOIN zs z "
         "ON d.as_of_date = z.as_of_date AND d.ticker = z.ticker GROUP BY d.as_of_date, d.portfolio_id, z.date) "
         "GROUP BY as_of_date, portfolio_id")
     q["parametric_var"] = results_sql(("PARAMETRIC",))

@@ -62,6 +62,7 @@ class _Inputs:
     factor_keys: int | None = None
     return_keys: int | None = None
     book_rows: int | None = None
+    own_rows: int | None = None
     dates: dict = field(default_factory=dict)     # method -> as-of dates of its requests
     book_pnl: object = None                       # see run_scenarios(pricer=...)
     horizon_years: float = 1.0
@@ -140,8 +141,7 @@ def historical_results(inp: _Inputs) -> DataFrame:
     valid, cal = inp.valid, inp.cal
     req = valid.filter(F.col("method") == "HISTORICAL")
     sets = req.select(*scenarios.HIST_KEYS).distinct()
-    returns = _for(cal.returns, inp, "HISTORICAL")
-    shocks = scenarios.historical_shocks(returns, sets, inp.request_rows)
+    shocks = scenarios.historical_shocks_indexed(_for(cal.index, inp, "HISTORICAL"), cal.own, sets, inp.own_rows, inp.request_rows)
     exp = _for(inp.exposures, inp, "HISTORICAL")
     shock_rows = n_scen = None
     if inp.exposure_rows is not None:
@@ -231,12 +231,12 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
         by = valid.groupBy("method", "as_of_date").count().collect()      # calendar x methods
         request_rows = sum(r["count"] for r in by)
         dates = {m: [r["as_of_date"] for r in by if r["method"] == m] for m in schemas.METHODS}
-        asofs = cal_ops.date_array(r["as_of_date"] for r in by)
+        days = cal_ops.known_days(r["as_of_date"] for r in by)
         if durable_prices:
             prices = cut_lineage(prices, durable=True)
     else:
-        asofs = cal_ops.as_of_array(valid)
-    cal = cal_ops.Calibration(prices, asofs, periods_per_year, align, calibration_window)
+        days = cal_ops.as_of_days(valid)
+    cal = cal_ops.Calibration(prices, cal_ops.date_array(days), periods_per_year, align, calibration_window, days)
     spot_rows = None
     if materialize:
         index, spot_rows = _cache_counted(cal.index, cached)
@@ -255,6 +255,9 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
         row = inp.exposures.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("as_of_date", "ticker")),
                                 F.approx_count_distinct(F.xxhash64("as_of_date", "portfolio_id"))).first()
         inp.exposure_rows, inp.factor_keys, inp.book_rows = (int(x) for x in row)
+        if "HISTORICAL" in methods:
+            own, inp.own_rows = _cache_counted(cal.own, cached)
+            cal.use("own", own)
         if {"PARAMETRIC", "MONTE_CARLO"} & set(methods):
             scaled, inp.returns_rows = _cache_counted(cal.scaled, cached)
             cal.use("scaled", scaled)

@@ -2,13 +2,14 @@
 historical padding, one-factor calibration, invariance to partitioning."""
 
 import math
+import random
 from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import calibration as cal_ops
-from riskspark.operators import risk, scenarios
+from riskspark.operators import enrich, risk, scenarios
 from riskspark.plans.pipeline import run_scenarios
 from riskspark.sources import tables
 from riskspark.sources.requests import request_grid
@@ -361,3 +362,62 @@ def test_distribution_blocks_equal_relational_for_many_books(spark):
 
     relational, blocks = run("relational"), run("blocks")
     assert len(relational) > 100 and relational == blocks
+
+
+def _ragged(spark):
+    """Four factors: full, starting late, with gaps, constant; and one with a single price."""
+    rng = random.Random(4)
+    rows = []
+    for name, keep in (("full", lambda k: True), ("late", lambda k: k >= 30), ("gaps", lambda k: k % 3 != 1), ("flat", lambda k: True), ("one", lambda k: k == 20)):
+        for k in range(60):
+            if keep(k):
+                rows.append((name, D0 + timedelta(days=k), 5.0 if name == "flat" else 100.0 * math.exp(0.02 * rng.gauss(0, 1) + 0.001 * k)))
+    return spark.createDataFrame(rows, "ticker string, date date, close double")
+
+
+@pytest.mark.parametrize("cells", [1_000_000, 60])
+def test_running_sums_equal_the_returns_of_each_date(spark, monkeypatch, cells):
+    monkeypatch.setattr(cal_ops, "PAIR_CELLS", cells)
+    prices = _ragged(spark)
+    days = [D0 + timedelta(days=k) for k in (-5, 0, 1, 2, 20, 21, 31, 32, 33, 45, 59, 400)]
+    cal = cal_ops.calibrate(prices, spark.createDataFrame([(d,) for d in days], "as_of_date date"), 252)
+    old = {(r.as_of_date, r.ti, r.tj): (r.rho, r.s) for r in cal_ops.factor_pairs(cal.scaled).collect()}
+    new = {(r.as_of_date, r.ti, r.tj): (r.rho, r.s) for r in cal.pairs.collect()}
+    assert new.keys() == old.keys() and len(new) > 50
+    for k, v in new.items():
+        assert v == pytest.approx(old[k], abs=1e-12), k
+    for window in (None, 7):
+        by_row = cal_ops.annualised_vol(cal_ops.newest_returns(cal.returns, window), 252)
+        want = {(r.as_of_date, r.ticker): (r.vol, r.n_obs) for r in by_row.collect()}
+        moments = cal_ops.running_moments(cal.own, cal.asofs, window)
+        got = {(r.as_of_date, r.ticker): (r.vol, r.n_obs) for r in cal_ops.vols_from_moments(moments, 252).collect()}
+        assert got.keys() == want.keys()
+        for k, (vol, n) in got.items():
+            assert n == want[k][1] and (vol is None) == (want[k][0] is None) and (vol is None or vol == pytest.approx(want[k][0], abs=1e-12))
+
+
+def test_indexed_replay_equals_replay_of_each_dates_returns(spark):
+    prices = _ragged(spark)
+    days = spark.createDataFrame([(D0 + timedelta(days=k),) for k in (0, 1, 20, 32, 59)], "as_of_date date")
+    cal = cal_ops.calibrate(prices, days, 252)
+    sets = days.withColumn("historical_window", F.explode(F.array(F.lit(1), F.lit(10), F.lit(100))))
+    old = sorted(tuple(r) for r in scenarios.historical_shocks(cal.returns, sets).select("as_of_date", "historical_window", "scenario_id", "ticker", "r").collect())
+    for rows in (None, 10, 10 ** 9):
+        got = scenarios.historical_shocks_indexed(cal.index, cal.own, sets, rows)
+        assert sorted(tuple(r) for r in got.select("as_of_date", "historical_window", "scenario_id", "ticker", "r").collect()) == old
+
+
+def test_rows_of_a_calibration_do_not_grow_with_dates_times_history(spark):
+    """The pair products read each return once per bucket, whatever the number of as-of dates."""
+    prices = _ragged(spark)
+    cal = cal_ops.calibrate(prices, spark.createDataFrame([(D0 + timedelta(days=k),) for k in range(50, 59)], "as_of_date date"), 252)
+    below = cal.pairs._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInPandas")[-1].split("\n", 1)[1]
+    assert "ticker" in below and "as_of_date" not in below       # nothing below the groups is per as-of date
+
+
+def test_latest_spot_forms_agree(spark):
+    prices = _ragged(spark)
+    cal = cal_ops.calibrate(prices, spark.createDataFrame([(D0 + timedelta(days=k),) for k in (-3, 0, 20, 31, 90)], "as_of_date date"), 252)
+    want = sorted(tuple(r) for r in enrich.latest_spot(cal.prices_as_of).collect())
+    assert sorted(tuple(r) for r in enrich.latest_spot_window(prices, cal.asofs).collect()) == want
+    assert sorted(tuple(r) for r in cal.index.drop("n_prices").collect()) == want
