@@ -16,6 +16,11 @@ two confidence levels never re-sort the scenarios. A group holds one set's
 scenarios of one portfolio: at most ``num_paths`` (validated <= 1e6) or
 ``historical_window`` rows, whatever the data volume.
 
+Sets of many scenarios are not ranked whole (``scenario_var_by_tail``): a
+histogram of the P&Ls over order-keeping buckets, combined in the tasks, tells the
+bucket that holds each portfolio's rank ``idx + 1``; only scenarios up to that
+bucket are exchanged and ranked. Both give the same rows, ties included.
+
 Parametric
 ----------
 ``VaR = z * sigma_P`` and ``ES = sigma_P * pdf(z) / (1 - alpha)`` with
@@ -33,6 +38,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..functions.normal import norm_pdf, norm_ppf
 from ..plans.joins import factor_join, may_broadcast
+from ..session import cut_lineage
 
 
 def quantile_index(alpha, n) -> F.Column:
@@ -71,7 +77,10 @@ def scenario_var(requests: DataFrame, pnl: DataFrame, set_keys: list[str], metho
     the row at its own rank ``idx + 1`` (``request_rows`` — the exact request
     count — lets that join be a broadcast; see plans.joins).
     """
-    ranked = rank_scenarios(pnl, set_keys)
+    return _read_ranks(requests, rank_scenarios(pnl, set_keys), set_keys, method, request_rows)
+
+
+def _read_ranks(requests: DataFrame, ranked: DataFrame, set_keys: list[str], method: str, request_rows: int | None) -> DataFrame:
     req = requests.select("correlation_id", "alpha", *set_keys)
     hit = (factor_join(ranked, req, set_keys, F.hash("portfolio_id"), request_rows)
            .withColumn("idx", quantile_index("alpha", "n"))
@@ -97,11 +106,56 @@ def scenario_var_from_distribution(requests: DataFrame, dist: DataFrame, set_key
         "alpha", "mean_pnl", "std_dev_pnl", F.col("n").cast("int").alias("num_scenarios"))
 
 
+_ZERO_BUCKET = 1_000_000       # |1000 ln x| of any double stays below
+
+
+def pnl_bucket(pnl) -> F.Column:
+    """A whole number that never falls when the P&L rises: steps of 0.1 % of the amount; NULL is lowest, NaN highest."""
+    p = F.col(pnl) if isinstance(pnl, str) else pnl
+    size = F.floor(F.ln(F.abs(p)) * 1000.0)
+    return (F.when(p.isNull(), -3 * _ZERO_BUCKET).when(F.isnan(p) | (p == float("inf")), 3 * _ZERO_BUCKET)
+            .when(p == float("-inf"), -2 * _ZERO_BUCKET - 1).when(p == 0, 0)
+            .when(p < 0, -_ZERO_BUCKET - size).otherwise(_ZERO_BUCKET + size)).cast("int")
+
+
+def worst_scenarios(requests: DataFrame, pnl: DataFrame, set_keys: list[str], request_rows: int | None = None) -> DataFrame:
+    """The scenarios that rank up to ``idx + 1`` for some request of their set, ranked: pnl's columns,
+    rn, cum_pnl, n, mean_pnl, std_dev_pnl.
+
+    ``pnl`` is read three times and should be materialised. Counts, means and the
+    histogram are partial aggregates; the limits (one row per set and portfolio) are
+    broadcast behind their exact size, so that no other scenario is exchanged.
+    """
+    part = [*set_keys, "portfolio_id"]
+    req = requests.select("alpha", *set_keys).distinct()
+    stats = cut_lineage(pnl.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.avg("pnl").alias("mean_pnl"), F.stddev_samp("pnl").alias("std_dev_pnl")))
+    wanted = (factor_join(stats, req, set_keys, F.hash("portfolio_id"), request_rows).groupBy(*part)
+              .agg((F.max(quantile_index("alpha", "n")) + 1).alias("k")))
+    counts = pnl.groupBy(*part, pnl_bucket("pnl").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    above = F.sum("c").over(Window.partitionBy(*part).orderBy("b")) - F.col("c")
+    limits = (counts.withColumn("above", above).join(wanted, part).filter(F.col("above") < F.col("k"))
+              .groupBy(*part).agg(F.max("b").alias("last_bucket")))
+    limits = limits.join(stats, part)
+    if may_broadcast(limits, stats.count()):
+        limits = F.broadcast(limits)
+    tail = pnl.join(limits, part).filter(pnl_bucket("pnl") <= F.col("last_bucket")).drop("last_bucket")
+    ordered = Window.partitionBy(*part).orderBy("pnl", "scenario_id")
+    return tail.select("*", F.row_number().over(ordered).alias("rn"),
+                       F.sum("pnl").over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_pnl"))
+
+
+def scenario_var_by_tail(requests: DataFrame, pnl: DataFrame, set_keys: list[str], method: str,
+                         request_rows: int | None = None) -> DataFrame:
+    """``scenario_var`` from the worst scenarios alone (see ``worst_scenarios``)."""
+    return _read_ranks(requests, worst_scenarios(requests, pnl, set_keys, request_rows), set_keys, method, request_rows)
+
+
 def tail_scenarios(requests: DataFrame, pnl: DataFrame, set_keys: list[str],
-                   request_rows: int | None = None) -> DataFrame:
+                   request_rows: int | None = None, by_tail: bool = False) -> DataFrame:
     """(correlation_id, portfolio_id, rank, scenario_id, pnl): the worst
-    ``idx + 1`` scenarios behind each VaR/ES figure."""
-    ranked = rank_scenarios(pnl, set_keys)
+    ``idx + 1`` scenarios behind each VaR/ES figure. ``by_tail`` finds them
+    without ranking the others (``worst_scenarios``)."""
+    ranked = worst_scenarios(requests, pnl, set_keys, request_rows) if by_tail else rank_scenarios(pnl, set_keys)
     req = requests.select("correlation_id", "alpha", *set_keys)
     return (factor_join(ranked, req, set_keys, F.hash("portfolio_id"), request_rows)
             .filter(F.col("rn") <= quantile_index("alpha", "n") + 1)

@@ -386,6 +386,19 @@ def mc_shocks(spark, sf):
     return sh.select("as_of_date", "scenario_id", "ticker", _r("r", RATE))
 
 
+def worst_paths(spark, sf):
+    """The Monte Carlo paths behind each VaR/ES figure, found without ranking the others."""
+    b = Book(spark, sf)
+    req, _ = validate_requests(b.requests(["MONTE_CARLO"]))
+    req = cut_lineage(req)
+    scaled, n = _sized(b.cal.scaled)
+    exp, rows = _sized(b.exposures())
+    shocks = scenarios.mc_shocks_blocks(scaled, req.select(*scenarios.MC_KEYS).distinct(), b.periods)
+    pnl = cut_lineage(scenarios.scenario_pnl(shocks, exp, scenarios.MC_KEYS, rows))
+    return risk.tail_scenarios(req, pnl, scenarios.MC_KEYS, req.count(), by_tail=True).select(
+        "correlation_id", "portfolio_id", F.col("rank").cast("int").alias("rank"), _r("pnl", MONEY))
+
+
 def monte_carlo_var(spark, sf):
     return _round_results(Book(spark, sf).results(["MONTE_CARLO"]))
 
@@ -514,6 +527,7 @@ QUERIES = {
     "historical_var": historical_var,
     "tail_scenarios": tail_scenarios,
     "mc_shocks": mc_shocks,
+    "worst_paths": worst_paths,
     "monte_carlo_var": monte_carlo_var,
     "var_all_methods": var_all_methods,
     "default_size_var": default_size_var,

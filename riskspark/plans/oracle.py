@@ -352,6 +352,10 @@ def build() -> dict[str, str]:
         "portfolio_id ORDER BY pnl, scenario_id) AS rn, count(*) OVER (PARTITION BY as_of_date, historical_window, "
         f"portfolio_id) AS n FROM hpnl) k JOIN reqs q ON q.as_of_date = k.as_of_date "
         f"WHERE k.rn <= {idx('q.alpha', 'k.n')} + 1")
+    q["worst_paths"] = _with(*BASE, RETURNS, positions(), SPOT, requests(("MONTE_CARLO",)), SCALED, mc_block(), MPNL) + (
+        "SELECT q.correlation_id, k.portfolio_id, CAST(k.rn AS INTEGER) AS rank, round(k.pnl, 2) AS pnl FROM (SELECT *, row_number() OVER w AS rn, "
+        "count(*) OVER (PARTITION BY as_of_date, portfolio_id) AS n FROM mpnl WINDOW w AS (PARTITION BY as_of_date, portfolio_id ORDER BY pnl, "
+        f"scenario_id)) k JOIN reqs q ON q.as_of_date = k.as_of_date WHERE k.rn <= {idx('q.alpha', 'k.n')} + 1")
     q["mc_shocks"] = _with(*BASE, RETURNS, SCALED, mc_block()) + (
         "SELECT as_of_date, scenario_id, ticker, round(r, 8) AS r FROM mshock")
     q["monte_carlo_var"] = results_sql(("MONTE_CARLO",))

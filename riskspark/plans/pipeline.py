@@ -63,6 +63,7 @@ class _Inputs:
     return_keys: int | None = None
     book_rows: int | None = None
     own_rows: int | None = None
+    cached: list = field(default_factory=list)    # tables to release with the run
     dates: dict = field(default_factory=dict)     # method -> as-of dates of its requests
     book_pnl: object = None                       # see run_scenarios(pricer=...)
     horizon_years: float = 1.0
@@ -79,6 +80,22 @@ def _cache_counted(df: DataFrame, run_cache: list) -> tuple[DataFrame, int]:
     return df, df.count()
 
 
+def _ranked_var(inp: "_Inputs", req: DataFrame, pnl: DataFrame, keys: list[str], method: str, n_scen) -> DataFrame:
+    """VaR rows of a P&L table: sets of many scenarios by their tail, others by a ranking window.
+
+    ``riskspark.ranking`` (``auto``, ``window``, ``tail``) chooses; ``auto`` takes the tail from
+    ``riskspark.ranking.tailMinScenarios`` (default 100 000) scenarios a date on. Both give the same rows.
+    """
+    spark = pnl.sparkSession
+    mode = spark.conf.get("riskspark.ranking", "auto")
+    least = int(spark.conf.get("riskspark.ranking.tailMinScenarios", "100000"))
+    if mode == "tail" or (mode == "auto" and (n_scen or 0) >= least):
+        pnl = cut_lineage(pnl, durable=False)
+        inp.cached.append(pnl)
+        return risk.scenario_var_by_tail(req, pnl, keys, method, inp.request_rows)
+    return risk.scenario_var(req, pnl, keys, method, inp.request_rows)
+
+
 def _for(df: DataFrame, inp: "_Inputs", method: str) -> DataFrame:
     """Rows of the as-of dates that the method's requests name (a calendar-bounded list)."""
     return df.filter(F.col("as_of_date").isin(inp.dates[method])) if method in inp.dates else df
@@ -154,7 +171,7 @@ def historical_results(inp: _Inputs) -> DataFrame:
         var = risk.scenario_var_from_distribution(req, dist, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows)
     else:
         pnl = _pnl(inp, shocks, exp, scenarios.HIST_KEYS, shock_rows, n_scen)
-        var = risk.scenario_var(req, pnl, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows)
+        var = _ranked_var(inp, req, pnl, scenarios.HIST_KEYS, "HISTORICAL", n_scen)
     return var.unionByName(
         risk.zero_results(req, exp, factors, "HISTORICAL", F.col("historical_window"), inp.request_rows))
 
@@ -183,7 +200,7 @@ def monte_carlo_results(inp: _Inputs) -> DataFrame:
         shocks = scenarios.mc_shocks(scaled, sets, cal.periods_per_year, returns_rows=inp.returns_rows)
     pnl = _pnl(inp, shocks, exp, scenarios.MC_KEYS, shock_rows, n_scen)
     factors = cal.index.filter("n_prices > 2").select("as_of_date", "ticker")
-    return risk.scenario_var(req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", inp.request_rows).unionByName(
+    return _ranked_var(inp, req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", n_scen).unionByName(
         risk.zero_results(req, exp, factors, "MONTE_CARLO", F.col("num_paths"), inp.request_rows))
 
 
@@ -245,9 +262,11 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
         cal_ops.short_history_factors(cal.index, strict=True).limit(1).collect()
     enriched = enrich_ops.enrich_positions(positions, cal.index, spot_rows)
     exp = enrich_ops.exposures(enriched)
-    inp = _Inputs(valid, cal, exp, dates=dates, horizon_years=horizon_years)
+    inp = _Inputs(valid, cal, exp, dates=dates, horizon_years=horizon_years, cached=cached)
     if pricer:
-        inp.book_pnl = lambda shocks, keys: scenarios.position_scenario_pnl(shocks, enriched, keys, pricer)
+        # Priced position by position: the join is broadcast or salted by the exact number of positions.
+        priced, position_rows = _cache_counted(enriched, cached) if materialize else (enriched, None)
+        inp.book_pnl = lambda shocks, keys: scenarios.position_scenario_pnl(shocks, priced, keys, pricer, position_rows)
     if materialize:
         inp.request_rows = request_rows
         inp.exposures = cut_lineage(exp, durable=True)

@@ -421,3 +421,65 @@ def test_latest_spot_forms_agree(spark):
     want = sorted(tuple(r) for r in enrich.latest_spot(cal.prices_as_of).collect())
     assert sorted(tuple(r) for r in enrich.latest_spot_window(prices, cal.asofs).collect()) == want
     assert sorted(tuple(r) for r in cal.index.drop("n_prices").collect()) == want
+
+
+def test_buckets_keep_the_order_of_amounts(spark):
+    rng = random.Random(8)
+    amounts = [None, -math.inf, -1e308, -5.0, -5.0, -1e-300, -5e-324, -0.0, 0.0, 5e-324, 1e-9, 3.0, 1e308, math.inf, math.nan]
+    amounts += [rng.choice((-1, 1)) * math.exp(rng.uniform(-30, 30)) for _ in range(500)]
+    rows = spark.createDataFrame([(a,) for a in amounts], "pnl double").withColumn("b", risk.pnl_bucket("pnl")).orderBy("pnl").collect()
+    assert [r.b for r in rows] == sorted(r.b for r in rows)
+    assert len({r.b for r in rows}) > 400
+
+
+def _rounded(results):
+    """Result rows with amounts at 9 digits: sums may run in another order."""
+    return sorted(str([float(f"{v:.9g}") if isinstance(v, float) else v for v in r]) for r in results.collect())
+
+
+def test_tail_selection_equals_ranking_all(spark):
+    rng = random.Random(9)
+    rows = []
+    for set_, n in ((1, 400), (2, 37), (3, 1)):
+        for book in ("A", "B", "ties", "zero", "null"):
+            for s in range(n):
+                v = {"ties": float(-(s % 5)), "zero": 0.0}.get(book, rng.gauss(0, 1000))
+                rows.append((set_, D0, book, s, None if book == "null" and s % 9 == 0 else v))
+    pnl = spark.createDataFrame(rows, "set int, as_of_date date, portfolio_id string, scenario_id int, pnl double").repartition(5).persist()
+    req = spark.createDataFrame([(f"{s}|{a}", s, D0, a) for s in (1, 2, 3, 4) for a in (0.5, 0.95, 0.99, 0.9999)],
+                                "correlation_id string, set int, as_of_date date, alpha double")
+    for rows_known in (None, 16):
+        a, b = (_rounded(f(req, pnl, ["set", "as_of_date"], "HISTORICAL", rows_known)) for f in (risk.scenario_var, risk.scenario_var_by_tail))
+        assert a == b and len(a) == 3 * 5 * 4
+        a, b = (sorted(map(str, risk.tail_scenarios(req, pnl, ["set", "as_of_date"], rows_known, by_tail=t).collect())) for t in (False, True))
+        assert a == b
+    pnl.unpersist()
+
+
+def test_a_million_paths_exchange_their_tail_only(spark):
+    n = 1_000_000
+    pnl = (spark.range(n, numPartitions=8).selectExpr("date'2017-11-10' as as_of_date", "explode(array('P', 'Q')) as portfolio_id", "int(id) as scenario_id")
+           .withColumn("pnl", (F.xxhash64("portfolio_id", "scenario_id") % 1_000_003).cast("double")).persist())
+    req = spark.createDataFrame([("c", D0, 0.99), ("d", D0, 0.999)], "correlation_id string, as_of_date date, alpha double")
+    tail = risk.worst_scenarios(req, pnl, ["as_of_date"], 2)
+    assert 20_002 <= tail.count() < 21_000          # of two million
+    got = {(r.correlation_id, r.portfolio_id): (r.var_amount, r.num_scenarios) for r in risk.scenario_var_by_tail(req, pnl, ["as_of_date"], "MONTE_CARLO", 2).collect()}
+    for book in ("P", "Q"):
+        amounts = sorted(r.pnl for r in pnl.filter(F.col("portfolio_id") == book).sort("pnl").limit(10_001).collect())
+        assert got["c", book] == (-amounts[10_000], n) and got["d", book] == (-amounts[1_000], n)
+    pnl.unpersist()
+
+
+def test_ranking_by_tail_reaches_the_run(spark):
+    prices, pos = _books(spark)
+    req = request_grid(tables.last_date(prices), num_paths=300, historical_window=20)
+    out = []
+    for mode in ("window", "tail"):
+        spark.conf.set("riskspark.ranking", mode)
+        try:
+            run = run_scenarios(req, pos, prices, 12)
+            out.append(_rounded(run.results))
+            run.release()
+        finally:
+            spark.conf.unset("riskspark.ranking")
+    assert out[0] == out[1] and len(out[0]) == 30
