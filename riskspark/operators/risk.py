@@ -163,18 +163,18 @@ def tail_scenarios(requests: DataFrame, pnl: DataFrame, set_keys: list[str],
 
 
 def zero_results(requests: DataFrame, exposures: DataFrame, factors: DataFrame, method: str,
-                 n_scenarios: F.Column, request_rows: int | None = None) -> DataFrame:
+                 n_scenarios: F.Column, request_rows: int | None = None, scope: list[str] = ()) -> DataFrame:
     """Books none of whose factors has a shock: every scenario P&L is 0.
 
     ``factors`` is (as_of_date, ticker) of the shocked factors. Such books get
     no row from the scenario join, so they are listed here instead.
     """
-    req = requests.select("correlation_id", "as_of_date", "alpha", n_scenarios.alias("num_scenarios"))
-    books = exposures.select("as_of_date", "portfolio_id").distinct()
+    req = requests.select("correlation_id", "as_of_date", "alpha", *scope, n_scenarios.alias("num_scenarios"))
+    books = exposures.select("as_of_date", "portfolio_id", *scope).distinct()
     priced = exposures.join(factors, ["as_of_date", "ticker"], "left_semi").select("as_of_date", "portfolio_id")
     missing = books.join(priced, ["as_of_date", "portfolio_id"], "left_anti")
     zero = F.lit(0.0)
-    return (factor_join(missing, req, ["as_of_date"], F.hash("portfolio_id"), request_rows)
+    return (factor_join(missing, req, ["as_of_date", *scope], F.hash("portfolio_id"), request_rows)
             .select("correlation_id", "portfolio_id", "as_of_date", F.lit(method).alias("method"),
                     zero.alias("var_amount"), zero.alias("expected_shortfall"), "alpha",
                     zero.alias("mean_pnl"), zero.alias("std_dev_pnl"),
@@ -269,15 +269,15 @@ def portfolio_variance_blocks(dd: DataFrame, scaled: DataFrame, periods_per_year
 
 
 def parametric_var(requests: DataFrame, variance: DataFrame, request_rows: int | None = None,
-                   horizon_years: float = 1.0) -> DataFrame:
+                   horizon_years: float = 1.0, scope: list[str] = ()) -> DataFrame:
     """Result rows (schemas.RESULTS) of the parametric method; the annual variance is
     scaled by ``horizon_years`` (1: not at all). The requests
     are joined onto the books (broadcast when ``request_rows`` is under the
     limit), so books of one date are never gathered by date."""
     z = norm_ppf(F.col("alpha"))
     sigma = F.sqrt(F.col("variance") * F.lit(float(horizon_years)))
-    req = requests.select("correlation_id", "as_of_date", "alpha")
-    return (factor_join(variance, req, ["as_of_date"], F.hash("portfolio_id"), request_rows)
+    req = requests.select("correlation_id", "as_of_date", "alpha", *scope)
+    return (factor_join(variance, req, ["as_of_date", *scope], F.hash("portfolio_id"), request_rows)
             .select("correlation_id", "portfolio_id", "as_of_date", F.lit("PARAMETRIC").alias("method"),
                     (z * sigma).alias("var_amount"),
                     (sigma * norm_pdf(z) / (F.lit(1.0) - F.col("alpha"))).alias("expected_shortfall"),

@@ -17,9 +17,10 @@ per (as-of date, method parameters).
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -31,6 +32,9 @@ from ..session import cut_lineage
 from .joins import max_broadcast_rows
 
 
+log = logging.getLogger("riskspark")
+
+
 @dataclass
 class ScenarioRun:
     results: DataFrame
@@ -64,6 +68,7 @@ class _Inputs:
     book_rows: int | None = None
     own_rows: int | None = None
     cached: list = field(default_factory=list)    # tables to release with the run
+    scope: list = field(default_factory=list)     # ["source_set"] where requests name their own files
     dates: dict = field(default_factory=dict)     # method -> as-of dates of its requests
     book_pnl: object = None                       # see run_scenarios(pricer=...)
     horizon_years: float = 1.0
@@ -86,7 +91,7 @@ def _ranked_var(inp: "_Inputs", req: DataFrame, pnl: DataFrame, keys: list[str],
     ``riskspark.ranking`` (``auto``, ``window``, ``tail``) chooses; ``auto`` takes the tail from
     ``riskspark.ranking.tailMinScenarios`` (default 100 000) scenarios a date on. Both give the same rows.
     """
-    spark = pnl.sparkSession
+    spark, pnl, keys = pnl.sparkSession, _scoped(inp, pnl), keys + inp.scope
     mode = spark.conf.get("riskspark.ranking", "auto")
     least = int(spark.conf.get("riskspark.ranking.tailMinScenarios", "100000"))
     if mode == "tail" or (mode == "auto" and (n_scen or 0) >= least):
@@ -96,6 +101,11 @@ def _ranked_var(inp: "_Inputs", req: DataFrame, pnl: DataFrame, keys: list[str],
     return risk.scenario_var(req, pnl, keys, method, inp.request_rows)
 
 
+def _scoped(inp: "_Inputs", table: DataFrame) -> DataFrame:
+    """``table`` with the source set of its portfolios, where the run has several."""
+    return table.withColumn("source_set", schemas.scope_of("portfolio_id")) if inp.scope else table
+
+
 def _for(df: DataFrame, inp: "_Inputs", method: str) -> DataFrame:
     """Rows of the as-of dates that the method's requests name (a calendar-bounded list)."""
     return df.filter(F.col("as_of_date").isin(inp.dates[method])) if method in inp.dates else df
@@ -151,7 +161,7 @@ def parametric_results(inp: _Inputs) -> DataFrame:
         "as_of_date", "portfolio_id", "ticker", F.col("lin_exposure").alias("dollar_delta"))
     variance = risk.portfolio_variance_projected(dd, cal.scaled, cal.periods_per_year, inp.returns_rows,
                                                  inp.exposure_rows, inp.return_keys)
-    return risk.parametric_var(req, variance, inp.request_rows, inp.horizon_years)
+    return risk.parametric_var(req, _scoped(inp, variance), inp.request_rows, inp.horizon_years, inp.scope)
 
 
 def historical_results(inp: _Inputs) -> DataFrame:
@@ -168,12 +178,12 @@ def historical_results(inp: _Inputs) -> DataFrame:
                                                            n_scen, inp.book_rows)
     if buckets:
         dist = scenarios.scenario_distribution_blocks(shocks, exp, scenarios.HIST_KEYS, buckets)
-        var = risk.scenario_var_from_distribution(req, dist, scenarios.HIST_KEYS, "HISTORICAL", inp.request_rows)
+        var = risk.scenario_var_from_distribution(req, _scoped(inp, dist), scenarios.HIST_KEYS + inp.scope, "HISTORICAL", inp.request_rows)
     else:
         pnl = _pnl(inp, shocks, exp, scenarios.HIST_KEYS, shock_rows, n_scen)
         var = _ranked_var(inp, req, pnl, scenarios.HIST_KEYS, "HISTORICAL", n_scen)
     return var.unionByName(
-        risk.zero_results(req, exp, factors, "HISTORICAL", F.col("historical_window"), inp.request_rows))
+        risk.zero_results(req, _scoped(inp, exp), factors, "HISTORICAL", F.col("historical_window"), inp.request_rows, inp.scope))
 
 
 def _pnl(inp: _Inputs, shocks: DataFrame, exp: DataFrame, keys: list[str], shock_rows, n_scen) -> DataFrame:
@@ -201,7 +211,7 @@ def monte_carlo_results(inp: _Inputs) -> DataFrame:
     pnl = _pnl(inp, shocks, exp, scenarios.MC_KEYS, shock_rows, n_scen)
     factors = cal.index.filter("n_prices > 2").select("as_of_date", "ticker")
     return _ranked_var(inp, req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", n_scen).unionByName(
-        risk.zero_results(req, exp, factors, "MONTE_CARLO", F.col("num_paths"), inp.request_rows))
+        risk.zero_results(req, _scoped(inp, exp), factors, "MONTE_CARLO", F.col("num_paths"), inp.request_rows, inp.scope))
 
 
 METHOD_BUILDERS = {
@@ -238,6 +248,8 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     Call ``ScenarioRun.release()`` once the results are written.
     """
     valid, rejects = validate_requests(requests, require_paths=require_paths)
+    if "source_set" in requests.columns:      # scoped runs: see run_path_groups
+        valid = valid.join(requests.select("correlation_id", "source_set").distinct(), "correlation_id")
     # The same request delivered twice (a replayed message) is one request.
     valid = valid.dropDuplicates(["correlation_id"])
     cached: list = []
@@ -262,7 +274,8 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
         cal_ops.short_history_factors(cal.index, strict=True).limit(1).collect()
     enriched = enrich_ops.enrich_positions(positions, cal.index, spot_rows)
     exp = enrich_ops.exposures(enriched)
-    inp = _Inputs(valid, cal, exp, dates=dates, horizon_years=horizon_years, cached=cached)
+    scope = ["source_set"] if "source_set" in valid.columns else []
+    inp = _Inputs(valid, cal, exp, dates=dates, horizon_years=horizon_years, cached=cached, scope=scope)
     if pricer:
         # Priced position by position: the join is broadcast or salted by the exact number of positions.
         priced, position_rows = _cache_counted(enriched, cached) if materialize else (enriched, None)
@@ -287,50 +300,126 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     results = parts[0]
     for p in parts[1:]:
         results = results.unionByName(p)
+    if scope:
+        results = results.withColumn("portfolio_id", schemas.unscoped("portfolio_id"))
     sizes = {"requests": request_rows, "spot": spot_rows, "exposures": inp.exposure_rows,
              "exposure_factors": inp.factor_keys, "returns": inp.returns_rows}
     return ScenarioRun(results.select(*schemas.RESULT_COLUMNS), rejects, valid, cal, enriched,
                        inp.exposures, factor_rejects, cached, sizes)
 
 
-def run_path_groups(spark, requests: DataFrame, handle, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> DataFrame:
-    """Run the requests of each (portfolio_csv_path, prices_csv_path) pair on its own files.
+@dataclass
+class Outcome:
+    """What became of a batch of requests."""
+    rejects: DataFrame                      # invalid, unreadable and failed requests
+    price_rejects: DataFrame | None = None  # schemas.PRICE_REJECTS of the files read
+
+
+def _failed(requests: DataFrame, code: str, field_name: str, message: Column) -> DataFrame:
+    """Reject rows of requests that could not be run."""
+    none = F.lit(None).cast("string")
+    why = F.array(F.struct(F.lit(field_name).alias("field"), message.alias("message")))
+    return requests.select("correlation_id", F.lit(code).alias("error_code"), why.alias("violations"),
+                           F.date_format("as_of_date", "yyyy-MM-dd").alias("as_of_raw"), none.alias("raw_payload"))
+
+
+def split_failed(results: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(results, reject rows): results whose figures are not numbers (overflow, undefined) are failures of
+    their request, one row a portfolio. ``results`` is read twice and should be materialised."""
+    sound = F.lit(True)
+    for c in ("var_amount", "expected_shortfall"):
+        sound = sound & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    bad = results.filter(~sound)
+    message = F.concat(F.lit("VaR of portfolio "), F.coalesce("portfolio_id", F.lit("?")), F.lit(" is not a number"))
+    return results.filter(sound), _failed(bad, schemas.ERR_CALCULATION, "portfolio", message)
+
+
+def run_isolated(valid: DataFrame, attempt) -> DataFrame:
+    """Run ``attempt(requests)`` for all requests; returns reject rows of those that fail.
+
+    A failure is narrowed down: the requests are split by a hash of their ids and
+    both parts tried again, so one failing request costs about log2(n) further
+    runs and the others are computed. ``attempt`` must be repeatable (results are
+    commits). If nothing at all succeeds, the fault is not a request's: the first
+    error is raised.
+    """
+    spark, failed, done, first = valid.sparkSession, [], 0, []
 
-    ``handle(run)`` gets the ScenarioRun of a pair and writes what it needs. The
-    distinct pairs are control metadata, bounded by the request batch. A pair
-    whose files cannot be read or computed does not stop the others: its
-    requests are returned as rejects with RISK_PLATFORM_ERROR, together with
-    the invalid ones.
+    def go(part: DataFrame, bit: int) -> None:
+        nonlocal done
+        n = part.select("correlation_id").distinct().count()
+        if not n:
+            return
+        try:
+            attempt(part)
+            done += 1
+        except Exception as e:  # noqa: BLE001 - reported per request, like one bad message
+            first.append(e)
+            log.warning("%d requests failed", n, exc_info=e)
+            if n == 1 or bit == 64:
+                failed.append(_failed(part.select("correlation_id", "as_of_date").distinct(), schemas.ERR_PLATFORM, "run",
+                                      F.lit((str(e).splitlines() or [type(e).__name__])[0][:500])))
+                return
+            half = F.shiftright(F.xxhash64("correlation_id"), bit).bitwiseAND(F.lit(1).cast("long"))
+            for side in (0, 1):
+                go(part.filter(half == side), bit + 1)
+
+    go(valid, 0)
+    if first and not done and valid.select("correlation_id").distinct().count() > 1:
+        raise first[0]
+    out = spark.createDataFrame([], validate_requests(spark.createDataFrame([], schemas.REQUESTS))[1].schema)
+    for f in failed:
+        out = out.unionByName(f)
+    return out
+
+
+def run_path_groups(spark, requests: DataFrame, handle, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> Outcome:
+    """Run requests that name their own files, all (portfolio_csv_path, prices_csv_path) pairs in one job.
+
+    Every pair is a source set; tickers and portfolio ids carry it through prices,
+    positions and calibration, and requests meet the books of their own set only.
+    ``handle(run)`` gets the ScenarioRun and writes what it needs. The distinct
+    pairs are control metadata, bounded by the request batch. Requests whose files
+    cannot be read are rejected with RISK_PLATFORM_ERROR, as are requests whose run
+    fails (``run_isolated``); the others go on.
     """
-    from ..sources.csv import read_position_csv, read_price_csv
+    from ..sources.csv import scan_positions, scan_prices
 
     valid, rejects = validate_requests(requests, require_paths=True)
-    valid = cut_lineage(valid.dropDuplicates(["correlation_id"]), durable=True)
-    for pair in valid.select("portfolio_csv_path", "prices_csv_path").distinct().collect():
-        sub = valid.filter((F.col("portfolio_csv_path") == pair.portfolio_csv_path)
-                           & (F.col("prices_csv_path") == pair.prices_csv_path))
+    # In upper case, as cleaning puts tickers (and what they are scoped by) in upper case.
+    pair = F.upper(F.sha2(F.concat_ws("\u001f", "portfolio_csv_path", "prices_csv_path"), 256))
+    valid = cut_lineage(valid.dropDuplicates(["correlation_id"]).withColumn("source_set", pair), durable=True)
+    pairs = valid.select("source_set", "portfolio_csv_path", "prices_csv_path").distinct().collect()
+    if not pairs:
+        return Outcome(rejects)
+    positions, wrong = scan_positions(spark, {p.source_set: p.portfolio_csv_path for p in pairs})
+    prices, wrong_prices = scan_prices(spark, {p.source_set: p.prices_csv_path for p in pairs if p.source_set not in wrong})
+    wrong |= wrong_prices
+    if wrong:
+        reasons = spark.createDataFrame(sorted(wrong.items()), "source_set string, reason string")
+        rejects = rejects.unionByName(_failed(valid.join(reasons, "source_set"), schemas.ERR_PLATFORM, "files", F.col("reason")))
+        valid = cut_lineage(valid.join(reasons, "source_set", "left_anti"), durable=True)
+    positions = cut_lineage(positions.withColumn("ticker", schemas.scoped("source_set", F.col("ticker")))
+                            .withColumn("portfolio_id", schemas.scoped("source_set", F.col("portfolio_id"))).drop("source_set"))
+
+    def attempt(part: DataFrame) -> None:
+        run = run_scenarios(part, positions, prices.prices, periods_per_year)
         try:
-            positions = read_position_csv(spark, pair.portfolio_csv_path).drop("source_file")
-            run = run_scenarios(sub, positions, read_price_csv(spark, pair.prices_csv_path), periods_per_year)
-            try:
-                handle(run)
-            finally:
-                run.release()
-        except Exception as e:  # noqa: BLE001 - reported per request, like one bad message
-            why = F.array(F.struct(F.lit("files").alias("field"), F.lit(str(e).splitlines()[0][:500]).alias("message")))
-            none = F.lit(None).cast("string")
-            rejects = rejects.unionByName(sub.select("correlation_id", F.lit(schemas.ERR_PLATFORM).alias("error_code"), why.alias("violations"),
-                                                     none.alias("as_of_raw"), none.alias("raw_payload")))
-    return rejects
+            handle(run)
+        finally:
+            run.release()
+
+    return Outcome(rejects.unionByName(run_isolated(valid, attempt)), prices.rejects)
 
 
 def run_csv_requests(spark, requests: DataFrame,
                      periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR) -> tuple[DataFrame, DataFrame]:
     """Requests that name their inputs by path: returns ``(results, rejects)``,
-    the results of each path pair written to the checkpoint folder once."""
+    the results written to the checkpoint folder once."""
     parts: list[DataFrame] = []
-    rejects = run_path_groups(spark, requests, lambda run: parts.append(cut_lineage(run.results, durable=True)), periods_per_year)
+    outcome = run_path_groups(spark, requests, lambda run: parts.append(cut_lineage(run.results, durable=True)), periods_per_year)
     results = spark.createDataFrame([], schemas.RESULTS)
     for p in parts:
         results = results.unionByName(p)
-    return results, rejects
+    results, failed = split_failed(results)
+    return results, outcome.rejects.unionByName(failed)

@@ -7,6 +7,8 @@ contracts between the stages (sources -> calibration -> scenarios -> results
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # ---------------------------------------------------------------------------
@@ -72,6 +74,28 @@ MSG_GRID_PATTERN = "timeGrid must match GRID_<N> (e.g. GRID_53)"
 # Message-queue topic of scenario requests.
 REQUEST_TOPIC = "scenario-notifications"
 
+# ---------------------------------------------------------------------------
+# Source sets: many file pairs in one run
+# ---------------------------------------------------------------------------
+
+_SCOPE = "\u001f"      # no text of a CSV cell holds it
+
+
+def scoped(source_set: str, name: Column) -> Column:
+    """A ticker or portfolio id together with the source set it belongs to."""
+    return F.concat(F.col(source_set), F.lit(_SCOPE), name)
+
+
+def unscoped(name: str) -> Column:
+    """The ticker or portfolio id without its source set."""
+    return F.substring_index(F.col(name), _SCOPE, -1)
+
+
+def scope_of(name: str) -> Column:
+    """The source set of a scoped name."""
+    return F.substring_index(F.col(name), _SCOPE, 1)
+
+
 # ---------------------------------------------------------------------------
 # Table contracts
 # ---------------------------------------------------------------------------

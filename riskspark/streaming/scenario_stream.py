@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from .. import schemas
+from ..operators.validation import validate_requests
 from ..plans import store
-from ..plans.pipeline import ScenarioRun, run_path_groups, run_scenarios
+from ..plans.pipeline import ScenarioRun, run_isolated, run_path_groups, run_scenarios, split_failed
+from ..session import cut_lineage
 from ..sources.requests import parse_requests
 
 
@@ -68,39 +70,57 @@ class ScenarioSink:
     rejects_path: str
     messages_path: str | None = None
     calibration_path: str | None = None
+    price_rejects_path: str | None = None
     extra: list[Callable[[DataFrame], None]] = field(default_factory=list)
 
 
 def batch_handler(positions: DataFrame | None, prices: DataFrame | None, sink: ScenarioSink,
-                  periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR):
-    """foreachBatch function: one scenario job per micro-batch (and per pair of named files)."""
-
-    def keep(run: ScenarioRun) -> None:
-        # The id comes from the requests' content: the same requests sent again are the same run.
-        run_id = store.request_set_id(run.valid)
-        dates = [r[0] for r in run.valid.select("as_of_date").distinct().collect()]
-        store.append_results(run.results, sink.results_path, run_id=run_id, as_of_dates=dates)
-        if sink.calibration_path:
-            store.append_calibration(run.calibration.vols, sink.calibration_path, run_id=run_id)
+                  periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR, pricer: str | None = None):
+    """foreachBatch function: one scenario job per micro-batch for the default tables, one for all named files.
 
+    A request that fails, on the default tables too, becomes a reject row; so do
+    portfolios whose figures are not numbers.
+    """
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         dates = [r[0] for r in batch.select("as_of_date").distinct().collect()]
+        failures: list[DataFrame] = []
+
+        def keep(run: ScenarioRun) -> None:
+            # The id comes from the requests' content: the same requests sent again are the same run.
+            run_id = store.request_set_id(run.valid)
+            known = [d for d in dates if d is not None]
+            results, failed = split_failed(cut_lineage(run.results))       # computed once, read for both
+            store.append_results(results, sink.results_path, run_id=run_id, as_of_dates=known)
+            if sink.calibration_path:
+                vols = run.calibration.vols
+                if "source_set" in run.valid.columns:
+                    vols = vols.withColumn("ticker", schemas.unscoped("ticker"))
+                store.append_calibration(vols, sink.calibration_path, run_id=run_id)
+            failures.append(failed)
+
+        def default_run(part: DataFrame) -> None:
+            run = run_scenarios(part, positions, prices, periods_per_year, pricer=pricer)
+            try:
+                keep(run)
+            finally:
+                run.release()
+
         named = F.length(F.trim(F.coalesce("portfolio_csv_path", F.lit("")))) > 0
         own_files, default = batch.filter(named), batch.filter(~named)
-        rejects = run_path_groups(spark, own_files, keep, periods_per_year)
         if positions is None or prices is None:
-            rejects = rejects.unionByName(run_path_groups(spark, default, keep, periods_per_year))
-        else:
-            run = run_scenarios(default, positions, prices, periods_per_year)
-            keep(run)
-            rejects = rejects.unionByName(run.rejects)
-            store.append_rejects(rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path, as_of_dates=dates)
-            run.release()
-            rejects = None
-        if rejects is not None:
-            store.append_rejects(rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path, as_of_dates=dates)
+            own_files, default = batch, None
+        outcome = run_path_groups(spark, own_files, keep, periods_per_year)
+        rejects = outcome.rejects
+        if default is not None:
+            valid, invalid = validate_requests(default)
+            rejects = rejects.unionByName(invalid).unionByName(run_isolated(valid.dropDuplicates(["correlation_id"]), default_run))
+        for failed in failures:
+            rejects = rejects.unionByName(failed)
+        store.append_rejects(rejects.withColumn("epoch_id", F.lit(epoch_id)), sink.rejects_path, as_of_dates=dates)
+        if sink.price_rejects_path and outcome.price_rejects is not None:
+            store.append_run(outcome.price_rejects, sink.price_rejects_path, "reason", store.request_set_id(own_files))
         if store.table_exists(spark, sink.results_path):
             stored = (store.read_results(spark, sink.results_path).filter(F.col("as_of_date").cast("date").isin([d for d in dates if d]))
                       .join(batch.select("correlation_id").distinct(), "correlation_id", "left_semi")
@@ -116,10 +136,10 @@ def batch_handler(positions: DataFrame | None, prices: DataFrame | None, sink: S
 
 def start_scenario_stream(requests: DataFrame, positions: DataFrame | None, prices: DataFrame | None, sink: ScenarioSink,
                           checkpoint_location: str, periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
-                          available_now: bool = False, processing_time: str | None = None) -> StreamingQuery:
+                          available_now: bool = False, processing_time: str | None = None, pricer: str | None = None) -> StreamingQuery:
     """Start the request stream. ``available_now=True`` drains what is there
     and stops (batch-style scheduling); otherwise it runs on ``processing_time``."""
-    writer = (requests.writeStream.foreachBatch(batch_handler(positions, prices, sink, periods_per_year))
+    writer = (requests.writeStream.foreachBatch(batch_handler(positions, prices, sink, periods_per_year, pricer))
               .option("checkpointLocation", checkpoint_location))
     if available_now:
         writer = writer.trigger(availableNow=True)
