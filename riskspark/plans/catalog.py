@@ -21,6 +21,8 @@ from ..functions.rounding import round_half_away
 from ..operators import calibration as cal_ops
 from ..operators import enrich as enrich_ops
 from ..operators import risk, scenarios
+from ..operators.factorisation import covariance_from_loadings as covariance_of
+from ..operators.factorisation import factor_loadings
 from ..operators.validation import validate_requests
 from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import tables
@@ -203,6 +205,15 @@ def covariance_from_corr(spark, sf):
     return cal_ops.covariance_from_corr(corr, vols).select("as_of_date", "ti", "tj", _r("sigma", RATE))
 
 
+def covariance_from_loadings(spark, sf):
+    """A stored covariance factored without its returns, and multiplied out again."""
+    b = Book(spark, sf)
+    path = f"{_store_path(spark)}/cov"
+    b.cal.cov.write.parquet(path)
+    loadings = factor_loadings(spark.read.parquet(path))
+    return covariance_of(loadings).select("as_of_date", "ti", "tj", _r("sigma", 6))
+
+
 def short_history_factors(spark, sf):
     b = Book(spark, sf, period="week", calendar="all")
     return b.cal.short_history.select("as_of_date", "ticker", "n_prices", "reason")
@@ -504,6 +515,7 @@ QUERIES = {
     "correlation_matrix": correlation_matrix,
     "covariance_matrix": covariance_matrix,
     "covariance_from_corr": covariance_from_corr,
+    "covariance_from_loadings": covariance_from_loadings,
     "short_history_factors": short_history_factors,
     "history_quality": history_quality,
     "calibration_rows": calibration_rows,

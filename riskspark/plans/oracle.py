@@ -280,6 +280,11 @@ def build() -> dict[str, str]:
     q["correlation_matrix"] = _with(*BASE, RETURNS, CORR) + "SELECT as_of_date, ti, tj, round(rho, 8) AS rho FROM corrm"
     q["covariance_matrix"] = _with(*BASE, RETURNS, CORR) + \
         f"SELECT as_of_date, ti, tj, round(cov_r * {C.PERIODS}.0{D}, 8) AS sigma FROM corrm"
+    # Factors without variance have no loadings.
+    q["covariance_from_loadings"] = _with(*BASE, RETURNS, CORR) + (
+        f"SELECT m.as_of_date, m.ti, m.tj, round(m.cov_r * {C.PERIODS}.0{D}, 6) AS sigma FROM corrm m "
+        "JOIN own_sum i ON i.as_of_date = m.as_of_date AND i.ticker = m.ti JOIN own_sum j ON j.as_of_date = m.as_of_date AND j.ticker = m.tj "
+        "WHERE i.s > 0 AND j.s > 0")
     q["covariance_from_corr"] = _with(*BASE, RETURNS, CORR, vols("returns", "ovols")) + (
         "SELECT m.as_of_date, m.ti, m.tj, round(m.rho * coalesce(a.vol, 0.0) * coalesce(b.vol, 0.0), 8) AS sigma "
         "FROM corrm m LEFT JOIN ovols a ON a.as_of_date = m.as_of_date AND a.ticker = m.ti "

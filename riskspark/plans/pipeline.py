@@ -20,13 +20,14 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import calibration as cal_ops
 from ..operators import enrich as enrich_ops
 from ..operators import risk, scenarios
+from ..operators.factorisation import factor_loadings
 from ..operators.validation import validate_requests
 from ..session import cut_lineage
 from .joins import max_broadcast_rows
@@ -69,6 +70,11 @@ class _Inputs:
     own_rows: int | None = None
     cached: list = field(default_factory=list)    # tables to release with the run
     scope: list = field(default_factory=list)     # ["source_set"] where requests name their own files
+    loadings: bool = False                        # the scaled returns are loadings of an annual covariance
+
+    @property
+    def scaled_periods(self) -> float:
+        return 1.0 if self.loadings else self.cal.periods_per_year
     dates: dict = field(default_factory=dict)     # method -> as-of dates of its requests
     book_pnl: object = None                       # see run_scenarios(pricer=...)
     horizon_years: float = 1.0
@@ -159,7 +165,7 @@ def parametric_results(inp: _Inputs) -> DataFrame:
     req = valid.filter(F.col("method") == "PARAMETRIC")
     dd = _for(inp.exposures, inp, "PARAMETRIC").select(
         "as_of_date", "portfolio_id", "ticker", F.col("lin_exposure").alias("dollar_delta"))
-    variance = risk.portfolio_variance_projected(dd, cal.scaled, cal.periods_per_year, inp.returns_rows,
+    variance = risk.portfolio_variance_projected(dd, cal.scaled, inp.scaled_periods, inp.returns_rows,
                                                  inp.exposure_rows, inp.return_keys)
     return risk.parametric_var(req, _scoped(inp, variance), inp.request_rows, inp.horizon_years, inp.scope)
 
@@ -205,11 +211,12 @@ def monte_carlo_results(inp: _Inputs) -> DataFrame:
     if _use_blocks(spark, shock_rows, inp.returns_rows, inp.return_keys):
         cells = int(spark.conf.get("riskspark.pricing.blockCells", "4000000"))
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shock_rows // cells))
-        shocks = scenarios.mc_shocks_blocks(scaled, sets, cal.periods_per_year, path_buckets=buckets)
+        shocks = scenarios.mc_shocks_blocks(scaled, sets, inp.scaled_periods, path_buckets=buckets)
     else:
-        shocks = scenarios.mc_shocks(scaled, sets, cal.periods_per_year, returns_rows=inp.returns_rows)
+        shocks = scenarios.mc_shocks(scaled, sets, inp.scaled_periods, returns_rows=inp.returns_rows)
     pnl = _pnl(inp, shocks, exp, scenarios.MC_KEYS, shock_rows, n_scen)
-    factors = cal.index.filter("n_prices > 2").select("as_of_date", "ticker")
+    factors = (scaled.select("as_of_date", "ticker").distinct() if inp.loadings
+               else cal.index.filter("n_prices > 2").select("as_of_date", "ticker"))
     return _ranked_var(inp, req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", n_scen).unionByName(
         risk.zero_results(req, _scoped(inp, exp), factors, "MONTE_CARLO", F.col("num_paths"), inp.request_rows, inp.scope))
 
@@ -226,7 +233,7 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
                   align: str = "date", methods=schemas.METHODS,
                   require_paths: bool = False, materialize: bool = True, durable_prices: bool = True,
                   pricer: str | None = None, strict: bool = False, calibration_window: int | None = None,
-                  horizon_years: float = 1.0) -> ScenarioRun:
+                  horizon_years: float = 1.0, covariance: DataFrame | None = None) -> ScenarioRun:
     """Value-at-Risk of every book in ``positions`` for every valid request.
 
     ``methods`` limits the branches planned (a batch known to hold one method
@@ -236,7 +243,9 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     ``strict`` raises for the first factor with fewer than two prices, naming it.
     ``calibration_window`` lets volatilities and covariances see only so many of
     the newest returns of a factor (historical replay has its own window);
-    ``horizon_years`` scales the parametric variance.
+    ``horizon_years`` scales the parametric variance. ``covariance`` (as_of_date, ti, tj,
+    sigma), e.g. of a stored snapshot, takes the place of the returns in the
+    parametric and Monte Carlo methods (operators.factorisation).
 
     ``materialize=True`` (default) caches the valid requests, checkpoints the
     prices (``durable_prices=False`` when the caller's table is already cut from
@@ -266,34 +275,41 @@ def run_scenarios(requests: DataFrame, positions: DataFrame, prices: DataFrame,
     else:
         days = cal_ops.as_of_days(valid)
     cal = cal_ops.Calibration(prices, cal_ops.date_array(days), periods_per_year, align, calibration_window, days)
+    if covariance is not None:
+        cal.use("scaled", factor_loadings(covariance))
     spot_rows = None
     if materialize:
-        index, spot_rows = _cache_counted(cal.index, cached)
+        index = cut_lineage(cal.index, durable=False)
+        cached.append(index)
+        counts = index.agg(F.count(F.lit(1)), F.count_if(F.col("n_prices") > 2)).first()     # fills the cache
+        spot_rows, return_keys = (int(x) for x in counts)
         cal.use("index", index)
     if strict:
         cal_ops.short_history_factors(cal.index, strict=True).limit(1).collect()
     enriched = enrich_ops.enrich_positions(positions, cal.index, spot_rows)
     exp = enrich_ops.exposures(enriched)
     scope = ["source_set"] if "source_set" in valid.columns else []
-    inp = _Inputs(valid, cal, exp, dates=dates, horizon_years=horizon_years, cached=cached, scope=scope)
+    inp = _Inputs(valid, cal, exp, dates=dates, horizon_years=horizon_years, cached=cached, scope=scope,
+                  loadings=covariance is not None)
     if pricer:
         # Priced position by position: the join is broadcast or salted by the exact number of positions.
         priced, position_rows = _cache_counted(enriched, cached) if materialize else (enriched, None)
         inp.book_pnl = lambda shocks, keys: scenarios.position_scenario_pnl(shocks, priced, keys, pricer, position_rows)
     if materialize:
         inp.request_rows = request_rows
-        inp.exposures = cut_lineage(exp, durable=True)
-        # The row count is exact (it decides broadcasts); the other two only size the blocks.
-        row = inp.exposures.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64("as_of_date", "ticker")),
-                                F.approx_count_distinct(F.xxhash64("as_of_date", "portfolio_id"))).first()
-        inp.exposure_rows, inp.factor_keys, inp.book_rows = (int(x) for x in row)
+        # Observed while the table is written. The row count is exact (it decides broadcasts); the other two only size the blocks.
+        seen = Observation()
+        inp.exposures = cut_lineage(exp.observe(
+            seen, F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("as_of_date", "ticker")).alias("factors"),
+            F.approx_count_distinct(F.xxhash64("as_of_date", "portfolio_id")).alias("books")), durable=True)
+        inp.exposure_rows, inp.factor_keys, inp.book_rows = (int(seen.get[k]) for k in ("rows", "factors", "books"))
         if "HISTORICAL" in methods:
             own, inp.own_rows = _cache_counted(cal.own, cached)
             cal.use("own", own)
         if {"PARAMETRIC", "MONTE_CARLO"} & set(methods):
             scaled, inp.returns_rows = _cache_counted(cal.scaled, cached)
             cal.use("scaled", scaled)
-            inp.return_keys = index.filter("n_prices > 2").count()
+            inp.return_keys = return_keys
     short = cal_ops.short_history_factors(cal.index).withColumn("error_code", F.lit(schemas.ERR_CALCULATION))
     factor_rejects = short.join(inp.exposures.select("as_of_date", "ticker").distinct(), ["as_of_date", "ticker"], "left_semi")
     parts = [METHOD_BUILDERS[m](inp) for m in methods]

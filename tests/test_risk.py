@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskspark.operators import calibration as cal_ops
-from riskspark.operators import enrich, risk, scenarios
+from riskspark import schemas
+from riskspark.operators import enrich, factorisation, risk, scenarios
 from riskspark.plans.pipeline import run_scenarios
 from riskspark.sources import tables
 from riskspark.sources.requests import request_grid
@@ -483,3 +484,60 @@ def test_ranking_by_tail_reaches_the_run(spark):
         finally:
             spark.conf.unset("riskspark.ranking")
     assert out[0] == out[1] and len(out[0]) == 30
+
+
+@pytest.mark.parametrize("block", [512, 2])
+def test_loadings_multiply_out_to_their_covariance(spark, block):
+    """Singular tables included: a copy of a factor, a factor without variance, an empty pair."""
+    import numpy as np
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for k, n in ((0, 5), (1, 1), (2, 4)):
+        x = rng.normal(size=(12, n))
+        if n == 5:
+            x[:, 3], x[:, 4] = x[:, 1] * 2, 0.0
+        s = np.cov(x, rowvar=False).reshape(n, n)
+        for i in range(n):
+            for j in range(n):
+                rows.append((D0 + timedelta(days=k), f"f{i}", f"f{j}", float(s[i, j]) if s[i, j] else None))
+                want[k, i, j] = s[i, j]
+    cov = spark.createDataFrame(rows, "as_of_date date, ti string, tj string, sigma double")
+    loadings = factorisation.factor_loadings(cov, block)
+    got = {((r.as_of_date - D0).days, int(r.ti[1]), int(r.tj[1])): r.sigma for r in factorisation.covariance_from_loadings(loadings).collect()}
+    assert got.keys() == {(k, i, j) for k, i, j in want if not (k == 0 and 4 in (i, j))}
+    for k, v in got.items():
+        assert v == pytest.approx(want[k], abs=1e-12)
+    per_factor = {(r.as_of_date, r.ticker): r["count"] for r in loadings.groupBy("as_of_date", "ticker").count().collect()}
+    assert loadings.filter(F.col("as_of_date") == D0).select("d").distinct().count() == 3       # the rank
+    assert all(per_factor.values())
+
+
+def test_monte_carlo_from_a_stored_covariance(spark):
+    prices, pos = _books(spark)
+    req = request_grid(tables.last_date(prices), methods=("PARAMETRIC", "MONTE_CARLO"), alphas=(0.95,), num_paths=20_000)
+    direct = run_scenarios(req, pos, prices, 12, methods=["PARAMETRIC", "MONTE_CARLO"])
+    cov = spark.createDataFrame(direct.calibration.cov.collect(), direct.calibration.cov.schema)         # nothing but Sigma
+    stored = run_scenarios(req, pos, prices, 12, methods=["PARAMETRIC", "MONTE_CARLO"], covariance=cov)
+    a, b = ({(r.method, r.portfolio_id): r for r in run.results.collect()} for run in (direct, stored))
+    assert a.keys() == b.keys() and len(a) == 10
+    for k in a:
+        exact = k[0] == "PARAMETRIC"
+        assert b[k].var_amount == pytest.approx(a[k].var_amount, rel=1e-9 if exact else 0.05), k
+        assert b[k].std_dev_pnl == pytest.approx(a[k].std_dev_pnl, rel=1e-9 if exact else 0.05), k
+    # The sample covariance of the paths against Sigma.
+    import numpy as np
+    steps, dt = schemas.TIME_GRIDS[schemas.DEFAULT_TIME_GRID]
+    sets = tables.last_date(prices).select("as_of_date", F.lit(20_000).alias("num_paths"), F.lit(7).cast("long").alias("seed"), F.lit(steps).alias("steps"), F.lit(dt).alias("dt"))
+    shocks = scenarios.mc_shocks(factorisation.factor_loadings(cov), sets, 1.0).toPandas().pivot(index="scenario_id", columns="ticker", values="r")
+    sigma = cov.toPandas().pivot(index="ti", columns="tj", values="sigma").loc[shocks.columns, shocks.columns].to_numpy() * steps * dt
+    sample = np.cov(shocks.to_numpy(), rowvar=False)
+    scale = np.sqrt(np.outer(np.diag(sigma), np.diag(sigma)))
+    assert np.abs(sample - sigma).max() < 0.05 * scale.max() and np.abs((sample - sigma) / scale).max() < 0.05
+    direct.release(), stored.release()
+
+
+def test_sizes_are_observed_not_counted_again(spark):
+    prices, pos = _books(spark)
+    run = run_scenarios(request_grid(tables.last_date(prices), num_paths=10, historical_window=5), pos, prices, 12)
+    assert run.sizes["exposures"] == run.exposures.count() and run.sizes["spot"] == run.calibration.index.count()
+    run.release()
