@@ -2,20 +2,28 @@
 
 An item matches a document when some span of the document's words is within
 ``floor(max_edit * words of the item)`` word edits of the whole item (words are
-``\\w+`` runs, lower-cased). Search, per class of similar item lengths:
+``\\w+`` runs, lower-cased). Items of fewer words than one edit needs match verbatim.
 
-1. windows of the item's size start at every word; a window in which more words
+Many edits scatter a walk, so items of more than ``PART_WORDS`` words are searched
+by parts of at most that size. Where an item is present with its share of edits,
+some part is present with no more than its own share (the shares add up), so this
+loses nothing. Search, per class of similar part lengths:
+
+1. windows of the part's size start at every word; a window in which more words
    are foreign to the class than edits are allowed cannot match and is left out
    (lossless);
-2. the CGK random walk embeds window and item so that few edits become few
+2. the CGK random walk embeds window and part so that few edits become few
    differing coordinates; a repetition samples ``sample_bits`` coordinates of a
-   fresh walk and looks the window up among the items. Repetitions are added
+   fresh walk and looks the window up among the parts. Repetitions are added
    until simulated copies with the full number of edits are found at
    ``target_recall``;
-3. every candidate is verified by the exact edit distance against the document.
+3. every candidate is verified by the exact edit distance, first of the part, then
+   of the whole item against the document.
 
 The benchmark is read in blocks of a stated size; documents are scanned where
-they lie, with no shuffle and no pairing of rows.
+they lie, with no shuffle and no pairing of rows. A walk is a hash function of
+(walk, step, word): a block that goes to the tasks holds its items and one key per
+part and walk.
 """
 
 from __future__ import annotations
@@ -32,10 +40,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_EDIT = 0.2          # of the item's words: similarity 0.8
-MIN_ITEM_WORDS = 5      # shorter items would match ordinary prose
+PART_WORDS = 64         # longest part that is searched for as one
 SAMPLE_BITS = 4
 TARGET_RECALL = 0.98
-MAX_REPETITIONS = 64
+MAX_REPETITIONS = 1024  # far beyond what parts of this size take (tested); an error, never a silent stop
 ITEMS_PER_BLOCK = 5_000
 _TOKENS = 400_000       # tokens scanned at a time: bounds memory
 _WORD = re.compile(r"\w+")
@@ -58,14 +66,14 @@ class _Vocabulary(dict):
 
 @dataclass
 class _Class:
-    """Items of similar length and the walks that look them up."""
+    """Parts of similar length and the walks that look them up."""
 
     shortest: int
     longest: int
     edits: int
-    items: list[int]                                   # positions in the block
-    known: np.ndarray                                  # per word id: in an item of this class
-    walks: list[tuple] = field(default_factory=list)   # (steps table, sampled, sorted keys, item of key)
+    parts: list[tuple[int, int, int]]                  # (item's position in the block, first word, end word)
+    known: np.ndarray                                  # per word id: in a part of this class
+    walks: list[tuple] = field(default_factory=list)   # (seed, sampled, sorted keys, part of key)
 
 
 @dataclass
@@ -78,18 +86,23 @@ class Benchmark:
     classes: list[_Class]
 
 
-def _walk(starts: np.ndarray, ids: np.ndarray, length: int, steps: np.ndarray, sampled: np.ndarray) -> np.ndarray:
-    """Keys of the sampled coordinates of the CGK walk over ``length`` ids from each start."""
-    key, at, end = np.zeros(len(starts), np.uint64), starts.copy(), starts + length
+def _walk(starts: np.ndarray, ids: np.ndarray, seed: int, sampled: np.ndarray) -> np.ndarray:
+    """Keys of the sampled coordinates of a CGK walk from each start.
+
+    The walk moves on by bit ``j`` of a hash of (seed, j // 64, word) in step ``j``.
+    It takes fewer steps than the window has words, so it never leaves the window.
+    """
+    key, at = np.zeros(len(starts), np.uint64), starts.copy()
     wanted, last = set(sampled.tolist()), int(sampled.max())
-    for j in range(last + 1):
-        symbol = ids.take(at, mode="clip")
-        if j >= length:                     # only then a walk may have passed its end
-            symbol[at >= end] = _PAD
-        if j in wanted:
-            key = _mix(key + np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64))
-        if j < last:
-            at += steps[j].take(symbol)
+    with np.errstate(over="ignore"):
+        for j in range(last + 1):
+            if j % 64 == 0:
+                bits = _mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + j // 64))
+            if j in wanted:
+                symbol = ids.take(at, mode="clip")
+                key = _mix(key + np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64))
+            if j < last:
+                at += ((bits.take(at, mode="clip") >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
     return key
 
 
@@ -110,45 +123,55 @@ def _edited(words: np.ndarray, edits: int, n_words: int, rng: np.random.Generato
 
 def build(items: list[tuple[int, str | None]], max_edit: float = MAX_EDIT, sample_bits: int = SAMPLE_BITS,
           target_recall: float = TARGET_RECALL, seed: int = 42) -> Benchmark:
-    """Index a block of (item_id, text). NULL, empty and very short items match nothing."""
+    """Index a block of (item_id, text). NULL, empty and word-less items match nothing."""
     vocabulary = _Vocabulary()
     ids, words = [], []
     for item_id, text in items:
         found = _WORD.findall((text or "").lower())
-        if len(found) >= MIN_ITEM_WORDS:
+        if found:
             ids.append(item_id)
             words.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 2) for w in found], np.int64))
     n_words = len(vocabulary) + 2
-    order, classes = sorted(range(len(ids)), key=lambda k: len(words[k])), []
+    parts = [(k, *cut) for k, w in enumerate(words) for cut in _cuts(len(w))]
+    order, classes = sorted(parts, key=lambda p: p[2] - p[1]), []
     while order:
-        shortest = len(words[order[0]])
-        own = [k for k in order if len(words[k]) <= 1.25 * shortest]
+        shortest = order[0][2] - order[0][1]
+        own = [p for p in order if p[2] - p[1] <= 1.25 * shortest]
         order = order[len(own):]
-        longest = len(words[own[-1]])
+        longest = own[-1][2] - own[-1][1]
         known = np.zeros(n_words, bool)
-        known[np.concatenate([words[k] for k in own])] = True
+        known[np.concatenate([words[k][a:b] for k, a, b in own])] = True
         classes.append(_Class(shortest, longest, math.floor(max_edit * longest), own, known))
     for number, c in enumerate(classes):
         rng = np.random.default_rng([seed, number])
-        flat = np.concatenate([words[k] for k in c.items])
-        at = np.cumsum([0] + [len(words[k]) for k in c.items])[:-1]
-        picks = rng.integers(0, len(c.items), 600)
-        copies = [np.pad(_edited(words[c.items[k]], math.floor(max_edit * len(words[c.items[k]])), n_words, rng), (0, c.longest))
-                  for k in picks]
+        own = [words[k][a:b] for k, a, b in c.parts]
+        flat = np.concatenate(own)
+        at = np.cumsum([0] + [len(w) for w in own])[:-1]
+        picks = rng.integers(0, len(own), 600)
+        copies = [np.pad(_edited(own[k], math.floor(max_edit * len(own[k])), n_words, rng), (0, c.longest)) for k in picks]
         copy_at = np.cumsum([0] + [len(x) for x in copies])[:-1]
         copy_ids, missed = np.concatenate(copies), np.ones(len(copies), bool)
-        while len(c.walks) < MAX_REPETITIONS and missed.mean() > 1 - target_recall:
+        while missed.mean() > 1 - target_recall:
+            if len(c.walks) == MAX_REPETITIONS:
+                raise RuntimeError(f"parts of {c.shortest} to {c.longest} words are not found at the target recall")
             # A walk passes half a word a step: these coordinates cover the first half of the window, where
             # half of the edits fall. The simulated copies have theirs anywhere, so the recall is that of whole items.
-            steps = rng.integers(0, 2, (c.shortest, n_words), dtype=np.int8)
-            sampled = np.sort(rng.choice(c.shortest, min(sample_bits, c.shortest), replace=False))
-            keys = _walk(at, flat, c.shortest, steps, sampled)
-            missed &= _walk(copy_at, copy_ids, c.shortest, steps, sampled) != keys[picks]
+            walk = int(rng.integers(0, 1 << 62))
+            # Short parts get fewer coordinates, else an edit would touch them all.
+            sampled = np.sort(rng.choice(c.shortest, max(1, min(sample_bits, c.shortest // 3)), replace=False))
+            keys = _walk(at, flat, walk, sampled)
+            missed &= _walk(copy_at, copy_ids, walk, sampled) != keys[picks]
             by = np.argsort(keys, kind="stable")
-            c.walks.append((steps, sampled, keys[by], np.array(c.items)[by]))
+            c.walks.append((walk, sampled, keys[by], by.astype(np.int32)))
     return Benchmark(ids, words, vocabulary, classes)
 
 
+def _cuts(n: int) -> list[tuple[int, int]]:
+    """(first, end) of the parts of an item of ``n`` words: equal ones, the fewest of at most ``PART_WORDS``."""
+    k = -(-n // PART_WORDS)
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
 def _best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
     """(edit distance, start, end) of the span of ``text`` nearest to ``item``."""
     def ends(p: np.ndarray, t: np.ndarray, free_start: bool) -> np.ndarray:
@@ -170,7 +193,7 @@ def _best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 
 
 def _candidates(c: _Class, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-    """(start, item) pairs whose sampled coordinates agree in some repetition."""
+    """(start, part) pairs whose sampled coordinates agree in some repetition."""
     if len(ids) < c.shortest - c.edits:
         return
     padded = np.concatenate([ids, np.zeros(c.longest, np.int64)])
@@ -179,38 +202,59 @@ def _candidates(c: _Class, ids: np.ndarray) -> Iterator[tuple[int, int]]:
     if not len(starts):
         return
     found = []
-    for steps, sampled, keys, item in c.walks:
-        got = _walk(starts, padded, c.shortest, steps, sampled)
+    for walk, sampled, keys, part in c.walks:
+        got = _walk(starts, padded, walk, sampled)
         lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
         for k in np.flatnonzero(hi > lo):
-            found += [(int(starts[k]), int(item[n])) for n in range(lo[k], hi[k])]
+            found += [(int(starts[k]), int(part[n])) for n in range(lo[k], hi[k])]
     yield from sorted(set(found))
 
 
+def _part_hits(bench: Benchmark, c: _Class, ids: np.ndarray, max_edit: float) -> Iterator[tuple[int, int, int]]:
+    """(item, start, end): the words of ``ids`` where an item would be of which a part is present."""
+    spans: dict[int, list[list[int]]] = {}
+    for start, part in _candidates(c, ids):
+        own = spans.setdefault(part, [])
+        if own and start <= own[-1][1] + c.edits:
+            own[-1][1] = start
+        else:
+            own.append([start, start])
+    for part, runs in spans.items():
+        item, a, b = c.parts[part]
+        n = len(bench.words[item])
+        slack = 2 * math.floor(max_edit * n) + 2 * c.edits
+        for first, last in runs:
+            if b - a < n:                   # a part: is it there, before the whole item is compared?
+                near = ids[max(0, first - 2 * c.edits):last + b - a + 2 * c.edits]
+                if _best_span(bench.words[item][a:b], near)[0] > math.floor(max_edit * (b - a)):
+                    continue
+            yield item, max(0, first - a - slack), last - a + n + slack
+
+
 def _search(bench: Benchmark, ids: np.ndarray, max_edit: float) -> list[tuple[int, int, int, int]]:
     """Matches (item position, start, end, edits) in a run of word ids, best ones first, not overlapping by item."""
+    regions: dict[int, list[list[int]]] = {}
+    for item, a, b in sorted(h for c in bench.classes for h in _part_hits(bench, c, ids, max_edit)):
+        own = regions.setdefault(item, [])
+        if own and a <= own[-1][1]:
+            own[-1][1] = max(own[-1][1], b)
+        else:
+            own.append([a, b])
     out = []
-    for c in bench.classes:
-        spans: dict[int, list[list[int]]] = {}
-        for start, item in _candidates(c, ids):
-            own = spans.setdefault(item, [])
-            if own and start <= own[-1][1] + c.edits:
-                own[-1][1] = start
-            else:
-                own.append([start, start])
-        for item, runs in spans.items():
-            words = bench.words[item]
-            allowed, hits = math.floor(max_edit * len(words)), []
-            for first, last in runs:
-                lo = max(0, first - 2 * c.edits)
-                region = ids[lo:last + len(words) + 2 * c.edits]
-                while len(region):
-                    cost, a, b = _best_span(words, region)
-                    if cost > allowed:
-                        break
-                    hits.append((item, lo + a, lo + b, cost))
-                    lo, region = lo + b, region[b:]
-            out += [h for k, h in enumerate(hits) if not any(h[1] < g[2] and g[1] < h[2] for g in hits[:k])]
+    for item, runs in regions.items():
+        words = bench.words[item]
+        allowed, hits = math.floor(max_edit * len(words)), []
+        todo = [tuple(r) for r in runs]
+        while todo:
+            lo, hi = todo.pop()
+            region = ids[lo:hi]
+            if len(region) < len(words) - allowed:
+                continue
+            cost, a, b = _best_span(words, region)
+            if cost <= allowed:             # what is left on both sides may hold the item again
+                hits.append((item, lo + a, lo + b, cost))
+                todo += [(lo, lo + a), (lo + b, min(hi, len(ids)))]
+        out += sorted(hits, key=lambda h: (h[3], h[1]))
     return out
 
 
@@ -282,7 +326,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Matches of one item in one text do not overlap. The character range is NULL
     where lower-casing changes a text's length. NULL and empty texts match
     nothing; an empty table on either side gives no rows; repeated documents
-    give their matches each; NULL ids are returned as they are.
+    give their matches each; NULL ids are returned as they are. Very long texts are
+    searched whole, in overlapping stretches, very long items by their parts; other
+    columns are not read.
     """
     names = ["doc_id", "item_id", "item_words", "start_word", "n_words", "edits", "similarity", "start_char", "end_char"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64(), pa.int64()]

@@ -28,7 +28,7 @@ def _words(text):
 
 def _brute(docs, items):
     return {(i, k) for i, t in docs for k, x in items
-            if len(_words(x)) >= 5 and _distance(_words(x), _words(t)) <= int(0.2 * len(_words(x)))}
+            if _words(x) and _distance(_words(x), _words(t)) <= int(0.2 * len(_words(x)))}
 
 
 def _edited(text, edits, seed):
@@ -96,3 +96,27 @@ def test_empty_sides(spark, no_documents, documents):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert find_matches(no_documents, bench).count() == 0
     assert find_matches(documents, empty).count() == 0 and drop_contaminated(documents, empty).count() == documents.count()
+
+
+@pytest.mark.parametrize("n", [3, 15, 40, 60, 100, 200, 400, 800])
+def test_recall_with_all_edits_at_every_length(n):
+    """Items of every length class, each present with its whole share of word edits."""
+    items = [(k, prose(n, 9000 + 100 * n + k)) for k in range(40)]
+    bench = build(items)
+    assert all(len(w) <= 1024 for c in bench.classes for w in [c.walks])
+    texts = [prose(30, k) + " " + _edited(t, int(0.2 * n), 77 * n + k) + " " + prose(30, k + 1) for k, t in items]
+    found = sum(any(bench.ids[m[0]] == k for m in hits) for (k, _), hits in zip(items, scan(bench, texts)))
+    assert found >= 39, found
+    assert not any(scan(bench, [prose(400, 5), " ".join(items[0][1].split()[: n // 3])])) or n < 5
+
+
+def test_a_block_is_as_large_as_its_items():
+    import pickle
+    items = [(k, prose(800, 40_000 + k)) for k in range(60)]
+    assert len(pickle.dumps(build(items))) < 20e6
+
+
+def test_short_items_match_verbatim_and_repeatedly():
+    bench = build([(1, "Quartz lantern"), (2, "zebra"), (3, "!!")])
+    hits = scan(bench, ["a quartz LANTERN, and a quartz lantern", "quartz and lantern", "Zebra zebra", ""])
+    assert [sorted((bench.ids[m[0]], m[1]) for m in h) for h in hits] == [[(1, 1), (1, 5)], [], [(2, 0), (2, 1)], []]
