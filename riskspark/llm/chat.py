@@ -34,7 +34,6 @@ from riskspark.llm.common import stage
 
 LOSS_ROLE = "assistant"
 _KEY = 16                 # bytes of a node key
-_PIECE = 1 << 16          # characters tokenised at a time
 _BATCH = 8 << 20
 _UNESCAPE = re.compile(r"\\(.)", re.S)
 _END = "</turn>\n"
@@ -76,10 +75,6 @@ def _encoding(path: str, pattern: str):
     return tiktoken.Encoding("chat", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _tokens(encoding, text: str) -> list[int]:
-    return [t for at in range(0, len(text), _PIECE) for t in encoding.encode_ordinary(text[at:at + _PIECE])]
-
-
 def _batches(rows: Iterator[tuple], schema: pa.Schema, weigh) -> Iterator[pa.RecordBatch]:
     """Arrow batches of at most about ``_BATCH`` bytes."""
     held, size = [], 0
@@ -182,6 +177,8 @@ def prefix_tree(conversations: DataFrame, tokenizer_path: str, pattern: str) ->
 
     NULL texts and roles are empty; NULL conversation ids form one conversation;
     repeated turn rows are turns of their own; an empty table gives empty results.
+    Very long texts are tokenised whole; other columns are not read, so their names
+    cannot clash.
     """
     chains = stage(turn_chains(conversations), "chat_turns")
     turns = chains.where("depth >= 0").drop("path")
@@ -194,7 +191,7 @@ def prefix_tree(conversations: DataFrame, tokenizer_path: str, pattern: str) ->
         encoding = _encoding(tokenizer_path, pattern)
         for part, at, depth, key, role, text in _rows(batches):
             formatted, a, b = format_turn(role, text)
-            ids = _tokens(encoding, formatted)
+            ids = encoding.encode_ordinary(formatted)
             loss = role == LOSS_ROLE
             yield part, at, depth, key, struct.pack(f"<{len(ids)}I", *ids), len(ids), a if loss else 0, b if loss else 0, len(formatted)
 

@@ -1,12 +1,15 @@
 """Substring dedup by line hashing.
 
 Units are lines and, inside lines of several sentences, their sentences. Every
-unit of at least ``MIN_WORDS`` words is normalised (lower case, single spaces)
-and hashed to 128 bits; digests are grouped over the whole corpus. The earliest
+unit of at least ``min_words`` words is normalised (lower case, single spaces)
+and hashed to 128 bits; digests are grouped over the whole corpus. Scripts
+written without spaces count each of their characters as a word. With
+``min_words=1`` every line that is not blank is a unit; the default leaves lines of
+up to three words, which ordinary texts share by chance, alone. The earliest
 occurrence (smallest doc_id, then smallest offset) stays. Of the others,
 
 * every line goes, and
-* sentences go when consecutive ones make up at least ``RUN_WORDS`` words: a
+* sentences go when consecutive ones make up at least ``run_words`` words: a
   passage pasted into other lines is caught, a short sentence that two texts
   happen to share is not.
 
@@ -28,7 +31,8 @@ from riskspark.llm.common import stage
 MIN_WORDS = 4
 RUN_WORDS = 25
 _LINE = re.compile(r"[^\n]+")
-_SENTENCE = re.compile(r"(?<=[.!?])(?=\s)")
+_SENTENCE = re.compile(r"(?<=[.!?])(?=\s)|(?<=[\u3002\uff01\uff1f])")
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]")
 _LAST = (1 << 63) - 1       # rank of NULL ids
 _BATCH_ROWS = 50_000
 
@@ -39,8 +43,9 @@ def units(text: str, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, int
 
     def unit(start: int, part: str, line: bool) -> tuple:
         words = part.lower().split()
-        digest = xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if len(words) >= min_words else None
-        return start, start + len(part), len(words), line, digest
+        n = len(words) if part.isascii() else len(words) + sum(max(0, len(_UNSPACED.findall(w)) - 1) for w in words)
+        digest = xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass")) if n >= max(1, min_words) else None
+        return start, start + len(part), n, line, digest
 
     for m in _LINE.finditer(text):
         line = m.group()
@@ -129,20 +134,21 @@ def cut(text: str, own: set[bytes], foreign: set[bytes], min_words: int = MIN_WO
     return "".join(kept), merged
 
 
-def _cut(text: pd.Series, own: pd.Series, foreign: pd.Series) -> pd.DataFrame:
+def _cut(text: pd.Series, own: pd.Series, foreign: pd.Series, min_words: int, run_words: int) -> pd.DataFrame:
     out, spans = [], []
     for t, o, f in zip(text, own, foreign):
         if t is None or (o is None and f is None):
             out.append(t)
             spans.append([])
         else:
-            new, gone = cut(t, set(o) if o is not None else set(), set(f) if f is not None else set())
+            new, gone = cut(t, set(o) if o is not None else set(), set(f) if f is not None else set(), min_words, run_words)
             out.append(new)
             spans.append([{"start": a, "end": b} for a, b in gone])
     return pd.DataFrame({"text": out, "removed": spans})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                run_words: int = RUN_WORDS) -> DataFrame:
     """(doc_id, text, removed), one row per input row.
 
     ``removed`` lists the [start, end) character ranges of the original text that
@@ -150,11 +156,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     one document for the ranking; NULL ids rank last; an empty table stays empty.
     A digest shared by a third of all rows is counted with map-side combining and
     looked up through a join that Spark may split. Only digests that occur more
-    than once are joined, and only documents that hold one are rewritten.
+    than once are joined, and only documents that hold one are rewritten. Very long
+    texts are read whole, unit by unit; other columns are not read, so their names
+    cannot clash.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn(
         "text_hash", F.xxhash64("text"))
-    found = stage(unit_table(rows), "line_units")
+    found = stage(unit_table(rows, min_words), "line_units")
     rank = F.coalesce("doc_id", F.lit(_LAST))
     repeated = stage(found.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"),
                      "line_repeats")
@@ -163,5 +171,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                                                 F.collect_set(F.when(~F.col("is_own"), F.col("digest"))).alias("foreign")))
     hits = hits.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "own", "foreign")
     joined = rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_hash") == F.col("hash_")), "left")
-    rewrite = F.pandas_udf(_cut, "text string, removed array<struct<start: long, end: long>>")
+    @F.pandas_udf("text string, removed array<struct<start: long, end: long>>")
+    def rewrite(text: pd.Series, own: pd.Series, foreign: pd.Series) -> pd.DataFrame:
+        return _cut(text, own, foreign, min_words, run_words)
+
     return joined.withColumn("c", rewrite("text", "own", "foreign")).select("doc_id", "c.text", "c.removed")

@@ -79,3 +79,15 @@ def test_template_is_reversible():
 def test_empty_table(spark, conversations):
     nodes, index = chat.prefix_tree(conversations.where("false"), *TOKENIZER)
     assert nodes.count() == index.count() == chat.read_back(nodes, index, *TOKENIZER).count() == 0
+
+
+def test_ids_are_those_of_the_whole_text(spark):
+    """No cut inside a text, however long: a boundary would change the tokens around it."""
+    import struct
+    text = "".join(f"word{k % 977} and  spaces\n" for k in range(9_000)) + "x" * 70_000
+    rows = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text[::-1])], "conv_id long, turn long, role string, text string")
+    nodes, _ = chat.prefix_tree(rows, *TOKENIZER)
+    encoding = chat._encoding(*TOKENIZER)
+    want = [encoding.encode_ordinary(chat.format_turn(r, t)[0]) for r, t in (("user", text), ("assistant", text[::-1]))]
+    got = [list(struct.unpack(f"<{len(r.tokens) // 4}I", r.tokens)) for r in nodes.orderBy("start").collect()]
+    assert got == want

@@ -62,3 +62,35 @@ def test_repeated_rows_and_empty_table(spark, no_documents):
     twice = spark.createDataFrame([(1, BANNER), (1, BANNER), (2, BANNER)], "doc_id long, text string")
     assert sorted(r.text for r in dedup_lines(twice).collect()) == ["", BANNER, BANNER]
     assert dedup_lines(no_documents).count() == 0
+
+
+def _plain_line_dedup(docs):
+    """Independent of the module: every non-blank line but the first of its normal form goes."""
+    seen, out = {}, {}
+    for i, t in sorted(docs, key=lambda d: d[0]):
+        kept = []
+        for line in t.split("\n"):
+            norm = " ".join(line.lower().split())
+            if norm and norm in seen:
+                continue
+            seen.setdefault(norm, i)
+            kept.append(line)
+        out[i] = kept
+    return out
+
+
+def test_every_line_against_a_plain_count(spark):
+    """min_words=1: short lines and lines without spaces count too."""
+    import random
+    rng = random.Random(7)
+    pool = ["Yes", "No!", "  yes", "Chapter 1", "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u53e5\u5b50" * 8, "", " ", "a b c d e", "A  B c D e", "once more with feeling"]
+    docs = [(k, "\n".join(rng.choice(pool) if rng.random() < 0.6 else prose(6, 100 * k + j) for j in range(8))) for k in range(40)]
+    got = {r.doc_id: [x for x in r.text.split("\n") if x.strip()]
+           for r in dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), min_words=1).collect()}
+    assert got == {i: [x for x in lines if x.strip()] for i, lines in _plain_line_dedup(docs).items()}
+
+
+def test_long_lines_without_spaces_are_units_by_default(spark):
+    line = "\u8fd9\u662f\u4e00\u4e2a\u6ca1\u6709\u7a7a\u683c\u7684\u53e5\u5b50" * 20
+    out = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame([(1, line), (2, "own words of the text\n" + line)], "doc_id long, text string")).collect()}
+    assert out == {1: line, 2: "own words of the text\n"} or out == {1: line, 2: "own words of the text"}
