@@ -185,14 +185,19 @@ def zero_results(requests: DataFrame, exposures: DataFrame, factors: DataFrame,
 # Parametric
 # ---------------------------------------------------------------------------
 
-def portfolio_variance(dd: DataFrame, cov: DataFrame) -> DataFrame:
-    """(as_of_date, portfolio_id, variance) = sum_ij delta_i * Sigma_ij * delta_j."""
+def portfolio_variance(dd: DataFrame, cov: DataFrame, cov_rows: int | None = None, dd_rows: int | None = None) -> DataFrame:
+    """(as_of_date, portfolio_id, variance) = sum_ij delta_i * Sigma_ij * delta_j.
+
+    Sigma times delta is summed per portfolio and factor first (combined in the
+    tasks), so what meets the deltas again has one row per portfolio and factor.
+    The join on the factor is broadcast or split by portfolio by the exact sizes.
+    """
     di = dd.select("as_of_date", "portfolio_id", F.col("ticker").alias("ti"), F.col("dollar_delta").alias("d_i"))
     dj = dd.select("as_of_date", "portfolio_id", F.col("ticker").alias("tj"), F.col("dollar_delta").alias("d_j"))
-    return (di.join(cov, ["as_of_date", "ti"])
-            .join(dj, ["as_of_date", "portfolio_id", "tj"])
-            .groupBy("as_of_date", "portfolio_id")
-            .agg(F.sum(F.col("d_i") * F.col("sigma") * F.col("d_j")).alias("variance")))
+    moved = (factor_join(di, cov.select("as_of_date", "ti", "tj", "sigma"), ["as_of_date", "ti"], F.hash("portfolio_id"), cov_rows, dd_rows, F.hash("tj"))
+             .groupBy("as_of_date", "portfolio_id", "tj").agg(F.sum(F.col("d_i") * F.col("sigma")).alias("y")))
+    return (moved.join(dj, ["as_of_date", "portfolio_id", "tj"]).groupBy("as_of_date", "portfolio_id")
+            .agg(F.sum(F.col("y") * F.col("d_j")).alias("variance")))
 
 
 def portfolio_variance_projected(dd: DataFrame, scaled: DataFrame,

@@ -80,7 +80,8 @@ def grid_columns(time_grid: str = "time_grid"):
     return steps.alias("steps"), dt.alias("dt")
 
 
-def path_normals(sets: DataFrame, scaled: DataFrame, num_partitions: int) -> DataFrame:
+def path_normals(sets: DataFrame, scaled: DataFrame, num_partitions: int, returns_rows: int | None = None,
+                 set_rows: int | None = None) -> DataFrame:
     """(set keys..., scenario_id, d, w): one standard normal per path and date.
 
     Path ids of each seed are hash-distributed on (seed, scenario_id) with an
@@ -88,21 +89,29 @@ def path_normals(sets: DataFrame, scaled: DataFrame, num_partitions: int) -> Dat
     into one task); each task draws the normals of its paths once for all as-of
     dates, and the sets of the seed pick them up. The shock sum and the P&L sum
     keep this partitioning. Values depend only on (seed, path, date): neither on
-    the layout nor on which factors or as-of dates take part.
+    the layout nor on which factors or as-of dates take part. Days and sets are
+    broadcast behind a bound of their rows (there are at most as many days as
+    returns, per seed; counted where the sizes are not given), else the joins are split
+    by path.
     """
+    sets = sets.select(*MC_KEYS).distinct()
+    set_rows = sets.count() if set_rows is None else set_rows
     longest = sets.groupBy("seed").agg(F.max("num_paths").alias("n_paths"))
     days = (sets.select("as_of_date", "seed").distinct().join(scaled.select("as_of_date", "d").distinct(), "as_of_date")
             .select("seed", "d").distinct())                      # calendar days x seeds
     paths = (longest.select("seed", F.explode(F.sequence(F.lit(0), F.col("n_paths") - 1)).alias("scenario_id"))
              .repartition(num_partitions, "seed", "scenario_id"))
-    drawn = paths.join(F.broadcast(days), "seed").withColumn("w", hashed_normal("seed", "scenario_id", "d"))
-    return (drawn.join(F.broadcast(sets.select(*MC_KEYS).distinct()), "seed").filter(F.col("scenario_id") < F.col("num_paths"))
+    day_rows = None if returns_rows is None else returns_rows * set_rows
+    if not may_broadcast(days, day_rows):
+        day_rows = days.count()
+    drawn = factor_join(paths, days, ["seed"], F.col("scenario_id"), day_rows).withColumn("w", hashed_normal("seed", "scenario_id", "d"))
+    return (factor_join(drawn, sets, ["seed"], F.col("scenario_id"), set_rows).filter(F.col("scenario_id") < F.col("num_paths"))
             .select(*MC_KEYS, "scenario_id", "d", "w"))
 
 
 def mc_shocks(scaled: DataFrame, sets: DataFrame,
               periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
-              num_partitions: int | None = None, returns_rows: int | None = None) -> DataFrame:
+              num_partitions: int | None = None, returns_rows: int | None = None, set_rows: int | None = None) -> DataFrame:
     """(as_of_date, num_paths, seed, steps, dt, scenario_id, ticker, r).
 
     Correlated Gaussian path totals without a matrix factorisation. With the
@@ -122,7 +131,7 @@ def mc_shocks(scaled: DataFrame, sets: DataFrame,
     if num_partitions is None:
         num_partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     z = scaled.select("as_of_date", "d", "ticker", "z")
-    normals = path_normals(sets.select(*MC_KEYS).distinct(), z, num_partitions)
+    normals = path_normals(sets, z, num_partitions, returns_rows, set_rows)
     scale = F.sqrt(F.lit(float(periods_per_year)) * F.col("steps") * F.col("dt"))
     joined = factor_join(normals, z, ["as_of_date", "d"], F.col("scenario_id"), returns_rows)
     return (joined.groupBy(*MC_KEYS, "scenario_id", "ticker")
@@ -318,7 +327,8 @@ def _shock_block(periods_per_year: float):
 
 def mc_shocks_blocks(scaled: DataFrame, sets: DataFrame,
                      periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
-                     num_partitions: int | None = None, path_buckets: int | None = None) -> DataFrame:
+                     num_partitions: int | None = None, path_buckets: int | None = None, returns_rows: int | None = None,
+                     set_rows: int | None = None) -> DataFrame:
     """Same rows as ``mc_shocks``: the normals are drawn by Spark exactly as
     there, and the sum over dates is a block matrix product per (as-of date, path
     bucket) with the return matrix copied into each bucket."""
@@ -328,7 +338,7 @@ def mc_shocks_blocks(scaled: DataFrame, sets: DataFrame,
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     pb = path_buckets or n
     z = scaled.select("as_of_date", "d", "ticker", "z")
-    normals = (path_normals(sets.select(*MC_KEYS).distinct(), z, n)
+    normals = (path_normals(sets, z, n, returns_rows, set_rows)
                .withColumn("pb", F.pmod(F.col("scenario_id"), F.lit(pb))))
     zs = z.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1))))
     normals = normals.select(*[F.col(c).alias(c) for c in normals.columns])

@@ -311,7 +311,7 @@ def _variance(b: Book, projected: bool) -> DataFrame:
         scaled, n = _sized(b.cal.scaled)
         v = risk.portfolio_variance_projected(dd, scaled, b.periods, n, rows)
     else:
-        v = risk.portfolio_variance(dd, cut_lineage(b.cal.cov))
+        v = risk.portfolio_variance(dd, *_sized(b.cal.cov), rows)
     return v.select("as_of_date", "portfolio_id", round_half_away(F.sqrt("variance"), MONEY).alias("sigma_p"))
 
 
@@ -393,7 +393,7 @@ def mc_shocks(spark, sf):
     steps, dt = schemas.TIME_GRIDS[schemas.DEFAULT_TIME_GRID]
     sets = b.asof.select("as_of_date", F.lit(MC_PATHS).alias("num_paths"), F.lit(SEED).cast("long").alias("seed"),
                          F.lit(steps).alias("steps"), F.lit(dt).alias("dt"))
-    sh = scenarios.mc_shocks(b.cal.scaled, sets, b.periods)
+    sh = scenarios.mc_shocks(b.cal.scaled, cut_lineage(sets), b.periods)
     return sh.select("as_of_date", "scenario_id", "ticker", _r("r", RATE))
 
 

@@ -211,9 +211,10 @@ def monte_carlo_results(inp: _Inputs) -> DataFrame:
     if _use_blocks(spark, shock_rows, inp.returns_rows, inp.return_keys):
         cells = int(spark.conf.get("riskspark.pricing.blockCells", "4000000"))
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shock_rows // cells))
-        shocks = scenarios.mc_shocks_blocks(scaled, sets, inp.scaled_periods, path_buckets=buckets)
+        shocks = scenarios.mc_shocks_blocks(scaled, sets, inp.scaled_periods, path_buckets=buckets, returns_rows=inp.returns_rows,
+                                            set_rows=inp.request_rows)
     else:
-        shocks = scenarios.mc_shocks(scaled, sets, inp.scaled_periods, returns_rows=inp.returns_rows)
+        shocks = scenarios.mc_shocks(scaled, sets, inp.scaled_periods, returns_rows=inp.returns_rows, set_rows=inp.request_rows)
     pnl = _pnl(inp, shocks, exp, scenarios.MC_KEYS, shock_rows, n_scen)
     factors = (scaled.select("as_of_date", "ticker").distinct() if inp.loadings
                else cal.index.filter("n_prices > 2").select("as_of_date", "ticker"))
