@@ -7,11 +7,21 @@ give a few features (largest, mean of the largest, shares above thresholds), and
 a logistic model, fitted on labelled documents that the dictionaries never saw,
 turns them into a calibrated score.
 
-Both dictionaries share one part trained on all text, so ordinary prose costs
-the same in both and cancels out. The part of its own that each class adds is
-trained on the runs of its text that are typical for it: byte strings that are
+The ordinary dictionary is trained on ordinary texts alone. The toxic one is trained
+on the runs of toxic text that are typical for it (byte strings that are
 ``MIN_RATIO`` times more frequent there, counted over distinct contexts so that
-copies of a document count once.
+copies of a document count once); the ordinary one follows it, so ordinary prose
+costs the same with both and cancels out.
+
+Defined results
+* NULL, empty and word-less texts have no window and get the score of no evidence.
+* Very long texts are scored whole. In the fit a sampled text of more than
+  ``MAX_TRAIN_CHARS`` characters gives ``TRAIN_SLICES`` stretches spread evenly over it.
+* Repeated rows are scored alike; in the fit equal texts count once, and several
+  labels of an id count as toxic if one is.
+* With no labelled rows, or one class only, every text gets that class's share.
+* An empty table gives an empty result. Other columns are not read, so their names
+  cannot clash.
 """
 
 from __future__ import annotations
@@ -22,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW_WORDS = 16
@@ -31,8 +41,9 @@ LEAD_BYTES = 64            # of the shared part before each window, see windows(
 FOLDS = 5                  # the fold with remainder 0 is never learned from
 MAX_DOCS_PER_CLASS = 3_000  # bound of the labelled sample the model is fitted on
 MAX_TRAIN_CHARS = 16_384   # of a sampled document; scoring always reads whole texts
+TRAIN_SLICES = 32          # stretches that a longer sampled document gives
 DICTIONARY_SHARE = 0.6     # of the sample trains dictionaries, the rest the score
-COMMON_BYTES = 1_500
+ORDINARY_BYTES = 1_500
 OWN_BYTES = 16_384
 RUN_BYTES = 6
 MIN_RATIO = 8.0
@@ -198,6 +209,14 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def spread_sample(text: Column, most: int = MAX_TRAIN_CHARS, slices: int = TRAIN_SLICES) -> Column:
+    """``text``, or of one longer than ``most`` characters ``slices`` stretches from its start to its end."""
+    size = most // slices
+    step = (F.length(text) - size) / (slices - 1)
+    parts = F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda k: F.substring(text, F.floor(k * step).cast("int") + 1, F.lit(size)))
+    return F.when(text.isNull() | (F.length(text) <= most), text).otherwise(F.array_join(parts, " "))
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         max_docs: int = MAX_DOCS_PER_CLASS, seed: int = 42) -> Model:
     """Fit on at most ``max_docs`` labelled documents of each class, chosen by a hash of the id.
@@ -213,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         some = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_docs)
         pick = some if pick is None else pick.unionByName(some)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                        F.substring(F.col(f"`{text_col}`"), 1, MAX_TRAIN_CHARS).alias("text")).where("text is not null")
+                        spread_sample(F.col(f"`{text_col}`")).alias("text")).where("text is not null")
     sample = (texts.join(F.broadcast(pick), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
               .orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(2 * max_docs).collect())
     by = {c: [r["text"] for r in sample if r["toxic"] == c] for c in (0, 1)}
@@ -222,13 +241,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     counts = {c: _context_counts(raw[c]) for c in by}
     least = int(np.clip(len(raw[1]) // 20, *MIN_CONTEXTS))
     own = _dictionary([r for t in raw[1] for r in _typical_runs(t, counts[1], counts[0], least)], OWN_BYTES)
-    common = _dictionary([w for t in raw[0][:1000] + raw[1][:1000] for w in windows(t.decode("utf-8", "replace"), 64, 64)], COMMON_BYTES)
+    ordinary = _dictionary([w for t in raw[0] for w in windows(t.decode("utf-8", "replace"), 64, 64)], ORDINARY_BYTES)
     del counts
     width = _n_features() + 1
     total = sum(sizes.values())
     prior = np.log((sizes.get(1, 0) + 0.5) / (sizes.get(0, 0) + 0.5)) if total else 0.0
-    # What is typical for ordinary text is told by the shared part; a second own part would only add noise.
-    model = Model(own + common, common, np.r_[np.zeros(width - 1), prior], np.zeros(width - 1), np.ones(width - 1),
+    model = Model(own + ordinary, ordinary, np.r_[np.zeros(width - 1), prior], np.zeros(width - 1), np.ones(width - 1),
                   {"labelled": sizes, "dictionaries": n, "calibration": {c: len(by[c]) - n[c] for c in by}})
     rest = [(t, c) for c in by for t in by[c][n[c]:]]
     y = np.array([c for _, c in rest], np.float64)

@@ -61,3 +61,29 @@ def test_degenerate_labels_and_empty_tables(spark, corpus, no_documents):
     one = {r.predicted for r in toxicity(docs, labels.where("toxic = 0")).collect()}
     assert one == {0}
     assert toxicity(no_documents, labels).count() == 0
+
+
+def test_long_training_texts_are_sampled_over_their_whole_length(spark):
+    from pyspark.sql import functions as F
+
+    from riskspark.llm.toxicity import MAX_TRAIN_CHARS, TRAIN_SLICES, spread_sample
+    long = "".join(f"{k:07d} " for k in range(12_500))                   # 100 000 characters
+    rows = spark.createDataFrame([(1, long), (2, long[:MAX_TRAIN_CHARS]), (3, "short"), (4, None)], "id int, text string")
+    got = {r.id: r.s for r in rows.select("id", spread_sample(F.col("text")).alias("s")).collect()}
+    assert got[2] == long[:MAX_TRAIN_CHARS] and got[3] == "short" and got[4] is None
+    size = MAX_TRAIN_CHARS // TRAIN_SLICES
+    assert got[1].startswith(long[:size]) and got[1].endswith(long[-size:]) and len(got[1]) == MAX_TRAIN_CHARS + TRAIN_SLICES - 1
+    starts = [long.index(got[1][k * (size + 1):k * (size + 1) + size]) for k in range(TRAIN_SLICES)]
+    assert max(b - a for a, b in zip(starts, starts[1:])) - min(b - a for a, b in zip(starts, starts[1:])) <= 1
+
+
+def test_ordinary_dictionary_sees_ordinary_text_only(spark, monkeypatch):
+    from riskspark.llm import toxicity
+    seen = []
+    train = toxicity._dictionary
+    monkeypatch.setattr(toxicity, "_dictionary", lambda samples, size: seen.append(b" ".join(samples)) or train(samples, size))
+    rows = [(k, ("vilemarker goes here " if k % 2 else "gentle words follow here ") + prose(30, k)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert b"vilemarker" not in seen[1] and b"gentle" in seen[1] and b"vilemarker" not in model.ordinary and b"vilemarker" in model.toxic
