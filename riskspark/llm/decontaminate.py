@@ -86,7 +86,7 @@ class Benchmark:
     classes: list[_Class]
 
 
-def _walk(starts: np.ndarray, ids: np.ndarray, seed: int, sampled: np.ndarray) -> np.ndarray:
+def _walk(starts: np.ndarray, ids: np.ndarray, seed: int, sampled: np.ndarray, n_words: int) -> np.ndarray:
     """Keys of the sampled coordinates of a CGK walk from each start.
 
     The walk moves on by bit ``j`` of a hash of (seed, j // 64, word) in step ``j``.
@@ -96,13 +96,18 @@ def _walk(starts: np.ndarray, ids: np.ndarray, seed: int, sampled: np.ndarray) -
     wanted, last = set(sampled.tolist()), int(sampled.max())
     with np.errstate(over="ignore"):
         for j in range(last + 1):
-            if j % 64 == 0:
-                bits = _mix(ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + j // 64))
+            if j % 64 == 0:                 # 64 steps of every word
+                bits = _mix(np.arange(n_words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed + j // 64))
+            symbol = ids.take(at, mode="clip")
             if j in wanted:
-                symbol = ids.take(at, mode="clip")
                 key = _mix(key + np.uint64(0x9E3779B97F4A7C15) + symbol.astype(np.uint64))
-            if j < last:
-                at += ((bits.take(at, mode="clip") >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
+            if j == last:
+                break
+            bit = np.uint64(j % 64)
+            if n_words < len(starts):       # the step of every word, then of every window; or of the windows alone
+                at += ((bits >> bit) & np.uint64(1)).astype(np.int8).take(symbol)
+            else:
+                at += ((bits.take(symbol) >> bit) & np.uint64(1)).astype(np.int8)
     return key
 
 
@@ -159,8 +164,8 @@ def build(items: list[tuple[int, str | None]], max_edit: float = MAX_EDIT, sampl
             walk = int(rng.integers(0, 1 << 62))
             # Short parts get fewer coordinates, else an edit would touch them all.
             sampled = np.sort(rng.choice(c.shortest, max(1, min(sample_bits, c.shortest // 3)), replace=False))
-            keys = _walk(at, flat, walk, sampled)
-            missed &= _walk(copy_at, copy_ids, walk, sampled) != keys[picks]
+            keys = _walk(at, flat, walk, sampled, n_words)
+            missed &= _walk(copy_at, copy_ids, walk, sampled, n_words) != keys[picks]
             by = np.argsort(keys, kind="stable")
             c.walks.append((walk, sampled, keys[by], by.astype(np.int32)))
     return Benchmark(ids, words, vocabulary, classes)
@@ -203,7 +208,7 @@ def _candidates(c: _Class, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         return
     found = []
     for walk, sampled, keys, part in c.walks:
-        got = _walk(starts, padded, walk, sampled)
+        got = _walk(starts, padded, walk, sampled, len(c.known))
         lo, hi = np.searchsorted(keys, got, "left"), np.searchsorted(keys, got, "right")
         for k in np.flatnonzero(hi > lo):
             found += [(int(starts[k]), int(part[n])) for n in range(lo[k], hi[k])]
