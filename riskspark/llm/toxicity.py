@@ -231,9 +231,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for label in (0, 1):
         some = rows.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_docs)
         pick = some if pick is None else pick.unionByName(some)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
-                        spread_sample(F.col(f"`{text_col}`")).alias("text")).where("text is not null")
-    sample = (texts.join(F.broadcast(pick), "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
+    # Only the picked documents are cut, after the join.
+    sample = (texts.join(F.broadcast(pick), "doc_id").select("doc_id", "toxic", spread_sample(F.col("text")).alias("text")).groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
               .orderBy(F.xxhash64("doc_id", F.lit(seed + 1)), "doc_id").limit(2 * max_docs).collect())
     by = {c: [r["text"] for r in sample if r["toxic"] == c] for c in (0, 1)}
     n = {c: int(DICTIONARY_SHARE * len(by[c])) for c in by}

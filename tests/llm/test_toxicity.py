@@ -82,7 +82,7 @@ def test_ordinary_dictionary_sees_ordinary_text_only(spark, monkeypatch):
     seen = []
     train = toxicity._dictionary
     monkeypatch.setattr(toxicity, "_dictionary", lambda samples, size: seen.append(b" ".join(samples)) or train(samples, size))
-    rows = [(k, ("vilemarker goes here " if k % 2 else "gentle words follow here ") + prose(30, k)) for k in range(200)]
+    rows = [(k, prose(8, 900 + k) + (" vilemarker goes here " if k % 2 else " gentle words follow here ") + prose(30, k)) for k in range(200)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels)
