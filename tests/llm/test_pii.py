@@ -1,4 +1,6 @@
+import datetime
 import ipaddress
+import random
 import re
 
 import pytest
@@ -76,3 +78,81 @@ def test_a_column_called_n_entities_is_replaced(spark):
     docs = spark.createDataFrame([(1, "write to anna@example.org", 99), (2, "nothing", None)], "doc_id long, text string, n_entities int")
     got = pii.replace_pii(docs, "k")
     assert got.columns == ["doc_id", "text", "n_entities"] and {r.doc_id: r.n_entities for r in got.collect()} == {1: 1, 2: 0}
+
+
+def _replace(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in pii.replace_pii(docs, "k").orderBy("doc_id").collect()]
+
+
+def test_parts_of_a_name_share_surrogates(spark):
+    one, two, three, four = _replace(spark, [
+        "Mr John Smith met Mr Smith; John Smith and SMITH's wife agreed, a smith did not. Dr Jane Doe left with Prof. Dr. J. Doe.",
+        "Alice Johnson, then John Smith-Jones. My name is Zoltan Kovacs. Kovacs said it.",
+        "Mr Kim Lee and Mrs Kim Lee. Smith and Johnson stay here.", "Госпожа Мария Петрова и Петрова"])
+    m = re.fullmatch(r"Mr (\w+) (\w+) met Mr (\w+); (\w+) (\w+) and (\w+)'s wife agreed, a smith did not\. Dr (\w+) (\w+) left with Prof\. Dr\. J\. (\w+)\.", one)
+    given, family, f2, g2, f3, upper, jane, doe, doe2 = m.groups()
+    assert family == f2 == f3 == upper.capitalize() and upper.isupper() and given == g2 and doe == doe2 and len({given, family, jane, doe}) == 4
+    assert jane in pii._GIVEN["latin", "f"] and given in pii._GIVEN["latin", "m"]
+    m = re.fullmatch(r"(\w+) (\w+), then (\w+) (\w+)\. My name is (\w+) (\w+)\. (\w+) said it\.", two)
+    assert m.group(3) == given and m.group(6) == m.group(7) and m.group(2) not in ("Johnson", family) and m.group(4) != family
+    m = re.fullmatch(r"Mr (\w+) (\w+) and Mrs (\w+) (\w+)\. Smith and Johnson stay here\.", three)
+    assert m.group(2) == m.group(4) and m.group(1) != m.group(3)
+    m = re.fullmatch(r"Госпожа (\w+) (\w+) и (\w+)", four)
+    assert m.group(2) == m.group(3) and not {"Мария", "Петрова"} & set(m.groups())
+
+
+def test_numbers_dates_addresses_and_documents(spark):
+    one, two, three = _replace(spark, [
+        "555-123-4567 and +1 555 123 4567 and +44 20 7946 0958", "born 1980-02-03, date of birth: 04/02/1980, DOB: February 3, 1980, born on 3 February 1980; in 1980-02-03",
+        "at 12 Main Street, passport no. X1234567, 2001:db8::ff00:42:8329 and 7 Old Mill Road; 12:30:45 std::vec 3 Big Apples"])
+    a, b, c = re.fullmatch(r"([\d-]+) and \+1 ([\d ]+) and \+44 ([\d ]+)", one).groups()
+    assert a.split("-") == b.split(" ") and a != "555-123-4567" and len(c) == 12
+    iso, slashed, us, long = re.fullmatch(r"born (\S+), date of birth: (\S+), DOB: (\w+ \d+, \d+), born on (\d+ \w+ \d+); in 1980-02-03", two).groups()
+    days = [datetime.datetime.strptime(*x) for x in ((iso, "%Y-%m-%d"), (us, "%B %d, %Y"), (long, "%d %B %Y"), (slashed, "%d/%m/%Y"))]
+    assert days[0] == days[1] == days[2] != datetime.datetime(1980, 2, 3) and (days[3] - days[0]).days == 1
+    m = re.fullmatch(r"at (\d\d) (\w+) Street, passport no\. ([A-Z]\d{7}), (\S+) and (\d) (\w+ \w+) Road; 12:30:45 std::vec 3 Big Apples", three)
+    assert m and m.group(2) != "Main" and m.group(3) != "X1234567" and ipaddress.ip_address(m.group(4)) and "Old Mill" not in three
+
+
+def test_many_names_of_one_form_stay_apart(spark):
+    """More given names than the lists hold: coined ones follow, none is a string of digits."""
+    entities = spark.range(3000).select(F.when(F.col("id") % 2 == 0, "given_f").otherwise("family").alias("type"), F.concat(F.lit("n"), F.col("id")).alias("canonical"))
+    entities = entities.unionByName(spark.createDataFrame([("given_m", "n0"), ("family", "n0"), ("given_f", "anna")], entities.schema))
+    rows = pii.surrogate_table(entities, "k").collect()
+    assert len(rows) == 3003 == len({r.surrogate for r in rows})
+    assert all(r.surrogate.isalpha() and r.surrogate != "anna" for r in rows)
+    assert all(r.surrogate[-1] == "a" or r.surrogate.capitalize() in pii._GIVEN["latin", "f"] for r in rows if r.type == "given_f")
+
+
+def test_against_slots_filled_by_hand(spark):
+    """Texts written from slots: what is between them stays, and slots map one to one over the whole table."""
+    rng = random.Random(5)
+    family = ["Hartley", "Okoye", "Lindqvist", "Moreau", "Castellano", "Nguyen"]
+    slots = {
+        "family": (family, r"\p{Lu}\w+"), "mail": ([f"{f.lower()}{k}@site.org" for f in family for k in range(2)], r"[\w.]+@\w+\.org"),
+        "ssn": ([f"{100 + k}-22-33{k:02d}" for k in range(9)], r"\d{3}-\d{2}-\d{4}"), "ip": ([f"10.1.{k}.7" for k in range(9)], r"\d+(?:\.\d+){3}"),
+        "phone": ([f"555-10{k}-4567" for k in range(9)], r"\d{3}-\d{3}-\d{4}"),
+    }
+    frames = [(" Mrs ", "family", " wrote"), (" to ", "mail", " twice"), (" number ", "ssn", ";"), (" host ", "ip", " was down,"), (" call ", "phone", " (office)"),
+              (" as Mr ", "family", " and ", "family", " knew")]
+    texts, shapes, values = [], [], []
+    for _ in range(60):
+        text, shape, value = "", "", []
+        for frame in rng.sample(frames, rng.randint(1, len(frames))):
+            told = rng.choice(family)
+            for k, piece in enumerate(frame):
+                if k % 2 == 0:
+                    text, shape = text + piece, shape + re.escape(piece)
+                    continue
+                real = told if piece == "family" else rng.choice(slots[piece][0])
+                text, shape = text + real, shape + f"({slots[piece][1]})".replace(r"\p{Lu}", "[A-Z]")
+                value.append((piece, real))
+        texts.append(text), shapes.append(shape), values.append(value)
+    there, back = {}, {}
+    for got, shape, value in zip(_replace(spark, texts), shapes, values, strict=True):
+        m = re.fullmatch(shape, got)
+        assert m, (got, shape)
+        for (kind, real), new in zip(value, m.groups(), strict=True):
+            assert there.setdefault((kind, real), new) == new != real
+            assert back.setdefault((kind, new), real) == real
