@@ -297,8 +297,9 @@ def surrogate_table(entities: DataFrame, key: str) -> DataFrame:
     used = real.select(space, F.col("canonical").alias("surrogate")).distinct()
     pending, done = real.withColumn("attempt", F.lit(0)), [taken]
     draw = surrogate(F.col("type"), F.col("canonical"), F.col("attempt"), key)
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))    # draws cost far more than their rows weigh
     for _ in range(MAX_ATTEMPTS):
-        drawn = stage(pending.withColumn("surrogate", draw), "pii_draws")
+        drawn = stage(pending.repartition(parts, "type", "canonical").withColumn("surrogate", draw), "pii_draws")
         winners = drawn.groupBy(space, "surrogate").agg(F.min(F.struct("canonical", "type")).alias("w"))
         free = winners.join(used, ["space", "surrogate"], "left_anti").select("space", "surrogate", "w.*")
         free = free.join(taken.select(space, "surrogate"), ["space", "surrogate"], "left_anti")
