@@ -203,14 +203,15 @@ def portfolio_variance(dd: DataFrame, cov: DataFrame, cov_rows: int | None = Non
 def portfolio_variance_projected(dd: DataFrame, scaled: DataFrame,
                                  periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
                                  returns_rows: int | None = None, dd_rows: int | None = None,
-                                 return_keys: int | None = None) -> DataFrame:
+                                 return_keys: int | None = None, n_dates: int = 1) -> DataFrame:
     """(as_of_date, portfolio_id, variance) = periods * sum_d (sum_i delta_i z[i, d])^2.
 
     Equal to the quadratic form with the covariance of ``scaled_returns``; costs
     portfolios x factors x T instead of portfolios x factors^2. Portfolios with
     no calibrated factor get variance 0. With all three exact sizes given
     (``return_keys``: distinct (as_of_date, ticker) of the returns), products of
-    more than ``riskspark.pricing.blockMinPairs`` rows run as blocks.
+    more than ``riskspark.pricing.blockMinPairs`` rows run as blocks, the shuffle
+    partitions spread over the ``n_dates`` as-of dates.
     """
     spark = dd.sparkSession
     kernel = spark.conf.get("riskspark.pricing.kernel", "auto")
@@ -218,7 +219,8 @@ def portfolio_variance_projected(dd: DataFrame, scaled: DataFrame,
         pairs = dd_rows * returns_rows / max(1, return_keys)
         if kernel == "blocks" or pairs >= float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000")):
             rows = int(spark.conf.get("riskspark.pricing.blockRows", "200000"))
-            buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-dd_rows // rows))
+            parts = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, n_dates))
+            buckets = max(parts, -(-dd_rows // rows))
             return portfolio_variance_blocks(dd, scaled, periods_per_year, buckets)
     ret = scaled.select("as_of_date", "ticker", "d", "z")
     proj = (factor_join(dd, ret, ["as_of_date", "ticker"], F.hash("portfolio_id"), returns_rows, dd_rows, F.col("d"))

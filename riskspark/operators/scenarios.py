@@ -255,6 +255,18 @@ def scenario_pnl_blocks(shocks: DataFrame, exposures: DataFrame, set_keys: list[
     return out.withColumn("pnl", F.when(F.isnan("pnl"), F.lit(None).cast("double")).otherwise(F.col("pnl")))
 
 
+def block_rows(spark) -> int:
+    """Rows a block may take in (``riskspark.pricing.blockRows``)."""
+    return int(spark.conf.get("riskspark.pricing.blockRows", "200000"))
+
+
+def date_groups(spark, n_dates: int, rows: int) -> int:
+    """Least groups of an as-of date: the shuffle partitions spread over the dates, more where the dates'
+    ``rows`` come to more than ``block_rows`` a group."""
+    parts, n_dates = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, n_dates)
+    return max(-(-parts // n_dates), -(-rows // (n_dates * block_rows(spark))))
+
+
 def block_grid(scenarios: int, books: int, parts: int, cells: int) -> tuple[int, int]:
     """(scenario buckets, book buckets): at least ``parts`` groups of at most ``cells`` output cells.
 
@@ -270,7 +282,7 @@ def block_grid(scenarios: int, books: int, parts: int, cells: int) -> tuple[int,
 
 def price_scenarios(shocks: DataFrame, exposures: DataFrame, set_keys: list[str],
                     exposure_rows: int | None, shock_rows: int | None, factor_keys: int | None = None,
-                    n_scenarios: int | None = None, n_books: int | None = None) -> DataFrame:
+                    n_scenarios: int | None = None, n_books: int | None = None, n_dates: int = 1) -> DataFrame:
     """Scenario P&L with the cheaper of the two kernels; both give the same rows.
 
     ``riskspark.pricing.kernel``: ``relational`` (join + aggregate, whole-stage
@@ -278,7 +290,8 @@ def price_scenarios(shocks: DataFrame, exposures: DataFrame, set_keys: list[str]
     ``auto`` (default): blocks once the join would emit more than
     ``riskspark.pricing.blockMinPairs`` (default 20 000 000) rows, estimated
     from the exact input sizes. Bucket counts keep each group within
-    ``riskspark.pricing.blockCells`` (default 4 000 000) scenarios x books.
+    ``riskspark.pricing.blockCells`` (default 4 000 000) scenarios x books; the
+    groups of all ``n_dates`` as-of dates together follow the shuffle partitions.
     """
     spark = shocks.sparkSession
     kernel = spark.conf.get("riskspark.pricing.kernel", "auto")
@@ -289,7 +302,7 @@ def price_scenarios(shocks: DataFrame, exposures: DataFrame, set_keys: list[str]
     if kernel == "auto" and pairs < float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000")):
         return scenario_pnl(shocks, exposures, set_keys, exposure_rows, shock_rows)
     cells = int(spark.conf.get("riskspark.pricing.blockCells", "4000000"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = date_groups(spark, n_dates, max(shock_rows, exposure_rows))
     return scenario_pnl_blocks(shocks, exposures, set_keys, *block_grid(n_scenarios, n_books, parts, cells))
 
 
@@ -325,19 +338,34 @@ def _shock_block(periods_per_year: float):
     return kernel
 
 
+def _path_buckets(sets: DataFrame, z: DataFrame, parts: int) -> int:
+    """Path buckets of every as-of date: about ``parts`` groups over all dates, more only where a group
+    would hold more than ``block_rows`` normals or shocks.
+
+    Every bucket takes a copy of its date's returns, so ``parts`` buckets a date would make
+    groups and copies grow with dates times shuffle partitions.
+    """
+    width = z.groupBy("as_of_date").agg(F.greatest(F.countDistinct("d"), F.countDistinct("ticker")).alias("width"))
+    paths = sets.select(*MC_KEYS).distinct().groupBy("as_of_date").agg(F.sum(F.col("num_paths").cast("long")).alias("paths"))
+    dates, most, cells = (int(x or 0) for x in paths.join(width, "as_of_date").agg(
+        F.count(F.lit(1)), F.max("paths"), F.max(F.col("paths") * F.col("width"))).first())
+    return max(1, min(most, max(-(-parts // max(1, dates)), -(-cells // block_rows(z.sparkSession)))))
+
+
 def mc_shocks_blocks(scaled: DataFrame, sets: DataFrame,
                      periods_per_year: float = schemas.DEFAULT_PERIODS_PER_YEAR,
                      num_partitions: int | None = None, path_buckets: int | None = None, returns_rows: int | None = None,
                      set_rows: int | None = None) -> DataFrame:
     """Same rows as ``mc_shocks``: the normals are drawn by Spark exactly as
     there, and the sum over dates is a block matrix product per (as-of date, path
-    bucket) with the return matrix copied into each bucket."""
+    bucket) with the return matrix copied into each bucket. ``path_buckets`` (by
+    default ``_path_buckets``) are those of one as-of date."""
     import pyspark.sql.types as T
 
     spark = scaled.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pb = path_buckets or n
     z = scaled.select("as_of_date", "d", "ticker", "z")
+    pb = path_buckets or _path_buckets(sets, z, n)
     normals = (path_normals(sets, z, n, returns_rows, set_rows)
                .withColumn("pb", F.pmod(F.col("scenario_id"), F.lit(pb))))
     zs = z.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1))))

@@ -117,6 +117,11 @@ def _for(df: DataFrame, inp: "_Inputs", method: str) -> DataFrame:
     return df.filter(F.col("as_of_date").isin(inp.dates[method])) if method in inp.dates else df
 
 
+def _n_dates(inp: "_Inputs", method: str) -> int:
+    """As-of dates of the method's requests (1 where they were not listed)."""
+    return max(1, len(inp.dates.get(method, ())))
+
+
 def _scenario_sizes(sets: DataFrame, factors: DataFrame, per_set: F.Column) -> tuple[int, int]:
     """(shock rows, scenarios of the largest as-of date), from one small aggregate."""
     nf = factors.groupBy("as_of_date").agg(F.countDistinct("ticker").alias("nf"))
@@ -140,22 +145,23 @@ def _use_blocks(spark, shock_rows, returns_rows, return_keys) -> bool:
     return pairs >= float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000"))
 
 
-def _distribution_buckets(spark, shock_rows, exposure_rows, factor_keys, n_scenarios, n_books) -> int:
+def _distribution_buckets(spark, shock_rows, exposure_rows, factor_keys, n_scenarios, n_books, n_dates=1) -> int:
     """Book buckets for whole-distribution blocks (0 = use the row path).
 
     Used when repricing goes to blocks (see scenarios.price_scenarios), the
     books outnumber the scenarios, and all shocks fit in one block copied to
     every bucket (shock rows <= ``riskspark.pricing.blockRows``). Buckets hold at
-    most ``riskspark.pricing.blockCells`` scenarios x books."""
+    most ``riskspark.pricing.blockCells`` scenarios x books; the shuffle partitions
+    are spread over the as-of dates."""
     kernel = spark.conf.get("riskspark.pricing.kernel", "auto")
     if kernel == "relational" or None in (shock_rows, exposure_rows, factor_keys):
         return 0
-    block = int(spark.conf.get("riskspark.pricing.blockRows", "200000"))
+    block = scenarios.block_rows(spark)
     pairs = shock_rows * exposure_rows / max(1, factor_keys)
     big = kernel == "blocks" or pairs >= float(spark.conf.get("riskspark.pricing.blockMinPairs", "20000000"))
     if not big or shock_rows > block or exposure_rows <= shock_rows:
         return 0
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = scenarios.date_groups(spark, n_dates, exposure_rows)
     cells = int(spark.conf.get("riskspark.pricing.blockCells", "4000000"))
     return max(parts, -(-(n_scenarios * n_books) // cells))
 
@@ -166,7 +172,7 @@ def parametric_results(inp: _Inputs) -> DataFrame:
     dd = _for(inp.exposures, inp, "PARAMETRIC").select(
         "as_of_date", "portfolio_id", "ticker", F.col("lin_exposure").alias("dollar_delta"))
     variance = risk.portfolio_variance_projected(dd, cal.scaled, inp.scaled_periods, inp.returns_rows,
-                                                 inp.exposure_rows, inp.return_keys)
+                                                 inp.exposure_rows, inp.return_keys, _n_dates(inp, "PARAMETRIC"))
     return risk.parametric_var(req, _scoped(inp, variance), inp.request_rows, inp.horizon_years, inp.scope)
 
 
@@ -181,21 +187,21 @@ def historical_results(inp: _Inputs) -> DataFrame:
         shock_rows, n_scen = _scenario_sizes(sets, cal.index.filter("n_prices > 1"), F.col("historical_window"))
     factors = cal.index.filter("n_prices > 1").select("as_of_date", "ticker")
     buckets = 0 if inp.book_pnl else _distribution_buckets(valid.sparkSession, shock_rows, inp.exposure_rows, inp.factor_keys,
-                                                           n_scen, inp.book_rows)
+                                                           n_scen, inp.book_rows, _n_dates(inp, "HISTORICAL"))
     if buckets:
         dist = scenarios.scenario_distribution_blocks(shocks, exp, scenarios.HIST_KEYS, buckets)
         var = risk.scenario_var_from_distribution(req, _scoped(inp, dist), scenarios.HIST_KEYS + inp.scope, "HISTORICAL", inp.request_rows)
     else:
-        pnl = _pnl(inp, shocks, exp, scenarios.HIST_KEYS, shock_rows, n_scen)
+        pnl = _pnl(inp, shocks, exp, scenarios.HIST_KEYS, shock_rows, n_scen, "HISTORICAL")
         var = _ranked_var(inp, req, pnl, scenarios.HIST_KEYS, "HISTORICAL", n_scen)
     return var.unionByName(
         risk.zero_results(req, _scoped(inp, exp), factors, "HISTORICAL", F.col("historical_window"), inp.request_rows, inp.scope))
 
 
-def _pnl(inp: _Inputs, shocks: DataFrame, exp: DataFrame, keys: list[str], shock_rows, n_scen) -> DataFrame:
+def _pnl(inp: _Inputs, shocks: DataFrame, exp: DataFrame, keys: list[str], shock_rows, n_scen, method: str) -> DataFrame:
     if inp.book_pnl:
         return inp.book_pnl(shocks, keys)
-    return scenarios.price_scenarios(shocks, exp, keys, inp.exposure_rows, shock_rows, inp.factor_keys, n_scen, inp.book_rows)
+    return scenarios.price_scenarios(shocks, exp, keys, inp.exposure_rows, shock_rows, inp.factor_keys, n_scen, inp.book_rows, _n_dates(inp, method))
 
 
 def monte_carlo_results(inp: _Inputs) -> DataFrame:
@@ -209,13 +215,10 @@ def monte_carlo_results(inp: _Inputs) -> DataFrame:
         shock_rows, n_scen = _scenario_sizes(sets, cal.index.filter("n_prices > 2"), F.col("num_paths"))
     spark = valid.sparkSession
     if _use_blocks(spark, shock_rows, inp.returns_rows, inp.return_keys):
-        cells = int(spark.conf.get("riskspark.pricing.blockCells", "4000000"))
-        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shock_rows // cells))
-        shocks = scenarios.mc_shocks_blocks(scaled, sets, inp.scaled_periods, path_buckets=buckets, returns_rows=inp.returns_rows,
-                                            set_rows=inp.request_rows)
+        shocks = scenarios.mc_shocks_blocks(scaled, sets, inp.scaled_periods, returns_rows=inp.returns_rows, set_rows=inp.request_rows)
     else:
         shocks = scenarios.mc_shocks(scaled, sets, inp.scaled_periods, returns_rows=inp.returns_rows, set_rows=inp.request_rows)
-    pnl = _pnl(inp, shocks, exp, scenarios.MC_KEYS, shock_rows, n_scen)
+    pnl = _pnl(inp, shocks, exp, scenarios.MC_KEYS, shock_rows, n_scen, "MONTE_CARLO")
     factors = (scaled.select("as_of_date", "ticker").distinct() if inp.loadings
                else cal.index.filter("n_prices > 2").select("as_of_date", "ticker"))
     return _ranked_var(inp, req, pnl, scenarios.MC_KEYS, "MONTE_CARLO", n_scen).unionByName(

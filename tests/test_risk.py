@@ -215,6 +215,31 @@ def test_kernels_agree_on_missing_shocks(spark):
     assert rows(a) == rows(b) and len(rows(a)) == 8
 
 
+def test_path_groups_do_not_grow_with_dates_times_partitions(spark, monkeypatch):
+    dates = [D0 - timedelta(days=k) for k in range(20)]
+    scaled = spark.createDataFrame([(a, D0 - timedelta(days=30 + d), t, 0.01 * (d + 1) * (1 if t == "A" else -2)) for a in dates for d in range(10) for t in "AB"],
+                                   "as_of_date date, d date, ticker string, z double")
+    sets = spark.createDataFrame([(a, 40, 7, 4, 0.25) for a in dates], "as_of_date date, num_paths int, seed long, steps int, dt double")
+
+    def rows(df):
+        return sorted((r.as_of_date, r.scenario_id, r.ticker, round(r.r, 12)) for r in df.collect())
+
+    blocks = rows(scenarios.mc_shocks_blocks(scaled, sets, 12, num_partitions=50))
+    assert blocks == rows(scenarios.mc_shocks(scaled, sets, 12)) and len(blocks) == 20 * 40 * 2
+
+    def one_row_a_group(periods):
+        keys = list(scenarios.MC_KEYS)
+        return lambda normals, z: normals[keys].head(1).assign(scenario_id=0, ticker="A", r=0.0)
+
+    monkeypatch.setattr(scenarios, "_shock_block", one_row_a_group)
+    assert scenarios.mc_shocks_blocks(scaled, sets, 12, num_partitions=50).count() == 20 * 3     # 50 partitions over 20 dates
+    spark.conf.set("riskspark.pricing.blockRows", "100")                                         # 40 paths x 10 days: 4 blocks a date
+    try:
+        assert scenarios.mc_shocks_blocks(scaled, sets, 12, num_partitions=50).count() == 20 * 4
+    finally:
+        spark.conf.unset("riskspark.pricing.blockRows")
+
+
 @pytest.mark.parametrize("n_scen,n_books", [(200_000, 200_000), (10_000, 3), (5, 1_000_000), (0, 0), (250, 15_000)])
 def test_block_groups_are_bounded_by_output_cells(n_scen, n_books):
     cells = 4_000_000
