@@ -10,15 +10,16 @@ are one node with a weight. The neighbour graph is built and refined like this:
    lists until a round brings hardly any link;
 3. lists in which every entry is a link are saturated: they are enlarged to the
    node's whole component, which is compared in blocks of bounded size;
-4. audit: the links of a sample of nodes of each label, drawn apart from large
-   and from small components, are counted by brute force against all rows, and
-   recall is the mean over nodes; labels below the target get more orders. Those
-   still below it at the last audit, or with too few links to tell, are compared
-   in full.
+4. exact check: all rows of a label in different components of the descent are
+   compared in blocks of bounded size. Lists, blocks and rounds are bounded, so the
+   descent may miss links; those that connect components come from here, whatever
+   the label's size.
 
 Only the threshold edges stay. Link counts come from the block comparison, so
-they are exact inside every component, whatever its size, and no pair of a
-large group of copies is ever written out.
+they are exact inside every component, whatever its size, and as no link leaves a
+component all links are counted. No pair of a large group of copies is ever written
+out. The check's products grow with the square of a label's distinct vectors; its
+rows are copied ``EXACT_CHUNKS`` times, more only where chunks reach ``EXACT_BYTES``.
 """
 
 from __future__ import annotations
@@ -36,20 +37,17 @@ from riskspark.llm.components import connected_components
 
 THRESHOLD = 0.93
 LIST = 8                # neighbours a node keeps
-ORDERS = 10             # random orders of the start, and of each addition
+ORDERS = 10             # random orders of the start
 BITS = 40               # hyperplanes of an order
 BLOCK = 64              # consecutive rows compared with each other
 FLOOR = 0.5             # less similar rows are no neighbours
 ROUNDS = 4              # descent rounds at most
 SETTLED = 0.002         # a round that finds fewer new links (as a share) is the last
-AUDIT_NODES = 8192      # of a space and kind
-AUDIT_LINKED = 100      # linked nodes without which a sample says nothing
-AUDIT_PARTS = 16        # parts in which the sample of a space is drawn
-AUDIT_CHUNK = 4096      # rows of a block in the audit
-TARGET_RECALL = 0.995
-AUDITS = 4
 CHUNK = 256             # rows of a block in the exact comparison of a component
-EXACT_CHUNK = 2048      # rows of a block in the exact comparison of a space
+EXACT_CHUNK = 2048      # rows of a chunk in the exact check of a space, at least
+EXACT_CHUNKS = 8        # chunks of a space, unless they would hold more than
+EXACT_BYTES = 8 << 20   # bytes of vectors
+TILE = 256              # rows of a chunk multiplied at a time
 
 log = logging.getLogger(__name__)
 
@@ -71,7 +69,7 @@ def _unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          ["node", "space", "weight", "rep", "vec"])
 
 
-def _orders(first: int, n: int):
+def _orders(n: int):
     """Every node once per order, with its hyperplane signature and a finer key for equal signatures."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict = {}
@@ -82,7 +80,7 @@ def _orders(first: int, n: int):
                 at = np.flatnonzero(widths == width)
                 x = np.frombuffer(b"".join(rows[i] for i in at), "<f8").reshape(len(at), -1)
                 part = b.take(pa.array(at))
-                for order in range(first, first + n):
+                for order in range(n):
                     if (order, width) not in planes:
                         planes[order, width] = np.random.default_rng([order, int(width)]).standard_normal((width // 8, BITS + 1))
                     y = x @ planes[order, width]
@@ -158,9 +156,9 @@ def _meet(threshold: float):
     return run
 
 
-def _start(nodes: DataFrame, first: int, threshold: float) -> DataFrame:
+def _start(nodes: DataFrame, threshold: float) -> DataFrame:
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = nodes.mapInArrow(_orders(first, ORDERS), "node long, space string, ord int, sig long, fine double, vec binary")
+    placed = nodes.mapInArrow(_orders(ORDERS), "node long, space string, ord int, sig long, fine double, vec binary")
     return (placed.repartitionByRange(n, "space", "ord", "sig", "fine", "node")
             .sortWithinPartitions("space", "ord", "sig", "fine", "node").mapInArrow(_meet(threshold), "u long, v long, sim double"))
 
@@ -173,7 +171,8 @@ def _merge(*edges: DataFrame) -> DataFrame:
 
 
 def _lists(edges: DataFrame) -> DataFrame:
-    """The best ``LIST`` neighbours of each node; a node has seen a bounded number of them."""
+    """The best ``LIST`` neighbours of each node: where the descent starts from. Links past them are in ``edges``
+    or come from the exact check."""
     by = Window.partitionBy("u").orderBy(F.desc("sim"), "v")
     return edges.withColumn("r", F.row_number().over(by)).where(F.col("r") <= LIST)
 
@@ -210,33 +209,17 @@ def _descend(edges: DataFrame, nodes: DataFrame, threshold: float) -> DataFrame:
 
 
 def _across(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Links between the queries and the rows of each group (space, i, j) of ``pairs``, by brute force.
-
-    Rows with ``v`` link different components: a spanning forest of the group, so
-    at most as many as it has rows. Rows without ``v`` count the links of query
-    ``u`` in the group, and how many stay inside its component.
-    """
+    """(u, v, sim): links between the asking and the offered rows of each group (space, i, j) of ``pairs`` that join
+    different components, by brute force. Of each group a spanning forest: at most as many links as it has rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], [[] for _ in range(5)]
-
-        def add(u, v, sim, total, hits) -> None:
-            for c, x in zip(out, (u, v, sim, total, hits)):
-                c.extend(x)
+        key, rows, out = None, [], []
 
         def close() -> None:
             asks = np.array([r[0] for r in rows], bool)
             node, comp = (np.array([r[c] for r in rows], np.int64) for c in (1, 2))
             x = np.frombuffer(b"".join(r[3] for r in rows), "<f8").reshape(len(rows), -1)
             q, r = np.flatnonzero(asks), np.flatnonzero(~asks)
-            if not len(q) or not len(r):
-                return
-            s = x[q] @ x[r].T
-            linked = (s >= threshold) & (node[q][:, None] != node[r][None, :])
-            cross = linked & (comp[q][:, None] != comp[r][None, :])
-            total = linked.sum(1)
-            hits = total - cross.sum(1)
-            some, none = np.flatnonzero(total), [None] * len(q)
-            add(node[q][some].tolist(), none[:len(some)], none[:len(some)], total[some].tolist(), hits[some].tolist())
+            offered = np.ascontiguousarray(x[r].T)
             parent, owner = list(range(len(q))), np.full(len(r), -1)
 
             def root(i: int) -> int:
@@ -244,19 +227,22 @@ def _across(pairs: DataFrame, threshold: float) -> DataFrame:
                     parent[i] = i = parent[parent[i]]
                 return i
 
-            for i in np.flatnonzero(cross.any(1)).tolist():
-                js = np.flatnonzero(cross[i])
-                take = js[owner[js] < 0].tolist()
-                for j in js[owner[js] >= 0].tolist():
-                    if (other := root(int(owner[j]))) != root(i):
-                        parent[other] = root(i)
-                        take.append(j)
-                owner[js[owner[js] < 0]] = i
-                add([int(node[q[i]])] * len(take), node[r[take]].tolist(), s[i, take].tolist(), [None] * len(take), [None] * len(take))
-
-        def batch() -> pa.RecordBatch:
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["u", "v", "sim", "total", "hits"])
+            for first in range(0, len(q), TILE):
+                at = q[first:first + TILE]
+                s = x[at] @ offered
+                cross = s >= threshold
+                if not cross.any():
+                    continue
+                cross &= comp[at][:, None] != comp[r][None, :]
+                for k in np.flatnonzero(cross.any(1)).tolist():
+                    i, js = first + k, np.flatnonzero(cross[k])
+                    take = js[owner[js] < 0].tolist()
+                    for j in js[owner[js] >= 0].tolist():
+                        if (other := root(int(owner[j]))) != root(i):
+                            parent[other] = root(i)
+                            take.append(j)
+                    owner[js[owner[js] < 0]] = i
+                    out.append((np.full(len(take), node[q[i]]), node[r[take]], s[k, take]))
 
         for b in batches:
             for space, i, j, *row in zip(*(c.to_pylist() for c in b.columns)):
@@ -265,21 +251,24 @@ def _across(pairs: DataFrame, threshold: float) -> DataFrame:
                         close()
                     key, rows = (space, i, j), []
                 rows.append(row)
-            if len(out[0]) > 50_000:
-                yield batch()
-                out = [[] for _ in range(5)]
+            if sum(len(o[0]) for o in out) > 50_000:
+                yield _edge_batch(out)
+                out = []
         if rows:
             close()
-        if out[0]:
-            yield batch()
+        if out:
+            yield _edge_batch(out)
 
-    grouped = pairs.select("space", "i", "j", "asks", "node", "component", "vec").repartition("space", "i", "j")
-    return grouped.sortWithinPartitions("space", "i", "j", "asks", "node").mapInArrow(run, "u long, v long, sim double, total long, hits long")
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))      # a group costs far more than its rows weigh
+    grouped = pairs.select("space", "i", "j", "asks", "node", "component", "vec").repartition(n, "space", "i", "j")
+    return grouped.sortWithinPartitions("space", "i", "j", "asks", "node").mapInArrow(run, "u long, v long, sim double")
 
 
-def _dealt(rows: DataFrame, size: int) -> DataFrame:
-    """``rows`` with their ``chunk`` of about ``size`` rows and the number of ``chunks`` of their space."""
-    sizes = rows.groupBy("space").agg(F.ceil(F.count("*") / size).cast("int").alias("chunks"))
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` with their ``chunk`` and the number of ``chunks`` of their space, see ``EXACT_CHUNKS``."""
+    n, most = F.count("*"), F.greatest(F.lit(1), F.floor(F.lit(EXACT_BYTES) / F.max(F.length("vec"))))
+    chunks = F.greatest(F.ceil(n / most), F.least(F.ceil(n / EXACT_CHUNK), F.lit(EXACT_CHUNKS))).cast("int")
+    sizes = rows.groupBy("space").agg(chunks.alias("chunks"))
     return rows.join(sizes, "space").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
 
 
@@ -288,57 +277,15 @@ def _named(nodes: DataFrame, components: DataFrame) -> DataFrame:
     return nodes.join(components, "node", "left").select("node", "space", "vec", F.coalesce("component", "node").alias("component"))
 
 
-def _both_ways(links: DataFrame) -> DataFrame:
-    return links.select("u", "v", "sim").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim"))
-
-
-def _audit(nodes: DataFrame, components: DataFrame, threshold: float, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(spaces below the target with ``sparse``, missed links) of a sample of nodes against all rows of their space, by brute force.
-
-    At most ``AUDIT_NODES`` nodes are drawn of each space and kind (in components
-    of at most ``LIST`` nodes or in larger ones). The recall of a kind is the mean
-    over its linked nodes, so the links of a large group hide nothing; with
-    fewer than ``AUDIT_LINKED`` linked nodes the space is ``sparse``: not shown to
-    reach the target. A kind drawn in full is complete with its missed links.
-    """
-    named = _named(nodes, components)
-    sizes = components.groupBy("component").agg(F.count("*").alias("size"))
-    kinds = named.join(sizes, "component", "left").withColumn("large", F.coalesce(F.col("size") > LIST, F.lit(False)))
-    by = Window.partitionBy("space", "large", "part").orderBy(F.xxhash64("node", F.lit(seed)), "node")
-    parts = F.pmod(F.xxhash64(F.lit(seed + 1), "node"), F.lit(AUDIT_PARTS))
-    drawn = kinds.withColumn("part", parts).withColumn("r", F.row_number().over(by)).where(F.col("r") <= AUDIT_NODES)
-    by = Window.partitionBy("space", "large").orderBy("r", "part")
-    drawn = drawn.select("node", "space", "large", "vec", "component", "r", "part").withColumn("r", F.row_number().over(by))
-    sample = stage(drawn.where(F.col("r") <= AUDIT_NODES).drop("r", "part"), "audit_nodes")
-    rows = _dealt(named, AUDIT_CHUNK)
-    spread = rows.select("space", "chunks").distinct()
-    asked = (_dealt(sample, CHUNK).drop("chunks").join(spread, "space")
-             .select("space", F.col("chunk").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"), F.lit(True).alias("asks"),
-                     "node", "component", "vec"))
-    wide = _dealt(sample, CHUNK).select("space", F.col("chunks").alias("asked")).distinct()
-    offered = (rows.join(wide, "space").select("space", F.explode(F.sequence(F.lit(0), F.col("asked") - 1)).alias("i"), F.col("chunk").alias("j"),
-                                               F.lit(False).alias("asks"), "node", "component", "vec"))
-    found = stage(_across(asked.unionByName(offered), threshold), "audit")
-    each = (found.where("v is null").groupBy("u").agg((F.sum("hits") / F.sum("total")).alias("recall"))
-            .join(sample.select(F.col("node").alias("u"), "space", "large"), "u")
-            .groupBy("space", "large").agg(F.avg("recall").alias("recall"), F.count("*").alias("linked")))
-    whole = kinds.groupBy("space", "large").agg(F.count("*").alias("n"))
-    verdict = (whole.join(each, ["space", "large"], "left")
-               .where(F.col("n") > AUDIT_NODES))
-    sparse, low = F.coalesce("linked", F.lit(0)) < AUDIT_LINKED, F.col("recall") < TARGET_RECALL
-    short = stage(verdict.where(sparse | low).groupBy("space").agg(F.max(sparse).alias("sparse")), "audit_short")
-    return short, _both_ways(found.where("v is not null"))
-
-
 def _exact(nodes: DataFrame, components: DataFrame, threshold: float) -> DataFrame:
     """Links between components that connect all that belongs together: every two chunks of a space are compared."""
-    cut = (_dealt(_named(nodes, components), EXACT_CHUNK)
+    cut = (_dealt(_named(nodes, components))
            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))))
     out = ["space", "i", "j", "asks", "node", "component", "vec"]
     cols = [F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "component", "vec", "space"]
     pairs = cut.select((F.col("chunk") <= F.col("other")).alias("asks"), *cols).select(*out)
     same = cut.where("chunk = other").select(F.lit(False).alias("asks"), *cols).select(*out)
-    return _both_ways(_across(pairs.unionByName(same), threshold).where("v is not null"))
+    return _across(pairs.unionByName(same), threshold)
 
 
 def _count_links(members: DataFrame, threshold: float) -> DataFrame:
@@ -414,33 +361,24 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     distinct = stage(distinct, "vectors")                       # the node numbers are fixed once written
     nodes = stage(distinct.select("node", "space", "weight", "rep", "embedding")
                   .mapInArrow(_unit, "node long, space string, weight long, rep long, vec binary"), "unit_vectors")
-    edges = stage(_merge(_start(nodes, 0, threshold)), "edges")
+    edges = stage(_merge(_start(nodes, threshold)), "edges")
     links = F.col("sim") >= threshold
-    for audit in range(AUDITS):
-        known = edges.where(links).count()
-        for _ in range(ROUNDS):
-            more = stage(_descend(edges, nodes, threshold), "descent")
-            if more.isEmpty():
-                break
-            found = more.where(links).count()
-            edges = stage(_merge(edges, more), "edges")
-            if found <= SETTLED * max(known, 1):
-                break
-            known += found
-        components = stage(connected_components(edges.where(links).select("u", "v")), "components")
-        short, missed = _audit(nodes, components, threshold, audit)
-        below, sparse = short.agg(F.count("*"), F.count_if("sparse")).first()
-        log.info("neighbour graph: %d spaces below the target recall, %d with too few links to tell", below, sparse)
-        rest = nodes.join(short, "space", "left_semi")
-        if below > sparse and audit < AUDITS - 1:       # more orders; the sparse spaces wait for the full comparison
-            rest = nodes.join(short.where("not sparse"), "space", "left_semi")
-            edges = stage(_merge(edges, missed, _start(rest, (audit + 1) * ORDERS, threshold)), "edges")
-            continue
-        if below:
-            missed = stage(missed.unionByName(_exact(rest, components, threshold)), "missed")
-        if not missed.isEmpty():
-            components = stage(connected_components(edges.where(links).select("u", "v").unionByName(missed.select("u", "v"))), "components")
-        break
+    known = edges.where(links).count()
+    for _ in range(ROUNDS):
+        more = stage(_descend(edges, nodes, threshold), "descent")
+        if more.isEmpty():
+            break
+        found = more.where(links).count()
+        edges = stage(_merge(edges, more), "edges")
+        if found <= SETTLED * max(known, 1):
+            break
+        known += found
+    descent = edges.where(links).select("u", "v")
+    components = stage(connected_components(descent), "components")
+    missed = stage(_exact(nodes, components, threshold), "missed")
+    if lost := missed.count():
+        log.info("neighbour graph: %d links between components found by the exact check alone", lost)
+        components = stage(connected_components(descent.unionByName(missed.select("u", "v"))), "components")
     members = nodes.join(components, "node").select("component", "node", "weight", "vec")
     counted = _count_links(members, threshold)
     lowest = nodes.join(components, "node").groupBy("component").agg(F.min("rep").alias("component_id"))

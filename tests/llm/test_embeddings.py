@@ -92,3 +92,22 @@ def test_pairs_beside_a_hot_group_are_found(spark, monkeypatch, audits):
     rows = [(i, [float(np.float32(c)) for c in v], 1, 3, 4) for i, v in enumerate(vecs)]
     got = [(r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, DDL)).collect()]
     assert sorted(got) == sorted(_brute(rows))
+
+
+@pytest.mark.parametrize("size", [{"EXACT_CHUNK": 4096}, {"EXACT_CHUNK": 50, "EXACT_CHUNKS": 3}, {"EXACT_BYTES": 16 * 8 * 60}])
+def test_links_past_lists_and_samples_are_found(spark, vectors, monkeypatch, size):
+    """However little the descent finds and a sample of rows would show, all links of a label come out."""
+    poor = {"ORDERS": 1, "BLOCK": 4, "LIST": 2, "ROUNDS": 1, "AUDITS": 1, "AUDIT_NODES": 4, "AUDIT_LINKED": 0, "TARGET_RECALL": 0.5, "TILE": 64}
+    for name, value in {**poor, **size}.items():
+        monkeypatch.setattr(embeddings, name, value, raising=False)
+    got = [(r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(vectors, DDL)).collect()]
+    assert sorted(got, key=str) == sorted(_brute(vectors), key=str)
+
+
+def test_descent_alone_finds_links(spark, vectors, monkeypatch):
+    """The exact check follows the descent and does not take its place."""
+    monkeypatch.setattr(embeddings, "_exact", lambda nodes, components, threshold: spark.createDataFrame([], "u long, v long, sim double"))
+    rows = [v for v in vectors if v[0] is not None]
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame(rows, DDL)).collect()}
+    links = {i: n for i, n, _ in _brute(rows)}
+    assert sum(min(got[i], n) for i, n in links.items()) >= 0.95 * sum(links.values())
